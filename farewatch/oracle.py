@@ -328,3 +328,129 @@ SELECT (SELECT count(*) FROM anomalies) AS total_anomalies,
     "filter_by_rules": _with_anomalies(_REPORT + """
 SELECT * FROM report WHERE list_has_any(list_transform(string_split(hypotheses, ','), lambda x: trim(x)), ['H4', 'H8'])"""),
 }
+
+
+# ---------------------------------------------------------------------------------------------
+# labels and features
+_LABELS = _REPORT + """,
+labels AS (SELECT c.card AS card_id, CAST(CASE WHEN f.entity_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS is_fraud
+           FROM (SELECT DISTINCT card FROM dd) c
+           LEFT JOIN (SELECT DISTINCT entity_id FROM report WHERE entity_type = 'card') f ON f.entity_id = c.card)
+"""
+
+_FEATURES = _LABELS + """,
+fr AS (SELECT card AS card_id, dt, coalesce(trm_id, '') AS terminal_id, coalesce(route_num, '') AS route_num,
+              coalesce(trc_id, '') AS carrier_id, ltrim(coalesce(CAST(cat_num AS VARCHAR), ''), '0') AS cat,
+              coalesce(summ_num, 0) AS kop, src_row, CAST(dt AS DATE) AS day, hour, weekday,
+              epoch(dt)::BIGINT AS ep
+       FROM tx WHERE card IN (SELECT card_id FROM labels)),
+base AS (SELECT card_id, count(*) AS tx_count, count(DISTINCT day) AS active_days,
+                count(DISTINCT route_num) AS unique_routes, count(DISTINCT terminal_id) AS unique_terminals,
+                count(DISTINCT carrier_id) AS unique_carriers, count(DISTINCT cat) AS unique_cats,
+                sum(kop) / count(*) / 100.0 AS mean_amount, sum(kop) / 100.0 AS sum_amount,
+                count(DISTINCT kop) AS unique_amounts, avg(CASE WHEN kop = 0 THEN 1.0 ELSE 0.0 END) AS zero_amount_share,
+                avg(CASE WHEN hour BETWEEN 0 AND 4 THEN 1.0 ELSE 0.0 END) AS night_share,
+                avg(CASE WHEN weekday >= 5 THEN 1.0 ELSE 0.0 END) AS weekend_share,
+                count(DISTINCT hour) AS active_hours_count, count(DISTINCT weekday) AS active_weekdays_count,
+                avg(CASE WHEN cat = '201' THEN 1.0 ELSE 0.0 END) AS cat_201_share,
+                avg(CASE WHEN cat = '203' THEN 1.0 ELSE 0.0 END) AS cat_203_share,
+                avg(CASE WHEN cat = '204' THEN 1.0 ELSE 0.0 END) AS cat_204_share
+         FROM fr GROUP BY card_id),
+lg AS (SELECT *, lag(dt) OVER w AS pdt, lag(terminal_id) OVER w AS ptrm, lag(route_num) OVER w AS proute
+       FROM fr WINDOW w AS (PARTITION BY card_id ORDER BY dt, src_row)),
+gg AS (SELECT card_id, date_diff('second', pdt, dt) AS gap, coalesce(terminal_id = ptrm, false) AS st,
+              ptrm IS NOT NULL AND terminal_id <> ptrm AS dtm, proute IS NOT NULL AND route_num <> proute AS drt
+       FROM lg WHERE pdt IS NOT NULL),
+gaps AS (SELECT card_id, min(gap) AS min_gap_sec, median(gap::DOUBLE) AS median_gap_sec,
+                count(*) FILTER (WHERE gap <= 60) AS gap_le_1m_count,
+                count(*) FILTER (WHERE gap <= 300) AS gap_le_5m_count,
+                count(*) FILTER (WHERE gap <= 900) AS gap_le_15m_count,
+                count(*) FILTER (WHERE st AND gap <= 60) AS same_terminal_gap_le_1m_count,
+                count(*) FILTER (WHERE st AND gap <= 300) AS same_terminal_gap_le_5m_count,
+                count(*) FILTER (WHERE st AND gap <= 900) AS same_terminal_gap_le_15m_count,
+                count(*) FILTER (WHERE dtm AND gap <= 60) AS diff_terminal_gap_le_1m_count,
+                count(*) FILTER (WHERE dtm AND gap <= 180) AS diff_terminal_gap_le_3m_count,
+                count(*) FILTER (WHERE dtm AND gap <= 300) AS diff_terminal_gap_le_5m_count,
+                count(*) FILTER (WHERE drt AND gap <= 60) AS diff_route_gap_le_1m_count,
+                count(*) FILTER (WHERE drt AND gap <= 180) AS diff_route_gap_le_3m_count,
+                count(*) FILTER (WHERE drt AND gap <= 300) AS diff_route_gap_le_5m_count,
+                count(*) FILTER (WHERE dtm) AS terminal_switch_count,
+                count(*) FILTER (WHERE drt) AS route_switch_count,
+                min(gap) FILTER (WHERE dtm) AS min_gap_diff_terminal_sec,
+                min(gap) FILTER (WHERE drt) AS min_gap_diff_route_sec
+         FROM gg GROUP BY card_id),
+dayc AS (SELECT card_id, day, count(*) AS n, date_diff('second', min(dt), max(dt)) / 3600.0 AS span FROM fr GROUP BY ALL),
+days AS (SELECT card_id, max(n) AS max_tx_per_day, avg(span) AS daily_span_hours_mean, max(span) AS daily_span_hours_max
+         FROM dayc GROUP BY card_id),
+b1 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 3600 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+b2 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 60 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+b3 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 300 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+b4 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 900 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+b5 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, terminal_id, ep // 300 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+b6 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, terminal_id, ep // 900 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
+tt AS (SELECT card_id, terminal_id AS val, count(*) AS c FROM fr GROUP BY ALL),
+rr AS (SELECT card_id, route_num AS val, count(*) AS c FROM fr GROUP BY ALL),
+cc AS (SELECT card_id, carrier_id AS val, count(*) AS c FROM fr GROUP BY ALL),
+hh AS (SELECT card_id, CAST(hour AS VARCHAR) AS val, count(*) AS c FROM fr GROUP BY ALL),
+tr AS (SELECT card_id, terminal_id, route_num, count(*) AS c FROM fr GROUP BY ALL),
+ks AS (SELECT card_id, cat, count(*) AS c FROM fr GROUP BY ALL),
+dimc AS (SELECT 'terminal' AS dim, * FROM tt UNION ALL SELECT 'route', * FROM rr UNION ALL SELECT 'carrier', * FROM cc
+        UNION ALL SELECT 'hour', * FROM hh),
+entc AS (SELECT dim, card_id, -sum((c / tot) * log2(c / tot)) AS h, max(c) / max(tot) AS top
+         FROM (SELECT *, sum(c) OVER (PARTITION BY dim, card_id) AS tot FROM dimc) GROUP BY dim, card_id),
+dom AS (SELECT card_id, arg_min(cat, (-c, cat)) AS dominant_cat FROM ks GROUP BY card_id),
+trs AS (SELECT card_id, max(c) / sum(c) AS top_terminal_route_share FROM tr GROUP BY card_id),
+f0 AS (
+  SELECT b.card_id, b.tx_count, b.active_days, b.unique_routes, b.unique_terminals, b.unique_carriers, b.unique_cats,
+         b.mean_amount, b.sum_amount, b.unique_amounts, b.zero_amount_share, b.night_share, b.weekend_share,
+         b.active_hours_count, b.active_weekdays_count, b.tx_count / greatest(b.active_days, 1) AS tx_per_active_day,
+         coalesce(g.min_gap_sec, 0) AS min_gap_sec, coalesce(g.median_gap_sec, 0) AS median_gap_sec,
+         coalesce(g.gap_le_1m_count, 0) AS gap_le_1m_count, coalesce(g.gap_le_5m_count, 0) AS gap_le_5m_count,
+         coalesce(g.gap_le_15m_count, 0) AS gap_le_15m_count,
+         coalesce(g.same_terminal_gap_le_1m_count, 0) AS same_terminal_gap_le_1m_count,
+         coalesce(g.same_terminal_gap_le_5m_count, 0) AS same_terminal_gap_le_5m_count,
+         coalesce(g.same_terminal_gap_le_15m_count, 0) AS same_terminal_gap_le_15m_count,
+         coalesce(g.diff_terminal_gap_le_1m_count, 0) AS diff_terminal_gap_le_1m_count,
+         coalesce(g.diff_terminal_gap_le_3m_count, 0) AS diff_terminal_gap_le_3m_count,
+         coalesce(g.diff_terminal_gap_le_5m_count, 0) AS diff_terminal_gap_le_5m_count,
+         coalesce(g.diff_route_gap_le_1m_count, 0) AS diff_route_gap_le_1m_count,
+         coalesce(g.diff_route_gap_le_3m_count, 0) AS diff_route_gap_le_3m_count,
+         coalesce(g.diff_route_gap_le_5m_count, 0) AS diff_route_gap_le_5m_count,
+         coalesce(g.terminal_switch_count, 0) AS terminal_switch_count,
+         coalesce(g.route_switch_count, 0) AS route_switch_count,
+         coalesce(g.min_gap_diff_terminal_sec, 0) AS min_gap_diff_terminal_sec,
+         coalesce(g.min_gap_diff_route_sec, 0) AS min_gap_diff_route_sec,
+         d.max_tx_per_day, b1.v AS max_tx_per_hour, b2.v AS max_tx_per_1m, b3.v AS max_tx_per_5m, b4.v AS max_tx_per_15m,
+         b5.v AS max_same_terminal_tx_5m, b6.v AS max_same_terminal_tx_15m,
+         et.top AS top_terminal_share, er.top AS top_route_share, trs.top_terminal_route_share,
+         er.h AS route_entropy, et.h AS terminal_entropy, ec.h AS carrier_entropy, eh.h AS hour_entropy,
+         dom.dominant_cat, d.daily_span_hours_mean, d.daily_span_hours_max,
+         b.cat_201_share, b.cat_203_share, b.cat_204_share
+  FROM base b LEFT JOIN gaps g USING (card_id) JOIN days d USING (card_id)
+  JOIN b1 USING (card_id) JOIN b2 USING (card_id) JOIN b3 USING (card_id) JOIN b4 USING (card_id)
+  JOIN b5 USING (card_id) JOIN b6 USING (card_id) JOIN trs USING (card_id) JOIN dom USING (card_id)
+  JOIN entc et ON et.card_id = b.card_id AND et.dim = 'terminal'
+  JOIN entc er ON er.card_id = b.card_id AND er.dim = 'route'
+  JOIN entc ec ON ec.card_id = b.card_id AND ec.dim = 'carrier'
+  JOIN entc eh ON eh.card_id = b.card_id AND eh.dim = 'hour'),
+f1 AS (SELECT *, terminal_switch_count / greatest(tx_count - 1, 1) AS terminal_switch_rate,
+              route_switch_count / greatest(tx_count - 1, 1) AS route_switch_rate FROM f0),
+features AS (
+  SELECT *,
+""" + ",\n".join(
+    f"  (rank() OVER (PARTITION BY dominant_cat ORDER BY {src}) + (count(*) OVER (PARTITION BY dominant_cat, {src}) - 1) / 2.0)"
+    f" / count(*) OVER (PARTITION BY dominant_cat) AS {out}"
+    for src, out in (("tx_count", "tx_count_percentile_in_cat"), ("unique_routes", "unique_routes_percentile_in_cat"),
+                     ("unique_terminals", "unique_terminals_percentile_in_cat"), ("min_gap_sec", "min_gap_percentile_in_cat"),
+                     ("same_terminal_gap_le_5m_count", "same_terminal_burst_percentile_in_cat"),
+                     ("night_share", "night_share_percentile_in_cat"))) + """,
+  CASE WHEN dominant_cat IN ('201', '203', '204') THEN dominant_cat ELSE 'other' END AS segment
+  FROM f1)
+"""
+
+from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES  # noqa: E402
+
+ORACLE["card_labels"] = _with_anomalies(_LABELS + " SELECT * FROM labels")
+for _fam, _cols in FAMILIES.items():
+    _sel = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c in DOUBLE_FEATURES else c for c in _cols)
+    ORACLE[_fam] = _with_anomalies(_FEATURES + f" SELECT {_sel} FROM features")

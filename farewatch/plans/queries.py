@@ -69,11 +69,12 @@ def q_rule_h20_raw(spark, sf):
 
 
 def anomalies_all(spark, sf) -> DataFrame:
-    return union_anomalies(run_rules(tables.tx(spark, sf), None, CFG))
+    return tables.shared(spark, sf, "anomalies",
+                         lambda: union_anomalies(run_rules(tables.tx(spark, sf), None, CFG)))
 
 
 def risk_report(spark, sf) -> DataFrame:
-    return aggregate_results(anomalies_all(spark, sf))
+    return tables.shared(spark, sf, "report", lambda: aggregate_results(anomalies_all(spark, sf)))
 
 
 def q_anomalies_all(spark, sf):
@@ -155,3 +156,30 @@ QUERIES: dict[str, Query] = {
     "action_list_validators": q_action_validators,
     "filter_by_rules": q_filter_by_rules,
 }
+
+
+# ---- labels and features --------------------------------------------------------------------
+from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features  # noqa: E402
+from farewatch.operators.labels import build_card_labels  # noqa: E402
+
+
+def card_labels(spark, sf) -> DataFrame:
+    return tables.shared(spark, sf, "labels", lambda: build_card_labels(tables.tx(spark, sf), risk_report(spark, sf)))
+
+
+def features(spark, sf) -> DataFrame:
+    return tables.shared(spark, sf, "features",
+                         lambda: build_features(tables.tx_norm(spark, sf), card_labels(spark, sf)))
+
+
+def _family(cols: list[str]) -> Query:
+    def q(spark, sf):
+        f = features(spark, sf)
+        return f.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in DOUBLE_FEATURES else F.col(c)
+                          for c in cols])
+    return q
+
+
+QUERIES["card_labels"] = card_labels
+for _name, _cols in FAMILIES.items():
+    QUERIES[_name] = _family(_cols)
