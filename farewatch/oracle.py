@@ -454,3 +454,8 @@ ORACLE["card_labels"] = _with_anomalies(_LABELS + " SELECT * FROM labels")
 for _fam, _cols in FAMILIES.items():
     _sel = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c in DOUBLE_FEATURES else c for c in _cols)
     ORACLE[_fam] = _with_anomalies(_FEATURES + f" SELECT {_sel} FROM features")
+
+# scored cards are the feature rows (no category is excluded by default), so the segment counts
+# do not depend on the model
+ORACLE["segment_counts"] = _with_anomalies(_FEATURES + """
+SELECT segment, count(*) AS cards FROM features GROUP BY segment ORDER BY cards DESC, segment LIMIT 8""")

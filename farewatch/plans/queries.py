@@ -183,3 +183,88 @@ def _family(cols: list[str]) -> Query:
 QUERIES["card_labels"] = card_labels
 for _name, _cols in FAMILIES.items():
     QUERIES[_name] = _family(_cols)
+
+
+# ---- scoring ----------------------------------------------------------------------------------
+from farewatch.operators import scoring as S  # noqa: E402
+
+FOREST = S.ForestConfig()
+TOP_PERCENT = 0.01
+SCORE_BINS = 14
+TOP_SEGMENTS = 8
+
+
+def forest(spark, sf) -> DataFrame:
+    return tables.shared(spark, sf, "forest",
+                         lambda: S.train_forest(S.prepare_matrix(features(spark, sf), FOREST.features), FOREST))
+
+
+def scored(spark, sf) -> DataFrame:
+    return tables.shared(spark, sf, "scored", lambda: S.score_features(features(spark, sf), forest(spark, sf), FOREST))
+
+
+def top_cards_ml(spark, sf) -> DataFrame:
+    return S.select_top_percent(scored(spark, sf), TOP_PERCENT)
+
+
+def candidates(spark, sf) -> DataFrame:
+    return S.new_pattern_candidates(top_cards_ml(spark, sf), card_labels(spark, sf))
+
+
+def _score_view(df: DataFrame) -> DataFrame:
+    cols = ["card_id", "rank", "anomaly_score", "tx_count", "active_days", "unique_routes", "unique_terminals",
+            "segment", "model"] + (["ml_fraud_flag"] if "ml_fraud_flag" in df.columns else [])
+    return df.select(*[F.round("anomaly_score", 6).alias(c) if c == "anomaly_score" else F.col(c) for c in cols])
+
+
+def q_scores(spark, sf):
+    return _score_view(scored(spark, sf))
+
+
+def q_score_topk(spark, sf):
+    return _score_view(top_cards_ml(spark, sf))
+
+
+def q_new_candidates(spark, sf):
+    """Candidate export projection (top share minus cards the rules already label)."""
+    return _score_view(candidates(spark, sf))
+
+
+def q_inference_summary(spark, sf):
+    s = scored(spark, sf)
+    top = top_cards_ml(spark, sf)
+    return S.inference_summary(s, top, S.new_pattern_candidates(top, card_labels(spark, sf)), FOREST, TOP_PERCENT)
+
+
+def q_segment_counts(spark, sf):
+    """Scored cards per segment, largest first, at most eight segments."""
+    c = scored(spark, sf).groupBy("segment").agg(F.count(F.lit(1)).alias("cards"))
+    return c.orderBy(F.desc("cards"), F.asc("segment")).limit(TOP_SEGMENTS)
+
+
+def q_score_histogram(spark, sf):
+    """``SCORE_BINS`` equal-width bins between the lowest and highest score."""
+    s = scored(spark, sf)
+    lo = s.agg(F.min("anomaly_score")).scalar()
+    hi = s.agg(F.max("anomaly_score")).scalar()
+    width = (hi - lo) / SCORE_BINS
+    b = F.when(width > 0, F.least(F.floor((F.col("anomaly_score") - lo) / width), F.lit(SCORE_BINS - 1))) \
+        .otherwise(F.lit(0)).cast("int")
+    return s.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("cards"),
+                                         F.round(F.min("anomaly_score"), 6).alias("bin_min"),
+                                         F.round(F.max("anomaly_score"), 6).alias("bin_max"))
+
+
+def q_forest_nodes(spark, sf):
+    return forest(spark, sf)
+
+
+QUERIES.update({
+    "anomaly_scores": q_scores,
+    "score_topk": q_score_topk,
+    "new_candidates": q_new_candidates,
+    "inference_summary": q_inference_summary,
+    "segment_counts": q_segment_counts,
+    "score_histogram": q_score_histogram,
+    "forest_nodes": q_forest_nodes,
+})
