@@ -459,3 +459,6 @@ for _fam, _cols in FAMILIES.items():
 # do not depend on the model
 ORACLE["segment_counts"] = _with_anomalies(_FEATURES + """
 SELECT segment, count(*) AS cards FROM features GROUP BY segment ORDER BY cards DESC, segment LIMIT 8""")
+
+ORACLE["raw_csv_ingest"] = with_tx(_TX_VIEW.format(t="tx", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
+                                   .replace(", weekday, src_row FROM", ", weekday FROM"))

@@ -268,3 +268,40 @@ QUERIES.update({
     "score_histogram": q_score_histogram,
     "forest_nodes": q_forest_nodes,
 })
+
+
+# ---- raw file ingest --------------------------------------------------------------------------
+import hashlib as _hashlib  # noqa: E402
+import os as _os  # noqa: E402
+
+from farewatch.session import ensure_checkpoint_dir  # noqa: E402
+from farewatch.sources.raw_files import read_raw  # noqa: E402
+
+_WRITTEN: set = set()
+
+
+def raw_dump_dir(spark, sf) -> str:
+    """The fixture as a folder of raw dumps in two dialects (';' + windows-1251 and ',' + UTF-8,
+    split by card), written once under the shared checkpoint folder."""
+    tag = _hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:10]
+    root = _os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, tag, "raw_dump")
+    if root not in _WRITTEN:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        r = tables.raw(spark, sf).drop("_src_file", "_src_row")
+        even = F.pmod(F.hash("Card"), F.lit(2)) == 0
+        r.filter(even).write.mode("overwrite").csv(_os.path.join(root, "cp1251"), header=True, sep=";",
+                                                    encoding="windows-1251")
+        r.filter(~even).write.mode("overwrite").csv(_os.path.join(root, "utf8"), header=True, sep=",",
+                                                     encoding="UTF-8")
+        _WRITTEN.add(root)
+    return root
+
+
+def q_raw_csv_ingest(spark, sf):
+    root = raw_dump_dir(spark, sf)
+    raw = read_raw(spark, _os.path.join(root, "cp1251")).unionByName(
+        read_raw(spark, _os.path.join(root, "utf8")), allowMissingColumns=True)
+    return _tx_view(normalize_transactions(raw)).drop("src_row")
+
+
+QUERIES["raw_csv_ingest"] = q_raw_csv_ingest
