@@ -1,0 +1,99 @@
+"""Batch jobs: rules -> report -> dashboard tables, and labels -> features -> scores.
+
+Every stage reads the previous stage's written tables, so a failed or resumed job restarts at
+a stage boundary and no plan carries the whole lineage. Paths are folders on the cluster's
+shared file system."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farewatch.config import RulesConfig
+from farewatch.operators import presentation as P
+from farewatch.operators import scoring as S
+from farewatch.operators.dedupe import remove_near_duplicates
+from farewatch.operators.features import build_features
+from farewatch.operators.labels import build_card_labels
+from farewatch.operators.normalize import normalize_transactions
+from farewatch.operators.report import aggregate_results, export_anomalies, hypothesis_stats, top_entities
+from farewatch.operators.rules import run_rules, union_anomalies
+from farewatch.session import prepare
+from farewatch.sources.raw_files import read_raw
+
+
+def _write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    elif fmt == "json":
+        w.json(path)
+    else:
+        w.parquet(path)
+    return df.sparkSession.read.format(fmt).option("header", True).load(path) if fmt == "csv" else \
+        df.sparkSession.read.format(fmt).load(path)
+
+
+def load_transactions(spark: SparkSession, raw_dir: str, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw folder -> (normalised, de-duplicated) tables, both written partitioned by date."""
+    norm = _write(normalize_transactions(read_raw(spark, raw_dir)), os.path.join(out_dir, "tx_norm"),
+                  partition_by=["date"])
+    tx = _write(remove_near_duplicates(norm), os.path.join(out_dir, "tx"), partition_by=["date"])
+    return norm, tx
+
+
+def transaction_summary(tx: DataFrame) -> DataFrame:
+    return tx.agg(
+        F.count(F.lit(1)).alias("transactions"),
+        F.date_format(F.min("dt"), "yyyy-MM-dd'T'HH:mm:ss").alias("period_start"),
+        F.date_format(F.max("dt"), "yyyy-MM-dd'T'HH:mm:ss").alias("period_end"),
+        F.countDistinct("card").alias("cards"), F.countDistinct("trm_id").alias("validators"),
+        F.countDistinct("route_num").alias("routes"), F.countDistinct("cat_num").alias("categories"))
+
+
+def run_rules_pipeline(spark: SparkSession, tx: DataFrame, out_dir: str,
+                       selected: Iterable[str] | None = None, config: RulesConfig | None = None) -> dict[str, DataFrame]:
+    prepare(spark)
+    results = run_rules(tx, selected, config)
+    anomalies = _write(union_anomalies(results), os.path.join(out_dir, "anomalies"), partition_by=["hypothesis"])
+    report = _write(aggregate_results(anomalies), os.path.join(out_dir, "fraud_report"))
+    _write(report, os.path.join(out_dir, "fraud_report_csv"), fmt="csv")
+    stats = _write(hypothesis_stats(spark, anomalies, list(results)), os.path.join(out_dir, "hypothesis_stats"))
+    _write(export_anomalies(anomalies), os.path.join(out_dir, "dashboard_anomalies"), fmt="json",
+           partition_by=["hypothesis"])
+    _write(top_entities(report), os.path.join(out_dir, "dashboard_top"), fmt="json")
+    totals = anomalies.agg(F.count(F.lit(1))).scalar()
+    entities = report.agg(F.count(F.lit(1))).scalar()
+    summary = transaction_summary(tx).select(F.lit("rules").alias("stage"), "*", entities.alias("entities"),
+                                             totals.alias("total_anomalies"))
+    _write(summary, os.path.join(out_dir, "summary"), fmt="json")
+    for kind in ("high", "medium", "validators"):
+        _write(P.action_list(report, kind), os.path.join(out_dir, f"action_{kind}"), fmt="csv")
+    return {"anomalies": anomalies, "report": report, "stats": stats, "summary": summary}
+
+
+def run_ml_pipeline(spark: SparkSession, tx_norm: DataFrame, tx: DataFrame, report: DataFrame, out_dir: str,
+                    cfg: S.ForestConfig = S.ForestConfig(), top_percent: float = 0.01) -> dict[str, DataFrame]:
+    prepare(spark)
+    labels = _write(build_card_labels(tx, report), os.path.join(out_dir, "labels"))
+    features = _write(build_features(tx_norm, labels), os.path.join(out_dir, "features"))
+    nodes = _write(S.train_forest(S.prepare_matrix(features, cfg.features), cfg), os.path.join(out_dir, "model"))
+    scored = _write(S.score_features(features, nodes, cfg), os.path.join(out_dir, "inference_scores"))
+    top = _write(S.select_top_percent(scored, top_percent), os.path.join(out_dir, "top_percent_cards"))
+    cands = _write(S.new_pattern_candidates(top, labels), os.path.join(out_dir, "new_candidates"))
+    summary = _write(S.inference_summary(scored, top, cands, cfg, top_percent),
+                     os.path.join(out_dir, "inference_summary"), fmt="json")
+    return {"labels": labels, "features": features, "scored": scored, "top": top, "candidates": cands,
+            "summary": summary}
+
+
+def run_full_pipeline(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[str, DataFrame]:
+    tx_norm, tx = load_transactions(spark, raw_dir, os.path.join(out_dir, "tables"))
+    rules = run_rules_pipeline(spark, tx, os.path.join(out_dir, "rules"))
+    ml = run_ml_pipeline(spark, tx_norm, tx, rules["report"], os.path.join(out_dir, "ml"))
+    return {**rules, **{f"ml_{k}": v for k, v in ml.items()}}

@@ -34,8 +34,8 @@ def _category(kind: Column, event_type: Column, k: Column) -> Column:
     )
 
 
-def _replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+def _replicated(ev: DataFrame) -> DataFrame:
+    ev = ev.select("event_id", "ts", "user_id", "event_type", "value", "props")
     kind = (
         F.when(F.col("event_id") % BURST_EVERY == 0, "burst")
         .when(F.col("event_id") % DUP_EVERY == 0, "dup")
@@ -57,7 +57,12 @@ def _replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised (typed, not de-duplicated) transactions, schema ``schemas.TX_COLUMNS``."""
-    r = _replicated(spark, sf_dir)
+    return tx_from_events(read_table(spark, sf_dir, "events"))
+
+
+def tx_from_events(events: DataFrame) -> DataFrame:
+    """Row-wise mapping (works on batch and streaming frames alike)."""
+    r = _replicated(events)
     k = F.col("k")
     trm = F.concat(F.lit("V"), (k % 10).cast("string"))
     cat0 = _category(F.col("kind"), F.col("event_type"), k)

@@ -1,0 +1,15 @@
+import tempfile
+
+from farewatch.plans.pipeline import run_full_pipeline
+from farewatch.plans.queries import raw_dump_dir
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_full_pipeline_from_raw_dumps(spark):
+    raw = raw_dump_dir(spark, SF) + "/cp1251"
+    out = run_full_pipeline(spark, raw, tempfile.mkdtemp(prefix="fw-pipe-"))
+    s = out["ml_summary"].collect()[0]
+    assert s["scored_cards"] > 0 and s["top_cards"] == max(1, round(s["scored_cards"] * 0.01))
+    assert s["known_fraud_excluded"] + s["new_pattern_candidates"] == s["top_cards"]
+    assert out["report"].count() > 0
