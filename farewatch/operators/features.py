@@ -15,6 +15,7 @@ The three families are ``groupBy(card_id)`` outputs, so joining them reuses thei
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,6 +224,9 @@ def build_features(tx_norm: DataFrame, labels: DataFrame) -> DataFrame:
     denom = F.greatest(F.col("tx_count") - 1, F.lit(1))
     f = f.withColumn("terminal_switch_rate", F.col("terminal_switch_count") / denom) \
         .withColumn("route_switch_rate", F.col("route_switch_count") / denom)
+    # one row per card, read by the rank sample and by the final join: keep it instead of
+    # recomputing every family twice (a lost block is recomputed deterministically)
+    f = f.persist(StorageLevel.MEMORY_AND_DISK)
     f = _percentile_features(f)
     f = f.withColumn("segment", F.when(F.col("dominant_cat").isin(*SEGMENT_CATS), F.col("dominant_cat"))
                      .otherwise(F.lit("other")))

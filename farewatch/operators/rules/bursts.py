@@ -22,7 +22,7 @@ def burst_windows(tx: DataFrame, cfg: H3Config = H3Config()) -> DataFrame:
     if cfg.exclude_service_cards:
         # plain join: AQE broadcasts the service-card set when it is small at run time, and
         # splits a skewed card partition otherwise
-        tx = tx.join(service_cards(tx, cfg.service_card_threshold), "card", "left_anti")
+        tx = tx.join(service_cards(tx, cfg.service_card_threshold, distinct=False), "card", "left_anti")
     per_card = (
         tx.select("trm_id", "card", floor_to_seconds("dt", cfg.time_window_seconds).alias("time_window"))
         .groupBy(*WINDOW_KEYS, "card").agg(F.count(F.lit(1)).alias("n"))
