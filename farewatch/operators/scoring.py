@@ -100,19 +100,28 @@ def _grow(columns: list[str], psi: int, seed: int):
     return grow
 
 
+def _unit_hash(seed: int, tree, card) -> "F.Column":
+    return F.xxhash64(F.lit(seed), tree, card).bitwiseAND(F.lit(0x7FFFFFFF)) / float(0x7FFFFFFF)
+
+
 def train_forest(matrix: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
-    """Node table of the forest (schema ``NODE_SCHEMA``)."""
+    """Node table of the forest (schema ``NODE_SCHEMA``).
+
+    Each (card, tree) pair is kept with probability ``p = 2 * psi / n``. To avoid touching
+    ``n * n_trees`` pairs, rows are first pre-sampled with one hash at ``q = min(1, n_trees * p)``
+    and only those rows are expanded over the trees, each kept with ``p / q``: the same
+    inclusion probability per pair, about ``2 * psi * n_trees`` rows in total."""
     columns = list(cfg.features)
     n = matrix.count()
     psi = min(cfg.max_samples, max(n, 1))
     p = min(1.0, 2.0 * psi / max(n, 1)) if n > psi else 1.0
+    q = min(1.0, cfg.n_trees * p)
     trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
-    u = (F.xxhash64(F.lit(cfg.seed), F.col("tree"), F.col("card_id")).bitwiseAND(F.lit(0x7FFFFFFF))
-         / float(0x7FFFFFFF))
     sample = (
-        matrix.withColumn("tree", F.explode(trees))
-        .withColumn("h", u)
-        .filter(F.col("h") <= p)
+        matrix.filter(_unit_hash(cfg.seed, F.lit(-1), F.col("card_id")) <= q)
+        .withColumn("tree", F.explode(trees))
+        .withColumn("h", _unit_hash(cfg.seed, F.col("tree"), F.col("card_id")))
+        .filter(F.col("h") <= p / q)
     )
     return sample.groupBy("tree").applyInPandas(_grow(columns, psi, cfg.seed), NODE_SCHEMA)
 
