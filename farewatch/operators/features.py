@@ -2,15 +2,16 @@
 shares and entropies, daily spans and percentile ranks inside the card's dominant category.
 
 Plan (all keyed by ``card_id``; a hot card is never one task):
-  * categorical and bucket families: every row is exploded into ``(card, dim, value)`` pairs and
-    pre-aggregated in one shuffle (partial aggregation map-side); a second aggregate per
-    ``(card, dim)`` gives distinct counts, entropies, top shares, peak bucket counts, daily spans
-    and the dominant category; a third folds the dims into one row per card.
+  * taps are pre-aggregated to a (card, terminal, route, carrier, category, amount, minute)
+    grain (partial + final), then clustered by card once (``card_grain``);
+  * every categorical and bucket dimension is exploded from the grain into (card, dim, value)
+    counts; a second aggregate per (card, dim) gives distinct counts, entropies, top shares,
+    bucket peaks, daily spans, the dominant category and the scalar shares; a third folds the
+    dims into one row per card -- all without another exchange;
   * gap family: previous tap per card from ``with_previous`` (time-bucketed, skew-safe).
-  * scalar family: one ``groupBy(card_id)``.
   * percentile ranks: average-tie rank inside ``dominant_cat`` from per-value counts and one
     range-partitioned prefix sum for all six source columns.
-The three families are ``groupBy(card_id)`` outputs, so joining them reuses their partitioning.
+Both families come out clustered by ``card_id``, so joining them adds no exchange.
 """
 
 from __future__ import annotations
@@ -23,24 +24,42 @@ from farewatch.config import SEGMENT_CATS
 from farewatch.functions.ordered import exclusive_prefix_sum, with_previous
 from farewatch.functions.time import epoch_seconds
 
-# (name, value expression) of every categorical or bucket dimension
+GRAIN = ["card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "minute"]
+
+
+def card_grain(rows: DataFrame) -> DataFrame:
+    """Taps pre-aggregated to (card, terminal, route, carrier, category, amount, minute) with a
+    count and the first / last tap time, then clustered by card.
+
+    The aggregate is partial + final, so crowded keys collapse before the shuffle; afterwards a
+    card has at most one row per (minute, combination), a bound set by time rather than by how
+    many taps the card made, so clustering by card is safe even for a hot card. Every later
+    per-card aggregate (dims, scalar family) then runs without another exchange."""
+    minute = F.floor(epoch_seconds("date") / 60).alias("minute")
+    g = rows.groupBy(*GRAIN[:-1], minute).agg(
+        F.count(F.lit(1)).alias("c"), F.min("date").alias("t0"), F.max("date").alias("t1"))
+    return g.repartition("card_id")
+
+
 def _dims() -> list[tuple[str, Column]]:
-    ep = epoch_seconds("date")
+    """(name, value) of every categorical or bucket dimension, as text, from grain columns."""
+    m = F.col("minute")
+    ts = F.timestamp_seconds(m * 60).cast("timestamp_ntz")
     sep = F.lit("\u0001")
     return [
-        ("day", F.col("day").cast("string")),
-        ("h1", F.floor(ep / 3600).cast("string")),
-        ("m1", F.floor(ep / 60).cast("string")),
-        ("m5", F.floor(ep / 300).cast("string")),
-        ("m15", F.floor(ep / 900).cast("string")),
-        ("trm_m5", F.concat(F.col("terminal_id"), sep, F.floor(ep / 300).cast("string"))),
-        ("trm_m15", F.concat(F.col("terminal_id"), sep, F.floor(ep / 900).cast("string"))),
+        ("day", F.to_date(ts).cast("string")),
+        ("h1", F.floor(m / 60).cast("string")),
+        ("m1", m.cast("string")),
+        ("m5", F.floor(m / 5).cast("string")),
+        ("m15", F.floor(m / 15).cast("string")),
+        ("trm_m5", F.concat(F.col("terminal_id"), sep, F.floor(m / 5).cast("string"))),
+        ("trm_m15", F.concat(F.col("terminal_id"), sep, F.floor(m / 15).cast("string"))),
         ("route", F.col("route_num")),
         ("terminal", F.col("terminal_id")),
         ("carrier", F.col("carrier_id")),
         ("trm_route", F.concat(F.col("terminal_id"), sep, F.col("route_num"))),
-        ("hour", F.col("hour").cast("string")),
-        ("weekday", F.col("weekday").cast("string")),
+        ("hour", F.hour(ts).cast("string")),
+        ("weekday", F.weekday(ts).cast("string")),
         ("cat", F.col("cat")),
         ("amount", F.col("amount_kop").cast("string")),
     ]
@@ -92,15 +111,26 @@ def feature_rows(tx_norm: DataFrame) -> DataFrame:
         .withColumn("weekday", F.weekday("date"))
 
 
-def _dim_features(rows: DataFrame) -> DataFrame:
+def _dim_features(grain: DataFrame) -> DataFrame:
     dims = _dims()
-    pairs = rows.select("card_id", "date", F.explode(F.array(*[
+    pairs = grain.select("card_id", "c", "t0", "t1", F.explode(F.array(*[
         F.struct(F.lit(n).alias("dim"), v.alias("value")) for n, v in dims])).alias("p")) \
-        .select("card_id", "date", "p.dim", "p.value")
+        .select("card_id", "c", "t0", "t1", "p.dim", "p.value")
     level1 = pairs.groupBy("card_id", "dim", "value").agg(
-        F.count(F.lit(1)).alias("c"), F.min("date").alias("t0"), F.max("date").alias("t1"))
+        F.sum("c").alias("c"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     c = F.col("c")
+    dim, value = F.col("dim"), F.col("value")
+
+    def csum(cond: Column) -> Column:
+        return F.sum(F.when(cond, c).otherwise(F.lit(0)))
+
     level2 = level1.groupBy("card_id", "dim").agg(
+        # scalar measures are conditional sums over one dim's value counts
+        F.sum(F.when(dim == "amount", value.cast("bigint") * c)).alias("amount_sum"),
+        csum((dim == "amount") & (value == "0")).alias("zero_c"),
+        csum((dim == "hour") & value.isin("0", "1", "2", "3", "4")).alias("night_c"),
+        csum((dim == "weekday") & value.isin("5", "6")).alias("weekend_c"),
+        *[csum((dim == "cat") & (value == cat)).alias(f"cat_{cat}_c") for cat in SEGMENT_CATS],
         F.count(F.lit(1)).alias("distinct"),
         F.sum("c").alias("n"),
         F.max("c").alias("max_c"),
@@ -114,7 +144,15 @@ def _dim_features(rows: DataFrame) -> DataFrame:
     def pick(dim: str, expr: Column) -> Column:
         return F.max(F.when(F.col("dim") == dim, expr))
 
+    n = pick("day", F.col("n"))
     return level2.groupBy("card_id").agg(
+        n.alias("tx_count"),
+        (pick("amount", F.col("amount_sum")) / n / 100.0).alias("mean_amount"),
+        (pick("amount", F.col("amount_sum")) / 100.0).alias("sum_amount"),
+        (pick("amount", F.col("zero_c")) / n).alias("zero_amount_share"),
+        (pick("hour", F.col("night_c")) / n).alias("night_share"),
+        (pick("weekday", F.col("weekend_c")) / n).alias("weekend_share"),
+        *[(pick("cat", F.col(f"cat_{cat}_c")) / n).alias(f"cat_{cat}_share") for cat in SEGMENT_CATS],
         pick("day", F.col("distinct")).alias("active_days"),
         pick("route", F.col("distinct")).alias("unique_routes"),
         pick("terminal", F.col("distinct")).alias("unique_terminals"),
@@ -143,20 +181,6 @@ def _dim_features(rows: DataFrame) -> DataFrame:
     )
 
 
-def _scalar_features(rows: DataFrame) -> DataFrame:
-    amount_zero = (F.col("amount_kop") == 0).cast("double")
-    aggs = [
-        F.count(F.lit(1)).alias("tx_count"),
-        (F.sum("amount_kop") / F.count(F.lit(1)) / 100.0).alias("mean_amount"),
-        (F.sum("amount_kop") / 100.0).alias("sum_amount"),
-        F.avg(amount_zero).alias("zero_amount_share"),
-        F.avg(F.col("hour").between(0, 4).cast("double")).alias("night_share"),
-        F.avg((F.col("weekday") >= 5).cast("double")).alias("weekend_share"),
-    ]
-    aggs += [F.avg((F.col("cat") == cat).cast("double")).alias(f"cat_{cat}_share") for cat in SEGMENT_CATS]
-    return rows.groupBy("card_id").agg(*aggs)
-
-
 def _gap_features(rows: DataFrame) -> DataFrame:
     d = with_previous(rows.select("card_id", "date", "terminal_id", "route_num", "src_file", "src_row"),
                       ["card_id"], "date", ["src_file", "src_row"], ["terminal_id", "route_num"])
@@ -213,7 +237,8 @@ def _percentile_features(features: DataFrame) -> DataFrame:
 def build_features(tx_norm: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per labelled card with ``FEATURE_COLUMNS``."""
     rows = feature_rows(tx_norm).join(labels.select("card_id"), "card_id", "left_semi")
-    f = _scalar_features(rows).join(_dim_features(rows), "card_id").join(_gap_features(rows), "card_id", "left")
+    grain = card_grain(rows)
+    f = _dim_features(grain).join(_gap_features(rows), "card_id", "left")
     f = f.withColumn("tx_per_active_day", F.col("tx_count") / F.greatest(F.col("active_days"), F.lit(1)))
     numeric = [c for c in NUMERIC_FEATURES if c not in PERCENTILE_SOURCES.values()
                and c not in ("terminal_switch_rate", "route_switch_rate")]

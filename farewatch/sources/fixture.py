@@ -117,3 +117,16 @@ def with_calendar(tx: DataFrame) -> DataFrame:
         F.weekday(dt).alias("weekday"),
         "src_file", "src_row",
     )
+
+
+def replicated_events(spark: SparkSession, sf_dir: str, factor: int) -> DataFrame:
+    """``events`` repeated ``factor`` times inside Spark (``explode``, no cross join): replica r
+    gets new event ids and new riders (user ids shifted by r * 10^7) on the same clock, i.e. the
+    same network carrying ``factor`` times the passengers. For scale runs only."""
+    ev = read_table(spark, sf_dir, "events")
+    if factor <= 1:
+        return ev
+    r = F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("r")
+    return ev.select("*", r).select(
+        (F.col("event_id") * factor + F.col("r")).alias("event_id"), "ts",
+        (F.col("user_id") + F.col("r") * 10_000_000).alias("user_id"), "event_type", "value", "props")
