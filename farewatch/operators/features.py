@@ -136,8 +136,9 @@ def _dim_features(grain: DataFrame) -> DataFrame:
         F.max("c").alias("max_c"),
         F.sum(c * F.log2(c)).alias("clogc"),
         F.min_by("value", F.struct((-c).alias("neg"), F.col("value").alias("v"))).alias("mode"),
-        F.avg(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1")) / 3600.0).alias("span_mean"),
-        F.max(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1")) / 3600.0).alias("span_max"),
+        # integer seconds summed first: one final division, independent of summation order
+        (F.sum(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1"))) / F.count(F.lit(1)) / 3600.0).alias("span_mean"),
+        (F.max(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1"))) / 3600.0).alias("span_max"),
     )
     entropy = F.log2(F.col("n")) - F.col("clogc") / F.col("n")
 

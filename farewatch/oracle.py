@@ -379,8 +379,9 @@ gaps AS (SELECT card_id, min(gap) AS min_gap_sec, median(gap::DOUBLE) AS median_
                 min(gap) FILTER (WHERE dtm) AS min_gap_diff_terminal_sec,
                 min(gap) FILTER (WHERE drt) AS min_gap_diff_route_sec
          FROM gg GROUP BY card_id),
-dayc AS (SELECT card_id, day, count(*) AS n, date_diff('second', min(dt), max(dt)) / 3600.0 AS span FROM fr GROUP BY ALL),
-days AS (SELECT card_id, max(n) AS max_tx_per_day, avg(span) AS daily_span_hours_mean, max(span) AS daily_span_hours_max
+dayc AS (SELECT card_id, day, count(*) AS n, date_diff('second', min(dt), max(dt)) AS span FROM fr GROUP BY ALL),
+days AS (SELECT card_id, max(n) AS max_tx_per_day, sum(span) / count(*) / 3600.0 AS daily_span_hours_mean,
+                max(span) / 3600.0 AS daily_span_hours_max
          FROM dayc GROUP BY card_id),
 b1 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 3600 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
 b2 AS (SELECT card_id, max(c) AS v FROM (SELECT card_id, ep // 60 AS b, count(*) AS c FROM fr GROUP BY ALL) GROUP BY card_id),
