@@ -317,3 +317,40 @@ def q_stream_bursts(spark, sf):
 
 
 QUERIES["stream_bursts"] = q_stream_bursts
+
+from farewatch.streaming.bursts import event_stream  # noqa: E402
+from farewatch.streaming.rules import (  # noqa: E402
+    daily_trip_stream, near_dedup_stream, run_to_table, school_session_stream,
+)
+
+
+def _stream_name(kind: str, sf: str) -> str:
+    return f"{kind}_{_hashlib.sha1(sf.encode()).hexdigest()[:8]}"
+
+
+def q_stream_daily_trips(spark, sf):
+    """X2: closed card-days with at least the raw H1 threshold, from the event stream."""
+    return run_to_table(spark, daily_trip_stream(event_stream(spark, sf)), _stream_name("x2", sf),
+                        "card string, date date, n bigint, severity string, service_day boolean") \
+        .withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+def q_stream_near_dedup(spark, sf):
+    """X3: taps kept by the stateful 2-second rule (equals ``tx_near_dedup`` keys)."""
+    return run_to_table(spark, near_dedup_stream(event_stream(spark, sf)), _stream_name("x3", sf),
+                        "card string, trm_id string, dt timestamp_ntz, src_row bigint") \
+        .withColumn("dt", iso_text("dt"))
+
+
+def q_stream_school_sessions(spark, sf):
+    """X4: school-card sessions per (card, validator) from ``session_window``."""
+    return run_to_table(spark, school_session_stream(event_stream(spark, sf)), _stream_name("x4", sf),
+                        "card string, trm_id string, start_time timestamp_ntz, consecutive_count bigint") \
+        .withColumn("start_time", iso_text("start_time"))
+
+
+QUERIES.update({
+    "stream_daily_trips": q_stream_daily_trips,
+    "stream_near_dedup": q_stream_near_dedup,
+    "stream_school_sessions": q_stream_school_sessions,
+})
