@@ -97,3 +97,20 @@ def run_full_pipeline(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[s
     rules = run_rules_pipeline(spark, tx, os.path.join(out_dir, "rules"))
     ml = run_ml_pipeline(spark, tx_norm, tx, rules["report"], os.path.join(out_dir, "ml"))
     return {**rules, **{f"ml_{k}": v for k, v in ml.items()}}
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_artifact(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A stage table written by an earlier run, read with an explicit schema (ids stay text);
+    a missing artifact is an empty frame with that schema."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    return reader.format(fmt).load(path)

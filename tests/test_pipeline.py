@@ -13,3 +13,9 @@ def test_full_pipeline_from_raw_dumps(spark):
     assert s["scored_cards"] > 0 and s["top_cards"] == max(1, round(s["scored_cards"] * 0.01))
     assert s["known_fraud_excluded"] + s["new_pattern_candidates"] == s["top_cards"]
     assert out["report"].count() > 0
+
+
+def test_missing_artifact_is_empty(spark):
+    from farewatch.plans.pipeline import read_artifact
+    df = read_artifact(spark, tempfile.mkdtemp() + "/nothing", "card_id string, is_fraud int")
+    assert df.count() == 0 and df.columns == ["card_id", "is_fraud"]
