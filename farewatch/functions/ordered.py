@@ -36,8 +36,10 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequenc
     payload = F.struct(*[F.col(c).alias(c) for c in carried])
     d = df.withColumn("_b", _bucket(ts, bucket_seconds)).withColumn("_p", payload)
     inner = d.withColumn("_prev", F.lag("_p").over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    # summarised from the windowed frame: it is already clustered by (key, bucket), so the
+    # per-bucket aggregate needs no second scan or shuffle of the input
     last = (
-        d.groupBy(*keys, "_b")
+        inner.groupBy(*keys, "_b")
         .agg(F.max_by("_p", F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
         .select(*keys, "_b", "_carry")
@@ -60,7 +62,7 @@ def carry_forward_last(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Se
     inner = d.withColumn("_in", F.max("_m").over(running))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = (
-        d.groupBy(*keys, "_b")
+        inner.groupBy(*keys, "_b")
         .agg(F.max("_m").alias("_bm"))
         .withColumn("_carry", F.max("_bm").over(earlier))
         .select(*keys, "_b", "_carry")
