@@ -463,3 +463,28 @@ SELECT segment, count(*) AS cards FROM features GROUP BY segment ORDER BY cards
 
 ORACLE["raw_csv_ingest"] = with_tx(_TX_VIEW.format(t="tx", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
                                    .replace(", weekday, src_row FROM", ", weekday FROM"))
+
+# Streaming replays: append mode emits a window once the watermark (max event time - delay)
+# passes its end, so the oracle keeps exactly the windows closed by the end of the replay.
+ORACLE["stream_bursts"] = with_tx(f""",
+b AS (SELECT trm_id, dt AS time_window, count(*) AS tx_count, count(DISTINCT card) AS unique_cards FROM tx
+      GROUP BY trm_id, dt HAVING count(*) >= 3 AND count(DISTINCT card) >= 2)
+SELECT trm_id, {iso('time_window')} AS time_window, tx_count, unique_cards FROM b
+WHERE time_window + INTERVAL 1 SECOND <= (SELECT max(dt) FROM tx) - INTERVAL 10 SECOND""")
+
+ORACLE["stream_daily_trips"] = with_tx(f""",
+d AS (SELECT card, date, count(*) AS n FROM tx GROUP BY card, date)
+SELECT card, strftime(date, '%Y-%m-%d') AS date, n, CASE WHEN n >= 12 THEN 'strong' ELSE 'raw' END AS severity,
+       n > 12 AS service_day
+FROM d WHERE n >= 6 AND CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(dt) FROM tx) - INTERVAL 1 HOUR""")
+
+ORACLE["stream_near_dedup"] = with_tx(f" SELECT card, trm_id, {iso('dt')} AS dt, src_row FROM dd")
+
+ORACLE["stream_school_sessions"] = with_tx(f""",
+s AS (SELECT card, trm_id, dt FROM tx WHERE cat_num IN ({SCHOOL})),
+l AS (SELECT *, lag(dt) OVER (PARTITION BY card, trm_id ORDER BY dt) AS pdt FROM s),
+k AS (SELECT *, sum(CASE WHEN pdt IS NULL OR date_diff('second', pdt, dt) > 59 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY card, trm_id ORDER BY dt ROWS UNBOUNDED PRECEDING) AS sid FROM l),
+g AS (SELECT card, trm_id, sid, count(*) AS taps, min(dt) AS st, max(dt) AS en FROM k GROUP BY card, trm_id, sid)
+SELECT card, trm_id, {iso('st')} AS start_time, taps - 1 AS consecutive_count FROM g
+WHERE taps - 1 >= 2 AND en + INTERVAL 59 SECOND <= (SELECT max(dt) FROM tx) - INTERVAL 10 MINUTE""")

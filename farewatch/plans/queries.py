@@ -313,7 +313,8 @@ from farewatch.streaming.bursts import run_burst_stream  # noqa: E402
 
 def q_stream_bursts(spark, sf):
     """Bursts found by the streaming replay of the events folder (closed windows only)."""
-    return run_burst_stream(spark, sf, name=f"stream_bursts_{_hashlib.sha1(sf.encode()).hexdigest()[:8]}")
+    out = run_burst_stream(spark, sf, name=f"stream_bursts_{_hashlib.sha1(sf.encode()).hexdigest()[:8]}")
+    return out.withColumn("time_window", iso_text("time_window"))
 
 
 QUERIES["stream_bursts"] = q_stream_bursts
