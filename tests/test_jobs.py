@@ -1,6 +1,6 @@
 import tempfile
 
-from farewatch.plans.pipeline import run_full_pipeline
+from farewatch.plans.jobs import run_full_pipeline
 from farewatch.plans.queries import raw_dump_dir
 
 SF = "/root/testdata/sf0.001"
@@ -16,6 +16,6 @@ def test_full_pipeline_from_raw_dumps(spark):
 
 
 def test_missing_artifact_is_empty(spark):
-    from farewatch.plans.pipeline import read_artifact
+    from farewatch.plans.jobs import read_artifact
     df = read_artifact(spark, tempfile.mkdtemp() + "/nothing", "card_id string, is_fraud int")
     assert df.count() == 0 and df.columns == ["card_id", "is_fraud"]
