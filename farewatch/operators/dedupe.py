@@ -40,4 +40,5 @@ def remove_near_duplicates(tx: DataFrame, gap_seconds: int = NEAR_DUPLICATE_SECO
         "card", "trm_id",
         F.explode(F.sequence(F.lit(1), F.lit(gap_seconds))).alias("_d"), "dt",
     ).select("card", "trm_id", seconds_after("dt", F.col("_d")).alias("dt"))
-    return firsts.join(shifted, KEYS, "left_anti")
+    # a USING join puts its keys first: restore the input's column order
+    return firsts.join(shifted, KEYS, "left_anti").select(*tx.columns)
