@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if df is None:
         prepare(spark)
         tag = hashlib.sha1(sf.encode()).hexdigest()[:10]
-        df = materialize(spark, build(), f"{tag}/{name}")
+        # a fresh folder per materialisation: never overwrite files another frame may read
+        df = materialize(spark, build(), f"{tag}/{name}-{uuid.uuid4().hex[:8]}")
         _CACHE[key] = df
     return df
 
