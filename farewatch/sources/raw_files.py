@@ -6,8 +6,9 @@
 * CSV: the separator and charset are sniffed from each file's first bytes (bounded read on the
   driver); files with the same (separator, charset, header) are read by one ``spark.read.csv``
   with an explicit all-string schema.
-* ZIP: ``binaryFile`` + ``mapInPandas`` turn each archive into (member, line) rows that
-  ``from_csv`` parses; members that cannot be read land in a reject table instead of vanishing.
+* ZIP: archive directories are listed first, then every (archive, member) pair is decompressed
+  in its own task (``mapInPandas``) into lines that ``from_csv`` parses; members that cannot be
+  read land in a reject table instead of vanishing.
 Every row carries ``_src_file`` / ``_src_row`` (input position) for tie-breaking.
 """
 
@@ -123,46 +124,78 @@ def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _zip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open(path: str):
+    """Random-access file handle for a Spark path (local, HDFS, S3, ...) inside a task."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file(unquote(urlparse(path).path))
+    fs, rel = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(rel)
+
+
+def _wanted(name: str) -> bool:
+    base = name.rsplit("/", 1)[-1]
+    return "__MACOSX" not in name and not base.startswith(".") and base.lower().endswith(".csv")
+
+
+def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(archive, member, error) from each archive's central directory only."""
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            out = []
+        out = []
+        for path in pdf["path"]:
             try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                names = archive.namelist()
+                with _open(path) as fh, zipfile.ZipFile(fh) as archive:
+                    out.extend((path, n, None) for n in archive.namelist() if _wanted(n))
             except Exception as exc:  # noqa: BLE001 - a broken archive is a reject, not a crash
-                out.append((path, "", -1, "", "", f"archive: {exc}"))
-                names = []
-            for name in names:
-                base = name.rsplit("/", 1)[-1]
-                if "__MACOSX" in name or base.startswith(".") or not base.lower().endswith(".csv"):
-                    continue
-                try:
-                    text = archive.read(name).decode("utf-8-sig", errors="replace")
-                except Exception as exc:  # noqa: BLE001
-                    out.append((path, name, -1, "", "", f"member: {exc}"))
-                    continue
-                lines = text.splitlines()
-                if not lines:
-                    continue
-                header = lines[0]
-                out.extend((path, name, i, header, line, None) for i, line in enumerate(lines[1:]) if line)
-            yield pd.DataFrame(out, columns=["archive", "member", "line_no", "header", "line", "error"])
+                out.append((path, "", f"archive: {exc}"))
+        yield pd.DataFrame(out, columns=["archive", "member", "error"])
 
 
+def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, name in zip(pdf["archive"], pdf["member"]):
+            try:
+                with _open(path) as fh, zipfile.ZipFile(fh) as archive:
+                    text = archive.read(name).decode("utf-8-sig", errors="replace")
+            except Exception as exc:  # noqa: BLE001
+                yield pd.DataFrame([(path, name, -1, "", "", f"member: {exc}")], columns=ZIP_LINE_COLUMNS)
+                continue
+            lines = text.splitlines()
+            if not lines:
+                continue
+            header = lines[0]
+            yield pd.DataFrame([(path, name, i, header, line, None) for i, line in enumerate(lines[1:]) if line],
+                               columns=ZIP_LINE_COLUMNS)
+
+
+ZIP_LINE_COLUMNS = ["archive", "member", "line_no", "header", "line", "error"]
 ZIP_LINE_SCHEMA = "archive string, member string, line_no long, header string, line string, error string"
 
 
 def zip_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(archive, member, line_no, header, line, error) for every CSV member line; one archive
-    per task (an archive is the unit of decompression)."""
-    return spark.read.format("binaryFile").load(paths).select("path", "content") \
-        .mapInPandas(_zip_lines, ZIP_LINE_SCHEMA)
+    """(archive, member, line_no, header, line, error) for every CSV member line.
+
+    Stage 1 reads only each archive's directory (the binaryFile scan prunes the content);
+    stage 2 spreads the (archive, member) pairs over tasks, so one archive holding a large share
+    of the data is decompressed by many tasks, one member each. Lines are then repartitioned so
+    CSV parsing is spread even when a single member is large."""
+    members = spark.read.format("binaryFile").load(paths).select("path") \
+        .mapInPandas(_zip_members, "archive string, member string, error string")
+    bad = members.filter(F.col("error").isNotNull()).select(
+        "archive", "member", F.lit(-1).cast("long").alias("line_no"), F.lit("").alias("header"),
+        F.lit("").alias("line"), "error")
+    good = members.filter(F.col("error").isNull()).select("archive", "member") \
+        .repartition("archive", "member")
+    lines = good.mapInPandas(_member_lines, ZIP_LINE_SCHEMA)
+    return lines.unionByName(bad).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_zip_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). Rows are parsed with ``from_csv`` per distinct header."""
-    lines = zip_lines(spark, paths)
+    lines = zip_lines(spark, paths).persist()  # read twice (layouts, rows)
     good = lines.filter(F.col("error").isNull())
     rejects = lines.filter(F.col("error").isNotNull()).select("archive", "member", "error")
     headers = [r["header"] for r in good.select("header").distinct().collect()]  # one per member layout

@@ -34,6 +34,7 @@ def test_folder_ingest(spark):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("m1.csv", lines(";", [row(5), row(6)]))
+        z.writestr("sub/m2.csv", lines(";", [row(7)]))
         z.writestr("__MACOSX/._m1.csv", "junk")
         z.writestr("notes.txt", "ignored")
     open(os.path.join(d, "z.zip"), "wb").write(buf.getvalue())
@@ -41,7 +42,7 @@ def test_folder_ingest(spark):
     assert [os.path.basename(p) for p in paths] == ["a.csv", "b.csv", "c.csv", "z.zip"]
     tx = normalize_transactions(read_raw(spark, d))
     got = sorted((r["minute"], r["route_num"], r["cat_num"]) for r in tx.collect())
-    assert [g[0] for g in got] == [1, 2, 3, 4, 5, 6]
+    assert [g[0] for g in got] == [1, 2, 3, 4, 5, 6, 7]
     assert {g[1] for g in got} == {"Маршрут 5"} and {g[2] for g in got} == {201}
 
 
