@@ -57,3 +57,10 @@ def test_normalize_plan_has_no_shuffle(spark):
     raw = spark.createDataFrame([("09.05.2023 05:08:48", "1", "V1", "0201", "100")], RAW)
     plan = normalize_transactions(raw)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_missing_required_column_raises(spark):  # B4
+    import pytest
+    raw = spark.createDataFrame([("09.05.2023 05:08:48", "V1")], "DATE string, TRM_ID string")
+    with pytest.raises(ValueError, match="CARD"):
+        normalize_transactions(raw)

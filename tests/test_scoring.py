@@ -32,3 +32,19 @@ def test_top_percent_rounding(spark):  # M30
 def test_average_path():
     assert S.average_path(1) == 0.0 and S.average_path(2) == 1.0
     assert abs(S.average_path(256) - 10.2448) < 1e-3
+
+
+def test_missing_model_column_raises(spark):  # S5
+    import pytest
+    feats = spark.createDataFrame([("c1", 1.0)], "card_id string, a double")
+    with pytest.raises(ValueError, match="b"):
+        S.prepare_matrix(feats, ["a", "b"])
+
+
+def test_excluded_categories_are_not_scored(spark):
+    rows = [(f"c{i}", float(i), "201" if i % 2 else "999") for i in range(40)]
+    feats = spark.createDataFrame(rows, "card_id string, a double, dominant_cat string")
+    cfg = S.ForestConfig(n_trees=5, max_samples=16, features=("a",), excluded_cats=(999,))
+    nodes = S.train_forest(S.prepare_matrix(feats, cfg.features), cfg)
+    scored = S.score_features(feats, nodes, cfg)
+    assert scored.count() == 20 and scored.filter("dominant_cat = '999'").count() == 0
