@@ -19,3 +19,13 @@ def test_missing_artifact_is_empty(spark):
     from farewatch.plans.jobs import read_artifact
     df = read_artifact(spark, tempfile.mkdtemp() + "/nothing", "card_id string, is_fraud int")
     assert df.count() == 0 and df.columns == ["card_id", "is_fraud"]
+
+
+def test_summary_exact_and_approx(spark):
+    from farewatch.plans import tables
+    from farewatch.plans.jobs import transaction_summary
+    tx = tables.tx(spark, SF)
+    exact = transaction_summary(tx).collect()[0]
+    approx = transaction_summary(tx, approx=True).collect()[0]
+    assert exact["transactions"] == approx["transactions"]
+    assert abs(approx["cards"] - exact["cards"]) <= max(1, 0.05 * exact["cards"])
