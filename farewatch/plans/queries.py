@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewatch.config import H1Config, H3Config, RulesConfig
+from farewatch.config import H1Config, RulesConfig
 from farewatch.functions.time import iso_text
 from farewatch.operators import presentation as P
 from farewatch.operators.normalize import normalize_transactions
