@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from farewatch.functions.time import epoch_seconds
 
-DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_BUCKET_SECONDS = 3600  # busy keys (validators): hour buckets
+SPARSE_BUCKET_SECONDS = 86400  # sparse keys (cards): day buckets keep the carry table small
 
 
 def _bucket(ts: str, bucket_seconds: int) -> Column:

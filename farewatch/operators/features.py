@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import SEGMENT_CATS
-from farewatch.functions.ordered import exclusive_prefix_sum, with_previous
+from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, with_previous
 from farewatch.functions.time import epoch_seconds
 
 GRAIN = ["card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "minute"]
@@ -184,7 +184,8 @@ def _dim_features(grain: DataFrame) -> DataFrame:
 
 def _gap_features(rows: DataFrame) -> DataFrame:
     d = with_previous(rows.select("card_id", "date", "terminal_id", "route_num", "src_file", "src_row"),
-                      ["card_id"], "date", ["src_file", "src_row"], ["terminal_id", "route_num"])
+                      ["card_id"], "date", ["src_file", "src_row"], ["terminal_id", "route_num"],
+                      bucket_seconds=SPARSE_BUCKET_SECONDS)
     gap = F.timestamp_diff("SECOND", F.col("prev_date"), F.col("date"))
     has_prev = F.col("prev_date").isNotNull()
     same_t = F.coalesce(F.col("terminal_id") == F.col("prev_terminal_id"), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import H4Config, H8Config
-from farewatch.functions.ordered import carry_forward_last, first_k, with_previous
+from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, carry_forward_last, first_k, with_previous
 from farewatch.functions.time import day_text, iso_text
 from farewatch.operators.rules.common import anomalies, details
 
@@ -55,7 +55,7 @@ def school_steps(tx: DataFrame, cfg: H8Config = H8Config()) -> DataFrame:
     """School taps of each card with ``q``: same validator as the previous school tap (when
     required) and less than ``interval`` later (card order: time, then validator)."""
     d = tx.filter(F.col("cat_num").isin(*cfg.school_cats)).select("card", "trm_id", "dt")
-    d = with_previous(d, ["card"], "dt", ["trm_id"], ["trm_id"])
+    d = with_previous(d, ["card"], "dt", ["trm_id"], ["trm_id"], bucket_seconds=SPARSE_BUCKET_SECONDS)
     q = _gap_seconds() < cfg.interval_seconds
     if cfg.same_validator_required:
         q = q & (F.col("trm_id") == F.col("prev_trm_id"))
@@ -81,5 +81,5 @@ def h8_school_card_multiple(tx: DataFrame, cfg: H8Config = H8Config()) -> DataFr
 def h8_school_sessions(tx: DataFrame, cfg: H8Config = H8Config()) -> DataFrame:
     """H8s: each maximal run of consecutive qualifying school taps of a card."""
     steps = carry_forward_last(school_steps(tx, cfg), ["card"], "dt", ["trm_id"], ~F.col("q"),
-                               F.struct("dt", "trm_id"), "session")
+                               F.struct("dt", "trm_id"), "session", bucket_seconds=SPARSE_BUCKET_SECONDS)
     return _h8_rows(steps.filter("q"), ["card", "session"], cfg, "H8s")
