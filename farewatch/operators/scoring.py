@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from farewatch.functions.ordered import exclusive_prefix_sum
 from farewatch.operators.features import NUMERIC_FEATURES
+from farewatch.session import ship_package
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 
@@ -111,6 +112,7 @@ def train_forest(matrix: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataF
     ``n * n_trees`` pairs, rows are first pre-sampled with one hash at ``q = min(1, n_trees * p)``
     and only those rows are expanded over the trees, each kept with ``p / q``: the same
     inclusion probability per pair, about ``2 * psi * n_trees`` rows in total."""
+    ship_package(matrix.sparkSession)
     columns = list(cfg.features)
     n = matrix.count()
     psi = min(cfg.max_samples, max(n, 1))
@@ -156,6 +158,7 @@ def score_features(features: DataFrame, nodes: DataFrame, cfg: ForestConfig = Fo
                    psi: int | None = None) -> DataFrame:
     """features + ``anomaly_score``, ``rank`` (1 = strangest; ties by card id) and ``model``."""
     spark: SparkSession = features.sparkSession
+    ship_package(spark)
     kept = features
     if cfg.excluded_cats:
         kept = kept.filter(~F.col("dominant_cat").isin(*[str(c) for c in cfg.excluded_cats]))

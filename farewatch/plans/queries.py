@@ -355,3 +355,17 @@ QUERIES.update({
     "stream_near_dedup": q_stream_near_dedup,
     "stream_school_sessions": q_stream_school_sessions,
 })
+
+
+def _prepared(fn: Query) -> Query:
+    def run(spark, sf):
+        prepare(spark)
+        return fn(spark, sf)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
+from farewatch.session import prepare  # noqa: E402
+
+QUERIES = {name: _prepared(fn) for name, fn in QUERIES.items()}

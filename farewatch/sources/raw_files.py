@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farewatch.session import ship_package
+
 # fixed values: accepted suffixes, separators and charsets in the order they are tried
 CSV_SUFFIXES = (".csv",)
 ZIP_SUFFIXES = (".zip",)
@@ -182,6 +184,7 @@ def zip_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     stage 2 spreads the (archive, member) pairs over tasks, so one archive holding a large share
     of the data is decompressed by many tasks, one member each. Lines are then repartitioned so
     CSV parsing is spread even when a single member is large."""
+    ship_package(spark)
     members = spark.read.format("binaryFile").load(paths).select("path") \
         .mapInPandas(_zip_members, "archive string, member string, error string")
     bad = members.filter(F.col("error").isNotNull()).select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from farewatch.config import NEAR_DUPLICATE_SECONDS, H1Config, H8Config
-from farewatch.session import ensure_checkpoint_dir
+from farewatch.session import ensure_checkpoint_dir, ship_package
 from farewatch.sources.fixture import tx_from_events
 
 
@@ -76,6 +76,7 @@ def _near_dedup(gap: int):
 
 def near_dedup_stream(events: DataFrame, gap: int = NEAR_DUPLICATE_SECONDS, watermark: str = "1 hour") -> DataFrame:
     """State per card: the last tap time on each validator the card used (a small map)."""
+    ship_package(events.sparkSession)
     tx = _event_time(tx_from_events(events)).select("card", "trm_id", "dt", "src_row", "et")
     return tx.withWatermark("et", watermark).groupBy("card").applyInPandasWithState(
         _near_dedup(gap), NEAR_DUP_OUT, NEAR_DUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
