@@ -1,5 +1,5 @@
 """Time the whole pipeline (tx -> rules -> report -> labels -> features -> scores) on the driver's
-events replicated FACTOR times. Usage: python tools/scale_run.py SF_DIR FACTOR [CPUS]"""
+events replicated FACTOR times. Usage: python tools/scale_run.py SF_DIR FACTOR [CPUS] [SHUFFLE_PARTITIONS]"""
 
 from __future__ import annotations
 
@@ -26,7 +26,8 @@ from farewatch.sources.fixture import replicated_events, tx_from_events  # noqa:
 def main() -> None:
     sf_dir, factor = sys.argv[1], int(sys.argv[2])
     cpus = int(sys.argv[3]) if len(sys.argv) > 3 else 8
-    spark = build_session(f"local[{cpus}]", cpus * 2)
+    partitions = int(sys.argv[4]) if len(sys.argv) > 4 else cpus * 2
+    spark = build_session(f"local[{cpus}]", partitions)
     times, counts = {}, {}
 
     def stage(name, build):
@@ -47,7 +48,8 @@ def main() -> None:
     scored = stage("scored", lambda: S.score_features(features, nodes, cfg))
     stage("top", lambda: S.select_top_percent(scored))
     per_rule = {r["hypothesis"]: r["n"] for r in anomalies.groupBy("hypothesis").agg(F.count(F.lit(1)).alias("n")).collect()}
-    print(json.dumps({"sf_dir": sf_dir, "factor": factor, "cpus": cpus, "seconds": times,
+    print(json.dumps({"sf_dir": sf_dir, "factor": factor, "cpus": cpus, "shuffle_partitions": partitions,
+                      "seconds": times,
                       "total_seconds": round(sum(times.values()), 2), "rows": counts, "rule_rows": per_rule}))
     spark.stop()
 
