@@ -19,8 +19,10 @@ ALLOWED_ZERO_CATS = (151, 201, 202, 203, 204, 205, 206, 207, 208, 209, 210, 303,
 PEAK_HOURS_MORNING = (7, 8, 9)
 PEAK_HOURS_EVENING = (17, 18, 19)
 SEGMENT_CATS = ("201", "203", "204")
-# tokens a CSV reader would already turn into missing values, plus the text forms of null
-NULL_TOKENS = ("", "nan", "None", "<NA>", "NaN", "NA", "N/A", "NULL", "null", "n/a", "#N/A", "-nan", "-NaN")
+# tokens the reference's CSV reader turns into missing values in every column (pandas' default
+# NA strings), plus the text form of a missing value after ``astype(str)``
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 DATE_PATTERN = "d.M.yyyy H:m:s"
 NEAR_DUPLICATE_SECONDS = 2
 # --------------------------------------------------------------------------------------------

@@ -47,13 +47,14 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     text_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in LINEAGE]
-    df = df.select(*[strip_text(F.col(c)).alias(c) if c in text_cols else F.col(c) for c in df.columns])
+    # missing-value tokens become null in every text column, then every text column is stripped
+    df = df.select(*[null_tokens(strip_text(F.col(c))).alias(c) if c in text_cols else F.col(c) for c in df.columns])
     df = df.filter(F.coalesce(F.upper("DATE") != "DATE", F.lit(True)))
 
     def opt(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-    key = {c: null_tokens(opt(c)) for c in KEY_TEXT_COLUMNS}
+    key = {c: opt(c) for c in KEY_TEXT_COLUMNS}
     src_file = F.col("_src_file") if "_src_file" in df.columns else F.input_file_name()
     src_row = F.col("_src_row") if "_src_row" in df.columns else F.monotonically_increasing_id()
     typed = df.select(

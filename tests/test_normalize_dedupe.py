@@ -64,3 +64,10 @@ def test_missing_required_column_raises(spark):  # B4
     raw = spark.createDataFrame([("09.05.2023 05:08:48", "V1")], "DATE string, TRM_ID string")
     with pytest.raises(ValueError, match="CARD"):
         normalize_transactions(raw)
+
+
+def test_na_tokens_in_other_columns(spark):
+    raw = spark.createDataFrame([("09.05.2023 05:08:48", "1", "V1", "0201", "NA", "N/A")],
+                                "DATE string, CARD string, TRM_ID string, CAT string, SUMM string, VEHICLE string")
+    r = normalize_transactions(raw).collect()[0]
+    assert r["summ_num"] is None and r["vehicle"] == ""
