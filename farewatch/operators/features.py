@@ -111,6 +111,44 @@ def feature_rows(tx_norm: DataFrame) -> DataFrame:
         .withColumn("weekday", F.weekday("date"))
 
 
+# fixed values: the raw columns the feature loader reads, by their exact (trimmed) header
+FEATURE_SOURCE_COLUMNS = {"DATE": "date", "TRM_ID": "terminal_id", "ROUTE_NUM": "route_num", "TRC_ID": "carrier_id",
+                          "CAT": "cat", "SUMM": "amount_raw", "CARD": "card_id"}
+
+
+def feature_rows_raw(raw: DataFrame) -> DataFrame:
+    """The feature loader's own view of raw text rows (it differs from ``normalize``): headers
+    are trimmed but not upper-cased, every missing value becomes '' and every value is
+    stripped, no row is de-duplicated, only unparseable dates drop a row (a blank card or
+    validator stays as ''), leading zeros leave the category and an unparseable amount is 0."""
+    from farewatch.operators.normalize import LINEAGE, parse_date, strip_text
+
+    # header names are trimmed; unlike the source loader (which fails unless they are exactly
+    # upper-case) they are matched case-insensitively
+    by_upper = {c.strip().upper(): c for c in raw.columns if c not in LINEAGE}
+    df = raw.select(*[F.col(f"`{by_upper[k]}`").alias(k) for k in FEATURE_SOURCE_COLUMNS if k in by_upper],
+                    *[c for c in raw.columns if c in LINEAGE])
+    missing = [c for c in FEATURE_SOURCE_COLUMNS if c not in df.columns]
+    if missing:
+        raise ValueError(f"feature loader needs columns: {', '.join(missing)}")
+    text = {c: strip_text(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in FEATURE_SOURCE_COLUMNS}
+    amount = text["SUMM"].try_cast("double")
+    d = df.select(
+        text["CARD"].alias("card_id"),
+        parse_date(text["DATE"]).alias("date"),
+        text["TRM_ID"].alias("terminal_id"),
+        text["ROUTE_NUM"].alias("route_num"),
+        text["TRC_ID"].alias("carrier_id"),
+        F.regexp_replace(text["CAT"], "^0+", "").alias("cat"),
+        # kopecks; fractional amounts are kept to the kopeck
+        F.coalesce(F.round(amount).cast("bigint"), F.lit(0)).alias("amount_kop"),
+        (F.col("_src_file") if "_src_file" in df.columns else F.input_file_name()).cast("string").alias("src_file"),
+        (F.col("_src_row") if "_src_row" in df.columns else F.monotonically_increasing_id()).cast("bigint").alias("src_row"),
+    ).filter(F.col("date").isNotNull())
+    return d.withColumn("day", F.to_date("date")).withColumn("hour", F.hour("date")) \
+        .withColumn("weekday", F.weekday("date"))
+
+
 def _dim_features(grain: DataFrame) -> DataFrame:
     dims = _dims()
     pairs = grain.select("card_id", "c", "t0", "t1", F.explode(F.array(*[
@@ -236,9 +274,10 @@ def _percentile_features(features: DataFrame) -> DataFrame:
     return features.join(per_card, "card_id", "left")
 
 
-def build_features(tx_norm: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per labelled card with ``FEATURE_COLUMNS``."""
-    rows = feature_rows(tx_norm).join(labels.select("card_id"), "card_id", "left_semi")
+def build_features(tx_norm: DataFrame | None, labels: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """One row per labelled card with ``FEATURE_COLUMNS``, from the normalised table or from
+    ready feature rows (``feature_rows_raw``)."""
+    rows = (rows if rows is not None else feature_rows(tx_norm)).join(labels.select("card_id"), "card_id", "left_semi")
     grain = card_grain(rows)
     f = _dim_features(grain).join(_gap_features(rows), "card_id", "left")
     f = f.withColumn("tx_per_active_day", F.col("tx_count") / F.greatest(F.col("active_days"), F.lit(1)))

@@ -16,7 +16,7 @@ from farewatch.config import RulesConfig
 from farewatch.operators import presentation as P
 from farewatch.operators import scoring as S
 from farewatch.operators.dedupe import remove_near_duplicates
-from farewatch.operators.features import build_features
+from farewatch.operators.features import build_features, feature_rows_raw
 from farewatch.operators.labels import build_card_labels
 from farewatch.operators.normalize import normalize_transactions
 from farewatch.operators.report import aggregate_results, export_anomalies, hypothesis_stats, top_entities
@@ -82,10 +82,13 @@ def run_rules_pipeline(spark: SparkSession, tx: DataFrame, out_dir: str,
 
 
 def run_ml_pipeline(spark: SparkSession, tx_norm: DataFrame, tx: DataFrame, report: DataFrame, out_dir: str,
-                    cfg: S.ForestConfig = S.ForestConfig(), top_percent: float = 0.01) -> dict[str, DataFrame]:
+                    cfg: S.ForestConfig = S.ForestConfig(), top_percent: float = 0.01,
+                    feature_rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Labels, features (from ``feature_rows`` when given, the feature loader's own view of the
+    raw files; else from the normalised table), forest, scores, top share, candidates."""
     prepare(spark)
     labels = _write(build_card_labels(tx, report), os.path.join(out_dir, "labels"))
-    features = _write(build_features(tx_norm, labels), os.path.join(out_dir, "features"))
+    features = _write(build_features(tx_norm, labels, rows=feature_rows), os.path.join(out_dir, "features"))
     nodes = _write(S.train_forest(S.prepare_matrix(features, cfg.features), cfg), os.path.join(out_dir, "model"))
     scored = _write(S.score_features(features, nodes, cfg), os.path.join(out_dir, "inference_scores"))
     top = _write(S.select_top_percent(scored, top_percent), os.path.join(out_dir, "top_percent_cards"))
@@ -99,7 +102,8 @@ def run_ml_pipeline(spark: SparkSession, tx_norm: DataFrame, tx: DataFrame, repo
 def run_full_pipeline(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[str, DataFrame]:
     tx_norm, tx = load_transactions(spark, raw_dir, os.path.join(out_dir, "tables"))
     rules = run_rules_pipeline(spark, tx, os.path.join(out_dir, "rules"))
-    ml = run_ml_pipeline(spark, tx_norm, tx, rules["report"], os.path.join(out_dir, "ml"))
+    rows = _write(feature_rows_raw(read_raw(spark, raw_dir)), os.path.join(out_dir, "tables", "feature_rows"))
+    ml = run_ml_pipeline(spark, tx_norm, tx, rules["report"], os.path.join(out_dir, "ml"), feature_rows=rows)
     return {**rules, **{f"ml_{k}": v for k, v in ml.items()}}
 
 

@@ -62,3 +62,24 @@ def test_risk_histogram_buckets(spark):  # M29
     got = {r["risk_bucket"]: r["entities"] for r in risk_histogram(spark, report).collect()}
     assert got == {"0-10": 2, "10-20": 1, "20-30": 0, "30-40": 0, "40-50": 0, "50-60": 0, "60-70": 1,
                    "70-80": 0, "80-90": 0, "90-100": 2}
+
+
+def test_feature_loader_view_matches_typed_path(spark):
+    from farewatch.operators.features import feature_rows, feature_rows_raw
+    from farewatch.plans import tables
+    sf = "/root/testdata/sf0.001"
+    raw = tables.raw(spark, sf)
+    cols = ["card_id", "date", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "src_row"]
+    a = sorted(map(tuple, feature_rows_raw(raw).select(*cols).collect()))
+    b = sorted(map(tuple, feature_rows(tables.tx_norm(spark, sf)).select(*cols).collect()))
+    assert a == b
+
+
+def test_feature_loader_keeps_blank_validator(spark):
+    from farewatch.operators.features import feature_rows_raw
+    raw = spark.createDataFrame([(" 09.05.2023 05:08:48", "7", None, "R1", "C1", "0201", "x"),
+                                 ("bad date", "8", "V1", "R1", "C1", "0201", "100")],
+                                "DATE string, CARD string, TRM_ID string, ROUTE_NUM string, TRC_ID string, "
+                                "CAT string, SUMM string")
+    rows = feature_rows_raw(raw).collect()
+    assert len(rows) == 1 and rows[0]["terminal_id"] == "" and rows[0]["cat"] == "201" and rows[0]["amount_kop"] == 0
