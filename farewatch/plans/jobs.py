@@ -73,8 +73,10 @@ def run_rules_pipeline(spark: SparkSession, tx: DataFrame, out_dir: str,
     _write(top_entities(report), os.path.join(out_dir, "dashboard_top"), fmt="json")
     totals = anomalies.agg(F.count(F.lit(1))).scalar()
     entities = report.agg(F.count(F.lit(1))).scalar()
+    # rows per rule as a map (one entry per selected rule: bounded by the registry)
+    per_rule = stats.agg(F.map_from_entries(F.collect_list(F.struct("hypothesis", "rows")))).scalar()
     summary = transaction_summary(tx).select(F.lit("rules").alias("stage"), "*", entities.alias("entities"),
-                                             totals.alias("total_anomalies"))
+                                             totals.alias("total_anomalies"), per_rule.alias("hypotheses"))
     _write(summary, os.path.join(out_dir, "summary"), fmt="json")
     for kind in ("high", "medium", "validators"):
         _write(P.action_list(report, kind), os.path.join(out_dir, f"action_{kind}"), fmt="csv")

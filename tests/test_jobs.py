@@ -13,6 +13,8 @@ def test_full_pipeline_from_raw_dumps(spark):
     assert s["scored_cards"] > 0 and s["top_cards"] == max(1, round(s["scored_cards"] * 0.01))
     assert s["known_fraud_excluded"] + s["new_pattern_candidates"] == s["top_cards"]
     assert out["report"].count() > 0
+    rules = out["summary"].collect()[0]
+    assert sum(rules["hypotheses"].values()) == rules["total_anomalies"] and len(rules["hypotheses"]) == 13
 
 
 def test_missing_artifact_is_empty(spark):
