@@ -97,8 +97,14 @@ def run_ml_pipeline(spark: SparkSession, tx_norm: DataFrame, tx: DataFrame, repo
     cands = _write(S.new_pattern_candidates(top, labels), os.path.join(out_dir, "new_candidates"))
     summary = _write(S.inference_summary(scored, top, cands, cfg, top_percent),
                      os.path.join(out_dir, "inference_summary"), fmt="json")
+    n_features = features.agg(F.count(F.lit(1))).scalar()
+    ml = labels.agg(F.count(F.lit(1)).alias("labels"), F.sum("is_fraud").alias("fraud_labels")).select(
+        F.lit("ml").alias("stage"), F.lit("inference").alias("mode"), "labels", "fraud_labels",
+        n_features.alias("features"),
+        F.struct(*[summary.agg(F.first(c)).scalar().alias(c) for c in summary.columns]).alias("inference"))
+    ml = _write(ml, os.path.join(out_dir, "summary"), fmt="json")
     return {"labels": labels, "features": features, "scored": scored, "top": top, "candidates": cands,
-            "summary": summary}
+            "summary": summary, "ml_summary": ml}
 
 
 def run_full_pipeline(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[str, DataFrame]:

@@ -9,6 +9,8 @@ SF = "/root/testdata/sf0.001"
 def test_full_pipeline_from_raw_dumps(spark):
     raw = raw_dump_dir(spark, SF) + "/cp1251"
     out = run_full_pipeline(spark, raw, tempfile.mkdtemp(prefix="fw-pipe-"))
+    m = out["ml_ml_summary"].collect()[0]
+    assert m["labels"] == m["features"] and m["inference"]["scored_cards"] == m["features"]
     s = out["ml_summary"].collect()[0]
     assert s["scored_cards"] > 0 and s["top_cards"] == max(1, round(s["scored_cards"] * 0.01))
     assert s["known_fraud_excluded"] + s["new_pattern_candidates"] == s["top_cards"]
