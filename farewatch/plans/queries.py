@@ -5,6 +5,8 @@ plain column types (text for timestamps) so they compare cleanly with the SQL or
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,18 @@ from pyspark.sql import functions as F
 from farewatch.config import H1Config, RulesConfig
 from farewatch.functions.time import iso_text
 from farewatch.operators import presentation as P
+from farewatch.operators import scoring as S
+from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features
+from farewatch.operators.labels import build_card_labels
 from farewatch.operators.normalize import normalize_transactions
 from farewatch.operators.report import aggregate_results, export_anomalies, hypothesis_stats, top_entities
 from farewatch.operators.rules import RULES, run_rules, union_anomalies
 from farewatch.operators.rules.frequency import h20_duplicates, service_cards
 from farewatch.plans import tables
+from farewatch.session import ensure_checkpoint_dir, prepare
+from farewatch.sources.raw_files import read_raw
+from farewatch.streaming.bursts import event_stream, run_burst_stream
+from farewatch.streaming.rules import daily_trip_stream, near_dedup_stream, run_to_table, school_session_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = RulesConfig()
@@ -159,8 +168,6 @@ QUERIES: dict[str, Query] = {
 
 
 # ---- labels and features --------------------------------------------------------------------
-from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features  # noqa: E402
-from farewatch.operators.labels import build_card_labels  # noqa: E402
 
 
 def card_labels(spark, sf) -> DataFrame:
@@ -186,7 +193,6 @@ for _name, _cols in FAMILIES.items():
 
 
 # ---- scoring ----------------------------------------------------------------------------------
-from farewatch.operators import scoring as S  # noqa: E402
 
 FOREST = S.ForestConfig()
 TOP_PERCENT = 0.01
@@ -271,11 +277,7 @@ QUERIES.update({
 
 
 # ---- raw file ingest --------------------------------------------------------------------------
-import hashlib as _hashlib  # noqa: E402
-import os as _os  # noqa: E402
 
-from farewatch.session import ensure_checkpoint_dir  # noqa: E402
-from farewatch.sources.raw_files import read_raw  # noqa: E402
 
 _WRITTEN: set = set()
 
@@ -283,15 +285,15 @@ _WRITTEN: set = set()
 def raw_dump_dir(spark, sf) -> str:
     """The fixture as a folder of raw dumps in two dialects (';' + windows-1251 and ',' + UTF-8,
     split by card), written once under the shared checkpoint folder."""
-    tag = _hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:10]
-    root = _os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, tag, "raw_dump")
+    tag = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:10]
+    root = os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, tag, "raw_dump")
     if root not in _WRITTEN:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         r = tables.raw(spark, sf).drop("_src_file", "_src_row")
         even = F.pmod(F.hash("Card"), F.lit(2)) == 0
-        r.filter(even).write.mode("overwrite").csv(_os.path.join(root, "cp1251"), header=True, sep=";",
+        r.filter(even).write.mode("overwrite").csv(os.path.join(root, "cp1251"), header=True, sep=";",
                                                     encoding="windows-1251")
-        r.filter(~even).write.mode("overwrite").csv(_os.path.join(root, "utf8"), header=True, sep=",",
+        r.filter(~even).write.mode("overwrite").csv(os.path.join(root, "utf8"), header=True, sep=",",
                                                      encoding="UTF-8")
         _WRITTEN.add(root)
     return root
@@ -299,8 +301,8 @@ def raw_dump_dir(spark, sf) -> str:
 
 def q_raw_csv_ingest(spark, sf):
     root = raw_dump_dir(spark, sf)
-    raw = read_raw(spark, _os.path.join(root, "cp1251")).unionByName(
-        read_raw(spark, _os.path.join(root, "utf8")), allowMissingColumns=True)
+    raw = read_raw(spark, os.path.join(root, "cp1251")).unionByName(
+        read_raw(spark, os.path.join(root, "utf8")), allowMissingColumns=True)
     return _tx_view(normalize_transactions(raw)).drop("src_row")
 
 
@@ -308,25 +310,19 @@ QUERIES["raw_csv_ingest"] = q_raw_csv_ingest
 
 
 # ---- streaming ---------------------------------------------------------------------------------
-from farewatch.streaming.bursts import run_burst_stream  # noqa: E402
 
 
 def q_stream_bursts(spark, sf):
     """Bursts found by the streaming replay of the events folder (closed windows only)."""
-    out = run_burst_stream(spark, sf, name=f"stream_bursts_{_hashlib.sha1(sf.encode()).hexdigest()[:8]}")
+    out = run_burst_stream(spark, sf, name=f"stream_bursts_{hashlib.sha1(sf.encode()).hexdigest()[:8]}")
     return out.withColumn("time_window", iso_text("time_window"))
 
 
 QUERIES["stream_bursts"] = q_stream_bursts
 
-from farewatch.streaming.bursts import event_stream  # noqa: E402
-from farewatch.streaming.rules import (  # noqa: E402
-    daily_trip_stream, near_dedup_stream, run_to_table, school_session_stream,
-)
-
 
 def _stream_name(kind: str, sf: str) -> str:
-    return f"{kind}_{_hashlib.sha1(sf.encode()).hexdigest()[:8]}"
+    return f"{kind}_{hashlib.sha1(sf.encode()).hexdigest()[:8]}"
 
 
 def q_stream_daily_trips(spark, sf):
@@ -366,6 +362,4 @@ def _prepared(fn: Query) -> Query:
     return run
 
 
-from farewatch.session import prepare  # noqa: E402
-
 QUERIES = {name: _prepared(fn) for name, fn in QUERIES.items()}
