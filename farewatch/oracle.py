@@ -5,6 +5,7 @@ Each rule is a self-contained ``WITH ... SELECT`` over the CTEs ``tx`` (normalis
 
 from __future__ import annotations
 
+from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES
 from farewatch.oracle_ctes import with_tx
 
 BENEFIT = "201, 202, 203, 204, 205, 206, 207, 208, 209, 210, 303, 304"
@@ -449,7 +450,6 @@ features AS (
   FROM f1)
 """
 
-from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES  # noqa: E402
 
 ORACLE["card_labels"] = _with_anomalies(_LABELS + " SELECT * FROM labels")
 for _fam, _cols in FAMILIES.items():
