@@ -94,19 +94,20 @@ SAMPLE_PER_RANGE = 20
 def range_ids(df: DataFrame, key_cols: Sequence[Column], ranges: int) -> Column:
     """Deterministic range id of each row for the ascending composite key.
 
-    The ``SAMPLE_PER_RANGE * ranges`` rows with the smallest key hash form a uniform sample of
-    bounded size (one ``TakeOrderedAndProject`` job, no count); Spark sorts it and cuts it into
-    ``ranges`` slices, and a row's id is the number of cut points at or below its key. Unlike
-    ``spark_partition_id()`` after ``repartitionByRange`` the id is a pure expression: every
-    branch of the plan and any recomputation after a lost executor assign the same id."""
+    A hash-selected Bernoulli sample of about ``SAMPLE_PER_RANGE * ranges`` rows (every
+    partition contributes its share, so no task gathers more than the sample) is sorted by Spark
+    and cut into ``ranges`` slices; a row's id is the number of cut points at or below its key.
+    Unlike ``spark_partition_id()`` after ``repartitionByRange`` the id is a pure expression:
+    every branch of the plan and any recomputation after a lost executor assign the same id."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key_cols)])
     if ranges <= 1:
         return F.lit(0)
-    sample = (
-        df.select(key.alias("k"), F.xxhash64(key).alias("h"))
-        .orderBy("h", "k").limit(SAMPLE_PER_RANGE * ranges)
-        .orderBy("k").collect()
-    )
+    total = df.count()
+    if total == 0:
+        return F.lit(0)
+    frac = min(1.0, SAMPLE_PER_RANGE * ranges / total)
+    pick = F.xxhash64(key).bitwiseAND(F.lit(0x7FFFFFFF)) <= F.lit(int(frac * 0x7FFFFFFF))
+    sample = df.select(key.alias("k")).filter(pick).orderBy("k").collect()  # ~SAMPLE_PER_RANGE * ranges rows
     if len(sample) < 2:
         return F.lit(0)
     step = len(sample) / ranges
@@ -129,7 +130,7 @@ def exclusive_prefix_sum(df: DataFrame, group_cols: Sequence[str], order_cols: S
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    # read twice (sample, result); a lost block is recomputed deterministically from lineage
+    # read three times (size, sample, result); a lost block is recomputed deterministically
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = df.withColumn("_pid", range_ids(df, [*[F.col(g) for g in group_cols], *order_exprs], n))
     local = ranged.withColumn(
