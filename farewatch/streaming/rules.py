@@ -6,7 +6,9 @@
   for the consumer instead of retracting earlier output.
 * X3 ``near_dedup_stream``: the 2-second rule with per-card state holding the last tap time on
   each validator (``applyInPandasWithState``), so a chain split across micro-batches is still
-  cut; a card's state is dropped once the watermark passes it. Exact while each key's taps arrive
+  cut; a card's state is dropped once the watermark passes it. One card's taps of one
+  micro-batch meet in one task, so the batch size (``maxFilesPerTrigger``) bounds a hot card's
+  work per task; its state stays one small map whatever its volume. Exact while each key's taps arrive
   in time order across batches (true for time-ordered dumps).
 * X4 ``school_session_stream``: H8-style sessions of school taps per (card, validator) with
   ``session_window``; the window merges taps whose gap is at most the gap duration, so 59 s on
