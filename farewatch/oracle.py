@@ -481,10 +481,10 @@ FROM d WHERE n >= 6 AND CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(
 ORACLE["stream_near_dedup"] = with_tx(f" SELECT card, trm_id, {iso('dt')} AS dt, src_row FROM dd")
 
 ORACLE["stream_school_sessions"] = with_tx(f""",
-s AS (SELECT card, trm_id, dt FROM tx WHERE cat_num IN ({SCHOOL})),
-l AS (SELECT *, lag(dt) OVER (PARTITION BY card, trm_id ORDER BY dt) AS pdt FROM s),
+s AS (SELECT card, trm_id, dt, src_row FROM tx WHERE cat_num IN ({SCHOOL})),
+l AS (SELECT *, lag(dt) OVER (PARTITION BY card, trm_id ORDER BY dt, src_row) AS pdt FROM s),
 k AS (SELECT *, sum(CASE WHEN pdt IS NULL OR date_diff('second', pdt, dt) > 59 THEN 1 ELSE 0 END)
-                OVER (PARTITION BY card, trm_id ORDER BY dt ROWS UNBOUNDED PRECEDING) AS sid FROM l),
+                OVER (PARTITION BY card, trm_id ORDER BY dt, src_row ROWS UNBOUNDED PRECEDING) AS sid FROM l),
 g AS (SELECT card, trm_id, sid, count(*) AS taps, min(dt) AS st, max(dt) AS en FROM k GROUP BY card, trm_id, sid)
 SELECT card, trm_id, {iso('st')} AS start_time, taps - 1 AS consecutive_count FROM g
 WHERE taps - 1 >= 2 AND en + INTERVAL 59 SECOND <= (SELECT max(dt) FROM tx) - INTERVAL 10 MINUTE""")
