@@ -43,3 +43,24 @@ def test_scores_ranks_top_and_candidates(spark):
     assert cands == top - fraud
     s = E.queries()["inference_summary"](spark, SF).collect()[0]
     assert (s["scored_cards"], s["top_cards"], s["new_pattern_candidates"]) == (len(want), k, len(cands))
+
+
+def test_histogram_and_forest_structure(spark):
+    scores = [r["anomaly_score"] for r in E.queries()["anomaly_scores"](spark, SF).collect()]
+    lo, hi = min(scores), max(scores)
+    width = (hi - lo) / 14
+    want = {}
+    for s in scores:
+        b = min(int((s - lo) // width), 13) if width > 0 else 0
+        want[b] = want.get(b, 0) + 1
+    got = {r["bin"]: r["cards"] for r in E.queries()["score_histogram"](spark, SF).collect()}
+    assert got == want
+    nodes = E.queries()["forest_nodes"](spark, SF).toPandas()
+    assert nodes["tree"].nunique() == FOREST.n_trees
+    height = math.ceil(math.log2(FOREST.max_samples))
+    for _, t in nodes.groupby("tree"):
+        by_id = t.set_index("node")
+        assert by_id.loc[0, "size"] <= FOREST.max_samples and t["depth"].max() <= height
+        inner = t[t["feature"] >= 0]
+        for r in inner.itertuples():
+            assert by_id.loc[r.left, "size"] + by_id.loc[r.right, "size"] == r.size
