@@ -1,4 +1,8 @@
-"""Time helpers that stay inside whole-stage codegen and work on TIMESTAMP_NTZ."""
+"""Time helpers that stay inside whole-stage codegen and work on TIMESTAMP_NTZ.
+
+Spark evaluates these differences through the session time zone, so they are exact wall-clock
+seconds in a UTC session; ``session.prepare`` (called by every query, job and operator entry
+point) sets ``spark.sql.session.timeZone=UTC``."""
 
 from __future__ import annotations
 

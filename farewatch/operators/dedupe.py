@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from farewatch.config import NEAR_DUPLICATE_SECONDS
 from farewatch.functions.time import seconds_after
+from farewatch.session import prepare
 
 KEYS = ["card", "trm_id", "dt"]
 
@@ -35,6 +36,7 @@ def first_per_second(tx: DataFrame) -> DataFrame:
 
 
 def remove_near_duplicates(tx: DataFrame, gap_seconds: int = NEAR_DUPLICATE_SECONDS) -> DataFrame:
+    prepare(tx.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     firsts = first_per_second(tx)
     shifted = firsts.select(
         "card", "trm_id",

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from farewatch.config import SEGMENT_CATS
 from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, with_previous
 from farewatch.functions.time import epoch_seconds
+from farewatch.session import prepare
 
 GRAIN = ["card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "minute"]
 
@@ -277,6 +278,7 @@ def _percentile_features(features: DataFrame) -> DataFrame:
 def build_features(tx_norm: DataFrame | None, labels: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per labelled card with ``FEATURE_COLUMNS``, from the normalised table or from
     ready feature rows (``feature_rows_raw``)."""
+    prepare(labels.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     rows = (rows if rows is not None else feature_rows(tx_norm)).join(labels.select("card_id"), "card_id", "left_semi")
     grain = card_grain(rows)
     f = _dim_features(grain).join(_gap_features(rows), "card_id", "left")

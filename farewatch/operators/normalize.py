@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import DATE_PATTERN, NULL_TOKENS
+from farewatch.session import prepare
 from farewatch.sources.fixture import with_calendar
 
 REQUIRED = ("DATE", "CARD", "TRM_ID")
@@ -42,6 +43,7 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     """Header trim+upper, embedded header rows dropped, every text column stripped, date parsed,
     sentinels nulled, rows without date/card/terminal dropped, category and amount coerced.
     Returns ``schemas.TX_COLUMNS``."""
+    prepare(raw.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     df = normalize_header(raw)
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:

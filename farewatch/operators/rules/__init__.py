@@ -14,6 +14,7 @@ from farewatch.operators.rules.categories import (
     h7_night_school, h10_atypical_benefit, h17_zero_sum, h19_unknown_categories,
 )
 from farewatch.operators.rules.common import empty_anomalies
+from farewatch.session import prepare
 from farewatch.operators.rules.frequency import h1_high_frequency, h20_duplicates
 from farewatch.operators.rules.poisson import h21_ks_exponential, h21_poisson_deviation
 from farewatch.operators.rules.route import h2_route_spike, h2_route_spike_daily
@@ -58,6 +59,7 @@ def run_rules(tx: DataFrame, selected: Iterable[str] | None = None,
               config: RulesConfig | None = None) -> dict[str, DataFrame]:
     """Lazily build every selected rule (all thirteen when ``selected`` is empty). Unknown
     names raise ``KeyError``. ``tx`` should be persisted or read from a written table."""
+    prepare(tx.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     config = config or RulesConfig()
     names = list(selected) if selected else list(RULES)
     table = {**RULES, **EXTRA_RULES}

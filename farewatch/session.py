@@ -66,10 +66,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+# settings results depend on; performance settings (AQE, skew join, partitions) stay the
+# session owner's choice and are only applied by ``build_session``
+REQUIRED_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session handed to us and ship the package to the
-    executors (idempotent)."""
-    for key, value in RUNTIME_CONF.items():
+    """Make a session handed to us safe for the operators: UTC session time zone (time
+    arithmetic on TIMESTAMP_NTZ) and the package shipped to the executors (idempotent)."""
+    for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     ship_package(spark)
