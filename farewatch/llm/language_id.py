@@ -37,7 +37,7 @@ from .tokens import TokenMemo, batches_of, code_points
 ORDER = 5
 BITS = 12
 MIN_SHARE = 1e-6
-SLACK_BITS = 1.0
+SLACK_BITS = 3.0      # text that switches language half-way stays within; random letters do not
 Z = 8.0
 HELD_MODULUS, HELD_REST = 4, 2      # fixed values of the contract
 FLUSH_WORDS = 400_000

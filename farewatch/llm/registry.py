@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing
+from . import decontaminate, language_id, line_rules, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op4_quality": quality.op4_quality,
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
