@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, id_text, materialise, read_table
-from .tokens import TokenMemo, batches_of, code_points
+from .tokens import TokenMemo, code_points, slices, split_words, sum_rows
 
 ORDER = 5
 BITS = 12
@@ -104,9 +104,18 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         size = 0
         for b in batches:
             langs = b.column(0).to_pylist()
-            for where, parts in batches_of(b.column(1).to_pylist()):
-                for k, p in zip(where, parts, strict=True):
-                    held.setdefault(langs[k], Counter()).update(p.split())
+            for first, part in slices(b.column(1)):
+                lists, coded = split_words(part)
+                # occurrences per (language, distinct word) of the slice
+                names = sorted(set(langs[first:first + len(part)]))
+                lang = np.repeat([names.index(x) for x in langs[first:first + len(part)]], lists)
+                words = coded.dictionary.to_pylist()
+                count = np.bincount(lang * len(words) + coded.indices.to_numpy(zero_copy_only=False), minlength=len(names) * len(words))
+                for j, name in enumerate(names):
+                    own = count[j * len(words):(j + 1) * len(words)]
+                    into = held.setdefault(name, Counter())
+                    for k in np.flatnonzero(own).tolist():
+                        into[words[k]] += int(own[k])
                 size = sum(map(len, held.values()))
                 if size > FLUSH_WORDS:
                     for lang, words in held.items():
@@ -142,16 +151,18 @@ class Model:
 
     def prob(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Probabilities (n-grams x languages) of n-grams of one order, with back-off."""
-        out = np.full((len(grams), len(self.langs)), 1.0 / (1 << BITS))
-        for k in range(1, order + 1):
-            g = grams & ((1 << (BITS * k)) - 1)
+        out = np.ones((len(grams), len(self.langs)))
+        left = np.arange(len(grams))                    # n-grams not found at a higher order
+        for k in range(order, 0, -1):
+            if not len(left):
+                return out
+            g = grams[left] & ((1 << (BITS * k)) - 1)
             at, found = self._find(self.grams[k], g)
-            miss = np.flatnonzero(~found)
-            if len(miss):
-                ctx, known = self._find(self.contexts[k], g[miss] >> BITS)
-                out[miss[known]] *= self.backoff[k][ctx[known]]
-            hit = np.flatnonzero(found)
-            out[hit] = self.probs[k][at[hit]]
+            out[left[found]] *= self.probs[k][at[found]]
+            left, g = left[~found], g[~found]
+            ctx, known = self._find(self.contexts[k], g >> BITS)
+            out[left[known]] *= self.backoff[k][ctx[known]]
+        out[left] /= 1 << BITS
         return out
 
     def bits(self, tokens: list[str]) -> np.ndarray:
@@ -263,21 +274,15 @@ def predict(docs: DataFrame, model: Model, slack: float = SLACK_BITS, z: float =
     def run(batches):
         m: Model = shared.value
         langs = m.langs
-        memo = _MEMO.get(shared.id if hasattr(shared, "id") else id(m))
-        if memo is None:
+        if id(m) not in _MEMO:              # the memo holds the model, so the id stays its own
             _MEMO.clear()
-            memo = _MEMO[shared.id if hasattr(shared, "id") else id(m)] = TokenMemo(m.bits)
+            _MEMO[id(m)] = TokenMemo(m.bits)
+        memo = _MEMO[id(m)]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            total = np.zeros((len(texts), len(langs) + 1))
-            for where, parts in batches_of(texts) if langs else ():
-                lists = [p.split() for p in parts]
-                for k, idx in zip(where, memo.indices(lists), strict=True):
-                    if len(idx):
-                        total[k] += memo.rows[idx].sum(axis=0)
+            total = sum_rows(memo, b.column(1)) if langs else np.zeros((b.num_rows, 1))
             n = total[:, -1]
             pred, score, ok, best_bits = [], [], [], []
-            for k in range(len(texts)):
+            for k in range(b.num_rows):
                 if not n[k]:
                     pred.append(UND), score.append(0.0), ok.append(False), best_bits.append(None)
                     continue

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, id_text, read_table
-from .tokens import TokenMemo, batches_of, char_ngrams, word_hashes
+from .tokens import TokenMemo, char_ngrams, slices, word_hashes, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -62,7 +62,7 @@ def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(feature, count) of one text, features distinct."""
-    tokens = (text or "").split()
+    tokens = words_of(text)
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
     distinct, inverse, count = np.unique(np.array(tokens, dtype=object), return_inverse=True, return_counts=True)
@@ -157,24 +157,23 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        memo = _MEMO.get(id(m)) or _MEMO.setdefault(id(m), TokenMemo(m.rows))
+        if id(m) not in _MEMO:              # the memo holds the model, so the id stays its own
+            _MEMO.clear()
+            _MEMO[id(m)] = TokenMemo(m.rows)
+        memo = _MEMO[id(m)]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            total, weight, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            last: dict[int, str] = {}
-            for where, parts in batches_of(texts):
-                lists = [p.split() for p in parts]
-                for k, tokens, idx in zip(where, lists, memo.indices(lists), strict=True):
-                    if not len(idx):
-                        continue
-                    rows = memo.rows[idx].sum(axis=0)
-                    repeats = int((idx[1:] == idx[:-1]).sum()) + (last.get(k) == tokens[0])
-                    last = {k: tokens[-1]}
-                    total[k] += rows[0] + repeats * m.fold[REPEAT]
-                    weight[k] += rows[1] + repeats
-                    n[k] += len(idx)
+            sums = []
+            for _, part in slices(b.column(1)):
+                word, per_text = memo.words(part)
+                text = np.repeat(np.arange(len(part)), per_text)
+                rows = memo.rows[word] if len(word) else np.zeros((0, 2))
+                again = np.flatnonzero((word[1:] == word[:-1]) & (text[1:] == text[:-1])) if len(word) else word
+                repeats = np.bincount(text[again], minlength=len(part)) if len(again) else np.zeros(len(part))
+                sums.append(np.stack([np.bincount(text, weights=rows[:, 0], minlength=len(part)) + repeats * m.fold[REPEAT],
+                                      np.bincount(text, weights=rows[:, 1], minlength=len(part)) + repeats, per_text.astype(float)], axis=1))
+            total, weight, n = np.concatenate(sums).T if sums else np.zeros((3, 0))
             z = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0) + m.bias
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))), pa.array(n)], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))), pa.array(n.astype(np.int64))], schema=SCHEMA)
     return id_text(docs).mapInArrow(run, "doc_id long, score double, n_tokens long")
 
 

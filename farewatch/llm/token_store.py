@@ -25,12 +25,16 @@ inside a text are encoded as the tokenizer does; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +43,11 @@ from .common import read_table, scratch_path
 
 END_ID = 1                   # fixed value of the contract
 BLOCK_TOKENS = 1 << 18
-ROUNDS = 6
+ROUNDS = 5
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
+ENCODE_CHARS = 4_000_000     # texts encoded at a time
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -58,16 +63,17 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
     """Re-Pair of one id sequence; ``last`` marks each document's last id.
 
     Returns (sequence, rules as rows (left, right), last marks of the sequence)."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     top = terminals
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 20 | seq[1:]) if top < 1 << 20 else seq[:-1] * top + seq[1:]
-        key[last[:-1]] = -1
-        s = np.sort(key)
-        s = s[np.searchsorted(s, 0):]
+        # 32-bit keys sort fastest; symbols beyond 16 bits take 64
+        bits, kind = (16, np.uint32) if top <= 1 << 16 else (32, np.uint64)
+        key = (seq[:-1].astype(kind) << kind(bits)) | seq[1:].astype(kind)
+        inside = ~last[:-1]
+        s = np.sort(key[inside])
         if not len(s):
             break
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -78,18 +84,19 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
         if len(often) > per_round:
             often = often[np.argsort(-count[often], kind="stable")[:per_round]]
         chosen = np.sort(s[edge[often]])
-        # a cheap test on each side before the exact one
-        left, right = (chosen >> 20, chosen & ((1 << 20) - 1)) if top < 1 << 20 else (chosen // top, chosen % top)
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        which = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        ok = chosen[which] == key[at]
-        at, which = at[ok], which[ok]
+        # positions of chosen pairs through a table of 2^16 slots; of pairs that share a slot one
+        # is replaced now, the others in a later round
+        mult, shift = (kind(0x9E3779B1), kind(16)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(48))
+        table = np.zeros(1 << 16, np.int16 if len(chosen) < 1 << 15 else np.int64)
+        table[(chosen * mult) >> shift] = np.arange(len(chosen))
+        which = table[(key * mult) >> shift]
+        at = np.flatnonzero((chosen[which] == key) & inside)
+        which = which[at].astype(np.int64)
+        left, right = (chosen >> kind(bits)).astype(np.int64), (chosen & kind((1 << bits) - 1)).astype(np.int64)
         # overlapping occurrences: every second one of a run, from the left
         new_run = np.concatenate([[True], np.diff(at) != 1])
-        first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
+        order = np.arange(len(at))
+        take = (order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0
         at, which = at[take], which[take]
         uses = np.bincount(which, minlength=len(chosen))
         used = np.flatnonzero(uses >= 2)
@@ -107,7 +114,7 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         top += len(used)
-    return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), last
+    return seq.astype(np.int64), (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), last
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -171,9 +178,20 @@ class Block:
 _ENCODER: dict = {}
 
 
+# fixed value: the pre-tokenizer of the word tokenizer whose pieces the short cuts rely on
+LETTER_RUNS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+# words that are one run of Latin letters and then punctuation other than the apostrophe: the
+# tokenizer lower-cases them and cuts them in just these two pieces
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Encoder:
-    """Whole texts to id bytes. Words between ASCII white space encode independently in this
-    tokenizer, so distinct words are encoded once and kept in a bounded memo."""
+    """Whole texts to ids. Words between ASCII white space encode independently in this
+    tokenizer, so the words of a batch are made distinct first (Arrow's dictionary), each new
+    one is encoded once, and the texts' ids are gathered. The memo of words is bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,20 +199,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.terminals < 1 << 16 else np.dtype("<u4")
-        self.memo: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            kind = self.kind
-            memo.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, found, strict=True))
-        return b"".join(map(memo.__getitem__, words))
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        # the short cuts hold for a tokenizer that lower-cases and cuts letter runs from
+        # punctuation; any other one encodes every distinct word in full
+        self.simple = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == LETTER_RUNS
+        self._reset()
+
+    def _reset(self):
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+        self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Id bytes per text. Lower-case ASCII letter runs need neither normalising nor cutting
+        and go straight to the tokenizer's model."""
+        kind, model = self.kind, self.tokenizer.model
+        out = [b""] * len(texts)
+        rest = []
+        for k, t in enumerate(texts):
+            if self.simple and t.isascii() and t.isalpha() and t.islower():
+                out[k] = array(self.code, [x.id for x in model.tokenize(t)]).tobytes()
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, kind).tobytes()
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        pieces, cut, todo = self.pieces, [], {}
+        for w in new:
+            m = _SIMPLE.fullmatch(w) if self.simple else None
+            pair = (m[1].lower(), m[2]) if m else (w, "")
+            cut.append(pair)
+            for p in pair:
+                if p not in pieces:
+                    todo[p] = None
+        todo.pop("", None)
+        pieces[""] = b""
+        pieces.update(zip(todo, self._encode(list(todo)), strict=True))
+        got = [pieces[a] + pieces[b] for a, b in cut]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        data = np.frombuffer(b"".join(got), self.kind)
+        n, first = len(self.words), self.used
+        if first + len(data) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:first], np.zeros(first + 2 * len(data), self.kind)])
+        if n + len(new) > len(self.start):
+            room = np.zeros(n + 2 * len(new), np.int32)
+            self.start, self.size = np.concatenate([self.start[:n], room]), np.concatenate([self.size[:n], room])
+        self.flat[first:first + len(data)] = data
+        self.used += len(data)
+        self.size[n:n + len(new)] = sizes
+        self.start[n:n + len(new)] = first + np.cumsum(sizes) - sizes
+        self.words.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, ids per text)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        per_text = lists.value_lengths().to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.words) + len(distinct) > MEMO_WORDS:
+            self._reset()
+        place = list(map(self.words.get, distinct))
+        if None in place:
+            self._learn([w for w, k in zip(distinct, place, strict=True) if k is None])
+            place = list(map(self.words.get, distinct))
+        word = np.array(place, np.int32)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int32)
+        n = self.size[word]
+        end = np.cumsum(n, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        at = np.arange(total)
+        at += np.repeat(self.start[word] - (end - n), n)
+        ids = self.flat[at]
+        upto = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(per_text)])]
+        return ids, np.diff(upto)
 
 
 BLOCK_SCHEMA = pa.schema([
@@ -206,10 +285,10 @@ BLOCK_DDL = ("part int, block int, local_start long, n_tokens long, terminals in
              "sequence binary, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>")
 
 
-def make_block(doc_ids: list, chunks: list[bytes], kind: np.dtype, terminals: int) -> dict:
-    """Columns of one block row from the documents' id bytes (end ids included)."""
-    ids = np.frombuffer(b"".join(chunks), kind)
-    n = np.array([len(c) // kind.itemsize for c in chunks], np.int64)
+def make_block(doc_ids: list, chunks: list[np.ndarray], kind: np.dtype, terminals: int) -> dict:
+    """Columns of one block row from the documents' ids (end ids included)."""
+    ids = np.concatenate(chunks)
+    n = np.array([len(c) for c in chunks], np.int64)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(n) - 1] = True
     seq, rules, last = compress(ids, last, terminals)
@@ -234,10 +313,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             _ENCODER.clear()
             _ENCODER[tokenizer] = Encoder(tokenizer)
         enc: Encoder = _ENCODER[tokenizer]
-        stop = np.array([end_id], enc.kind).tobytes()
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids: list = []
-        chunks: list[bytes] = []
+        chunks: list[np.ndarray] = []
         held = 0
 
         def flush():
@@ -247,13 +325,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             ids, chunks, held = [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc(text) + stop
-                ids.append(doc_id)
-                chunks.append(data)
-                held += len(data) // enc.kind.itemsize
-                if held >= block_tokens:
-                    yield flush()
+            doc_ids, sizes = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // ENCODE_CHARS)) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                flat, n = enc(b.column(1).slice(a, e - a))
+                at = 0
+                for doc_id, k in zip(doc_ids[a:e], n.tolist(), strict=True):
+                    ids.append(doc_id)
+                    chunks.append(np.append(flat[at:at + k], np.array(end_id, enc.kind)))
+                    at += k
+                    held += k + 1
+                    if held >= block_tokens:
+                        yield flush()
         if ids:
             yield flush()
     ordered.mapInArrow(run, BLOCK_DDL).write.parquet(path)

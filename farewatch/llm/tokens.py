@@ -6,69 +6,92 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE_CHARS = 1_000_000     # longer texts are cut at white space for memory, and their pieces summed
-BATCH_CHARS = 1_500_000     # texts gathered before the next vectorised step
-
-
-def pieces(text: str | None, size: int = PIECE_CHARS) -> Iterator[str]:
-    """The whole text in consecutive pieces that end at white space (or at the end of a token
-    longer than ``size``, which stays whole)."""
-    if not text:
-        return
-    at, n = 0, len(text)
-    while n - at > size:
-        cut = at + size
-        while cut < n and not text[cut].isspace():
-            cut += 1
-        yield text[at:cut]
-        at = cut
-    if at < n:
-        yield text[at:]
-
-
-def batches_of(texts: list, chars: int = BATCH_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """(document number, piece) lists of about ``chars`` characters."""
-    where, parts, n = [], [], 0
-    for k, t in enumerate(texts):
-        for p in pieces(t):
-            where.append(k)
-            parts.append(p)
-            n += len(p)
-            if n >= chars:
-                yield where, parts
-                where, parts, n = [], [], 0
-    if parts:
-        yield where, parts
+SLICE_CHARS = 4_000_000     # text made into words at a time
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words between ASCII white space, as ``split_words`` cuts them."""
+    return [w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "replace").split()]
+
+
+def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of about ``chars`` characters; whole texts only."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cut = (np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // chars)) + 1).tolist()
+    for a, e in zip([0, *cut], [*cut, len(texts)], strict=True):
+        if e > a:
+            yield a, texts.slice(a, e - a)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Words per text, and all words as a dictionary array (empty words stand at the edges of
+    texts that begin or end with white space)."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
 
 
 class TokenMemo:
-    """Rows of numbers per token: ``compute(tokens)`` gives a (tokens x width) array. Holds at
-    most about ``limit`` tokens and starts anew when full, so memory is bounded."""
+    """Rows of numbers per distinct word: ``compute(words)`` gives a (words x width) array. Holds
+    at most about ``limit`` words and starts anew when full, so memory is bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 600_000):
         self.compute, self.limit = compute, limit
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
-    def indices(self, lists: list[list[str]]) -> list[np.ndarray]:
-        new = set().union(*lists) - self.known.keys()
-        if len(self.known) + len(new) > self.limit and self.known:
+    def places(self, distinct: list[str]) -> np.ndarray:
+        """Row number of each of the distinct words."""
+        if len(self.known) + len(distinct) > self.limit and self.known:
             self.known, self.rows = {}, None
-            new = set().union(*lists)
-        if new:
-            todo = list(new)
+        at = list(map(self.known.get, distinct))
+        if None in at:
+            todo = [w for w, k in zip(distinct, at, strict=True) if k is None]
             rows = self.compute(todo)
             start = len(self.known)
             self.known.update(zip(todo, range(start, start + len(todo)), strict=True))
             if self.rows is None or start + len(todo) > len(self.rows):
-                grown = np.zeros((max(2 * (start + len(todo)), 4096), rows.shape[1]), rows.dtype)
+                grown = np.zeros((2 * (start + len(todo)), rows.shape[1]), rows.dtype)
                 if self.rows is not None:
                     grown[:start] = self.rows[:start]
                 self.rows = grown
             self.rows[start:start + len(todo)] = rows
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in lists]
+            at = list(map(self.known.get, distinct))
+        return np.array(at, np.int64)
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row number of every word of all texts, words per text), without empty words."""
+        per_text, coded = split_words(texts)
+        distinct = coded.dictionary.to_pylist()
+        if not distinct:
+            return np.zeros(0, np.int64), per_text
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        if "" in distinct:
+            real = index != distinct.index("")
+            per_text = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(per_text)])])
+            index = index[real]
+        return self.places(distinct)[index], per_text
+
+
+def sum_rows(memo: TokenMemo, texts: pa.Array) -> np.ndarray:
+    """Sum of the word rows per text (texts x width)."""
+    out = []
+    for _, part in slices(texts):
+        word, n = memo.words(part)
+        end = np.concatenate([[0], np.cumsum(n)])
+        if not len(word):
+            out.append(None)
+            out[-1] = len(part)
+            continue
+        # per column, so no (words x width) array is made
+        cum = np.stack([np.concatenate([[0.0], np.cumsum(memo.rows[word, j])])[end] for j in range(memo.rows.shape[1])], axis=1)
+        out.append(np.diff(cum, axis=0))
+    width = next((x.shape[1] for x in out if not isinstance(x, int)), None)
+    if width is None:
+        width = memo.compute(["x"]).shape[1]
+    return np.concatenate([np.zeros((x, width)) if isinstance(x, int) else x for x in out]) if out else np.zeros((0, width))
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

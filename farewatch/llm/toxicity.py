@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, read_table
-from .tokens import TokenMemo, batches_of, char_ngrams, word_hashes
+from .tokens import TokenMemo, char_ngrams, slices, word_hashes, words_of
 
 SIZES = (4, 5, 6)
 MAX_ROWS = 8000             # bound of the labelled sample; at most half of it toxic
@@ -57,7 +57,7 @@ def token_hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_hashes(text: str | None) -> np.ndarray:
-    tokens = sorted(set((text or "").split()))
+    tokens = sorted(set(words_of(text)))
     return np.unique(token_hashes(tokens)[1]) if tokens else np.zeros(0, np.int64)
 
 
@@ -97,25 +97,24 @@ class Finder:
                 out[k] = len(self.lists)
         return out
 
-    def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Per text: features, their counts, number of words."""
-        marks: list[list] = [[] for _ in texts]
-        words = [0] * len(texts)
-        if len(self.memo.known) == 0:
-            self.lists = []
-        for where, parts in batches_of(texts):
-            for k, idx in zip(where, self.memo.indices([p.split() for p in parts]), strict=True):
-                words[k] += len(idx)
-                m = self.memo.rows[idx, 0] if len(idx) else idx
-                lists, times = np.unique(m[m > 0], return_counts=True)
-                marks[k] += [(self.lists[f - 1], t) for f, t in zip(lists, times, strict=True)]
         out = []
-        for m, n in zip(marks, words, strict=True):
-            if not m:
-                out.append((np.zeros(0, np.int64), np.zeros(0), n))
-                continue
-            u, inv = np.unique(np.concatenate([f for f, _ in m]), return_inverse=True)
-            out.append((u, np.bincount(inv, weights=np.concatenate([np.full(len(f), float(t)) for f, t in m])), n))
+        for _, part in slices(texts):
+            if not self.memo.known:
+                self.lists = []
+            word, per_text = self.memo.words(part)
+            mark = self.memo.rows[word, 0] if len(word) else word
+            at = np.flatnonzero(mark)
+            text = np.repeat(np.arange(len(part)), per_text)[at]
+            stop = np.searchsorted(text, np.arange(len(part) + 1))
+            for k, n in enumerate(per_text.tolist()):
+                own = mark[at[stop[k]:stop[k + 1]]]
+                if not len(own):
+                    out.append((np.zeros(0, np.int64), np.zeros(0), n))
+                    continue
+                u, count = np.unique(np.concatenate([self.lists[f - 1] for f in own.tolist()]), return_counts=True)
+                out.append((u, count.astype(float), n))
         return out
 
 
@@ -223,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         ks, lone = kept.value
         find = Finder(ks)
         for b in batches:
-            found = find(b.column("text").to_pylist())
+            found = find(b.column("text"))
             # share of words with a toxic-only feature: the most frequent such feature's words at least
             share = [c[lone[f]].max(initial=0.0) / max(n, 1) for f, c, n in found]
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +255,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
             _MEMO[id(m)] = (m, Finder(m.keys))
         find = _MEMO[id(m)][1]
         for b in batches:
-            found = find(b.column(1).to_pylist())
+            found = find(b.column(1))
             z = np.array([m.weights[inputs(*x)].sum() if len(x[0]) else 0.0 for x in found])
             above = m.above(z)
             yield pa.RecordBatch.from_arrays(
