@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_rules, mixing, quality, token_store, toxicity
+from . import decontaminate, language_id, line_rules, mixing, ngram_join, quality, token_store, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op4_quality": quality.op4_quality,
     "op6_token_store": token_store.op6_token_store,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
