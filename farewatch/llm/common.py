@@ -61,3 +61,15 @@ def map_rows(batches: Iterable[pa.RecordBatch], schema: pa.Schema, fn) -> Iterat
 def id_text(docs: DataFrame) -> DataFrame:
     """Just (doc_id as long, text as string); other columns never reach the operators."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, where ``keep(texts)`` (an Arrow array of the text
+    column to a boolean array) says so; one pass without a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(b.column(at).cast(pa.string())), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,8 @@ an empty benchmark finds nothing; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import re
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, id_text, map_rows, read_table
+from .common import ALNUM_WORD, filter_rows, id_text, materialise, read_table
 
 WINDOW = 10               # fixed value of the contract
 MAX_PATTERNS = 500_000    # windows per automaton; about 1 kB each in a Python worker
@@ -79,7 +80,6 @@ def scan(words: list[bytes], automaton) -> list[tuple[int, int, int]]:
 
 def word_spans(text: str, wanted: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character offsets in the original text of [first, end) word ranges."""
-    import re
     lower = text.translate({c: c + 32 for c in range(65, 91)})
     at = [m.span() for m in re.finditer(ALNUM_WORD, lower)]
     return [(at[a][0], at[b - 1][1]) for a, b in wanted]
@@ -91,11 +91,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words",
 DDL = "doc_id long, row_key long, n_words long, hits array<int>, items array<string>, spans array<array<int>>"
 
 
-def _scan_block(docs: DataFrame, rows: list, block: int) -> DataFrame:
+def _scan_block(docs: DataFrame, rows: list) -> DataFrame:
     """docs (doc_id, text, row_key) against one block of windows."""
-    patterns = tuple(r["pattern"] for r in rows)
-    key = hashlib.sha1("\n".join(patterns).encode("utf-8", "surrogatepass")).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((key, patterns, [list(r["item_ids"]) for r in rows]))
+    shared = docs.sparkSession.sparkContext.broadcast(_keyed(rows))
 
     def run(batches):
         key, patterns, items = shared.value
@@ -123,6 +121,32 @@ def _scan_block(docs: DataFrame, rows: list, block: int) -> DataFrame:
     return docs.mapInArrow(run, DDL)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                      max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, all columns: one filtering pass
+    per block of windows (one block, unless the benchmark is beyond the bound)."""
+    wins = materialise(benchmark_windows(benchmark, window), "decon-windows")
+    blocks = max(1, -(-wins.count() // max_patterns))
+    for k in range(blocks):
+        rows = wins.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).orderBy("pattern").collect()
+        shared = docs.sparkSession.sparkContext.broadcast(_keyed(rows)[:2])
+
+        def clean(texts, shared=shared):
+            key, patterns = shared.value
+            if not patterns:
+                return [True] * len(texts)
+            automaton = _automaton(key, patterns)
+            return [not scan(words_of(t.as_py()), automaton) for t in texts]
+        docs = filter_rows(docs, clean)
+    return docs
+
+
+def _keyed(rows: list) -> tuple:
+    patterns = tuple(r["pattern"] for r in rows)
+    return (hashlib.sha1("\n".join(patterns).encode("utf-8", "surrogatepass")).hexdigest(), patterns,
+            [list(r["item_ids"]) for r in rows])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """(doc_id, n_words, hits, items, spans, n_hit) per row of ``docs``: hits are flattened
@@ -134,16 +158,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     n_hit = F.when(F.size("hits") > 0, length).otherwise(F.lit(0).cast("long"))
     if n <= max_patterns:
         rows = wins.orderBy("pattern").collect()
-        out = _scan_block(base.withColumn("row_key", F.lit(0).cast("long")), rows, 0)
+        out = _scan_block(base.withColumn("row_key", F.lit(0).cast("long")), rows)
         return out.drop("row_key").withColumn("n_hit", n_hit)
     # beyond the bound: blocks of patterns, each scanning all documents, united per row
-    from functools import reduce
-
-    from .common import materialise
     keyed = materialise(base.withColumn("row_key", F.monotonically_increasing_id()), "decon-docs")
     blocks = -(-n // max_patterns)
     numbered = materialise(wins.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), "decon-windows")
-    parts = [_scan_block(keyed, numbered.where(F.col("block") == b).orderBy("pattern").collect(), b) for b in range(blocks)]
+    parts = [_scan_block(keyed, numbered.where(F.col("block") == b).orderBy("pattern").collect()) for b in range(blocks)]
     found = reduce(DataFrame.unionByName, parts)
     merged = found.groupBy("row_key").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),

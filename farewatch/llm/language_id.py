@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, id_text, materialise, read_table
+from .common import filter_rows, id_bucket, id_text, materialise, read_table
 from .tokens import TokenMemo, code_points, slices, split_words, sum_rows
 
 ORDER = 5
@@ -267,37 +267,46 @@ DDL = "doc_id long, lang_pred string, score double, accepted boolean, bits_per_c
 _MEMO: dict[int, TokenMemo] = {}
 
 
+def _judge(m: Model, texts: pa.Array, slack: float, z: float) -> tuple[list, list, list, list]:
+    """(language, score, accepted, bits per character) of each text."""
+    if id(m) not in _MEMO:                  # the memo holds the model, so the id stays its own
+        _MEMO.clear()
+        _MEMO[id(m)] = TokenMemo(m.bits)
+    total = sum_rows(_MEMO[id(m)], texts) if m.langs else np.zeros((len(texts), 1))
+    n = np.rint(total[:, -1])
+    pred, score, ok, best_bits = [], [], [], []
+    for k in range(len(texts)):
+        if not n[k]:
+            pred.append(UND), score.append(0.0), ok.append(False), best_bits.append(None)
+            continue
+        ce = total[k, :-1] / n[k]
+        j = int(np.argmin(ce))
+        odds = np.exp2(-(ce - ce[j]) * min(n[k], 64.0))
+        pred.append(m.langs[j])
+        score.append(float(1.0 / odds.sum()))
+        ok.append(bool(ce[j] <= m.limit_mean[j] + slack + z * m.limit_sd[j] / np.sqrt(n[k])))
+        best_bits.append(float(ce[j]))
+    return pred, score, ok, best_bits
+
+
 def predict(docs: DataFrame, model: Model, slack: float = SLACK_BITS, z: float = Z) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text); one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m: Model = shared.value
-        langs = m.langs
-        if id(m) not in _MEMO:              # the memo holds the model, so the id stays its own
-            _MEMO.clear()
-            _MEMO[id(m)] = TokenMemo(m.bits)
-        memo = _MEMO[id(m)]
         for b in batches:
-            total = sum_rows(memo, b.column(1)) if langs else np.zeros((b.num_rows, 1))
-            n = total[:, -1]
-            pred, score, ok, best_bits = [], [], [], []
-            for k in range(b.num_rows):
-                if not n[k]:
-                    pred.append(UND), score.append(0.0), ok.append(False), best_bits.append(None)
-                    continue
-                ce = total[k, :-1] / n[k]
-                j = int(np.argmin(ce))
-                odds = np.exp2(-(ce - ce[j]) * min(n[k], 64.0))
-                pred.append(langs[j])
-                score.append(float(1.0 / odds.sum()))
-                ok.append(bool(ce[j] <= m.limit_mean[j] + slack + z * m.limit_sd[j] / np.sqrt(n[k])))
-                best_bits.append(float(ce[j]))
+            pred, score, ok, bits = _judge(shared.value, b.column(1), slack, z)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(ok, pa.bool_()), pa.array(best_bits, pa.float64())], schema=SCHEMA)
+                                              pa.array(ok, pa.bool_()), pa.array(bits, pa.float64())], schema=SCHEMA)
     return id_text(docs).mapInArrow(run, DDL)
 
 
+def keep_accepted(docs: DataFrame, model: Model, slack: float = SLACK_BITS, z: float = Z) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, lambda texts: _judge(shared.value, texts, slack, z)[2])
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """(lang, text) of the rows the contract allows to learn from (a null id is never held out)."""
     held = F.coalesce(id_bucket("doc_id", HELD_MODULUS) == HELD_REST, F.lit(False))

@@ -88,17 +88,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` repeated by the copies that ``mixed`` gives their doc_id (rows of one
-    id, which are exact repeats for the mix only if their sizes agree, share their copies evenly)."""
-    per_id = mixed.groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    d, m = docs.alias("d"), per_id.select(F.col("doc_id").alias("_id"), "_copies", "_rows").alias("m")
-    joined = d.join(m, F.col("d.doc_id").cast("long").eqNullSafe(F.col("m._id")))
-    # a row of a repeated id takes the whole part of an even share; the id's first row the rest
-    first = F.row_number().over(Window.partitionBy("m._id").orderBy(F.lit(0)))
-    n = F.when(F.col("m._rows") == 1, F.col("m._copies")).otherwise(
-        F.floor(F.col("m._copies") / F.col("m._rows"))
-        + F.when(first <= F.col("m._copies") % F.col("m._rows"), 1).otherwise(0))
-    rows = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], n.cast("int").alias("_fw_n")).where("_fw_n > 0")
+    """The rows of ``docs`` repeated by the copies that ``mixed`` gives their doc_id, all columns.
+    Rows of a repeated id share the id's copies evenly, the first ones taking what is over."""
+    per_id = materialise(mixed.groupBy("doc_id").agg(F.sum("copies").alias("_fw_copies"), F.count(F.lit(1)).alias("_fw_rows"))
+                         .where("_fw_copies > 0").withColumnRenamed("doc_id", "_fw_id"), "mix-copies")
+    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    once, often = (docs.alias("d").join(per_id.where(cond), F.col("d.doc_id").cast("long").eqNullSafe(F.col("_fw_id")))
+                   for cond in ("_fw_rows = 1", "_fw_rows > 1"))
+    place = F.row_number().over(Window.partitionBy("_fw_id").orderBy(F.xxhash64("d.text")))
+    share = F.floor(F.col("_fw_copies") / F.col("_fw_rows")) + F.when(place <= F.col("_fw_copies") % F.col("_fw_rows"), 1).otherwise(0)
+    rows = (once.select(*cols, F.col("_fw_copies").cast("int").alias("_fw_n"))
+            .unionByName(often.select(*cols, share.cast("int").alias("_fw_n")).where("_fw_n > 0")))
     return rows.withColumn("_fw_n", F.explode(F.sequence(F.lit(1), F.col("_fw_n")))).drop("_fw_n")
 
 

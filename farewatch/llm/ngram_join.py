@@ -426,5 +426,18 @@ def join(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     return linked.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The rows of ``docs`` with one document of each component, that of the smallest id; all
+    columns. Exact repeats of a row count as one document; rows with a null doc_id stay."""
+    found = materialise(join(docs, block_docs), "join-result")
+    per_id = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("stays"))
+    marked = materialise(per_id.where("not stays or rows > 1").withColumnRenamed("doc_id", "_fw_id"), "join-marked-ids")
+    same = F.col("d.doc_id").cast("long") == F.col("_fw_id")
+    plain = docs.alias("d").join(marked, same, "left_anti")
+    repeated = docs.alias("d").join(marked.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return plain.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read_table(spark, sf_dir, "documents"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_rules, mixing, ngram_join, quality, token_store, toxicity
+from . import decontaminate, html_extract, language_id, line_rules, mixing, ngram_join, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_quality": quality.op4_quality,
+    "op5_pii_surrogates": pii.op5_pii_surrogates,
     "op6_token_store": token_store.op6_token_store,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_line_rules": line_rules.op8_line_rules,
