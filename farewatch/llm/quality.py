@@ -151,29 +151,34 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_tokens"
 _MEMO: dict = {}
 
 
+def _judge(m: Classifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(score, tokens) of each text; the worker's memo of tokens lives as long as the model."""
+    if id(m) not in _MEMO:                  # the memo holds the model, so the id stays its own
+        _MEMO.clear()
+        _MEMO[id(m)] = TokenMemo(m.rows)
+    memo = _MEMO[id(m)]
+    sums = []
+    for _, part in slices(texts):
+        word, per_text = memo.words(part)
+        text = np.repeat(np.arange(len(part)), per_text)
+        rows = memo.rows[word] if len(word) else np.zeros((0, 2))
+        again = np.flatnonzero((word[1:] == word[:-1]) & (text[1:] == text[:-1])) if len(word) else word
+        repeats = np.bincount(text[again], minlength=len(part)) if len(again) else np.zeros(len(part))
+        sums.append(np.stack([np.bincount(text, weights=rows[:, 0], minlength=len(part)) + repeats * m.fold[REPEAT],
+                              np.bincount(text, weights=rows[:, 1], minlength=len(part)) + repeats, per_text.astype(float)], axis=1))
+    total, weight, n = np.concatenate(sums).T if sums else np.zeros((3, 0))
+    z = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0) + m.bias
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))), n.astype(np.int64)
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, score, n_tokens) of every row of ``docs``; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        if id(m) not in _MEMO:              # the memo holds the model, so the id stays its own
-            _MEMO.clear()
-            _MEMO[id(m)] = TokenMemo(m.rows)
-        memo = _MEMO[id(m)]
         for b in batches:
-            sums = []
-            for _, part in slices(b.column(1)):
-                word, per_text = memo.words(part)
-                text = np.repeat(np.arange(len(part)), per_text)
-                rows = memo.rows[word] if len(word) else np.zeros((0, 2))
-                again = np.flatnonzero((word[1:] == word[:-1]) & (text[1:] == text[:-1])) if len(word) else word
-                repeats = np.bincount(text[again], minlength=len(part)) if len(again) else np.zeros(len(part))
-                sums.append(np.stack([np.bincount(text, weights=rows[:, 0], minlength=len(part)) + repeats * m.fold[REPEAT],
-                                      np.bincount(text, weights=rows[:, 1], minlength=len(part)) + repeats, per_text.astype(float)], axis=1))
-            total, weight, n = np.concatenate(sums).T if sums else np.zeros((3, 0))
-            z = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0) + m.bias
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))), pa.array(n.astype(np.int64))], schema=SCHEMA)
+            p, n = _judge(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(n)], schema=SCHEMA)
     return id_text(docs).mapInArrow(run, "doc_id long, score double, n_tokens long")
 
 

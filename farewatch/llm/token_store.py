@@ -31,6 +31,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +176,6 @@ class Block:
 
 # ---------------------------------------------------------------- writing and reading
 
-_ENCODER: dict = {}
-
 
 # fixed value: the pre-tokenizer of the word tokenizer whose pieces the short cuts rely on
 LETTER_RUNS = {"type": "Sequence", "pretokenizers": [
@@ -276,6 +275,12 @@ class Encoder:
         return ids, np.diff(upto)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder, with its memo, per worker process."""
+    return Encoder(path)
+
+
 BLOCK_SCHEMA = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()),
     ("terminals", pa.int32()), ("width", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()),
@@ -309,10 +314,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ordered = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODER:
-            _ENCODER.clear()
-            _ENCODER[tokenizer] = Encoder(tokenizer)
-        enc: Encoder = _ENCODER[tokenizer]
+        enc = encoder(tokenizer)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         chunks: list[np.ndarray] = []

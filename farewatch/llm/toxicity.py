@@ -241,7 +241,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()),
                     ("p_toxic", pa.float64()), ("toxic", pa.bool_())])
 DDL = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
-_MEMO: dict = {}
+_FINDER: dict = {}
+
+
+def _strength(m: Ordinal, texts: pa.Array) -> np.ndarray:
+    """w . x of each text; the worker's memo of tokens lives as long as the model."""
+    if id(m) not in _FINDER:                # the pair holds the model, so the id stays its own
+        _FINDER.clear()
+        _FINDER[id(m)] = (m, Finder(m.keys))
+    return np.array([m.weights[inputs(*x)].sum() if len(x[0]) else 0.0 for x in _FINDER[id(m)][1](texts)])
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -249,15 +257,8 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m: Ordinal = shared.value
-        if id(m) not in _MEMO:
-            _MEMO.clear()
-            _MEMO[id(m)] = (m, Finder(m.keys))
-        find = _MEMO[id(m)][1]
         for b in batches:
-            found = find(b.column(1))
-            z = np.array([m.weights[inputs(*x)].sum() if len(x[0]) else 0.0 for x in found])
-            above = m.above(z)
+            above = shared.value.above(_strength(shared.value, b.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32)),
                  pa.array(above[:, 0].copy()), pa.array(above[:, 0] >= 0.5)], schema=SCHEMA)
