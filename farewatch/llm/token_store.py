@@ -32,6 +32,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,9 @@ BLOCK_TOKENS = 1 << 18
 ROUNDS = 5
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
-MEMO_WORDS = 700_000
-ENCODE_CHARS = 4_000_000     # texts encoded at a time
+MEMO_WORDS = 600_000
+MEMO_PIECES = 600_000
+ENCODE_CHARS = 8_000_000     # texts encoded at a time
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -182,9 +184,20 @@ LETTER_RUNS = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
+def _byte_alphabet() -> dict:
+    """The usual byte-level alphabet: printable bytes stand for themselves, the others for the
+    characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+
 # words that are one run of Latin letters and then punctuation other than the apostrophe: the
 # tokenizer lower-cases them and cuts them in just these two pieces
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Encoder:
@@ -201,43 +214,50 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         # the short cuts hold for a tokenizer that lower-cases and cuts letter runs from
         # punctuation; any other one encodes every distinct word in full
+        self.pieces: dict[str, bytes] = {}
         self.simple = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == LETTER_RUNS
         self._reset()
 
     def _reset(self):
+        """Forget the words; their pieces, which are fewer, stay until they fill the memo too."""
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {}
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces = {}
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes per text. Lower-case ASCII letter runs need neither normalising nor cutting
-        and go straight to the tokenizer's model."""
-        kind, model = self.kind, self.tokenizer.model
-        out = [b""] * len(texts)
-        rest = []
-        for k, t in enumerate(texts):
-            if self.simple and t.isascii() and t.isalpha() and t.islower():
-                out[k] = array(self.code, [x.id for x in model.tokenize(t)]).tobytes()
-            else:
-                rest.append(k)
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, kind).tobytes()
-        return out
+        """Id bytes per text."""
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Id bytes of lower-case Latin letter runs: they need neither normalising nor cutting and
+        go straight to the tokenizer's model, in the byte alphabet its last pre-tokenizer makes."""
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        return [array(code, [x.id for x in tokenize(r if r.isascii() else r.encode().decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
+                for r in runs]
 
     def _learn(self, new: list[str]) -> None:
-        pieces, cut, todo = self.pieces, [], {}
-        for w in new:
-            m = _SIMPLE.fullmatch(w) if self.simple else None
-            pair = (m[1].lower(), m[2]) if m else (w, "")
-            cut.append(pair)
-            for p in pair:
-                if p not in pieces:
-                    todo[p] = None
-        todo.pop("", None)
+        pieces, cut, runs, rest = self.pieces, [], {}, {}
         pieces[""] = b""
-        pieces.update(zip(todo, self._encode(list(todo)), strict=True))
-        got = [pieces[a] + pieces[b] for a, b in cut]
+        for w in new:
+            a = w.rstrip(_PUNCTUATION)
+            if self.simple and (a.isalpha() and a.isascii() or _LATIN.fullmatch(a)):
+                b = w[len(a):]
+                a = a.lower()
+                if a not in pieces:
+                    runs[a] = None
+            else:
+                a, b = w, ""
+                if a not in pieces:
+                    rest[a] = None
+            if b and b not in pieces:
+                rest[b] = None
+            cut.append((a, b))
+        pieces.update(zip(runs, self._encode_runs(list(runs)), strict=True))
+        pieces.update(zip(rest, self._encode(list(rest)), strict=True))
+        got = [pieces[a] + pieces[b] if b else pieces[a] for a, b in cut]
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
         data = np.frombuffer(b"".join(got), self.kind)
         n, first = len(self.words), self.used
@@ -257,14 +277,15 @@ class Encoder:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) + len(distinct) > MEMO_WORDS:
             self._reset()
-        place = list(map(self.words.get, distinct))
-        if None in place:
-            self._learn([w for w, k in zip(distinct, place, strict=True) if k is None])
-            place = list(map(self.words.get, distinct))
-        word = np.array(place, np.int32)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int32)
+        place = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int32, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.words) + np.arange(len(new))
+            self._learn([distinct[k] for k in new.tolist()])
+        word = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int32)
         n = self.size[word]
         end = np.cumsum(n, dtype=np.int64)
         total = int(end[-1]) if len(end) else 0
@@ -348,10 +369,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``start``: ids of all blocks before them."""
     blocks = spark.read.schema(BLOCK_DDL).parquet(path)
-    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_n"))       # one row per part
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_n"))       # one row per write task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.select("part", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    return blocks.join(parts, "part").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
+    # broadcast: two numbers per task of the write, which the scheduler itself holds in the driver
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ worker (vectorised over many tokens), documents then gather the rows of their to
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,13 @@ class TokenMemo:
         """Row number of each of the distinct words."""
         if len(self.known) + len(distinct) > self.limit and self.known:
             self.known, self.rows = {}, None
-        at = list(map(self.known.get, distinct))
-        if None in at:
-            todo = [w for w, k in zip(distinct, at, strict=True) if k is None]
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            todo = [distinct[k] for k in new.tolist()]
             rows = self.compute(todo)
             start = len(self.known)
+            at[new] = start + np.arange(len(new))
             self.known.update(zip(todo, range(start, start + len(todo)), strict=True))
             if self.rows is None or start + len(todo) > len(self.rows):
                 grown = np.zeros((2 * (start + len(todo)), rows.shape[1]), rows.dtype)
@@ -58,13 +61,12 @@ class TokenMemo:
                     grown[:start] = self.rows[:start]
                 self.rows = grown
             self.rows[start:start + len(todo)] = rows
-            at = list(map(self.known.get, distinct))
-        return np.array(at, np.int64)
+        return at
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row number of every word of all texts, words per text), without empty words."""
         per_text, coded = split_words(texts)
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if not distinct:
             return np.zeros(0, np.int64), per_text
         index = coded.indices.to_numpy(zero_copy_only=False)
