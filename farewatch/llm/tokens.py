@@ -137,7 +137,7 @@ def char_ngrams(words: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, n
 def word_hashes(words: list[str], salt: int = 0) -> np.ndarray:
     """64-bit hash per word (polynomial over its code points)."""
     cp, owner = code_points(words)
-    owner = np.minimum(owner, len(words) - 1)
+    cp, owner = cp[:-1], owner[:-1]                         # without the last space: every word is " word"
     start = np.searchsorted(owner, np.arange(len(words)))
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(np.max(np.diff(np.append(start, len(cp))))), _MULT)]))
     pos = np.arange(len(cp)) - start[owner]
