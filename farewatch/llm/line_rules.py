@@ -24,6 +24,7 @@ MIN_WORDS = 50          # fixed value: base check
 MAX_REPEAT_PCT = 50     # fixed value: base check
 MAX_LOSS = 0.5          # share of a document's line characters that the line rules may remove
 MAX_SYMBOL_RATIO = 0.06  # symbols per character of a line
+MIN_SYMBOLS = 3         # ... and at least so many
 MIN_BARE_WORDS = 10     # a line without end punctuation and fewer words is a heading or menu entry
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -44,7 +45,7 @@ DDL = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 def line_fails(line: str) -> bool:
     """One stripped, non-empty line against the line rules."""
     words = line.split()
-    if len(SYMBOLS.findall(line)) > MAX_SYMBOL_RATIO * len(line):
+    if len(SYMBOLS.findall(line)) > max(MAX_SYMBOL_RATIO * len(line), MIN_SYMBOLS - 1):
         return True                                       # symbol noise
     if len(words) >= 4 and len(SEPARATOR.findall(line)) * 4 >= len(words):
         return True                                       # menu or table row: every 4th word a separator
@@ -137,7 +138,7 @@ ln AS (SELECT rid, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]
        FROM (SELECT rid, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d)),
 lr AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS lw FROM ln WHERE body <> ''),
 lf AS (SELECT rid, nth, length(body) AS n,
-         (len(regexp_extract_all(body, '[#*$%&|<>]')) > 0.06 * length(body)
+         (len(regexp_extract_all(body, '[#*$%&|<>]')) > greatest(0.06 * length(body), 2)
           OR (len(lw) >= 4 AND 4 * len(list_filter(lw, lambda x: x IN ('|', '»', '>', '/', '•', '·', '–', '-'))) >= len(lw))
           OR regexp_matches(lower(body), 'lorem ipsum|javascript|cookie policy|use cookies|privacy policy|terms of (?:use|service)|all rights reserved|sign up now|log ?in to|subscribe to our|click here|read more\b')
           OR (len(lw) >= 4 AND NOT regexp_matches(body, '\p{Ll}') AND regexp_matches(body, '\p{Lu}'))

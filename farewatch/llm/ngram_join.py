@@ -46,7 +46,7 @@ from .tokens import mix64, slices, split_words, word_hashes
 
 SHINGLE = 5                 # fixed values of the contract
 PERCENT = 80
-FLUSH_SHINGLES = 2_000_000  # shingles per batch of documents
+FLUSH_SHINGLES = 600_000    # shingles per batch of documents; about 100 bytes each in a worker
 FLUSH_DOCS = 60_000         # numbered with 16 bits inside a batch
 LOW_BITS = 48
 MAX_LEVEL = 8

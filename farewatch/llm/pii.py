@@ -149,13 +149,21 @@ def _classes(s: str, draw) -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The normal form that replaces (kind, norm)."""
-    draw = _Stream(key, kind, norm, attempt).below
+    """The normal form that replaces (kind, norm), another one for every attempt; never itself."""
+    for again in range(100):
+        new = _draw(key, kind, norm, attempt, _Stream(key, kind, norm, 1000 * again + attempt).below)
+        if new != norm:
+            return new
+    raise ValueError(f"no surrogate for a {kind}")
+
+
+def _draw(key: bytes, kind: str, norm: str, attempt: int, draw) -> str:
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
         keep = 2 if len(labels) > 2 else 1
-        own = [_classes(x, _Stream(key, "domain", x, 0).below) for x in labels[:-keep]] if attempt == 0 else [_classes(x, draw) for x in labels[:-keep]]
+        # one domain stays one domain, unless the whole address collides
+        own = [_classes(x, draw if attempt else _Stream(key, "domain", x, 0).below) for x in labels[:-keep]]
         return _classes(local, draw) + "@" + ".".join(own + labels[-keep:])
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm):

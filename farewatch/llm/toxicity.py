@@ -33,6 +33,8 @@ from .tokens import TokenMemo, char_ngrams, slices, word_hashes, words_of
 SIZES = (4, 5, 6)
 MAX_ROWS = 8000             # bound of the labelled sample; at most half of it toxic
 MAX_FEATURES = 1500
+MIN_LIFT = 2.0              # a feature is so much more frequent in toxic texts ...
+MIN_G2 = 20.0               # ... and its log-likelihood ratio statistic this large
 LEVELS = (1, 2, 4)          # occurrences of a feature in a text ...
 SHARES = (0.004, 0.01, 0.02)  # ... and per word; each level reached is a 0/1 input
 N_LEVELS = len(LEVELS) + len(SHARES)
@@ -69,7 +71,9 @@ class Ordinal:
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) per text and threshold."""
-        return 1.0 / (1.0 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -500, 500)))
+        p = 1.0 / (1.0 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -500, 500)))
+        p[:, np.isinf(self.thresholds)] = 0.0
+        return p
 
 
 def inputs(feature: np.ndarray, count: np.ndarray, n_words: int) -> np.ndarray:
@@ -107,14 +111,20 @@ class Finder:
             mark = self.memo.rows[word, 0] if len(word) else word
             at = np.flatnonzero(mark)
             text = np.repeat(np.arange(len(part)), per_text)[at]
-            stop = np.searchsorted(text, np.arange(len(part) + 1))
-            for k, n in enumerate(per_text.tolist()):
-                own = mark[at[stop[k]:stop[k + 1]]]
-                if not len(own):
-                    out.append((np.zeros(0, np.int64), np.zeros(0), n))
-                    continue
-                u, count = np.unique(np.concatenate([self.lists[f - 1] for f in own.tolist()]), return_counts=True)
-                out.append((u, count.astype(float), n))
+            if not len(at):
+                out += [(np.zeros(0, np.int64), np.zeros(0), n) for n in per_text.tolist()]
+                continue
+            # (text, feature) pairs of all marked words of the slice, counted at once
+            used, which = np.unique(mark[at], return_inverse=True)
+            lists = [self.lists[k - 1] for k in used.tolist()]
+            size = np.array([len(x) for x in lists])
+            flat, start = np.concatenate(lists), np.cumsum(size) - size
+            n = size[which]
+            feature = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            pair, count = np.unique(np.repeat(text, n) * len(self.keys) + feature, return_counts=True)
+            stop = np.searchsorted(pair, np.arange(len(part) + 1) * len(self.keys))
+            out += [(pair[a:e] % len(self.keys), count[a:e].astype(float), w)
+                    for a, e, w in zip(stop[:-1].tolist(), stop[1:].tolist(), per_text.tolist(), strict=True)]
         return out
 
 
@@ -209,9 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         q = np.clip(q, 1e-12, 1 - 1e-12)
         return k * np.log(q) + (n - k) * np.log(1 - q)
     g2 = 2 * (ll(pos, n1, p1) + ll(neg, n0, p0) - ll(pos, n1, p) - ll(neg, n0, p))
-    strong = np.flatnonzero((p1 > p0) & (g2 > 20.0))
+    strong = np.flatnonzero((p1 > MIN_LIFT * p0) & (g2 > MIN_G2))
     if not len(strong):                      # tiny samples: the best there is
-        strong = np.flatnonzero(p1 > p0)
+        strong = np.flatnonzero(p1 > MIN_LIFT * p0)
     strong = np.sort(strong[np.lexsort((keys[strong], -g2[strong]))[:max_features]])
     if not len(strong):
         return none
