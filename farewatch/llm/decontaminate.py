@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache, reduce
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, filter_rows, id_text, materialise, read_table
+from .tokens import held
 
 WINDOW = 10               # fixed value of the contract
 MAX_PATTERNS = 500_000    # windows per automaton; about 1 kB each in a Python worker
@@ -57,9 +58,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
-@lru_cache(maxsize=2)
 def _automaton(key: str, patterns: tuple):
-    """One automaton per worker process and pattern block; bytes are mapped to Latin-1 characters."""
+    """One automaton per worker process and pattern block."""
+    return held("automaton", key, lambda: build(patterns))
+
+
+def build(patterns: tuple):
+    """The automaton of some windows; bytes are mapped to Latin-1 characters."""
     a = ahocorasick.Automaton()
     for k, p in enumerate(patterns):
         a.add_word(f" {p.encode('utf-8', 'surrogatepass').decode('latin-1')} ", (k, p.count(" ") + 1))

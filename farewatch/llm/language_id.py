@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filter_rows, id_bucket, id_text, materialise, read_table
-from .tokens import TokenMemo, code_points, slices, split_words, sum_rows
+from .tokens import TokenMemo, code_points, held, slices, split_words, sum_rows
 
 ORDER = 5
 BITS = 12
@@ -100,7 +100,8 @@ def _count(words: Counter, lang: str):
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, ord, gram, n): raw counts of the highest order at each position of every text."""
     def run(batches):
-        held: dict[str, Counter] = {}
+        held("counts", 0, lambda: None)
+        seen: dict[str, Counter] = {}
         size = 0
         for b in batches:
             langs = b.column(0).to_pylist()
@@ -113,16 +114,16 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 count = np.bincount(lang * len(words) + coded.indices.to_numpy(zero_copy_only=False), minlength=len(names) * len(words))
                 for j, name in enumerate(names):
                     own = count[j * len(words):(j + 1) * len(words)]
-                    into = held.setdefault(name, Counter())
+                    into = seen.setdefault(name, Counter())
                     for k in np.flatnonzero(own).tolist():
                         into[words[k]] += int(own[k])
-                size = sum(map(len, held.values()))
+                size = sum(map(len, seen.values()))
                 if size > FLUSH_WORDS:
-                    for lang, words in held.items():
+                    for lang, words in seen.items():
                         if (out := _count(words, lang)) is not None:
                             yield out
-                    held = {}
-        for lang, words in held.items():
+                    seen = {}
+        for lang, words in seen.items():
             if (out := _count(words, lang)) is not None:
                 yield out
     raw = labelled.select("lang", "text").mapInArrow(run, "lang string, ord int, gram long, n long")
@@ -264,15 +265,12 @@ def _calibrate(model: Model, raw: DataFrame, min_share: float, stat: dict) -> No
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                     ("accepted", pa.bool_()), ("bits_per_char", pa.float64())])
 DDL = "doc_id long, lang_pred string, score double, accepted boolean, bits_per_char double"
-_MEMO: dict[int, TokenMemo] = {}
 
 
 def _judge(m: Model, texts: pa.Array, slack: float, z: float) -> tuple[list, list, list, list]:
     """(language, score, accepted, bits per character) of each text."""
-    if id(m) not in _MEMO:                  # the memo holds the model, so the id stays its own
-        _MEMO.clear()
-        _MEMO[id(m)] = TokenMemo(m.bits)
-    total = sum_rows(_MEMO[id(m)], texts) if m.langs else np.zeros((len(texts), 1))
+    memo = held("language", id(m), lambda: TokenMemo(m.bits))           # it holds the model
+    total = sum_rows(memo, texts) if m.langs else np.zeros((len(texts), 1))
     n = np.rint(total[:, -1])
     pred, score, ok, best_bits = [], [], [], []
     for k in range(len(texts)):

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise, read_table
 from .graph import components
-from .tokens import mix64, slices, split_words, word_hashes
+from .tokens import held, mix64, slices, split_words, word_hashes
 
 SHINGLE = 5                 # fixed values of the contract
 PERCENT = 80
@@ -153,10 +153,10 @@ def _batch_rows(uid: int, ids: list, sets: list, bits: int) -> list:
 
 # ------------------------------------------------------------------ frequencies
 
-def _frequencies(held: dict) -> list:
+def _frequencies(buckets: dict) -> list:
     """Buckets' sums: per bucket and batch the frequencies of 2 and more."""
     out = []
-    for key, rows in held.items():
+    for key, rows in buckets.items():
         singles, multis = [_unsix(p[0]) for _, p in rows], [_unsix(p[2]) for _, p in rows]
         token = np.concatenate(singles + multis)
         weight = np.concatenate([np.ones(sum(map(len, singles)), np.int64), *[np.frombuffer(p[3], "<u4").astype(np.int64) for _, p in rows]])
@@ -229,6 +229,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     bits = min(max((parts - 1).bit_length(), 6), 15)
 
     def shingle(batches):
+        held("join", 0, lambda: None)
         part, flush, ids, sets, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             doc_ids = b.column(0).to_pylist()
@@ -245,24 +246,24 @@ def shingled(docs: DataFrame) -> DataFrame:
             yield _rows(_batch_rows(part << 24 | flush, ids, sets, bits))
 
     def count(batches):
-        held: dict = {}
+        buckets: dict = {}
         for b in batches:
             for key, uid, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key >= 1 << bits:
                     yield _rows([(key, uid, p)])
                 else:
-                    held.setdefault(key, []).append((uid, p))
-        for key in list(held):
-            if rows := _frequencies({key: held.pop(key)}):
+                    buckets.setdefault(key, []).append((uid, p))
+        for key in list(buckets):
+            if rows := _frequencies({key: buckets.pop(key)}):
                 yield _rows(rows)
 
     def assemble(batches):
-        held: dict = {}
+        parts: dict = {}
         for b in batches:
             for key, uid, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(uid, []).append((key, p))
-        for uid in list(held):
-            yield _documents(held.pop(uid), bits)
+                parts.setdefault(uid, []).append((key, p))
+        for uid in list(parts):
+            yield _documents(parts.pop(uid), bits)
 
     sent = id_text(docs).mapInArrow(shingle, ROW_DDL).repartition("key")
     counted = sent.mapInArrow(count, ROW_DDL).repartition("uid")
@@ -318,16 +319,16 @@ def _link_tasks(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        held: dict = {}
+        tasks: dict = {}
         for b in batches:
             cols = {c: b.column(c) for c in b.schema.names}
             task = cols["task"].to_pylist()
             tokens = cols["tokens"].to_pandas() if b.num_rows else []
             rest = [cols[c].to_pylist() for c in ("node", "n", "own", "level", "label", "query")]
             for k, t in enumerate(task):
-                held.setdefault(t, {}).setdefault(rest[0][k], (*(r[k] for r in rest), np.asarray(tokens[k], np.int64)))
-        for t in list(held):
-            nodes = sorted(held.pop(t).values(), key=lambda r: (r[1], r[0]))
+                tasks.setdefault(t, {}).setdefault(rest[0][k], (*(r[k] for r in rest), np.asarray(tokens[k], np.int64)))
+        for t in list(tasks):
+            nodes = sorted(tasks.pop(t).values(), key=lambda r: (r[1], r[0]))
             if len(nodes) < 2:
                 continue
             node, n, own, level, label, query, tokens = zip(*nodes, strict=True)
@@ -401,9 +402,9 @@ def join(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     # joined again, so they are harmless
     nodes = materialise(one.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     base = F.expr(f"slice(tokens, 1, greatest(n - cast(ceil({PERCENT} * n / 100) as int) + 1 - own, 0))")
-    held = nodes.select("node", F.explode(base).alias("token"))
-    least = held.groupBy("token").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t"), "m")
-    weak = held.join(least, held["token"] == least["t"]).select(F.col("node").alias("a"), F.col("m").alias("b"))
+    listed = nodes.select("node", F.explode(base).alias("token"))
+    least = listed.groupBy("token").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t"), "m")
+    weak = listed.join(least, listed["token"] == least["t"]).select(F.col("node").alias("a"), F.col("m").alias("b"))
     blocks = materialise(components(weak, "join-weak").select("node", F.col("root").alias("block")), "join-blocks")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     placed = nodes.select(*NODE_COLUMNS).join(blocks, "node").join(sizes, "block")

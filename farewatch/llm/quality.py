@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, id_text, read_table
-from .tokens import TokenMemo, char_ngrams, slices, word_hashes, words_of
+from .tokens import TokenMemo, char_ngrams, held, slices, word_hashes, words_of
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -148,15 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **kw) ->
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_tokens", pa.int64())])
-_MEMO: dict = {}
-
 
 def _judge(m: Classifier, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(score, tokens) of each text; the worker's memo of tokens lives as long as the model."""
-    if id(m) not in _MEMO:                  # the memo holds the model, so the id stays its own
-        _MEMO.clear()
-        _MEMO[id(m)] = TokenMemo(m.rows)
-    memo = _MEMO[id(m)]
+    memo = held("quality", id(m), lambda: TokenMemo(m.rows))            # it holds the model
     sums = []
     for _, part in slices(texts):
         word, per_text = memo.words(part)

@@ -31,7 +31,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -42,14 +41,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, scratch_path
+from .tokens import held
 
 END_ID = 1                   # fixed value of the contract
 BLOCK_TOKENS = 1 << 18
 ROUNDS = 5
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
-MEMO_WORDS = 600_000
-MEMO_PIECES = 600_000
+MEMO_WORDS = 500_000
+MEMO_PIECES = 450_000
 ENCODE_CHARS = 8_000_000     # texts encoded at a time
 TOKENIZER = "word_bpe_49k.json"
 
@@ -296,10 +296,9 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder, with its memo, per worker process."""
-    return Encoder(path)
+    return held("encoder", path, lambda: Encoder(path))
 
 
 BLOCK_SCHEMA = pa.schema([

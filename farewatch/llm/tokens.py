@@ -3,6 +3,7 @@ worker (vectorised over many tokens), documents then gather the rows of their to
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -12,6 +13,20 @@ import pyarrow.compute as pc
 
 SLICE_CHARS = 4_000_000     # text made into words at a time
 
+_HELD: dict = {}
+
+
+def held(kind: str, key, make: Callable):
+    """What a worker process keeps from task to task (a memo, an automaton): one thing at a time,
+    so the stages of a job, which share their workers, do not add up their memory. ``make()`` must
+    keep whatever object ``key`` is the id of alive."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
 
 def words_of(text: str | None) -> list[str]:
     """Words between ASCII white space, as ``split_words`` cuts them."""

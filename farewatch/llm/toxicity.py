@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, read_table
-from .tokens import TokenMemo, char_ngrams, slices, word_hashes, words_of
+from .tokens import TokenMemo, char_ngrams, held, slices, word_hashes, words_of
 
 SIZES = (4, 5, 6)
 MAX_ROWS = 8000             # bound of the labelled sample; at most half of it toxic
@@ -251,15 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()),
                     ("p_toxic", pa.float64()), ("toxic", pa.bool_())])
 DDL = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
-_FINDER: dict = {}
-
 
 def _strength(m: Ordinal, texts: pa.Array) -> np.ndarray:
     """w . x of each text; the worker's memo of tokens lives as long as the model."""
-    if id(m) not in _FINDER:                # the pair holds the model, so the id stays its own
-        _FINDER.clear()
-        _FINDER[id(m)] = (m, Finder(m.keys))
-    return np.array([m.weights[inputs(*x)].sum() if len(x[0]) else 0.0 for x in _FINDER[id(m)][1](texts)])
+    _, find = held("toxicity", id(m), lambda: (m, Finder(m.keys)))
+    return np.array([m.weights[inputs(*x)].sum() if len(x[0]) else 0.0 for x in find(texts)])
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
