@@ -23,7 +23,6 @@ SEGMENT_CATS = ("201", "203", "204")
 # NA strings), plus the text form of a missing value after ``astype(str)``
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-DATE_PATTERN = "d.M.yyyy H:m:s"
 NEAR_DUPLICATE_SECONDS = 2
 # --------------------------------------------------------------------------------------------
 

@@ -12,16 +12,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewatch.functions.time import epoch_seconds
+from farewatch.session import scratch_folder
 
 DEFAULT_BUCKET_SECONDS = 3600  # busy keys (validators): hour buckets
 SPARSE_BUCKET_SECONDS = 86400  # sparse keys (cards): day buckets keep the carry table small
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for frames that several branches
+    of a plan read. This runs the job that computes it."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _bucket(ts: str, bucket_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / bucket_seconds)
 
@@ -31,17 +39,19 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequenc
                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Add ``prev_<c>`` for ``ts`` and each of ``cols``: the values of the preceding row of the
     same key in ``(ts, *tiebreak)`` order (null for a key's first row). Equivalent to
-    ``lag(c) over (partition by keys order by ts, tiebreak)``."""
+    ``lag(c) over (partition by keys order by ts, tiebreak)``.
+
+    The input is scanned and its rows shuffled once, for the window over (key, bucket); that frame
+    is written, and the carry of each bucket is a narrow aggregate of what was written."""
     keys, order = list(keys), [ts, *tiebreak]
     carried = [ts, *[c for c in cols if c != ts]]
     payload = F.struct(*[F.col(c).alias(c) for c in carried])
     d = df.withColumn("_b", _bucket(ts, bucket_seconds)).withColumn("_p", payload)
-    inner = d.withColumn("_prev", F.lag("_p").over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    # summarised from the windowed frame: it is already clustered by (key, bucket), so the
-    # per-bucket aggregate needs no second scan or shuffle of the input
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inner = written(d.withColumn("_prev", F.lag("_p").over(w)).withColumn("_end", F.lead(F.lit(False), 1, True).over(w)), "previous")
     last = (
-        inner.groupBy(*keys, "_b")
-        .agg(F.max_by("_p", F.struct(*order)).alias("_last"))
+        inner.where("_end")              # one row per (key, bucket)
+        .select(*keys, "_b", F.col("_p").alias("_last"))
         .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
         .select(*keys, "_b", "_carry")
     )
@@ -60,7 +70,7 @@ def carry_forward_last(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Se
     mark = F.when(cond, F.struct(F.struct(*order).alias("_o"), value.alias("_v")))
     d = df.withColumn("_b", _bucket(ts, bucket_seconds)).withColumn("_m", mark)
     running = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = d.withColumn("_in", F.max("_m").over(running))
+    inner = written(d.withColumn("_in", F.max("_m").over(running)), "carried")
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = (
         inner.groupBy(*keys, "_b")
@@ -88,80 +98,26 @@ def first_k(df: DataFrame, group_cols: Sequence[str], value_col: str, order_cols
     return top.groupBy(*group_cols).agg(F.transform(ordered, lambda x: x[value_col]).alias(name))
 
 
-SAMPLE_PER_RANGE = 20
-
-
-def range_ids(df: DataFrame, key_cols: Sequence[Column], ranges: int) -> Column:
-    """Deterministic range id of each row for the ascending composite key.
-
-    A hash-selected Bernoulli sample of about ``SAMPLE_PER_RANGE * ranges`` rows (every
-    partition contributes its share, so no task gathers more than the sample) is sorted by Spark
-    and cut into ``ranges`` slices; a row's id is the number of cut points at or below its key.
-    Unlike ``spark_partition_id()`` after ``repartitionByRange`` the id is a pure expression:
-    every branch of the plan and any recomputation after a lost executor assign the same id."""
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key_cols)])
-    if ranges <= 1:
-        return F.lit(0)
-    total = df.count()
-    if total == 0:
-        return F.lit(0)
-    frac = min(1.0, SAMPLE_PER_RANGE * ranges / total)
-    pick = F.xxhash64(key).bitwiseAND(F.lit(0x7FFFFFFF)) <= F.lit(int(frac * 0x7FFFFFFF))
-    sample = df.select(key.alias("k")).filter(pick).orderBy("k").collect()  # ~SAMPLE_PER_RANGE * ranges rows
-    if len(sample) < 2:
-        return F.lit(0)
-    step = len(sample) / ranges
-    cuts = [sample[int(i * step)]["k"] for i in range(1, ranges) if int(i * step) < len(sample)]
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    bounds = F.array(*[F.struct(*[
-        F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, key_type.fields)]) for cut in cuts])
-    return F.size(F.filter(bounds, lambda b: b <= key))
-
-
 def exclusive_prefix_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                          weight: str, name: str, partitions: int | None = None) -> DataFrame:
     """Add ``name`` = sum of ``weight`` over rows of the same group that come strictly before
     each row in ascending ``order_cols`` order (a total order inside a group).
 
-    Rows get a range id on ``(group, order)`` (see ``range_ids``), so a large group spans many
-    tasks. Each (range, group) slice computes local sums; slice totals (at most
-    ranges + groups rows) give the offsets."""
+    Rows are range-partitioned on ``(group, order)`` by Spark, so a large group spans many tasks,
+    and written once with their partition's number: later branches and retries all see the same
+    partitions. Each (partition, group) slice computes local sums; slice totals (at most
+    partitions + groups rows) give the offsets. The write happens when this is called."""
     group_cols = list(group_cols)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    # read three times (size, sample, result); a lost block is recomputed deterministically
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = df.withColumn("_pid", range_ids(df, [*[F.col(g) for g in group_cols], *order_exprs], n))
-    local = ranged.withColumn(
-        "_local",
-        F.coalesce(
-            F.sum(weight).over(
-                Window.partitionBy("_pid", *group_cols).orderBy(*order_exprs)
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    )
+    order = {f"_o{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order_cols)}
+    keyed = df.withColumns(order)
+    keys = [*group_cols, *order]
+    ranged = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    ranged = written(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()), "ranged")
+    slice_order = Window.partitionBy("_pid", *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(slice_order), F.lit(0)))
     totals = ranged.groupBy("_pid", *group_cols).agg(F.sum(weight).alias("_ptot"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_ptot").over(before), F.lit(0))) \
         .select("_pid", *group_cols, "_off")
-    if not group_cols:
-        # at most one row per range: a size bound we set ourselves
-        offsets = F.broadcast(offsets)
     out = local.join(offsets, ["_pid", *group_cols], "left")
     return out.select(*df.columns, (F.col("_off") + F.col("_local")).alias(name))
-
-
-def average_rank_pct(df: DataFrame, group_col: str, value_col: str, name: str) -> DataFrame:
-    """``rank(pct=True)`` with average ties inside ``group_col``: (#smaller + (#equal+1)/2) / n.
-    Computed from per-value counts, so ties and big groups cost one small aggregate."""
-    counts = df.groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_eq"))
-    ranked = exclusive_prefix_sum(counts, [group_col], [value_col], "_eq", "_lt")
-    sizes = counts.groupBy(group_col).agg(F.sum("_eq").alias("_n"))
-    table = ranked.join(sizes, group_col).select(
-        group_col, value_col,
-        ((F.col("_lt") + (F.col("_eq") + 1) / 2.0) / F.col("_n")).alias(name),
-    )
-    return df.join(table, [group_col, value_col], "left")

@@ -5,11 +5,9 @@ row right before it belongs to the same card and terminal and is at most ``gap``
 earlier. Exact copies are therefore dropped too (gap 0), and a chain 0 s, 2 s, 4 s keeps only
 the first tap.
 
-Plan: no window over a card. (1) ``groupBy(card, terminal, second)`` keeps the first row of each
-second by source position (partial aggregation absorbs hot keys). (2) A row at second ``s``
-survives unless the same card/terminal has a row in ``[s-gap, s)``, which for whole-second
-times is an anti-join on ``(card, terminal, s-1 … s-gap)``; the join keys are nearly unique, so
-the shuffle is balanced whatever the skew of cards.
+Plan: the previous row of the same (card, terminal) comes from ``with_previous``, which windows over
+(card, terminal, day) and carries the last row across days, so neither a busy card nor a busy
+terminal meets in one task; rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -18,29 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import NEAR_DUPLICATE_SECONDS
-from farewatch.functions.time import seconds_after
-from farewatch.session import prepare
-
-KEYS = ["card", "trm_id", "dt"]
-
-
-def first_per_second(tx: DataFrame) -> DataFrame:
-    rest = [c for c in tx.columns if c not in KEYS]
-    order = F.struct("src_file", "src_row")
-    return (
-        tx.groupBy(*KEYS)
-        .agg(F.min_by(F.struct(*rest), order).alias("_r"))
-        .select(*KEYS, *[F.col("_r")[c].alias(c) for c in rest])
-        .select(*tx.columns)
-    )
+from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, with_previous
+from farewatch.functions.time import seconds_between
 
 
 def remove_near_duplicates(tx: DataFrame, gap_seconds: int = NEAR_DUPLICATE_SECONDS) -> DataFrame:
-    prepare(tx.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
-    firsts = first_per_second(tx)
-    shifted = firsts.select(
-        "card", "trm_id",
-        F.explode(F.sequence(F.lit(1), F.lit(gap_seconds))).alias("_d"), "dt",
-    ).select("card", "trm_id", seconds_after("dt", F.col("_d")).alias("dt"))
-    # a USING join puts its keys first: restore the input's column order
-    return firsts.join(shifted, KEYS, "left_anti").select(*tx.columns)
+    paired = with_previous(tx, ["card", "trm_id"], "dt", ["src_file", "src_row"], [], bucket_seconds=SPARSE_BUCKET_SECONDS)
+    gap = seconds_between("prev_dt", "dt")
+    return paired.where(F.col("prev_dt").isNull() | (gap > gap_seconds)).select(*tx.columns)

@@ -3,52 +3,47 @@ shares and entropies, daily spans and percentile ranks inside the card's dominan
 
 Plan (all keyed by ``card_id``; a hot card is never one task):
   * taps are pre-aggregated to a (card, terminal, route, carrier, category, amount, minute)
-    grain (partial + final), then clustered by card once (``card_grain``);
+    grain (partial + final, ``card_grain``);
   * every categorical and bucket dimension is exploded from the grain into (card, dim, value)
     counts; a second aggregate per (card, dim) gives distinct counts, entropies, top shares,
     bucket peaks, daily spans, the dominant category and the scalar shares; a third folds the
-    dims into one row per card -- all without another exchange;
+    dims into one row per card. Each is partial + final on its own keys, so no step brings a
+    card's rows together: a card that makes a third of all taps leaves one row per task and
+    (card, dim) after the second partial aggregate;
   * gap family: previous tap per card from ``with_previous`` (time-bucketed, skew-safe).
   * percentile ranks: average-tie rank inside ``dominant_cat`` from per-value counts and one
     range-partitioned prefix sum for all six source columns.
-Both families come out clustered by ``card_id``, so joining them adds no exchange.
+Both families come out clustered by ``card_id`` with one row per card.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import SEGMENT_CATS
-from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, with_previous
-from farewatch.functions.time import epoch_seconds
-from farewatch.session import prepare
+from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, with_previous, written
+from farewatch.functions.time import epoch_seconds, seconds_between
 
 GRAIN = ["card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "minute"]
 
 
 def card_grain(rows: DataFrame) -> DataFrame:
     """Taps pre-aggregated to (card, terminal, route, carrier, category, amount, minute) with a
-    count and the first / last tap time, then clustered by card.
-
-    The aggregate is partial + final, so crowded keys collapse before the shuffle; afterwards a
-    card has at most one row per (minute, combination), a bound set by time rather than by how
-    many taps the card made, so clustering by card is safe even for a hot card. Every later
-    per-card aggregate (dims, scalar family) then runs without another exchange."""
+    count and the first / last tap time. The aggregate is partial + final on the whole grain, so a
+    card used on many validators stays spread over all tasks."""
     minute = F.floor(epoch_seconds("date") / 60).alias("minute")
-    g = rows.groupBy(*GRAIN[:-1], minute).agg(
+    return rows.groupBy(*GRAIN[:-1], minute).agg(
         F.count(F.lit(1)).alias("c"), F.min("date").alias("t0"), F.max("date").alias("t1"))
-    return g.repartition("card_id")
 
 
 def _dims() -> list[tuple[str, Column]]:
     """(name, value) of every categorical or bucket dimension, as text, from grain columns."""
     m = F.col("minute")
-    ts = F.timestamp_seconds(m * 60).cast("timestamp_ntz")
+    day = F.floor(m / 1440)
     sep = F.lit("\u0001")
     return [
-        ("day", F.to_date(ts).cast("string")),
+        ("day", day.cast("string")),
         ("h1", F.floor(m / 60).cast("string")),
         ("m1", m.cast("string")),
         ("m5", F.floor(m / 5).cast("string")),
@@ -59,13 +54,14 @@ def _dims() -> list[tuple[str, Column]]:
         ("terminal", F.col("terminal_id")),
         ("carrier", F.col("carrier_id")),
         ("trm_route", F.concat(F.col("terminal_id"), sep, F.col("route_num"))),
-        ("hour", F.hour(ts).cast("string")),
-        ("weekday", F.weekday(ts).cast("string")),
+        ("hour", (F.floor(m / 60) % 24).cast("string")),
+        ("weekday", F.pmod(day + 3, F.lit(7)).cast("string")),  # 1970-01-01 was a Thursday; Monday is 0
         ("cat", F.col("cat")),
         ("amount", F.col("amount_kop").cast("string")),
     ]
 
 
+# fixed values: source column and percentile column, the output contract
 PERCENTILE_SOURCES = {
     "tx_count": "tx_count_percentile_in_cat",
     "unique_routes": "unique_routes_percentile_in_cat",
@@ -75,6 +71,7 @@ PERCENTILE_SOURCES = {
     "night_share": "night_share_percentile_in_cat",
 }
 
+# fixed values: the column names and order of the feature table, the output contract
 FEATURE_COLUMNS = [
     "card_id", "tx_count", "active_days", "unique_routes", "unique_terminals", "unique_carriers", "unique_cats",
     "mean_amount", "sum_amount", "unique_amounts", "zero_amount_share", "night_share", "weekend_share",
@@ -105,7 +102,7 @@ def feature_rows(tx_norm: DataFrame) -> DataFrame:
         F.coalesce("route_num", F.lit("")).alias("route_num"),
         F.coalesce("trc_id", F.lit("")).alias("carrier_id"),
         F.regexp_replace(F.coalesce("cat", F.lit("")), "^0+", "").alias("cat"),
-        F.coalesce("summ_num", F.lit(0)).cast("bigint").alias("amount_kop"),
+        F.coalesce("summ_num", F.lit(0.0)).alias("amount_kop"),
         "src_file", "src_row",
     )
     return d.withColumn("day", F.to_date("date")).withColumn("hour", F.hour("date")) \
@@ -141,8 +138,7 @@ def feature_rows_raw(raw: DataFrame) -> DataFrame:
         text["ROUTE_NUM"].alias("route_num"),
         text["TRC_ID"].alias("carrier_id"),
         F.regexp_replace(text["CAT"], "^0+", "").alias("cat"),
-        # kopecks; fractional amounts are kept to the kopeck
-        F.coalesce(F.round(amount).cast("bigint"), F.lit(0)).alias("amount_kop"),
+        F.coalesce(F.when(~F.isnan(amount), amount), F.lit(0.0)).alias("amount_kop"),      # kopecks, fractions kept
         (F.col("_src_file") if "_src_file" in df.columns else F.input_file_name()).cast("string").alias("src_file"),
         (F.col("_src_row") if "_src_row" in df.columns else F.monotonically_increasing_id()).cast("bigint").alias("src_row"),
     ).filter(F.col("date").isNotNull())
@@ -165,8 +161,8 @@ def _dim_features(grain: DataFrame) -> DataFrame:
 
     level2 = level1.groupBy("card_id", "dim").agg(
         # scalar measures are conditional sums over one dim's value counts
-        F.sum(F.when(dim == "amount", value.cast("bigint") * c)).alias("amount_sum"),
-        csum((dim == "amount") & (value == "0")).alias("zero_c"),
+        F.sum(F.when(dim == "amount", value.cast("double") * c)).alias("amount_sum"),
+        csum((dim == "amount") & (value == "0.0")).alias("zero_c"),
         csum((dim == "hour") & value.isin("0", "1", "2", "3", "4")).alias("night_c"),
         csum((dim == "weekday") & value.isin("5", "6")).alias("weekend_c"),
         *[csum((dim == "cat") & (value == cat)).alias(f"cat_{cat}_c") for cat in SEGMENT_CATS],
@@ -176,8 +172,8 @@ def _dim_features(grain: DataFrame) -> DataFrame:
         F.sum(c * F.log2(c)).alias("clogc"),
         F.min_by("value", F.struct((-c).alias("neg"), F.col("value").alias("v"))).alias("mode"),
         # integer seconds summed first: one final division, independent of summation order
-        (F.sum(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1"))) / F.count(F.lit(1)) / 3600.0).alias("span_mean"),
-        (F.max(F.timestamp_diff("SECOND", F.col("t0"), F.col("t1"))) / 3600.0).alias("span_max"),
+        (F.sum(seconds_between("t0", "t1")) / F.count(F.lit(1)) / 3600.0).alias("span_mean"),
+        (F.max(seconds_between("t0", "t1")) / 3600.0).alias("span_max"),
     )
     entropy = F.log2(F.col("n")) - F.col("clogc") / F.col("n")
 
@@ -225,7 +221,7 @@ def _gap_features(rows: DataFrame) -> DataFrame:
     d = with_previous(rows.select("card_id", "date", "terminal_id", "route_num", "src_file", "src_row"),
                       ["card_id"], "date", ["src_file", "src_row"], ["terminal_id", "route_num"],
                       bucket_seconds=SPARSE_BUCKET_SECONDS)
-    gap = F.timestamp_diff("SECOND", F.col("prev_date"), F.col("date"))
+    gap = seconds_between("prev_date", "date")
     has_prev = F.col("prev_date").isNotNull()
     same_t = F.coalesce(F.col("terminal_id") == F.col("prev_terminal_id"), F.lit(False))
     diff_t = has_prev & ~same_t
@@ -278,7 +274,6 @@ def _percentile_features(features: DataFrame) -> DataFrame:
 def build_features(tx_norm: DataFrame | None, labels: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per labelled card with ``FEATURE_COLUMNS``, from the normalised table or from
     ready feature rows (``feature_rows_raw``)."""
-    prepare(labels.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     rows = (rows if rows is not None else feature_rows(tx_norm)).join(labels.select("card_id"), "card_id", "left_semi")
     grain = card_grain(rows)
     f = _dim_features(grain).join(_gap_features(rows), "card_id", "left")
@@ -292,10 +287,8 @@ def build_features(tx_norm: DataFrame | None, labels: DataFrame, rows: DataFrame
     denom = F.greatest(F.col("tx_count") - 1, F.lit(1))
     f = f.withColumn("terminal_switch_rate", F.col("terminal_switch_count") / denom) \
         .withColumn("route_switch_rate", F.col("route_switch_count") / denom)
-    # one row per card, read by the rank sample and by the final join: keep it instead of
-    # recomputing every family twice (a lost block is recomputed deterministically)
-    f = f.persist(StorageLevel.MEMORY_AND_DISK)
-    f = _percentile_features(f)
+    # one row per card, read by the ranks and by the final join
+    f = _percentile_features(written(f, "card-features"))
     f = f.withColumn("segment", F.when(F.col("dominant_cat").isin(*SEGMENT_CATS), F.col("dominant_cat"))
                      .otherwise(F.lit("other")))
     for out in PERCENTILE_SOURCES.values():

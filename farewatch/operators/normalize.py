@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewatch.config import DATE_PATTERN, NULL_TOKENS
-from farewatch.session import prepare
+from farewatch.config import NULL_TOKENS
 from farewatch.sources.fixture import with_calendar
 
 REQUIRED = ("DATE", "CARD", "TRM_ID")
 KEY_TEXT_COLUMNS = ("CARD", "TRM_ID", "ROUTE_NUM", "CAT", "CAT_TYPE", "TRC_ID")
 LINEAGE = ("_src_file", "_src_row")
+# fixed value: dd.mm.yyyy HH:MM:SS, padding optional
+DATE_TEXT = r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
 
 
 def strip_text(c: Column) -> Column:
@@ -21,11 +22,14 @@ def strip_text(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """``dd.mm.yyyy HH:MM:SS`` (padding optional) -> TIMESTAMP_NTZ; unparseable -> null."""
-    return F.try_to_timestamp(c, F.lit(DATE_PATTERN)).cast("timestamp_ntz")
+    part = F.split(F.when(c.rlike(DATE_TEXT), c), r"[. :]+")
+    return F.try_make_timestamp_ntz(*[F.get(part, F.lit(k)).cast("int") for k in (2, 1, 0, 3, 4)],
+                                    F.get(part, F.lit(5)).cast("decimal(16,6)"))
 
 
 def to_integral(c: Column, target: str) -> Column:
-    """Numeric text (``'0201'``, ``'201.0'``) -> integer; non-numeric or fractional -> null."""
+    """Numeric text (``'0201'``, ``'201.0'``) -> integer; non-numeric or fractional -> null (a
+    fractional category stays in the text column, see the unknown-category rule)."""
     d = c.try_cast("double")
     return F.when(d == F.floor(d), d.try_cast(target))
 
@@ -43,7 +47,6 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     """Header trim+upper, embedded header rows dropped, every text column stripped, date parsed,
     sentinels nulled, rows without date/card/terminal dropped, category and amount coerced.
     Returns ``schemas.TX_COLUMNS``."""
-    prepare(raw.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
     df = normalize_header(raw)
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
@@ -67,7 +70,7 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
         key["CAT"].alias("cat"),
         key["CAT_TYPE"].alias("cat_type"),
         to_integral(key["CAT"], "int").alias("cat_num"),
-        to_integral(opt("SUMM"), "bigint").alias("summ_num"),
+        opt("SUMM").try_cast("double").alias("summ_num"),
         F.coalesce(opt("VEHICLE"), F.lit("")).alias("vehicle"),
         parse_date(F.col("DATE")).alias("dt"),
         src_file.cast("string").alias("src_file"),

@@ -32,8 +32,7 @@ def card_rows(report: DataFrame) -> DataFrame:
 
 def _with_dim(spark: SparkSession, counts: DataFrame, key: str, labels: list[str]) -> DataFrame:
     dim = spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{key} string, position int")
-    # the label list is a fixed driver-side constant
-    return F.broadcast(dim).join(counts, key, "left").select(
+    return dim.join(counts, key, "left").select(
         key, "position", F.coalesce(F.col("entities"), F.lit(0)).cast("bigint").alias("entities"))
 
 

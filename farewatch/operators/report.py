@@ -12,7 +12,6 @@ from farewatch.functions.numeric import np_round
 from farewatch.schemas import REPORT_COLUMNS
 
 # fixed values: every entity type a rule can emit (bounds the per-type weight table)
-ENTITY_TYPES = ("card", "validator", "route", "category", "transaction")
 TOP_PER_TYPE = 20
 HIGH_RISK, MEDIUM_RISK = 70, 40
 
@@ -76,8 +75,7 @@ def hypothesis_stats(spark: SparkSession, anomalies: DataFrame, rule_names: Iter
     """Rows per rule, zero for rules that found nothing (right join to the rule list)."""
     names = spark.createDataFrame([(n, i) for i, n in enumerate(rule_names)], "hypothesis string, rule_order int")
     counts = anomalies.groupBy("hypothesis").agg(F.count(F.lit(1)).alias("rows"))
-    # the rule list is a bounded driver-side constant (one row per registered rule)
-    return F.broadcast(names).join(counts, "hypothesis", "left").select(
+    return names.join(counts, "hypothesis", "left").select(
         "hypothesis", "rule_order", F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
 
 

@@ -13,16 +13,15 @@ from farewatch.operators.rules.cash import h11_high_cash, h12_low_cash
 from farewatch.operators.rules.categories import (
     h7_night_school, h10_atypical_benefit, h17_zero_sum, h19_unknown_categories,
 )
-from farewatch.operators.rules.common import empty_anomalies
-from farewatch.session import prepare
 from farewatch.operators.rules.frequency import h1_high_frequency, h20_duplicates
 from farewatch.operators.rules.poisson import h21_ks_exponential, h21_poisson_deviation
 from farewatch.operators.rules.route import h2_route_spike, h2_route_spike_daily
 from farewatch.operators.rules.series import (
     h4_benefit_series, h4_benefit_sessions, h8_school_card_multiple, h8_school_sessions,
 )
+from farewatch.operators.rules.taps import SharedTaps, Taps
 
-Rule = Callable[[DataFrame, RulesConfig], DataFrame]
+Rule = Callable[[DataFrame | Taps, RulesConfig], DataFrame]
 
 # the thirteen rules of the default run, in their usual order
 RULES: dict[str, Rule] = {
@@ -51,22 +50,24 @@ EXTRA_RULES: dict[str, Rule] = {
 
 
 def register_rule(name: str, rule: Rule) -> None:
-    """Extension point: add a rule usable by ``run_rules(selected=[name])``."""
+    """Extension point: add a rule usable by ``run_rules(selected=[name])``. It gets a ``Taps``
+    (``.tx`` is the table) and the configuration."""
     EXTRA_RULES[name] = rule
 
 
 def run_rules(tx: DataFrame, selected: Iterable[str] | None = None,
               config: RulesConfig | None = None) -> dict[str, DataFrame]:
-    """Lazily build every selected rule (all thirteen when ``selected`` is empty). Unknown
-    names raise ``KeyError``. ``tx`` should be persisted or read from a written table."""
-    prepare(tx.sparkSession)  # time arithmetic on TIMESTAMP_NTZ assumes a UTC session
+    """Build every selected rule (all thirteen when ``selected`` is empty). Unknown names raise
+    ``KeyError``. ``tx`` should be read from a written table. A single rule reads it lazily by
+    itself; several share what they count and filter through two tables written here."""
     config = config or RulesConfig()
     names = list(selected) if selected else list(RULES)
     table = {**RULES, **EXTRA_RULES}
     unknown = [n for n in names if n not in table]
     if unknown:
         raise KeyError(f"unknown rules: {', '.join(unknown)}; known: {', '.join(table)}")
-    return {name: table[name](tx, config) for name in names}
+    source = SharedTaps(tx, config) if len(names) > 1 else Taps(tx)
+    return {name: table[name](source, config) for name in names}
 
 
 def union_anomalies(results: dict[str, DataFrame]) -> DataFrame:
@@ -76,4 +77,4 @@ def union_anomalies(results: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-__all__ = ["RULES", "EXTRA_RULES", "register_rule", "run_rules", "union_anomalies", "empty_anomalies"]
+__all__ = ["RULES", "EXTRA_RULES", "register_rule", "run_rules", "union_anomalies"]

@@ -9,30 +9,35 @@ from pyspark.sql import functions as F
 from farewatch.config import H7Config, H10Config, H17Config, H19Config
 from farewatch.functions.ordered import first_k
 from farewatch.functions.time import day_text, iso_text
-from farewatch.operators.rules.common import anomalies, details, period_month
+from farewatch.operators.rules.common import anomalies, details
+from farewatch.operators.rules.taps import Taps, category_text, taps_of
 
 H19_SAMPLE = 3
 
 
-def h7_night_school(tx: DataFrame, cfg: H7Config = H7Config()) -> DataFrame:
-    night = tx.filter(F.col("cat_num").isin(*cfg.school_cats)
+def h7_night_school(tx: DataFrame | Taps, cfg: H7Config = H7Config()) -> DataFrame:
+    night = taps_of(tx).rows().filter(F.col("cat_num").isin(*cfg.school_cats)
                       & (F.col("hour") >= cfg.night_start_hour) & (F.col("hour") < cfg.night_end_hour))
     return anomalies(night, "H7", "card", F.col("card"), iso_text("dt"), day_text("dt"), "night_trip", F.lit(1),
                      details(validator=F.col("trm_id"), route=F.col("route_num")),
                      severity="strong", threshold_value="night")
 
 
-def h10_atypical_benefit(tx: DataFrame, cfg: H10Config = H10Config()) -> DataFrame:
+def h10_atypical_benefit(tx: DataFrame | Taps, cfg: H10Config = H10Config()) -> DataFrame:
     """Share of peak-hour trips for the school and the senior group (one global aggregate,
     ``stack``-ed into at most two rows)."""
+    taps = taps_of(tx)
     peak = F.col("hour").isin(*(cfg.peak_hours_morning + cfg.peak_hours_evening))
     school = F.col("cat_num").isin(*cfg.school_cats)
     senior = F.col("cat_num").isin(*cfg.senior_cats)
-    g = tx.agg(
-        F.count_if(school).alias("school_total"), F.count_if(school & peak).alias("school_peak"),
-        F.count_if(senior).alias("senior_total"), F.count_if(senior & peak).alias("senior_peak"),
-        F.date_format(F.min("dt"), "yyyy-MM").alias("period"),
-    )
+
+    def taps_where(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
+
+    g = taps.counts("category_hours").agg(
+        taps_where(school).alias("school_total"), taps_where(school & peak).alias("school_peak"),
+        taps_where(senior).alias("senior_total"), taps_where(senior & peak).alias("senior_peak"),
+    ).withColumn("period", taps.period())
     rows = g.select("period", F.explode(F.array(
         F.struct(F.lit("school").alias("grp"), F.col("school_total").alias("total"),
                  F.col("school_peak").alias("peak"), F.lit(float(cfg.school_peak_threshold)).alias("thr"),
@@ -48,21 +53,22 @@ def h10_atypical_benefit(tx: DataFrame, cfg: H10Config = H10Config()) -> DataFra
                      severity="strong", threshold_value=F.col("thr_text"))
 
 
-def h17_zero_sum(tx: DataFrame, cfg: H17Config = H17Config()) -> DataFrame:
-    z = tx.filter(F.col("cat_num").isin(*cfg.fraud_zero_cats) & (F.col("summ_num") == 0))
+def h17_zero_sum(tx: DataFrame | Taps, cfg: H17Config = H17Config()) -> DataFrame:
+    z = taps_of(tx).rows().filter(F.col("cat_num").isin(*cfg.fraud_zero_cats) & (F.col("summ_num") == 0))
     return anomalies(z, "H17", "transaction", F.col("card"), iso_text("dt"), day_text("dt"), "zero_sum", F.lit(1),
                      details(cat=F.col("cat_num"), validator=F.col("trm_id"), route=F.col("route_num")),
                      severity="strong", threshold_value=0)
 
 
-def h19_unknown_categories(tx: DataFrame, cfg: H19Config = H19Config()) -> DataFrame:
-    unknown = tx.filter(F.col("cat_num").isNotNull() & ~F.col("cat_num").isin(*cfg.known_cats))
-    counts = unknown.groupBy("cat_num").agg(F.count(F.lit(1)).alias("n"))
+def h19_unknown_categories(tx: DataFrame | Taps, cfg: H19Config = H19Config()) -> DataFrame:
+    unknown = taps_of(tx).rows().withColumn("category", category_text()).filter(
+        F.col("category").isNotNull() & ~F.coalesce(F.col("cat_num").isin(*cfg.known_cats), F.lit(False)))
+    counts = unknown.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     # first rows in (card, validator, time) order, repeats allowed
-    samples = first_k(unknown, ["cat_num"], "card", ["card", "trm_id", "dt"], H19_SAMPLE, "sample_cards",
+    samples = first_k(unknown, ["category"], "card", ["card", "trm_id", "dt"], H19_SAMPLE, "sample_cards",
                       distinct=False)
-    rows = counts.join(samples, "cat_num", "left")
-    period = period_month(tx)
-    return anomalies(rows, "H19", "category", F.col("cat_num"), period, period,
+    rows = counts.join(samples, "category", "left")
+    period = taps_of(tx).period()
+    return anomalies(rows, "H19", "category", F.col("category"), period, period,
                      "unknown_category", F.col("n"), details(sample_cards=F.col("sample_cards")),
                      severity="raw", threshold_value="not_in_known")

@@ -77,13 +77,4 @@ def anomalies(df: DataFrame, hypothesis: str, entity_type: str | Column, entity_
     )
 
 
-def empty_anomalies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ANOMALY_SCHEMA)
-
-
-def period_month(tx: DataFrame) -> Column:
-    """Month of the first transaction ('YYYY-MM') as a scalar subquery (one partial ``min``)."""
-    return tx.agg(F.date_format(F.min("dt"), "yyyy-MM")).scalar()
-
-
 assert [f.name for f in ANOMALY_SCHEMA.fields] == ANOMALY_COLUMNS

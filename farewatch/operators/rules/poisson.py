@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from farewatch.config import H21Config
 from farewatch.functions.ordered import exclusive_prefix_sum, with_previous
-from farewatch.operators.rules.common import anomalies, details, period_month
+from farewatch.functions.time import seconds_between
+from farewatch.operators.rules.common import anomalies, details
+from farewatch.operators.rules.taps import Taps, taps_of
 
 STUB_NOTE = "statistical test needs 30+ days of data"
 KOLMOGOROV_TERMS = 100
 
 
-def h21_poisson_deviation(tx: DataFrame, cfg: H21Config = H21Config()) -> DataFrame:
-    period = period_month(tx)
-    one = tx.agg(F.count(F.lit(1)).alias("n"))
+def h21_poisson_deviation(tx: DataFrame | Taps, cfg: H21Config = H21Config()) -> DataFrame:
+    period = taps_of(tx).period()
+    one = taps_of(tx).total()
     return anomalies(one, "H21", "validator", F.lit("all"), period, period, "poisson_p_value", F.lit(0.0),
                      details(note=F.lit(STUB_NOTE)), severity="info", threshold_value=cfg.p_value_threshold)
 
@@ -38,7 +40,7 @@ def terminal_ks(tx: DataFrame) -> DataFrame:
     """(trm_id, gaps, days, ks_distance, p_value) over whole-second inter-arrival gaps."""
     d = with_previous(tx.select("trm_id", "card", "dt"), ["trm_id"], "dt", ["card"], [])
     gaps = d.filter(F.col("prev_dt").isNotNull()) \
-        .select("trm_id", F.timestamp_diff("SECOND", F.col("prev_dt"), F.col("dt")).alias("gap"))
+        .select("trm_id", seconds_between("prev_dt", "dt").alias("gap"))
     # the empirical CDF only needs counts per distinct gap value
     counts = gaps.groupBy("trm_id", "gap").agg(F.count(F.lit(1)).alias("c"))
     cum = exclusive_prefix_sum(counts, ["trm_id"], ["gap"], "c", "before")
@@ -57,9 +59,9 @@ def terminal_ks(tx: DataFrame) -> DataFrame:
         "trm_id", F.col("n").alias("gaps"), "days", "ks_distance", kolmogorov_p(lam).alias("p_value"))
 
 
-def h21_ks_exponential(tx: DataFrame, cfg: H21Config = H21Config()) -> DataFrame:
-    period = period_month(tx)
-    r = terminal_ks(tx).filter((F.col("days") >= cfg.min_history_days) & (F.col("p_value") < cfg.p_value_threshold))
+def h21_ks_exponential(tx: DataFrame | Taps, cfg: H21Config = H21Config()) -> DataFrame:
+    period = taps_of(tx).period()
+    r = terminal_ks(taps_of(tx).tx).filter((F.col("days") >= cfg.min_history_days) & (F.col("p_value") < cfg.p_value_threshold))
     return anomalies(r, "H21k", "validator", F.col("trm_id"), period, period, "poisson_p_value",
                      F.bround("p_value", 6),
                      details(ks_distance=F.format_string("%.6f", F.col("ks_distance")), gaps=F.col("gaps"),

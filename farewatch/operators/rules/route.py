@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from farewatch.config import H2Config
 from farewatch.functions.numeric import np_round
-from farewatch.functions.time import iso_text
+from farewatch.functions.time import iso_text, seconds_after
 from farewatch.operators.rules.common import anomalies, details, layers
+from farewatch.operators.rules.taps import Taps, taps_of
 
 
-def h2_route_spike(tx: DataFrame, cfg: H2Config = H2Config()) -> DataFrame:
+def h2_route_spike(tx: DataFrame | Taps, cfg: H2Config = H2Config()) -> DataFrame:
     """As written in the source rule: the flow of each (route, weekday, hour) is compared with
     the median of that same single value, so the ratio is always 1 and nothing fires for
     thresholds above 1. ``min_history_days`` is accepted and, as in the source, not used."""
     keys = ["route_num", "weekday", "hour"]
-    flow = tx.filter(F.col("route_num").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("flow"))
+    flow = taps_of(tx).counts("flows").filter(F.col("route_num").isNotNull()).withColumnRenamed("n", "flow")
     base = flow.groupBy(*keys).agg(F.median("flow").alias("median_flow"))
     r = flow.join(base, keys).withColumn("excess", F.col("flow") / F.col("median_flow"))
     pos = F.col("median_flow") > 0
@@ -29,10 +30,11 @@ def h2_route_spike(tx: DataFrame, cfg: H2Config = H2Config()) -> DataFrame:
                      details(flow=F.col("flow"), median=F.bround("median_flow", 0).cast("bigint")))
 
 
-def h2_route_spike_daily(tx: DataFrame, cfg: H2Config = H2Config(), min_history_days: int = 0) -> DataFrame:
+def h2_route_spike_daily(tx: DataFrame | Taps, cfg: H2Config = H2Config(), min_history_days: int = 0) -> DataFrame:
     """H2d: flow of each (route, date, hour) against the median flow of the same route, weekday
     and hour over all observed dates. Routes seen on fewer than ``min_history_days`` dates are
     skipped (0 = no gate)."""
+    tx = taps_of(tx).tx
     cells = tx.filter(F.col("route_num").isNotNull()) \
         .groupBy("route_num", "date", "weekday", "hour").agg(F.count(F.lit(1)).alias("flow"))
     base = cells.groupBy("route_num", "weekday", "hour").agg(F.median("flow").alias("median_flow"))
@@ -46,7 +48,7 @@ def h2_route_spike_daily(tx: DataFrame, cfg: H2Config = H2Config(), min_history_
         (pos & (F.col("excess") >= cfg.threshold_raw), "raw", cfg.threshold_raw),
         (pos & (F.col("excess") >= cfg.threshold_strong), "strong", cfg.threshold_strong),
     ])
-    start = F.timestamp_add("HOUR", F.col("hour"), F.col("date").cast("timestamp_ntz"))
-    return anomalies(hit, "H2d", "route", F.col("route_num"), iso_text(start), F.date_format("date", "yyyy-MM-dd"),
+    start = seconds_after(F.col("date").cast("timestamp_ntz"), F.col("hour") * 3600)
+    return anomalies(hit, "H2d", "route", F.col("route_num"), iso_text(start), F.col("date").cast("string"),
                      "flow_excess", np_round(F.col("excess"), 2),
                      details(flow=F.col("flow"), median=F.format_string("%.1f", F.col("median_flow"))))

@@ -19,13 +19,14 @@ Spark plan:
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewatch.functions.ordered import exclusive_prefix_sum
@@ -55,16 +56,27 @@ def average_path(n: float) -> float:
 
 
 def prepare_matrix(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Model inputs as doubles; missing columns raise; null / NaN / +-inf -> 0."""
+    """Model inputs as doubles to six decimals (so that the last bits of a mean or an entropy never
+    decide a split); missing columns raise; null / NaN / +-inf -> 0."""
     missing = [c for c in columns if c not in features.columns]
     if missing:
         raise ValueError(f"feature table lacks model columns: {', '.join(missing)}")
     clean = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
                     | F.col(c).cast("double").isin(float("inf"), float("-inf")), F.lit(0.0))
-             .otherwise(F.col(c).cast("double")).alias(c) for c in columns]
+             .otherwise(F.floor(F.col(c).cast("double") * 1e6 + 0.5) / 1e6).alias(c) for c in columns]
     return features.select("card_id", *clean)
 
 
+def unit(*parts) -> float:
+    """A number in [0, 1) from the first 32 bits of an md5; ``unit_column`` and SQL draw the same."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def unit_column(*parts) -> Column:
+    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def _grow(columns: list[str], psi: int, seed: int):
     height_limit = int(math.ceil(math.log2(max(psi, 2))))
 
@@ -72,10 +84,8 @@ def _grow(columns: list[str], psi: int, seed: int):
         tree = int(pdf["tree"].iloc[0])
         pdf = pdf.sort_values(["h", "card_id"]).head(psi)
         x = pdf[columns].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, tree])
         rows: list[tuple] = []
         stack = [(np.arange(len(x)), 0, 0)]
-        next_id = 1
         while stack:
             idx, node, depth = stack.pop()
             sub = x[idx]
@@ -88,11 +98,10 @@ def _grow(columns: list[str], psi: int, seed: int):
             if depth >= height_limit or len(idx) <= 1 or len(splittable) == 0:
                 rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
                 continue
-            f = int(rng.choice(splittable))
-            thr = float(rng.uniform(lo[f], hi[f]))
+            f = int(splittable[int(unit(seed, tree, node, "f") * len(splittable))])
+            thr = float(lo[f] + unit(seed, tree, node, "t") * (hi[f] - lo[f]))
             left_mask = sub[:, f] < thr
-            left, right = next_id, next_id + 1
-            next_id += 2
+            left, right = 2 * node + 1, 2 * node + 2          # numbered like a heap
             rows.append((tree, node, f, thr, left, right, len(idx), depth))
             stack.append((idx[left_mask], left, depth + 1))
             stack.append((idx[~left_mask], right, depth + 1))
@@ -101,10 +110,6 @@ def _grow(columns: list[str], psi: int, seed: int):
     return grow
 
 
-def _unit_hash(seed: int, tree, card) -> "F.Column":
-    return F.xxhash64(F.lit(seed), tree, card).bitwiseAND(F.lit(0x7FFFFFFF)) / float(0x7FFFFFFF)
-
-
 def train_forest(matrix: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
     """Node table of the forest (schema ``NODE_SCHEMA``).
 
@@ -120,38 +125,46 @@ def train_forest(matrix: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataF
     q = min(1.0, cfg.n_trees * p)
     trees = F.sequence(F.lit(0), F.lit(cfg.n_trees - 1))
     sample = (
-        matrix.filter(_unit_hash(cfg.seed, F.lit(-1), F.col("card_id")) <= q)
+        matrix.filter(unit_column(cfg.seed, -1, F.col("card_id")) <= q)
         .withColumn("tree", F.explode(trees))
-        .withColumn("h", _unit_hash(cfg.seed, F.col("tree"), F.col("card_id")))
+        .withColumn("h", unit_column(cfg.seed, F.col("tree"), F.col("card_id")))
         .filter(F.col("h") <= p / q)
     )
     return sample.groupBy("tree").applyInPandas(_grow(columns, psi, cfg.seed), NODE_SCHEMA)
 
 
-def _path_lengths(nodes: pd.DataFrame, x: np.ndarray, n_trees: int) -> np.ndarray:
-    total = np.zeros(len(x))
-    for tree, t in nodes.groupby("tree"):
-        t = t.set_index("node").sort_index()
-        size = int(t.index.max()) + 1
-        feat = np.full(size, -1, dtype=int)
-        thr = np.zeros(size)
-        left = np.full(size, -1, dtype=int)
-        right = np.full(size, -1, dtype=int)
-        leaf_adj = np.zeros(size)
-        feat[t.index] = t["feature"].to_numpy()
-        thr[t.index] = t["threshold"].to_numpy()
-        left[t.index] = t["left"].to_numpy()
-        right[t.index] = t["right"].to_numpy()
-        leaf_adj[t.index] = t["depth"].to_numpy() + np.array([average_path(s) for s in t["size"].to_numpy()])
-        at = np.zeros(len(x), dtype=int)
-        active = feat[at] >= 0
-        while active.any():
-            i = np.flatnonzero(active)
-            go_left = x[i, feat[at[i]]] < thr[at[i]]
-            at[i] = np.where(go_left, left[at[i]], right[at[i]])
+PATH_UNIT = 1e9     # path lengths are summed as whole billionths: exact in any order
+
+
+class Trees:
+    """The node table as arrays, one lookup table per tree."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        self.trees = []
+        for _, t in nodes.groupby("tree"):
+            size = int(t["node"].max()) + 1
+            feat, thr = np.full(size, -1, dtype=int), np.zeros(size)
+            kids, leaf = np.zeros((2, size), dtype=int), np.zeros(size, dtype=np.int64)
+            at = t["node"].to_numpy()
+            feat[at], thr[at] = t["feature"].to_numpy(), t["threshold"].to_numpy()
+            kids[0, at], kids[1, at] = t["left"].to_numpy(), t["right"].to_numpy()
+            paths = t["depth"].to_numpy() + np.array([average_path(s) for s in t["size"].to_numpy()])
+            leaf[at] = np.floor(paths * PATH_UNIT + 0.5).astype(np.int64)
+            self.trees.append((feat, thr, kids, leaf))
+
+    def path_units(self, x: np.ndarray) -> np.ndarray:
+        """Summed path lengths of rows over all trees, in units of 1 / PATH_UNIT."""
+        total = np.zeros(len(x), dtype=np.int64)
+        for feat, thr, kids, leaf in self.trees:
+            at = np.zeros(len(x), dtype=int)
             active = feat[at] >= 0
-        total += leaf_adj[at]
-    return total / max(n_trees, 1)
+            while active.any():
+                i = np.flatnonzero(active)
+                right = x[i, feat[at[i]]] >= thr[at[i]]
+                at[i] = kids[right.astype(int), at[i]]
+                active = feat[at] >= 0
+            total += leaf[at]
+        return total
 
 
 def score_features(features: DataFrame, nodes: DataFrame, cfg: ForestConfig = ForestConfig(),
@@ -171,10 +184,10 @@ def score_features(features: DataFrame, nodes: DataFrame, cfg: ForestConfig = Fo
     n_trees = cfg.n_trees
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes_local = bc.value
+        trees = Trees(bc.value)               # once per task
         for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            eh = _path_lengths(nodes_local, x, n_trees)
+            eh = trees.path_units(pdf[columns].to_numpy(dtype=float)) / PATH_UNIT / max(n_trees, 1)
+            x = pdf
             s = np.power(2.0, -eh / c) if c > 0 else np.full(len(x), 0.5)
             yield pd.DataFrame({"card_id": pdf["card_id"], "anomaly_score": s - 0.5})
 

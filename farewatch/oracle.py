@@ -6,7 +6,10 @@ Each rule is a self-contained ``WITH ... SELECT`` over the CTEs ``tx`` (normalis
 from __future__ import annotations
 
 from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES
+from farewatch.operators.scoring import ForestConfig
 from farewatch.oracle_ctes import with_tx
+from farewatch.oracle_forest import forest_ctes
+from farewatch.oracle_forest import queries as forest_queries
 
 BENEFIT = "201, 202, 203, 204, 205, 206, 207, 208, 209, 210, 303, 304"
 SCHOOL = "203, 208, 209, 303"
@@ -451,32 +454,44 @@ features AS (
 """
 
 
+ORACLE["labels_loaded"] = _with_anomalies(_LABELS + " SELECT * FROM labels")
+ORACLE["feat_raw_view"] = with_tx(f"""
+SELECT CASE WHEN src_row % 89 = 0 THEN '' ELSE card END AS card_id, CASE WHEN src_row % 97 = 0 THEN '' ELSE trm_id END AS terminal_id,
+       coalesce(route_num, '') AS route_num, coalesce(trc_id, '') AS carrier_id, ltrim(coalesce(CAST(cat_num AS VARCHAR), ''), '0') AS cat,
+       CAST(coalesce(summ_num, 0) AS DOUBLE) AS amount_kop, {iso('dt')} AS dt, strftime(date, '%Y-%m-%d') AS day, hour, weekday, src_row FROM tx""")
 ORACLE["card_labels"] = _with_anomalies(_LABELS + " SELECT * FROM labels")
 for _fam, _cols in FAMILIES.items():
     _sel = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c in DOUBLE_FEATURES else c for c in _cols)
     ORACLE[_fam] = _with_anomalies(_FEATURES + f" SELECT {_sel} FROM features")
 
-# scored cards are the feature rows (no category is excluded by default), so the segment counts
-# do not depend on the model
-ORACLE["segment_counts"] = _with_anomalies(_FEATURES + """
-SELECT segment, count(*) AS cards FROM features GROUP BY segment ORDER BY cards DESC, segment LIMIT 8""")
+# the forest is grown and applied in SQL, from the SQL's own features
+for _name, _sql in forest_queries(_FEATURES, ForestConfig(), top_percent=0.01, bins=14).items():
+    ORACLE[_name] = _with_anomalies(_sql)
+ORACLE["segment_counts"] = _with_anomalies(_FEATURES + "," + forest_ctes(ForestConfig()) + """
+SELECT segment, count(*) AS cards FROM scored GROUP BY segment ORDER BY cards DESC, segment LIMIT 8""")
 
-ORACLE["raw_csv_ingest"] = with_tx(_TX_VIEW.format(t="tx", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
-                                   .replace(", weekday, src_row FROM", ", weekday FROM"))
+# the dump's amounts of validator V4 end in .5 and its afternoon taps carry a Cyrillic vehicle
+ORACLE["raw_csv_ingest"] = with_tx(
+    _TX_VIEW.format(t="tx", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
+    .replace(", weekday, src_row FROM", ", weekday, CASE WHEN hour >= 12 THEN 'Автобус' ELSE '' END AS vehicle FROM")
+    .replace("cat_num, summ_num,", "cat_num, CAST(summ_num AS DOUBLE) + CASE WHEN trm_id = 'V4' THEN 0.5 ELSE 0 END AS summ_num,"))
 
-# Streaming replays: append mode emits a window once the watermark (max event time - delay)
-# passes its end, so the oracle keeps exactly the windows closed by the end of the replay.
+# each archive (cards 2 and 3 modulo 4) holds a damaged member and a spreadsheet
+ORACLE["raw_rejects"] = with_tx("""
+SELECT member, 'member' AS level, (SELECT count(DISTINCT CAST(card AS BIGINT) % 4) FROM tx WHERE CAST(card AS BIGINT) % 4 >= 2) AS archives
+FROM (VALUES ('damaged.csv'), ('reports/summary.xlsx')) AS m(member)""")
+
+# Streaming replays are completed at their end, so the oracle is the whole batch result.
 ORACLE["stream_bursts"] = with_tx(f""",
 b AS (SELECT trm_id, dt AS time_window, count(*) AS tx_count, count(DISTINCT card) AS unique_cards FROM tx
       GROUP BY trm_id, dt HAVING count(*) >= 3 AND count(DISTINCT card) >= 2)
-SELECT trm_id, {iso('time_window')} AS time_window, tx_count, unique_cards FROM b
-WHERE time_window + INTERVAL 1 SECOND <= (SELECT max(dt) FROM tx) - INTERVAL 10 SECOND""")
+SELECT trm_id, {iso('time_window')} AS time_window, tx_count, unique_cards FROM b""")
 
 ORACLE["stream_daily_trips"] = with_tx(f""",
 d AS (SELECT card, date, count(*) AS n FROM tx GROUP BY card, date)
 SELECT card, strftime(date, '%Y-%m-%d') AS date, n, CASE WHEN n >= 12 THEN 'strong' ELSE 'raw' END AS severity,
        n > 12 AS service_day
-FROM d WHERE n >= 6 AND CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(dt) FROM tx) - INTERVAL 1 HOUR""")
+FROM d WHERE n >= 6""")
 
 ORACLE["stream_near_dedup"] = with_tx(f" SELECT card, trm_id, {iso('dt')} AS dt, src_row FROM dd")
 
@@ -485,6 +500,6 @@ s AS (SELECT card, trm_id, dt, src_row FROM tx WHERE cat_num IN ({SCHOOL})),
 l AS (SELECT *, lag(dt) OVER (PARTITION BY card, trm_id ORDER BY dt, src_row) AS pdt FROM s),
 k AS (SELECT *, sum(CASE WHEN pdt IS NULL OR date_diff('second', pdt, dt) > 59 THEN 1 ELSE 0 END)
                 OVER (PARTITION BY card, trm_id ORDER BY dt, src_row ROWS UNBOUNDED PRECEDING) AS sid FROM l),
-g AS (SELECT card, trm_id, sid, count(*) AS taps, min(dt) AS st, max(dt) AS en FROM k GROUP BY card, trm_id, sid)
+g AS (SELECT card, trm_id, sid, count(*) AS taps, min(dt) AS st FROM k GROUP BY card, trm_id, sid)
 SELECT card, trm_id, {iso('st')} AS start_time, taps - 1 AS consecutive_count FROM g
-WHERE taps - 1 >= 2 AND en + INTERVAL 59 SECOND <= (SELECT max(dt) FROM tx) - INTERVAL 10 MINUTE""")
+WHERE taps - 1 >= 2""")

@@ -6,7 +6,6 @@ plain column types (text for timestamps) so they compare cleanly with the SQL or
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +15,19 @@ from farewatch.config import H1Config, RulesConfig
 from farewatch.functions.time import iso_text
 from farewatch.operators import presentation as P
 from farewatch.operators import scoring as S
-from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features
-from farewatch.operators.labels import build_card_labels
+from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features, feature_rows_raw
+from farewatch.operators.labels import build_card_labels, load_labels
 from farewatch.operators.normalize import normalize_transactions
 from farewatch.operators.report import aggregate_results, export_anomalies, hypothesis_stats, top_entities
 from farewatch.operators.rules import RULES, run_rules, union_anomalies
 from farewatch.operators.rules.frequency import h20_duplicates, service_cards
 from farewatch.plans import tables
-from farewatch.session import ensure_checkpoint_dir, prepare
-from farewatch.sources.raw_files import read_raw
+from farewatch.session import prepare, scratch_folder
+from farewatch.sources.dump_fixture import write_dump
+from farewatch.sources.raw_files import read_raw_with_rejects
 from farewatch.streaming.bursts import event_stream, run_burst_stream
-from farewatch.streaming.rules import daily_trip_stream, near_dedup_stream, run_to_table, school_session_stream
+from farewatch.streaming.replay import run_to_table
+from farewatch.streaming.rules import near_dedup_stream, run_daily_trips, run_school_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = RulesConfig()
@@ -34,8 +35,8 @@ CFG = RulesConfig()
 
 def _tx_view(df: DataFrame) -> DataFrame:
     return df.select(
-        "card", "trm_id", "route_num", "trc_id", "cat", "cat_num", "summ_num",
-        iso_text("dt").alias("dt"), F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "card", "trm_id", "route_num", "trc_id", "cat", "cat_num", F.col("summ_num").cast("bigint").alias("summ_num"),
+        iso_text("dt").alias("dt"), F.col("date").cast("string").alias("date"),
         "hour", "minute", "second", "weekday", "src_row",
     )
 
@@ -187,7 +188,25 @@ def _family(cols: list[str]) -> Query:
     return q
 
 
+def q_labels_loaded(spark, sf):
+    """A label file with padded ids and a second, contradicting row per card, loaded: the first row counts."""
+    twice = F.explode(F.array(F.col("is_fraud"), 1 - F.col("is_fraud")))
+    return load_labels(card_labels(spark, sf).select(F.concat(F.lit(" "), "card_id").alias("card_id"), twice.alias("is_fraud")))
+
+
+def q_feat_raw_view(spark, sf):
+    """The feature loader's rows of raw text in which every 97th tap has no validator and every
+    89th no card: such rows stay, with an empty id."""
+    raw = tables.raw(spark, sf)
+    blank = lambda c, n: F.when(F.col("_src_row") % n != 0, F.col(f"`{c}`")).alias(c)
+    raw = raw.select(*[blank(c, {"TRM_ID ": 97, "Card": 89}[c]) if c in ("TRM_ID ", "Card") else F.col(f"`{c}`") for c in raw.columns])
+    return feature_rows_raw(raw).select("card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", iso_text("date").alias("dt"),
+                                        F.col("day").cast("string").alias("day"), "hour", "weekday", "src_row")
+
+
 QUERIES["card_labels"] = card_labels
+QUERIES["labels_loaded"] = q_labels_loaded
+QUERIES["feat_raw_view"] = q_feat_raw_view
 for _name, _cols in FAMILIES.items():
     QUERIES[_name] = _family(_cols)
 
@@ -279,42 +298,42 @@ QUERIES.update({
 # ---- raw file ingest --------------------------------------------------------------------------
 
 
-_WRITTEN: set = set()
+_DUMPS: dict = {}
 
 
-def raw_dump_dir(spark, sf) -> str:
-    """The fixture as a folder of raw dumps in two dialects (';' + windows-1251 and ',' + UTF-8,
-    split by card), written once under the shared checkpoint folder."""
-    tag = hashlib.sha1(sf.rstrip("/").encode()).hexdigest()[:10]
-    root = os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, tag, "raw_dump")
-    if root not in _WRITTEN:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        r = tables.raw(spark, sf).drop("_src_file", "_src_row")
-        even = F.pmod(F.hash("Card"), F.lit(2)) == 0
-        r.filter(even).write.mode("overwrite").csv(os.path.join(root, "cp1251"), header=True, sep=";",
-                                                    encoding="windows-1251")
-        r.filter(~even).write.mode("overwrite").csv(os.path.join(root, "utf8"), header=True, sep=",",
-                                                     encoding="UTF-8")
-        _WRITTEN.add(root)
-    return root
+def raw_dump(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the fixture's raw dump folder, written and read once per session."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _DUMPS:
+        _DUMPS[key] = read_raw_with_rejects(spark, write_dump(spark, sf, scratch_folder(spark, "raw-dump")))
+    return _DUMPS[key]
 
 
 def q_raw_csv_ingest(spark, sf):
-    root = raw_dump_dir(spark, sf)
-    raw = read_raw(spark, os.path.join(root, "cp1251")).unionByName(
-        read_raw(spark, os.path.join(root, "utf8")), allowMissingColumns=True)
-    return _tx_view(normalize_transactions(raw)).drop("src_row")
+    """One folder of mixed charsets, separators, duplicate files and archives, normalised."""
+    tx = normalize_transactions(raw_dump(spark, sf)[0])
+    return tx.select("card", "trm_id", "route_num", "trc_id", "cat", "cat_num", F.col("summ_num").cast("double").alias("summ_num"),
+                     iso_text("dt").alias("dt"), F.col("date").cast("string").alias("date"), "hour", "minute", "second",
+                     "weekday", "vehicle")
+
+
+def q_raw_rejects(spark, sf):
+    """What the dump's archives could not deliver, per member."""
+    rejects = raw_dump(spark, sf)[1]
+    return rejects.groupBy("member", F.split_part("error", F.lit(":"), F.lit(1)).alias("level")).agg(
+        F.count(F.lit(1)).alias("archives"))
 
 
 QUERIES["raw_csv_ingest"] = q_raw_csv_ingest
+QUERIES["raw_rejects"] = q_raw_rejects
 
 
 # ---- streaming ---------------------------------------------------------------------------------
 
 
 def q_stream_bursts(spark, sf):
-    """Bursts found by the streaming replay of the events folder (closed windows only)."""
-    out = run_burst_stream(spark, sf, name=f"stream_bursts_{hashlib.sha1(sf.encode()).hexdigest()[:8]}")
+    """Bursts found by the streaming replay of the events folder, completed at its end."""
+    out = run_burst_stream(spark, sf, name=_stream_name("x1", sf))
     return out.withColumn("time_window", iso_text("time_window"))
 
 
@@ -326,10 +345,8 @@ def _stream_name(kind: str, sf: str) -> str:
 
 
 def q_stream_daily_trips(spark, sf):
-    """X2: closed card-days with at least the raw H1 threshold, from the event stream."""
-    return run_to_table(spark, daily_trip_stream(event_stream(spark, sf)), _stream_name("x2", sf),
-                        "card string, date date, n bigint, severity string, service_day boolean") \
-        .withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    """X2: card-days with at least the raw H1 threshold, from the event stream."""
+    return run_daily_trips(spark, sf, _stream_name("x2", sf)).withColumn("date", F.col("date").cast("string"))
 
 
 def q_stream_near_dedup(spark, sf):
@@ -341,9 +358,7 @@ def q_stream_near_dedup(spark, sf):
 
 def q_stream_school_sessions(spark, sf):
     """X4: school-card sessions per (card, validator) from ``session_window``."""
-    return run_to_table(spark, school_session_stream(event_stream(spark, sf)), _stream_name("x4", sf),
-                        "card string, trm_id string, start_time timestamp_ntz, consecutive_count bigint") \
-        .withColumn("start_time", iso_text("start_time"))
+    return run_school_sessions(spark, sf, _stream_name("x4", sf)).withColumn("start_time", iso_text("start_time"))
 
 
 QUERIES.update({

@@ -1,4 +1,6 @@
-"""Column lists shared by operators, oracle SQL and tests."""
+"""Column lists shared by operators, oracle SQL and tests.
+
+Fixed values: these names and their order are the output contract."""
 
 TX_COLUMNS = [
     "card", "trm_id", "route_num", "trc_id", "cat", "cat_type", "cat_num", "summ_num", "vehicle",
@@ -16,5 +18,3 @@ REPORT_COLUMNS = [
     "entity_type", "entity_id", "total_unique_hypotheses", "total_violations", "hypotheses",
     "max_severity", "risk_score", "first_seen", "last_seen",
 ]
-
-BUSINESS_COLUMNS = ["card", "trm_id", "route_num", "trc_id", "dt", "cat_num", "summ_num"]

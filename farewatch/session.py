@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -66,17 +67,9 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-# settings results depend on; performance settings (AQE, skew join, partitions) stay the
-# session owner's choice and are only applied by ``build_session``
-REQUIRED_CONF = {"spark.sql.session.timeZone": "UTC"}
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make a session handed to us safe for the operators: UTC session time zone (time
-    arithmetic on TIMESTAMP_NTZ) and the package shipped to the executors (idempotent)."""
-    for key, value in REQUIRED_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Make a session handed to us ready for the operators: the package is shipped to the
+    executors (idempotent). No setting of the session is changed."""
     ship_package(spark)
     return spark
 
@@ -84,12 +77,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) do we create a scratch folder."""
+    Only on a local master (tests) is a scratch folder created where the setting is absent; on a
+    cluster executors could not share it, so that is an error."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="farewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder for intermediate tables under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/farewatch/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables once its outputs are written."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/farewatch/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

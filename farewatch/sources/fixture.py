@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewatch.functions.time import seconds_after
+from farewatch.functions.time import epoch_seconds, from_epoch_seconds, seconds_after
 
 # fixed values of the mapping: kind -> copies
 BURST_EVERY, DUP_EVERY, SERIES_EVERY = 40, 41, 43
@@ -67,7 +67,7 @@ def tx_from_events(events: DataFrame) -> DataFrame:
     trm = F.concat(F.lit("V"), (k % 10).cast("string"))
     cat0 = _category(F.col("kind"), F.col("event_type"), k)
     cat_num = F.when((cat0 == 151) & (trm == "V3"), 201).otherwise(cat0).cast("int")
-    base_dt = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    base_dt = from_epoch_seconds(epoch_seconds("ts"))
     step = F.when(F.col("kind") == "series", F.col("i") * SERIES_STEP_SECONDS).otherwise(0)
     card = F.when(F.col("kind") == "burst", F.col("user_id") + F.col("i")).otherwise(F.col("user_id"))
     tx = r.select(
@@ -78,7 +78,7 @@ def tx_from_events(events: DataFrame) -> DataFrame:
         cat_num.cast("string").alias("cat"),
         F.lit(None).cast("string").alias("cat_type"),
         cat_num.alias("cat_num"),
-        (F.floor("value") * 100).cast("bigint").alias("summ_num"),
+        (F.floor("value") * 100).cast("double").alias("summ_num"),
         F.lit("").alias("vehicle"),
         seconds_after(base_dt, step).alias("dt"),
         F.lit("events").alias("src_file"),
@@ -91,14 +91,16 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same taps as raw text, the way a CSV dump delivers them (all strings,
     ``dd.MM.yyyy HH:mm:ss`` dates, zero-padded categories, padded header names)."""
     tx = events_tx(spark, sf_dir)
+    dt = F.col("dt").cast("string")
     return tx.select(
-        F.date_format("dt", "dd.MM.yyyy HH:mm:ss").alias(" date "),
+        F.concat(F.substring(dt, 9, 2), F.lit("."), F.substring(dt, 6, 2), F.lit("."), F.substring(dt, 1, 4), F.lit(" "),
+                 F.substring(dt, 12, 8)).alias(" date "),
         F.col("card").alias("Card"),
         F.concat(F.lit(" "), F.col("trm_id")).alias("TRM_ID "),
         F.col("route_num").alias("ROUTE_NUM"),
         F.col("trc_id").alias("TRC_ID"),
         F.lpad(F.col("cat_num").cast("string"), 4, "0").alias("CAT"),
-        F.col("summ_num").cast("string").alias("SUMM"),
+        F.col("summ_num").cast("bigint").cast("string").alias("SUMM"),
         F.lit(None).cast("string").alias("VEHICLE"),
         F.col("src_file").alias("_src_file"),
         F.col("src_row").alias("_src_row"),

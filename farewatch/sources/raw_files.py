@@ -1,19 +1,26 @@
 """Raw transaction dumps: folders of delimited text files and ZIP archives of them.
 
-* ``list_input_files``: supported files, dot/underscore files skipped (Spark hides them), one
-  path per distinct content (SHA-1), first path in sorted order wins. Sizes come from the file
-  listing; content is hashed only for files that share a size.
-* CSV: the separator and charset are sniffed from each file's first bytes (bounded read on the
-  driver); files with the same (separator, charset, header) are read by one ``spark.read.csv``
-  with an explicit all-string schema.
-* ZIP: archive directories are listed first, then every (archive, member) pair is decompressed
-  in its own task (``mapInPandas``) into lines that ``from_csv`` parses; members that cannot be
-  read land in a reject table instead of vanishing.
-Every row carries ``_src_file`` / ``_src_row`` (input position) for tie-breaking.
+* ``examine_files``: one task per file streams the whole file in chunks and reports its SHA-1,
+  whether all of it is valid UTF-8, its byte-order mark and its header line. Nothing is decided
+  from a prefix, no file is held in memory, and the driver sees one row per file.
+* ``list_input_files``: supported files (dot/underscore files are hidden), one path per distinct
+  content, first path in sorted order.
+* CSV: files with the same (separator, charset, header) are read by one ``spark.read.csv`` with an
+  explicit all-string schema. windows-1251 files are read as ISO-8859-1, which maps every byte to
+  one character, and translated column by column, so no session setting is needed.
+* ZIP: archive directories are listed first, then every (archive, member) pair is streamed through
+  a CSV parser in its own task, in bounded batches. Members and archives that cannot be read, and
+  spreadsheet members, land in a reject table; an archive that yields nothing is an error.
+
+Every row carries ``_src_file`` (path, for split files with the zero-padded split offset) and
+``_src_row`` (row inside it), whose order is the input order.
 """
 
 from __future__ import annotations
 
+import codecs
+import csv
+import hashlib
 import io
 import zipfile
 from collections import defaultdict
@@ -21,84 +28,114 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farewatch.session import ship_package
+from farewatch.session import scratch_folder, ship_package
 
 # fixed values: accepted suffixes, separators and charsets in the order they are tried
 CSV_SUFFIXES = (".csv",)
 ZIP_SUFFIXES = (".zip",)
 UNSUPPORTED_SUFFIXES = (".xlsx", ".xls", ".xltx", ".cell")
+MEMBER_SPREADSHEETS = (".xlsx", ".xls")
 SEPARATORS = (";", ",", "\t", "|")
 ZIP_SEPARATOR = ";"
-SNIFF_BYTES = 65536
-ROW_BITS = 24  # rows per file split encoded below the split offset in _src_row
+CHUNK_BYTES = 4 << 20
+BATCH_ROWS = 20_000
+MAX_HEADER_BYTES = 1 << 20   # a "header" beyond this is no delimited file
 
+# windows-1251 above ASCII, as the characters ISO-8859-1 gives for the same bytes
+_LATIN_HIGH = "".join(map(chr, range(128, 256)))
+_CP1251_HIGH = bytes(range(128, 256)).decode("cp1251", errors="replace")
 
-def _hadoop_open(spark: SparkSession, path: str, n: int) -> bytes:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.open(p)
-    try:
-        size = min(n, fs.getFileStatus(p).getLen())
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
-    finally:
-        stream.close()
 
+def _open(path: str):
+    """Random-access file handle for a Spark path (local, HDFS, S3, ...) inside a task."""
+    from urllib.parse import unquote, urlparse
 
-def list_input_files(spark: SparkSession, data_dir: str) -> list[str]:
-    """Supported files of ``data_dir`` with duplicate contents removed (first sorted path kept)."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file(unquote(urlparse(path).path))
+    fs, rel = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(rel)
+
+
+def examine(stream) -> tuple[str, str, bytes]:
+    """(SHA-1, charset, header line bytes) of a byte stream, read to its end in chunks."""
+    digest, decoder = hashlib.sha1(), codecs.getincrementaldecoder("utf-8")()
+    utf8, header, done = True, b"", False
+    while chunk := stream.read(CHUNK_BYTES):
+        digest.update(chunk)
+        if utf8:
+            try:
+                decoder.decode(chunk)
+            except UnicodeDecodeError:
+                utf8 = False
+        if not done:
+            header += chunk
+            line = header.split(b"\n", 1)
+            done = len(line) > 1 or len(header) > MAX_HEADER_BYTES
+            header = line[0]
+    if utf8:
+        try:
+            decoder.decode(b"", True)
+        except UnicodeDecodeError:
+            utf8 = False
+    return digest.hexdigest(), "UTF-8" if utf8 else "windows-1251", header
+
+
+def layout(charset: str, header: bytes) -> tuple[str, list[str]]:
+    """(separator, trimmed upper-case column names) of a header line."""
+    text = header.decode("utf-8-sig" if charset == "UTF-8" else "cp1251", errors="replace").rstrip("\r")
+    for sep in SEPARATORS:
+        names = [n.strip().upper() for n in next(csv.reader([text], delimiter=sep), [])]
+        if len(names) > 1:
+            return sep, names
+    raise ValueError("cannot find a separator in the header line")
+
+
+def _examine_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path in pdf["path"]:
+            with _open(path) as fh:
+                yield pd.DataFrame([(path, *examine(fh))], columns=["path", "sha1", "charset", "header"])
+
+
+def examine_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(path, sha1, charset, header) of the supported files, first path of each content only."""
+    ship_package(spark)
     suffixes = CSV_SUFFIXES + ZIP_SUFFIXES + UNSUPPORTED_SUFFIXES
-    # the file listing (path, size) is metadata: the binaryFile scan prunes the content column
-    listing = spark.read.format("binaryFile").load(data_dir).select("path", "length")
+    # the file listing is metadata: the binaryFile scan prunes the content column
+    listing = spark.read.format("binaryFile").load(data_dir).select("path")
     listing = listing.filter(reduce(lambda a, b: a | b, [F.lower("path").endswith(s) for s in suffixes]))
-    files = sorted((r["path"], r["length"]) for r in listing.collect())
+    found = listing.repartition("path").mapInPandas(_examine_paths, "path string, sha1 string, charset string, header binary")
+    return found.groupBy("sha1").agg(F.min_by(F.struct("path", "charset", "header"), "path").alias("f")) \
+        .select("f.path", "sha1", "f.charset", "f.header")
+
+
+def list_input_files(spark: SparkSession, data_dir: str) -> list[str]:
+    """Supported files of ``data_dir`` with duplicate contents removed (first sorted path kept)."""
+    return [r["path"] for r in _files(spark, data_dir)]
+
+
+def _files(spark: SparkSession, data_dir: str) -> list:
+    files = sorted(examine_files(spark, data_dir).collect(), key=lambda r: r["path"])  # one row per file
     if not files:
         raise FileNotFoundError(f"no supported files in {data_dir}")
-    by_size: dict[int, list[str]] = defaultdict(list)
-    for path, size in files:
-        by_size[size].append(path)
-    colliding = [p for group in by_size.values() if len(group) > 1 for p in group]
-    digest = {p: p for p, _ in files}
-    if colliding:
-        # content is read (and hashed on the executors) only for files whose size collides
-        hashed = spark.read.format("binaryFile").load(colliding).select("path", F.sha1("content").alias("d"))
-        digest.update({r["path"]: r["d"] for r in hashed.collect()})
-    seen: set[str] = set()
-    keep = []
-    for path, _ in files:
-        if digest[path] not in seen:
-            seen.add(digest[path])
-            keep.append(path)
-    return keep
-
-
-def sniff(sample: bytes) -> tuple[str, str, list[str]]:
-    """(separator, charset, header names) from a file's first bytes."""
-    if sample.startswith(b"\xef\xbb\xbf"):
-        sample = sample[3:]
-    try:
-        text, charset = sample.decode("utf-8"), "UTF-8"
-    except UnicodeDecodeError as exc:
-        if exc.start >= len(sample) - 3:  # a multi-byte character cut by the sample end
-            text, charset = sample[: exc.start].decode("utf-8"), "UTF-8"
-        else:
-            text, charset = sample.decode("cp1251", errors="replace"), "windows-1251"
-    header = text.splitlines()[0] if text else ""
-    for sep in SEPARATORS:
-        cols = header.split(sep)
-        if len(cols) > 1:
-            return sep, charset, [c.strip('"') for c in cols]
-    raise ValueError("cannot find a separator in the header line")
+    return files
 
 
 def _lineage(df: DataFrame) -> DataFrame:
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn("_src_file", F.col("_metadata.file_path")) \
-        .withColumn("_src_row", F.col("_metadata.file_block_start") * F.lit(1 << ROW_BITS) + row)
+    # splits of a file keep their order through the offset, whatever its size
+    name = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
+    return df.withColumn("_src_file", name).withColumn("_src_row", row)
+
+
+def _from_cp1251(c: Column) -> Column:
+    return F.translate(c, _LATIN_HIGH, _CP1251_HIGH)
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -110,37 +147,27 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_csv_files(spark: SparkSession, files: list) -> DataFrame:
+    """Rows of examined CSV files (path, charset, header), grouped by layout."""
     groups: dict[tuple, list[str]] = defaultdict(list)
-    for p in paths:
-        sep, charset, header = sniff(_hadoop_open(spark, p, SNIFF_BYTES))
-        groups[(sep, charset, tuple(header))].append(p)
-    if any(cs == "windows-1251" for _, cs, _ in groups):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for f in files:
+        sep, header = layout(f["charset"], bytes(f["header"]))
+        groups[(sep, f["charset"], tuple(header))].append(f["path"])
     frames = []
-    for (sep, charset, header), files in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in _unique(list(header))])
-        df = spark.read.csv(files, schema=schema, header=True, sep=sep, encoding=charset, mode="PERMISSIVE",
-                            enforceSchema=True)
-        frames.append(_lineage(df))
+    for (sep, charset, header), paths in groups.items():
+        names = _unique(list(header))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        encoding = "UTF-8" if charset == "UTF-8" else "ISO-8859-1"
+        df = _lineage(spark.read.csv(paths, schema=schema, header=True, sep=sep, encoding=encoding, mode="PERMISSIVE",
+                                     enforceSchema=True))
+        if charset != "UTF-8":
+            df = df.select(*[_from_cp1251(F.col(f"`{n}`")).alias(n) for n in names], "_src_file", "_src_row")
+        frames.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _open(path: str):
-    """Random-access file handle for a Spark path (local, HDFS, S3, ...) inside a task."""
-    from urllib.parse import unquote, urlparse
-
-    import pyarrow.fs as pafs
-
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem().open_input_file(unquote(urlparse(path).path))
-    fs, rel = pafs.FileSystem.from_uri(path)
-    return fs.open_input_file(rel)
-
-
-def _wanted(name: str) -> bool:
-    base = name.rsplit("/", 1)[-1]
-    return "__MACOSX" not in name and not base.startswith(".") and base.lower().endswith(".csv")
+def _visible(name: str) -> bool:
+    return "__MACOSX" not in name and not name.rsplit("/", 1)[-1].startswith(".")
 
 
 def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,84 +177,94 @@ def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in pdf["path"]:
             try:
                 with _open(path) as fh, zipfile.ZipFile(fh) as archive:
-                    out.extend((path, n, None) for n in archive.namelist() if _wanted(n))
+                    names = [n for n in archive.namelist() if _visible(n)]
+                out.extend((path, n, None) for n in names if n.lower().endswith(CSV_SUFFIXES))
+                out.extend((path, n, "member: spreadsheets are not read") for n in names if n.lower().endswith(MEMBER_SPREADSHEETS))
             except Exception as exc:  # noqa: BLE001 - a broken archive is a reject, not a crash
                 out.append((path, "", f"archive: {exc}"))
         yield pd.DataFrame(out, columns=["archive", "member", "error"])
 
 
-def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ZIP_ROW_COLUMNS = ["archive", "member", "row_no", "header", "fields", "error"]
+ZIP_ROW_SCHEMA = "archive string, member string, row_no long, header array<string>, fields array<string>, error string"
+
+
+def _member_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parsed rows of archive members, streamed: a member never stands in memory as a whole. A
+    member that breaks half-way keeps the rows before the break and adds a reject."""
     for pdf in batches:
-        for path, name in zip(pdf["archive"], pdf["member"]):
+        for path, name in zip(pdf["archive"], pdf["member"], strict=True):
+            rows: list[tuple] = []
             try:
-                with _open(path) as fh, zipfile.ZipFile(fh) as archive:
-                    text = archive.read(name).decode("utf-8-sig", errors="replace")
+                with _open(path) as fh, zipfile.ZipFile(fh) as archive, archive.open(name) as member:
+                    text = io.TextIOWrapper(member, encoding="utf-8-sig", errors="replace", newline="")
+                    parser = csv.reader(text, delimiter=ZIP_SEPARATOR)
+                    header = next(parser, None)
+                    for k, fields in enumerate(parser):
+                        if fields:
+                            rows.append((path, name, k, header, fields, None))
+                        if len(rows) >= BATCH_ROWS:
+                            yield pd.DataFrame(rows, columns=ZIP_ROW_COLUMNS)
+                            rows = []
             except Exception as exc:  # noqa: BLE001
-                yield pd.DataFrame([(path, name, -1, "", "", f"member: {exc}")], columns=ZIP_LINE_COLUMNS)
-                continue
-            lines = text.splitlines()
-            if not lines:
-                continue
-            header = lines[0]
-            yield pd.DataFrame([(path, name, i, header, line, None) for i, line in enumerate(lines[1:]) if line],
-                               columns=ZIP_LINE_COLUMNS)
+                rows.append((path, name, -1, None, None, f"member: {exc}"))
+            if rows:
+                yield pd.DataFrame(rows, columns=ZIP_ROW_COLUMNS)
 
 
-ZIP_LINE_COLUMNS = ["archive", "member", "line_no", "header", "line", "error"]
-ZIP_LINE_SCHEMA = "archive string, member string, line_no long, header string, line string, error string"
-
-
-def zip_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(archive, member, line_no, header, line, error) for every CSV member line.
+def read_zip_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the archives.
 
-    Stage 1 reads only each archive's directory (the binaryFile scan prunes the content);
-    stage 2 spreads the (archive, member) pairs over tasks, so one archive holding a large share
-    of the data is decompressed by many tasks, one member each. Lines are then repartitioned so
-    CSV parsing is spread even when a single member is large."""
+    The directories are read first; then the (archive, member) pairs are spread over tasks, so an
+    archive with a large share of the data is decompressed by many tasks. The parsed rows are
+    written once to the shared folder, because headers, rows and rejects all come from them."""
     ship_package(spark)
-    members = spark.read.format("binaryFile").load(paths).select("path") \
+    members = spark.read.format("binaryFile").load(paths).select("path").repartition("path") \
         .mapInPandas(_zip_members, "archive string, member string, error string")
-    bad = members.filter(F.col("error").isNotNull()).select(
-        "archive", "member", F.lit(-1).cast("long").alias("line_no"), F.lit("").alias("header"),
-        F.lit("").alias("line"), "error")
-    good = members.filter(F.col("error").isNull()).select("archive", "member") \
-        .repartition("archive", "member")
-    lines = good.mapInPandas(_member_lines, ZIP_LINE_SCHEMA)
-    return lines.unionByName(bad).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def read_zip_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects). Rows are parsed with ``from_csv`` per distinct header."""
-    lines = zip_lines(spark, paths).persist()  # read twice (layouts, rows)
-    good = lines.filter(F.col("error").isNull())
-    rejects = lines.filter(F.col("error").isNotNull()).select("archive", "member", "error")
-    headers = [r["header"] for r in good.select("header").distinct().collect()]  # one per member layout
+    folder = scratch_folder(spark, "zip")
+    members.write.parquet(f"{folder}/members")
+    members = spark.read.parquet(f"{folder}/members")
+    good = members.filter(F.col("error").isNull()).select("archive", "member").repartition("archive", "member")
+    good.mapInPandas(_member_rows, ZIP_ROW_SCHEMA).write.parquet(f"{folder}/rows")
+    parsed = spark.read.schema(ZIP_ROW_SCHEMA).parquet(f"{folder}/rows")
+    rejects = members.filter(F.col("error").isNotNull()).unionByName(
+        parsed.filter(F.col("error").isNotNull()).select("archive", "member", "error"))
+    rows = parsed.filter(F.col("error").isNull())
     frames = []
-    for h in headers:
-        names = _unique([c.strip('"') for c in h.split(ZIP_SEPARATOR)])
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        parsed = good.filter(F.col("header") == h).select(
-            F.from_csv("line", schema, {"sep": ZIP_SEPARATOR}).alias("r"),
-            F.concat_ws("!", "archive", "member").alias("_src_file"),
-            F.col("line_no").alias("_src_row"))
-        frames.append(parsed.select("r.*", "_src_file", "_src_row"))
+    for r in rows.select("header").distinct().collect():                      # one row per member layout
+        names = _unique([n.strip().upper() for n in r["header"]])
+        own = rows.filter(F.col("header") == F.array(*map(F.lit, r["header"])))
+        frames.append(own.select(*[F.get("fields", F.lit(k)).alias(n) for k, n in enumerate(names)],
+                                 F.concat_ws("!", "archive", "member").alias("_src_file"), F.col("row_no").alias("_src_row")))
     if not frames:
         return spark.createDataFrame([], "_src_file string, _src_row long"), rejects
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), rejects
-
-
-def read_raw(spark: SparkSession, data_dir: str) -> DataFrame:
-    """All supported files of a folder as one all-string frame (plus lineage columns)."""
-    paths = list_input_files(spark, data_dir)
-    lower = [p.lower() for p in paths]
-    unsupported = [p for p, lp in zip(paths, lower) if lp.endswith(UNSUPPORTED_SUFFIXES)]
+    # an empty field is a missing value, as in the CSV reader
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return out.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) if c != "_src_row" else F.col(c) for c in out.columns]), rejects
+
+
+def read_raw_with_rejects(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of all supported files of a folder: all-string rows with lineage columns,
+    and (archive, member, error) of what could not be read. An archive none of whose members gave
+    a row is an error."""
+    files = _files(spark, data_dir)
+    kind = {f["path"]: next(s for s in (CSV_SUFFIXES, ZIP_SUFFIXES, UNSUPPORTED_SUFFIXES) if f["path"].lower().endswith(s)) for f in files}
+    unsupported = [p for p, k in kind.items() if k is UNSUPPORTED_SUFFIXES]
     if unsupported:
         raise ValueError("spreadsheet files are not read; convert them to CSV: " + ", ".join(unsupported))
-    csvs = [p for p, lp in zip(paths, lower) if lp.endswith(CSV_SUFFIXES)]
-    zips = [p for p, lp in zip(paths, lower) if lp.endswith(ZIP_SUFFIXES)]
     frames = []
-    if csvs:
+    if csvs := [f for f in files if kind[f["path"]] is CSV_SUFFIXES]:
         frames.append(read_csv_files(spark, csvs))
-    if zips:
-        frames.append(read_zip_files(spark, zips)[0])
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    rejects = spark.createDataFrame([], "archive string, member string, error string")
+    if zips := [p for p, k in kind.items() if k is ZIP_SUFFIXES]:
+        rows, rejects = read_zip_files(spark, zips)
+        full = {r[0] for r in rows.select(F.split_part("_src_file", F.lit("!"), F.lit(1))).distinct().collect()}  # one per archive
+        if empty := sorted(set(zips) - full):
+            raise ValueError("archives without a readable CSV member: " + ", ".join(empty))
+        frames.append(rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), rejects
+
+
+def read_raw(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The rows of ``read_raw_with_rejects``."""
+    return read_raw_with_rejects(spark, data_dir)[0]

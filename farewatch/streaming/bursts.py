@@ -11,14 +11,13 @@ sample cards are left to the batch rule (a bounded top-k is not a streaming aggr
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewatch.config import H3Config
-from farewatch.session import ensure_checkpoint_dir
-from farewatch.sources.fixture import tx_from_events
+from farewatch.functions.time import from_epoch_seconds, instant
+from farewatch.sources.fixture import read_table
+from farewatch.streaming.replay import TxRows, open_rows, run_to_table, taps
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -28,8 +27,8 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
             .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
 
 
-def burst_stream(events: DataFrame, cfg: H3Config = H3Config(), watermark: str = "10 seconds") -> DataFrame:
-    tx = tx_from_events(events).select("trm_id", "card", F.col("dt").cast("timestamp").alias("et"))
+def burst_stream(events: DataFrame | TxRows, cfg: H3Config = H3Config(), watermark: str = "10 seconds") -> DataFrame:
+    tx = taps(events).select("trm_id", "card", instant("dt").alias("et"))
     per_card = (
         tx.withWatermark("et", watermark)
         .groupBy("trm_id", F.window("et", f"{cfg.time_window_seconds} seconds").alias("w"), "card")
@@ -39,18 +38,18 @@ def burst_stream(events: DataFrame, cfg: H3Config = H3Config(), watermark: str =
         F.sum("n").alias("tx_count"), F.count(F.lit(1)).alias("unique_cards"))
     return per_window.filter((F.col("tx_count") >= cfg.threshold_raw)
                              & (F.col("unique_cards") >= cfg.min_cards_in_burst)) \
-        .select("trm_id", F.col("w.start").cast("timestamp_ntz").alias("time_window"), "tx_count", "unique_cards")
+        .select("trm_id", from_epoch_seconds(F.unix_seconds("w.start")).alias("time_window"), "tx_count", "unique_cards")
+
+
+BURST_SCHEMA = "trm_id string, time_window timestamp_ntz, tx_count bigint, unique_cards bigint"
 
 
 def run_burst_stream(spark: SparkSession, sf_dir: str, name: str = "stream_bursts",
-                     cfg: H3Config = H3Config(), watermark: str = "10 seconds") -> DataFrame:
+                     cfg: H3Config = H3Config(), delay_seconds: int = 10) -> DataFrame:
     """Replay the folder with ``availableNow`` into a Parquet sink (exactly-once through the
-    checkpoint) under the shared checkpoint folder; return the closed windows."""
-    root = os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, name)
-    query = (burst_stream(event_stream(spark, sf_dir), cfg, watermark).writeStream
-             .format("parquet").outputMode("append")
-             .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-             .trigger(availableNow=True).start(os.path.join(root, "out")))
-    query.awaitTermination()
-    return spark.read.schema("trm_id string, time_window timestamp_ntz, tx_count bigint, unique_cards bigint") \
-        .parquet(os.path.join(root, "out"))
+    checkpoint), then add the windows still open when the input ended, from a batch pass over
+    the taps of those windows."""
+    closed = run_to_table(spark, burst_stream(event_stream(spark, sf_dir), cfg, f"{delay_seconds} seconds"), name, BURST_SCHEMA)
+    events = read_table(spark, sf_dir, "events")
+    rest = open_rows(events, cfg.time_window_seconds, delay_seconds)
+    return closed.unionByName(burst_stream(rest, cfg, f"{delay_seconds} seconds"))

@@ -4,12 +4,11 @@
   is emitted once the watermark closes it, with the raw / strong layer. Excluding service
   cards needs every day of a card, so rows carry ``service_day`` (over the service threshold)
   for the consumer instead of retracting earlier output.
-* X3 ``near_dedup_stream``: the 2-second rule with per-card state holding the last tap time on
-  each validator (``applyInPandasWithState``), so a chain split across micro-batches is still
-  cut; a card's state is dropped once the watermark passes it. One card's taps of one
-  micro-batch meet in one task, so the batch size (``maxFilesPerTrigger``) bounds a hot card's
-  work per task; its state stays one small map whatever its volume. Exact while each key's taps arrive
-  in time order across batches (true for time-ordered dumps).
+* X3 ``near_dedup_stream``: the 2-second rule with one value of state per (card, validator), the
+  last tap time (``applyInPandasWithState``), so a chain split across micro-batches is still cut
+  and a card used on many validators spreads over tasks; a pair's state is dropped once the
+  watermark is an hour past its last tap. Exact while each pair's taps arrive in time order
+  across batches (true for time-ordered dumps).
 * X4 ``school_session_stream``: H8-style sessions of school taps per (card, validator) with
   ``session_window``; the window merges taps whose gap is at most the gap duration, so 59 s on
   whole-second times means "less than 60 s".
@@ -17,8 +16,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,26 +24,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from farewatch.config import NEAR_DUPLICATE_SECONDS, H1Config, H8Config
-from farewatch.session import ensure_checkpoint_dir, ship_package
-from farewatch.sources.fixture import tx_from_events
+from farewatch.functions.time import epoch_seconds, instant
+from farewatch.session import ship_package
+from farewatch.sources.fixture import read_table, tx_from_events
+from farewatch.streaming.bursts import event_stream
+from farewatch.streaming.replay import TxRows, open_rows, run_to_table, taps, watermark_seconds
+
+DAY_SECONDS = 86400
 
 
 def _event_time(tx: DataFrame) -> DataFrame:
-    return tx.withColumn("et", F.col("dt").cast("timestamp"))
+    return tx.withColumn("et", instant("dt"))
 
 
-def daily_trip_stream(events: DataFrame, cfg: H1Config = H1Config(), watermark: str = "1 hour") -> DataFrame:
-    tx = _event_time(tx_from_events(events))
-    days = tx.withWatermark("et", watermark).groupBy("card", F.window("et", "1 day").alias("w")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+def daily_trip_stream(events: DataFrame | TxRows, cfg: H1Config = H1Config(), delay_seconds: int = 3600) -> DataFrame:
+    days = _event_time(taps(events)).withWatermark("et", f"{delay_seconds} seconds") \
+        .groupBy("card", F.window("et", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / DAY_SECONDS).cast("int"))
     return days.filter(F.col("n") >= cfg.threshold_raw).select(
-        "card", F.to_date(F.col("w.start")).alias("date"), "n",
+        "card", day.alias("date"), "n",
         F.when(F.col("n") >= cfg.threshold_strong, "strong").otherwise("raw").alias("severity"),
         (F.col("n") > cfg.service_card_threshold).alias("service_day"))
 
 
+DAILY_SCHEMA = "card string, date date, n bigint, severity string, service_day boolean"
+
+
+def run_daily_trips(spark: SparkSession, sf_dir: str, name: str, delay_seconds: int = 3600) -> DataFrame:
+    """X2 over a whole folder: the closed days from the stream, the open ones from their taps."""
+    closed = run_to_table(spark, daily_trip_stream(event_stream(spark, sf_dir), delay_seconds=delay_seconds), name, DAILY_SCHEMA)
+    rest = open_rows(read_table(spark, sf_dir, "events"), DAY_SECONDS, delay_seconds)
+    return closed.unionByName(daily_trip_stream(rest, delay_seconds=delay_seconds))
+
+
 NEAR_DUP_OUT = "card string, trm_id string, dt timestamp_ntz, src_row bigint"
-NEAR_DUP_STATE = "last_json string"
+NEAR_DUP_STATE = "last_second bigint"
 
 
 def _near_dedup(gap: int):
@@ -57,18 +69,15 @@ def _near_dedup(gap: int):
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        pdf = pd.concat(parts, ignore_index=True)
-        pdf = pdf.sort_values(["trm_id", "dt", "src_row"], kind="mergesort")
-        secs = pdf["dt"].astype("int64") // 10**9  # tap time in whole seconds
-        prev = secs.groupby(pdf["trm_id"]).shift(1)
-        last = json.loads(state.get[0]) if state.exists else {}
-        first = prev.isna()
-        prev[first] = pdf.loc[first, "trm_id"].map(last)
-        keep = prev.isna() | ((secs - prev) > gap)
-        last.update({t: int(v) for t, v in secs.groupby(pdf["trm_id"]).max().items()})
-        state.update((json.dumps(last),))
-        # drop the card's state once the watermark is an hour past its last tap
-        state.setTimeoutTimestamp(max(last.values()) * 1000 + 3_600_000)
+        pdf = pd.concat(parts, ignore_index=True).sort_values(["sec", "src_row"], kind="mergesort")
+        prev = pdf["sec"].shift(1)
+        if state.exists:
+            prev.iloc[0] = state.get[0]
+        keep = prev.isna() | ((pdf["sec"] - prev) > gap)
+        last = int(pdf["sec"].iloc[-1])
+        state.update((last,))
+        # drop the pair's state once the watermark is an hour past its last tap
+        state.setTimeoutTimestamp(last * 1000 + 3_600_000)
         out = pdf.loc[keep.to_numpy(), ["card", "trm_id", "dt", "src_row"]]
         if len(out):
             yield out
@@ -77,29 +86,36 @@ def _near_dedup(gap: int):
 
 
 def near_dedup_stream(events: DataFrame, gap: int = NEAR_DUPLICATE_SECONDS, watermark: str = "1 hour") -> DataFrame:
-    """State per card: the last tap time on each validator the card used (a small map)."""
+    """State per (card, validator): the last tap time."""
     ship_package(events.sparkSession)
-    tx = _event_time(tx_from_events(events)).select("card", "trm_id", "dt", "src_row", "et")
-    return tx.withWatermark("et", watermark).groupBy("card").applyInPandasWithState(
+    tx = _event_time(tx_from_events(events)).select("card", "trm_id", "dt", "src_row", epoch_seconds("dt").alias("sec"), "et")
+    return tx.withWatermark("et", watermark).groupBy("card", "trm_id").applyInPandasWithState(
         _near_dedup(gap), NEAR_DUP_OUT, NEAR_DUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def school_session_stream(events: DataFrame, cfg: H8Config = H8Config(), watermark: str = "10 minutes") -> DataFrame:
-    tx = _event_time(tx_from_events(events)).filter(F.col("cat_num").isin(*cfg.school_cats))
+def school_session_stream(events: DataFrame | TxRows, cfg: H8Config = H8Config(), delay_seconds: int = 600,
+                          with_end: bool = False) -> DataFrame:
+    tx = _event_time(taps(events)).filter(F.col("cat_num").isin(*cfg.school_cats))
     gap = f"{cfg.interval_seconds - 1} seconds"
-    s = tx.withWatermark("et", watermark).groupBy("card", "trm_id", F.session_window("et", gap).alias("s")) \
+    s = tx.withWatermark("et", f"{delay_seconds} seconds").groupBy("card", "trm_id", F.session_window("et", gap).alias("s")) \
         .agg(F.count(F.lit(1)).alias("taps"), F.min("dt").alias("start_time"))
     # taps after the first one are the "consecutive uses"
-    return s.withColumn("consecutive_count", F.col("taps") - 1) \
-        .filter(F.col("consecutive_count") >= cfg.min_consecutive) \
-        .select("card", "trm_id", "start_time", "consecutive_count")
-
-
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, schema: str) -> DataFrame:
-    """Drain a streaming frame with ``availableNow`` into Parquet under the checkpoint folder."""
-    root = os.path.join(ensure_checkpoint_dir(spark), "farewatch", spark.sparkContext.applicationId, name)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", os.path.join(root, "_checkpoint"))
-         .trigger(availableNow=True).start(os.path.join(root, "out")))
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(os.path.join(root, "out"))
+    out = s.withColumn("consecutive_count", F.col("taps") - 1).filter(F.col("consecutive_count") >= cfg.min_consecutive)
+    return out.select("card", "trm_id", "start_time", "consecutive_count",
+                      *([F.unix_seconds("s.end").alias("end_second")] if with_end else []))
+
+
+SESSION_SCHEMA = "card string, trm_id string, start_time timestamp_ntz, consecutive_count bigint"
+
+
+def run_school_sessions(spark: SparkSession, sf_dir: str, name: str, cfg: H8Config = H8Config(),
+                        delay_seconds: int = 600) -> DataFrame:
+    """X4 over a whole folder: closed sessions from the stream; those open at its end from the taps
+    of the (card, validator) pairs that tapped after the final watermark less the gap."""
+    closed = run_to_table(spark, school_session_stream(event_stream(spark, sf_dir), cfg, delay_seconds), name, SESSION_SCHEMA)
+    events = read_table(spark, sf_dir, "events")
+    tx, mark = tx_from_events(events), watermark_seconds(events, delay_seconds)
+    live = tx.where(epoch_seconds("dt") + cfg.interval_seconds - 1 > mark).select("card", "trm_id").distinct()
+    rest = TxRows(tx.join(live, ["card", "trm_id"], "left_semi"))
+    late = school_session_stream(rest, cfg, delay_seconds, with_end=True).where(F.col("end_second") > mark)
+    return closed.unionByName(late.drop("end_second"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from farewatch.sources.fixture import with_calendar
 
 TX_SCHEMA = ("card string, trm_id string, route_num string, trc_id string, cat string, cat_type string, "
-             "cat_num int, summ_num bigint, vehicle string, dt timestamp_ntz, src_file string, src_row bigint")
+             "cat_num int, summ_num double, vehicle string, dt timestamp_ntz, src_file string, src_row bigint")
 
 T0 = dt.datetime(2024, 1, 8, 10, 0, 0)  # a Monday
 
@@ -23,6 +23,6 @@ def tx(spark: SparkSession, rows: list[dict]) -> DataFrame:
     for i, r in enumerate(rows):
         cat = r.get("cat", 201)
         out.append((r.get("card", "C1"), r.get("trm", "V1"), r.get("route", "R1"), r.get("trc", "T1"),
-                    None if cat is None else str(cat), None, cat, r.get("summ", 3500), "",
+                    None if cat is None else str(cat), None, cat, float(r.get("summ", 3500)), "",
                     r["dt"], "f", i))
     return with_calendar(spark.createDataFrame(out, TX_SCHEMA))

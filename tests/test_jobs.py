@@ -1,22 +1,71 @@
+import glob
+import json
+import os
 import tempfile
 
+import pytest
+
+from farewatch.__main__ import with_settings
+from farewatch.config import RulesConfig
 from farewatch.plans.jobs import run_full_pipeline
-from farewatch.plans.queries import raw_dump_dir
+from farewatch.sources.dump_fixture import write_dump
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_full_pipeline_from_raw_dumps(spark):
-    raw = raw_dump_dir(spark, SF) + "/cp1251"
-    out = run_full_pipeline(spark, raw, tempfile.mkdtemp(prefix="fw-pipe-"))
+    raw = write_dump(spark, SF, tempfile.mkdtemp(prefix="fw-dump-"))
+    out_dir = tempfile.mkdtemp(prefix="fw-pipe-")
+    out = run_full_pipeline(spark, raw, out_dir)
     m = out["ml_ml_summary"].collect()[0]
     assert m["labels"] == m["features"] and m["inference"]["scored_cards"] == m["features"]
     s = out["ml_summary"].collect()[0]
     assert s["scored_cards"] > 0 and s["top_cards"] == max(1, round(s["scored_cards"] * 0.01))
     assert s["known_fraud_excluded"] + s["new_pattern_candidates"] == s["top_cards"]
-    assert out["report"].count() > 0
     rules = out["summary"].collect()[0]
     assert sum(rules["hypotheses"].values()) == rules["total_anomalies"] and len(rules["hypotheses"]) == 13
+    full = json.loads(out["full_summary"].toJSON().collect()[0])
+    assert full["rules"]["total_anomalies"] == rules["total_anomalies"] and full["ml"]["labels"] == m["labels"]
+    assert out["rejects"].count() == 4                                       # two members in each of two archives
+    # exports: byte-order mark, risk order; tables: one file per date here
+    lines = b"".join(open(f, "rb").read() for f in sorted(glob.glob(out_dir + "/rules/fraud_report_csv/part-*"))).decode("utf-8")
+    assert lines.startswith("\ufeff")
+    import csv
+    risks = [float(r["risk_score"]) for r in csv.DictReader(l for l in lines.replace("\ufeff", "").splitlines() if l) if r["risk_score"] != "risk_score"]
+    assert risks == sorted(risks, reverse=True) and len(risks) == out["report"].count() > 0
+    for day in glob.glob(out_dir + "/tables/tx_norm/date=*"):
+        assert len(glob.glob(day + "/part-*")) == 1
+    assert glob.glob(out_dir + "/ml/new_candidates_csv/*") and os.path.isdir(out_dir + "/tables/raw")
+
+
+def test_settings():
+    c = with_settings(RulesConfig(), ["h1.threshold_raw=8", "H11.threshold_strong=0.5"])
+    assert (c.h1.threshold_raw, c.h11.threshold_strong) == (8, 0.5)
+    for bad in ("h1.nothing=3", "h99.x=1", "x"):
+        with pytest.raises(ValueError):
+            with_settings(RulesConfig(), [bad])
+
+
+def test_rules_do_not_depend_on_the_session_zone(spark):
+    """Same rows in a zone with clock changes; the setting stays the caller's."""
+    from farewatch.operators.dedupe import remove_near_duplicates
+    from farewatch.operators.normalize import normalize_transactions
+    from farewatch.operators.rules import run_rules
+    from farewatch.sources.fixture import events_raw
+
+    def rows():
+        tx = remove_near_duplicates(normalize_transactions(events_raw(spark, SF)))
+        return sorted(str(r) for df in run_rules(tx, ["H1", "H3", "H4s", "H8s", "H21k"]).values() for r in df.collect()), \
+            sorted(map(str, tx.select("card", "trm_id", "dt", "date", "hour").collect()))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    utc = rows()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        assert rows() == utc
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert rows() == utc and spark.conf.get("spark.sql.session.timeZone") == "Europe/Berlin"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_missing_artifact_is_empty(spark):

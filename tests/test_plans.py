@@ -1,10 +1,13 @@
 """Plan checks: the physical plans keep the properties the design relies on."""
 
-import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from farewatch.functions.ordered import average_rank_pct
 from farewatch.operators import features as FE
+from farewatch.operators.dedupe import remove_near_duplicates
+from farewatch.operators.features import build_features
+from farewatch.operators.rules import RULES, run_rules
 from farewatch.plans import tables
 from farewatch.plans.queries import card_labels
 
@@ -18,30 +21,118 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_single_partition_windows_or_stray_python(spark):
+def tree(df):
+    """(depth, node text) of the initial physical plan, top down."""
+    out = []
+
+    def walk(node, depth):
+        out.append((depth, node.nodeName(), node.simpleString(200)))
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i), depth + 1)
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan, 0)
+    return out
+
+
+def single_partition_consumers(df) -> list[str]:
+    """The operators that read a single-partition exchange (through sorts)."""
+    nodes = tree(df)
+    out = []
+    for k, (depth, _, text) in enumerate(nodes):
+        if "Exchange SinglePartition" in text:
+            d = depth
+            for j in range(k - 1, -1, -1):
+                if nodes[j][0] < d:
+                    d = nodes[j][0]
+                    if not nodes[j][1].startswith(("Sort", "WholeStageCodegen", "InputAdapter", "Project")):
+                        out.append(nodes[j][1])
+                        break
+    return out
+
+
+def transactions(spark):
+    return tables.tx_norm(spark, SF)
+
+
+def test_checker_sees_a_global_window(spark):
+    bad = transactions(spark).withColumn("n", F.row_number().over(Window.orderBy("dt")))
+    assert single_partition_consumers(bad) == ["Window"]
+
+
+def test_operators_gather_only_global_aggregates(spark):
+    tx = transactions(spark)
+    frames = [remove_near_duplicates(tx), build_features(tx, card_labels(spark, SF)), *run_rules(tx, list(RULES)).values()]
+    for df in frames:
+        for node in single_partition_consumers(df):
+            assert "Aggregate" in node or "Limit" in node or "TakeOrdered" in node, node
+        assert "CartesianProduct" not in physical(df)
+
+
+def test_stray_python(spark):
     for name, fn in E.queries().items():
-        plan = physical(fn(spark, SF))
-        for line in plan.splitlines():
-            if "Exchange SinglePartition" in line:
-                # only global aggregates (one row) may gather; never a window or sort input
-                assert "Window" not in line and "Sort" not in line, (name, line)
-        if name not in PYTHON_ALLOWED:
-            assert not any(node in plan for node in PYTHON_NODES), name
-
-
-def test_feature_families_share_card_clustering(spark):
-    rows = FE.feature_rows(tables.tx_norm(spark, SF)).join(card_labels(spark, SF).select("card_id"), "card_id",
-                                                          "left_semi")
+        if name in PYTHON_ALLOWED or name.startswith(("op", "pipeline")):
+            continue
+        assert not any(node in physical(fn(spark, SF)) for node in PYTHON_NODES), name
+
+
+def test_previous_row_scans_and_shuffles_its_input_once(spark, tmp_path):
+    """One scan and one full-row shuffle for the window; the carry reads only what was written."""
+    path = str(tmp_path / "t")
+    transactions(spark).write.parquet(path)
+    before = set(threshold(spark, "-1"))
+    try:
+        from farewatch.functions import ordered
+        seen = []
+        keep = ordered.written
+        ordered.written = lambda df, label: seen.append(df) or keep(df, label)
+        out = ordered.with_previous(spark.read.parquet(path), ["card"], "dt", ["src_file", "src_row"], ["trm_id"])
+        ordered.written = keep
+        first = physical(seen[0])
+        assert len(seen) == 1 and first.count("Exchange hashpartitioning") == 1 and first.count("FileScan") == 1
+        assert path not in physical(out)
+    finally:
+        threshold(spark, next(iter(before)))
+
+
+def threshold(spark, value):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+    return [old]
+
+
+def test_feature_aggregates_never_cluster_by_card_alone_before_the_fold(spark):
+    rows = FE.feature_rows(transactions(spark))
     plan = physical(FE._dim_features(FE.card_grain(rows)))
-    # one exchange for the grain aggregate, one repartition by card; dims/folds add none
-    assert plan.count("Exchange hashpartitioning") == 2, plan
-    assert "REPARTITION_BY_COL" in plan
-
-
-def test_average_rank_pct_matches_pandas(spark):
-    rows = [("a", v) for v in (1, 2, 2, 5)] + [("b", v) for v in (3, 3, 3)]
-    got = average_rank_pct(spark.createDataFrame(rows, "g string, v int"), "g", "v", "pct").toPandas()
-    pdf = pd.DataFrame(rows, columns=["g", "v"])
-    pdf["want"] = pdf.groupby("g")["v"].rank(pct=True)
-    m = got.merge(pdf.drop_duplicates(), on=["g", "v"])
-    assert (m["pct"] - m["want"]).abs().max() < 1e-12 and len(got) == 7
+    # grain, (card, dim, value), (card, dim), then one small row per (card, dim) by card
+    keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(keys) == 4 and sum(k.startswith("card_id") and k.count("#") <= 2 and "dim" not in k for k in keys) == 1, keys
+    assert "REPARTITION" not in plan
+
+
+def test_all_rules_together_read_the_table_five_times(spark, tmp_path):
+    """Two shared passes, H3, H4 and H20; everything else comes from what the passes wrote."""
+    from farewatch.functions import ordered
+    from farewatch.operators.rules import taps, union_anomalies
+    path = str(tmp_path / "tx")
+    transactions(spark).write.parquet(path)
+    executed, keep = [], ordered.written
+
+    def recorded(df, label):
+        out = keep(df, label)
+        executed.append(df)
+        return out
+    ordered.written = taps.written = recorded
+    try:
+        result = union_anomalies(run_rules(spark.read.parquet(path), list(RULES)))
+        result.collect()
+    finally:
+        ordered.written = taps.written = keep
+    scans = 0
+    for df in [*executed, result]:
+        if df is not result:
+            df.collect()
+        plan = physical(df)
+        final = plan.split("== Initial Plan ==")[0]
+        scans += sum("FileScan" in line and path in line for line in final.splitlines())
+    assert scans <= 5, scans

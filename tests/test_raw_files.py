@@ -3,8 +3,10 @@ import os
 import tempfile
 import zipfile
 
+import pytest
+
 from farewatch.operators.normalize import normalize_transactions
-from farewatch.sources.raw_files import list_input_files, read_raw, read_zip_files, sniff
+from farewatch.sources.raw_files import examine, layout, list_input_files, read_raw, read_raw_with_rejects, read_zip_files
 
 HEADER = ["DATE", "CARD", "TRM_ID", "ROUTE_NUM", "CAT", "SUMM"]
 
@@ -17,11 +19,55 @@ def row(i, card="1"):
     return [f"09.05.2023 05:{i:02d}:00", card, "V1", "Маршрут 5", "0201", "100"]
 
 
-def test_sniff():
-    assert sniff("DATE;CARD\n".encode("cp1251"))[:2] == (";", "UTF-8")
-    assert sniff("Дата,CARD\n".encode("cp1251"))[:2] == (",", "windows-1251")
-    assert sniff(b"\xef\xbb\xbfDATE\tCARD\n")[:2] == ("\t", "UTF-8")
-    assert sniff(b"DATE|CARD\n")[0] == "|"
+def test_layout_from_the_whole_file():
+    def of(data):
+        sha, charset, header = examine(io.BytesIO(data))
+        return (*layout(charset, header), charset)
+    assert of("DATE;CARD\n".encode("cp1251")) == (";", ["DATE", "CARD"], "UTF-8")
+    assert of("Дата,CARD\n".encode("cp1251")) == (",", ["ДАТА", "CARD"], "windows-1251")
+    assert of(b"\xef\xbb\xbfdate \tCARD\r\n") == ("\t", ["DATE", "CARD"], "UTF-8")
+    assert of(b"DATE|CARD\n")[0] == "|"
+    long = "DATE;CARD\n" + "1;2\n" * 3_000_000
+    assert of(long.encode() + "я;2\n".encode())[2] == "UTF-8"                    # decided by the last line, chunks later
+    assert of(long.encode() + "я;2\n".encode("cp1251"))[2] == "windows-1251"
+    assert of(long.encode() + "я".encode()[:1])[2] == "windows-1251"              # a character cut by the end of the file
+
+
+def test_late_cyrillic_is_read_right(spark):
+    d = tempfile.mkdtemp(prefix="fw-raw-")
+    rows = [row(1) for _ in range(5000)] + [row(2)]
+    for r in rows[:-1]:
+        r[3] = "R1"
+    open(os.path.join(d, "a.csv"), "wb").write(lines(";", rows).encode("cp1251"))
+    got = read_raw(spark, d).groupBy("ROUTE_NUM").count().collect()
+    assert {r["ROUTE_NUM"]: r["count"] for r in got} == {"R1": 5000, "Маршрут 5": 1}
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
+def test_fractional_amounts_and_categories(spark):
+    d = tempfile.mkdtemp(prefix="fw-raw-")
+    open(os.path.join(d, "a.csv"), "wb").write(lines(";", [["09.05.2023 05:01:00", "1", "V1", "R", "201.5", "10.5"], ["9.5.2023 5:1:7", "1", "V1", "R", "0201", "x"],
+                                                           ["31.02.2023 05:01:00", "1", "V1", "R", "1", "1"]]).encode())
+    got = normalize_transactions(read_raw(spark, d)).orderBy("dt").collect()
+    assert [(r["summ_num"], r["cat_num"], r["cat"], r["second"]) for r in got] == [(10.5, None, "201.5", 0), (None, 201, "0201", 7)]
+
+
+def test_rejects_are_returned(spark):
+    d = tempfile.mkdtemp(prefix="fw-zip-")
+    path = os.path.join(d, "z.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("m1.csv", '\ufeffDATE;CARD;TRM_ID;ROUTE_NUM\n01.02.2023 00:00:00;1;V1;"a;b\u2028\nc"\n\n01.02.2023 00:00:01;2;V1;\n')
+        z.writestr("bad.csv", "DATE;CARD;TRM_ID\n" + "x" * 50)
+        z.writestr("book.xlsx", b"no")
+    data = open(path, "rb").read()
+    open(path, "wb").write(data.replace(b"x" * 50, b"y" * 50))
+    rows, rejects = read_raw_with_rejects(spark, d)
+    assert sorted((r["CARD"], r["ROUTE_NUM"]) for r in rows.collect()) == [("1", "a;b\u2028\nc"), ("2", None)]
+    assert sorted(r["member"] for r in rejects.collect()) == ["bad.csv", "book.xlsx"]
+    with zipfile.ZipFile(os.path.join(d, "empty.zip"), "w") as z:
+        z.writestr("readme.txt", "no tables")
+    with pytest.raises(ValueError, match="empty.zip"):
+        read_raw_with_rejects(spark, d)
 
 
 def test_folder_ingest(spark):

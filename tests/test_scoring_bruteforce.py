@@ -1,5 +1,4 @@
-"""The model-dependent queries (no SQL oracle) against a brute-force re-computation from the
-trained node table: naive per-row tree walks, then rank / top share / candidates in pandas."""
+"""The model-dependent queries against a brute-force re-computation from the trained node table: naive per-row tree walks, then rank / top share / candidates in pandas."""
 
 import math
 
@@ -26,9 +25,9 @@ def test_scores_ranks_top_and_candidates(spark):
     feats = features(spark, SF).toPandas()
     want = {}
     for row in feats.to_dict("records"):
-        x = {c: (0.0 if row[c] is None or (isinstance(row[c], float) and not math.isfinite(row[c])) else float(row[c]))
-             for c in cols}
-        eh = sum(walk(t, x, cols) for t in trees.values()) / len(trees)
+        x = {c: (0.0 if row[c] is None or (isinstance(row[c], float) and not math.isfinite(row[c]))
+                 else math.floor(float(row[c]) * 1e6 + 0.5) / 1e6) for c in cols}
+        eh = sum(math.floor(walk(t, x, cols) * 1e9 + 0.5) for t in trees.values()) / 1e9 / len(trees)
         want[row["card_id"]] = 2.0 ** (-eh / average_path(psi)) - 0.5
     got = {r["card_id"]: (r["anomaly_score"], r["rank"]) for r in E.queries()["anomaly_scores"](spark, SF).collect()}
     assert set(got) == set(want)

@@ -66,3 +66,27 @@ def test_dedupe_spreads_hot_card(spark, no_coalesce):
     out = remove_near_duplicates(tx(spark, hot_rows()))
     share, parts = hot_share(out)
     assert parts > 4 and share < 0.5
+
+
+def test_features_spread_a_card_on_many_validators(spark, no_coalesce):
+    """A pseudo-card with a third of the taps, on many validators: no task gets its rows together."""
+    from farewatch.operators import features as FE
+    rows = hot_rows()
+    for k, r in enumerate(rows):
+        if r["card"] == "HOT":
+            r["trm"] = f"V{k % 400}"
+    taps = FE.feature_rows(tx(spark, rows))
+    grain = FE.card_grain(taps).withColumnRenamed("card_id", "card")
+    share, parts = hot_share(grain)
+    assert parts > 4 and share < 0.3
+    got = {r["card_id"]: r for r in FE._dim_features(FE.card_grain(taps)).collect()}
+    assert got["HOT"]["tx_count"] == 1200 and got["HOT"]["unique_terminals"] == len({r["trm"] for r in rows if r["card"] == "HOT"})
+
+
+def test_prefix_sum_spreads_one_group(spark, no_coalesce):
+    from farewatch.functions.ordered import exclusive_prefix_sum
+    df = spark.range(4000).select(F.lit("HOT").alias("card"), "id", F.lit(1).alias("w"))
+    out = exclusive_prefix_sum(df, ["card"], ["id"], "w", "before")
+    assert out.where("before <> id").count() == 0
+    share, parts = hot_share(out)
+    assert parts > 4 and share < 0.3
