@@ -22,12 +22,12 @@ repeated rows are judged alike; an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +40,10 @@ MIN_SHARE = 1e-6
 SLACK_BITS = 3.0      # text that switches language half-way stays within; random letters do not
 Z = 8.0
 HELD_MODULUS, HELD_REST = 4, 2      # fixed values of the contract
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 200_000
 UND = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 COUNT_SCHEMA = pa.schema([("lang", pa.string()), ("ord", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
 

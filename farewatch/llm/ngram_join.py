@@ -226,7 +226,7 @@ def _documents(rows: list, bits: int) -> pa.RecordBatch:
 def shingled(docs: DataFrame) -> DataFrame:
     """Every row's set size, digest and, where a partner is possible, its shared shingles."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = min(max((parts - 1).bit_length(), 6), 15)
+    bits = min(max((4 * parts - 1).bit_length(), 6), 15)       # a few buckets per partition even them out
 
     def shingle(batches):
         held("join", 0, lambda: None)
@@ -394,7 +394,7 @@ def join(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     table = shingled(docs)
     some = table.where(F.col("tokens").isNotNull())
     digest = ["n", "d1", "d2"]
-    reps = some.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    reps = materialise(some.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "join-reps")
     r = reps.select(*[F.col(c).alias(f"r_{c}") for c in digest], "rep")
     one = (some.join(r, (some["doc_id"] == r["rep"]) & (some["n"] == r["r_n"]) & (some["d1"] == r["r_d1"]) & (some["d2"] == r["r_d2"]))
            .select("rep", *digest, "own", "level", "tokens"))
@@ -418,8 +418,9 @@ def join(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     found = materialise(components(links, "join-final"), "join-found")
     reached = nodes.select("node", "rep", *digest).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = reached.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_set = (reached.join(least_id, "root").groupBy(*digest).agg(F.min("component_id").alias("component_id"))
-              .select(*[F.col(c).alias(f"r_{c}") for c in digest], "component_id"))
+    # written, so that the join below shuffles both sides itself and can split a set of many copies
+    by_set = materialise(reached.join(least_id, "root").groupBy(*digest).agg(F.min("component_id").alias("component_id"))
+                         .select(*[F.col(c).alias(f"r_{c}") for c in digest], "component_id"), "join-by-set")
     s, b = some.select("doc_id", *digest), by_set
     linked = (s.join(b, (s["n"] == b["r_n"]) & (s["d1"] == b["r_d1"]) & (s["d2"] == b["r_d2"]), "left")
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -48,9 +48,9 @@ BLOCK_TOKENS = 1 << 18
 ROUNDS = 5
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
-MEMO_WORDS = 500_000
-MEMO_PIECES = 450_000
-ENCODE_CHARS = 8_000_000     # texts encoded at a time
+MEMO_WORDS = 400_000
+MEMO_PIECES = 400_000
+ENCODE_CHARS = 4_000_000     # texts encoded at a time
 TOKENIZER = "word_bpe_49k.json"
 
 

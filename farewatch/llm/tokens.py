@@ -3,6 +3,7 @@ worker (vectorised over many tokens), documents then gather the rows of their to
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_CHARS = 4_000_000     # text made into words at a time
+SLICE_CHARS = 3_000_000     # text made into words at a time
 
 _HELD: dict = {}
 
@@ -24,6 +25,9 @@ def held(kind: str, key, make: Callable):
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)          # glibc keeps freed arrays otherwise
+        if trim:
+            trim(0)
         _HELD[kind, key] = make()
     return _HELD[kind, key]
 
@@ -53,7 +57,7 @@ class TokenMemo:
     """Rows of numbers per distinct word: ``compute(words)`` gives a (words x width) array. Holds
     at most about ``limit`` words and starts anew when full, so memory is bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 600_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 350_000):
         self.compute, self.limit = compute, limit
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
