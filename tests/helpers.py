@@ -23,6 +23,6 @@ def tx(spark: SparkSession, rows: list[dict]) -> DataFrame:
     for i, r in enumerate(rows):
         cat = r.get("cat", 201)
         out.append((r.get("card", "C1"), r.get("trm", "V1"), r.get("route", "R1"), r.get("trc", "T1"),
-                    None if cat is None else str(cat), None, cat, float(r.get("summ", 3500)), "",
+                    None if cat is None else str(cat), None, cat, None if r.get("summ", 3500) is None else float(r.get("summ", 3500)), "",
                     r["dt"], "f", i))
     return with_calendar(spark.createDataFrame(out, TX_SCHEMA))
