@@ -6,7 +6,7 @@ earlier. Exact copies are therefore dropped too (gap 0), and a chain 0 s, 2 s, 4
 the first tap.
 
 Plan: the previous row of the same (card, terminal) comes from ``with_previous``, which windows over
-(card, terminal, day) and carries the last row across days, so neither a busy card nor a busy
+(card, terminal, hour) and carries the last row across hours, so neither a busy card nor a busy
 terminal meets in one task; rows are shuffled once.
 """
 
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import NEAR_DUPLICATE_SECONDS
-from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, with_previous
+from farewatch.functions.ordered import with_previous
 from farewatch.functions.time import seconds_between
 
 
 def remove_near_duplicates(tx: DataFrame, gap_seconds: int = NEAR_DUPLICATE_SECONDS) -> DataFrame:
-    paired = with_previous(tx, ["card", "trm_id"], "dt", ["src_file", "src_row"], [], bucket_seconds=SPARSE_BUCKET_SECONDS)
+    paired = with_previous(tx, ["card", "trm_id"], "dt", ["src_file", "src_row"], [])
     gap = seconds_between("prev_dt", "dt")
     return paired.where(F.col("prev_dt").isNull() | (gap > gap_seconds)).select(*tx.columns)
