@@ -93,7 +93,8 @@ def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     per_id = materialise(mixed.groupBy("doc_id").agg(F.sum("copies").alias("_fw_copies"), F.count(F.lit(1)).alias("_fw_rows"))
                          .where("_fw_copies > 0").withColumnRenamed("doc_id", "_fw_id"), "mix-copies")
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    once, often = (docs.alias("d").join(per_id.where(cond), F.col("d.doc_id").cast("long").eqNullSafe(F.col("_fw_id")))
+    # one row per document: never broadcast, at any size
+    once, often = (docs.alias("d").join(per_id.where(cond).hint("merge"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("_fw_id")))
                    for cond in ("_fw_rows = 1", "_fw_rows > 1"))
     place = F.row_number().over(Window.partitionBy("_fw_id").orderBy(F.xxhash64("d.text")))
     share = F.floor(F.col("_fw_copies") / F.col("_fw_rows")) + F.when(place <= F.col("_fw_copies") % F.col("_fw_rows"), 1).otherwise(0)
