@@ -368,12 +368,13 @@ def _split_blocks(large: DataFrame, sizes: DataFrame, block_docs: int) -> DataFr
     found = materialise(components(first, "join-pv"), "join-pv")
     marked = large.join(found, "node", "left").withColumn("label", F.coalesce("root", F.col("node"))).drop("root")
     marked = materialise(marked, "join-marked")
-    main = (marked.groupBy("block", "label").agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy("block").agg(F.max_by("label", F.struct("_c", "label")).alias("_main")))
+    # per block, written: joins with them shuffle both sides themselves and can split a large block
+    main = materialise(marked.groupBy("block", "label").agg(F.count(F.lit(1)).alias("_c"))
+                       .groupBy("block").agg(F.max_by("label", F.struct("_c", "label")).alias("_main")), "join-main")
     marked = marked.join(main, "block").withColumn("query", F.col("label") != F.col("_main"))
     rest = marked.where("query").groupBy("block").agg(F.count(F.lit(1)).alias("_rest"))
-    cuts = (sizes.join(rest, "block").select(
-        "block", F.ceil(F.col("size") / block_docs).cast("int").alias("_k"), F.ceil(F.col("_rest") / block_docs).cast("int").alias("_r")))
+    cuts = materialise(sizes.join(rest, "block").select(
+        "block", F.ceil(F.col("size") / block_docs).cast("int").alias("_k"), F.ceil(F.col("_rest") / block_docs).cast("int").alias("_r")), "join-cuts")
     parts = marked.join(cuts, "block")
     pos = lambda k: F.pmod(F.xxhash64("node", F.lit(7)), F.col(k)).cast("int")
     # each node goes to its own piece for every piece of the rest; each node of the rest, as a
@@ -406,7 +407,7 @@ def join(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     least = listed.groupBy("token").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t"), "m")
     weak = listed.join(least, listed["token"] == least["t"]).select(F.col("node").alias("a"), F.col("m").alias("b"))
     blocks = materialise(components(weak, "join-weak").select("node", F.col("root").alias("block")), "join-blocks")
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialise(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
     placed = nodes.select(*NODE_COLUMNS).join(blocks, "node").join(sizes, "block")
     small = placed.where(F.col("size") <= block_docs)
     links = _link_tasks(small.select(F.col("block").alias("task"), *NODE_COLUMNS, F.col("node").alias("label"), F.lit(True).alias("query")))
