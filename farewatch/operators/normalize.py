@@ -22,7 +22,15 @@ def strip_text(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """``dd.mm.yyyy HH:MM:SS`` (padding optional) -> TIMESTAMP_NTZ; unparseable -> null."""
-    part = F.split(F.when(c.rlike(DATE_TEXT), c), r"[. :]+")
+    return date_of(date_parts(c))
+
+
+def date_parts(c: Column) -> Column:
+    """The six numbers of a date text, null if it is none."""
+    return F.split(F.when(c.rlike(DATE_TEXT), c), r"[. :]+")
+
+
+def date_of(part: Column) -> Column:
     return F.try_make_timestamp_ntz(*[F.get(part, F.lit(k)).cast("int") for k in (2, 1, 0, 3, 4)],
                                     F.get(part, F.lit(5)).cast("decimal(16,6)"))
 
@@ -55,6 +63,8 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     # missing-value tokens become null in every text column, then every text column is stripped
     df = df.select(*[null_tokens(strip_text(F.col(c))).alias(c) if c in text_cols else F.col(c) for c in df.columns])
     df = df.filter(F.coalesce(F.upper("DATE") != "DATE", F.lit(True)))
+    # a column of its own: the text is split once, not once per number
+    df = df.withColumn("_date_parts", date_parts(F.col("DATE")))
 
     def opt(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
@@ -72,7 +82,7 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
         to_integral(key["CAT"], "int").alias("cat_num"),
         opt("SUMM").try_cast("double").alias("summ_num"),
         F.coalesce(opt("VEHICLE"), F.lit("")).alias("vehicle"),
-        parse_date(F.col("DATE")).alias("dt"),
+        date_of(F.col("_date_parts")).alias("dt"),
         src_file.cast("string").alias("src_file"),
         src_row.cast("bigint").alias("src_row"),
     ).filter(F.col("dt").isNotNull() & F.col("card").isNotNull() & F.col("trm_id").isNotNull())

@@ -54,8 +54,9 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return events_raw(spark, sf_dir)
+    """The raw text rows, written like every stage: the mapping that makes them and the
+    normalisation that reads them would not fit one generated method together."""
+    return shared(spark, sf_dir, "raw", lambda: events_raw(spark, sf_dir))
 
 
 def clear() -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewatch.functions.time import epoch_seconds, from_epoch_seconds, seconds_after
+from farewatch.functions.time import seconds_after
 
 # fixed values of the mapping: kind -> copies
 BURST_EVERY, DUP_EVERY, SERIES_EVERY = 40, 41, 43
@@ -67,7 +67,6 @@ def tx_from_events(events: DataFrame) -> DataFrame:
     trm = F.concat(F.lit("V"), (k % 10).cast("string"))
     cat0 = _category(F.col("kind"), F.col("event_type"), k)
     cat_num = F.when((cat0 == 151) & (trm == "V3"), 201).otherwise(cat0).cast("int")
-    base_dt = from_epoch_seconds(epoch_seconds("ts"))
     step = F.when(F.col("kind") == "series", F.col("i") * SERIES_STEP_SECONDS).otherwise(0)
     card = F.when(F.col("kind") == "burst", F.col("user_id") + F.col("i")).otherwise(F.col("user_id"))
     tx = r.select(
@@ -80,7 +79,8 @@ def tx_from_events(events: DataFrame) -> DataFrame:
         cat_num.alias("cat_num"),
         (F.floor("value") * 100).cast("double").alias("summ_num"),
         F.lit("").alias("vehicle"),
-        seconds_after(base_dt, step).alias("dt"),
+        # on the whole second, then the step of the series
+        seconds_after("ts", step + F.second("ts") - F.extract(F.lit("SECOND"), F.col("ts"))).alias("dt"),
         F.lit("events").alias("src_file"),
         (F.col("event_id") * 10 + F.col("i")).alias("src_row"),
     )
