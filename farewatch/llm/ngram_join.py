@@ -146,7 +146,7 @@ def _batch_rows(uid: int, ids: list, sets: list, bits: int) -> list:
                                   many[m_at[b]:m_at[b + 1]].astype("<u4").tobytes()]))
     id_array = np.array([i if i is not None else 0 for i in ids], np.int64)
     null = np.array([i is None for i in ids], bool)
-    rows.append(((1 << bits) + uid % (1 << bits), uid, [id_array.tobytes(), null.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(),
+    rows.append(((1 << bits) + ((uid >> 24) + (uid & 0xFFFFFF)) % (1 << bits), uid, [id_array.tobytes(), null.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(),
                  token[multi].astype("<u8").tobytes(), many.astype("<u4").tobytes(), doc[in_multi].tobytes()]))
     return rows
 
