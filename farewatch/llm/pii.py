@@ -63,8 +63,10 @@ ENTITY = re.compile("|".join([
     r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,14}(?!\d))",
     rf"(?P<person>\b(?P<title>{'|'.join(_TITLE)})\.?\s+(?P<names>{_NAME}(?:\s{_NAME})?)|\b(?P<given>{'|'.join(_GIVEN)})\s(?P<family>{_NAME})\b)",
 ]))
-# texts that can hold an entity at all
-MAYBE = r"[0-9@=:]|\b(?:" + "|".join([*_TITLE, *_GIVEN]) + r")\b"
+# texts that can hold an entity at all. Arrow's RE2 knows \b, \d and \s for ASCII only, so none of
+# them is used: every match of ENTITY holds one of these, whatever its script
+MAYBE = (r"[\p{Nd}@=:]|(?:" + "|".join([*_TITLE, *_GIVEN]) + r")[^\p{L}\p{N}_]"
+         r"|AKIA|gh[pousr]_|sk-|xox[abpr]-|[A-Fa-f]{2}-[A-Fa-f]{2}-[A-Fa-f]{2}-")
 
 
 def _digits(s: str) -> str:
