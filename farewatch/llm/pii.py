@@ -199,7 +199,11 @@ def _draw(key: bytes, kind: str, norm: str, attempt: int, draw) -> str:
         names = [n.lower() for n in GIVEN[gender, script]]
         if attempt < 3:
             return names[draw(len(names))]
-        return names[draw(len(names))] + "-" + names[draw(len(names))]
+        if attempt < 6:
+            return names[draw(len(names))] + "-" + names[draw(len(names))]
+        # the first name keeps the gender; the second part grows, so there is room for any number
+        parts = SYLLABLES[script]
+        return names[draw(len(names))] + "-" + "".join(parts[draw(len(parts))] for _ in range(attempt // 3))
     script = kind.partition("-")[2]
     parts = SYLLABLES[script.partition("-")[0]]
     return "".join(parts[draw(len(parts))] for _ in range(2 + draw(2) + attempt // 4)) + ENDINGS[script][draw(len(ENDINGS[script]))]
@@ -239,8 +243,8 @@ def entities(docs: DataFrame) -> DataFrame:
 def resolve(known: DataFrame, key: bytes = KEY, rounds: int = 40) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides.
 
-    Given names may share surrogates when there are more of them than names in the lists, so their
-    later attempts join two. A surrogate may not equal a real entity, nor another's surrogate."""
+    There may be more given names than names in the lists, so their later attempts join two, then a
+    name and ever more syllables. A surrogate may not equal a real entity, nor another's surrogate."""
     make = F.udf(lambda k, n, a: surrogate(key, k, n, a), "string")
     now = materialise(known.withColumn("attempt", F.lit(0)).withColumn("sur", make("kind", "norm", "attempt")), "pii-surrogates")
     for _ in range(rounds):

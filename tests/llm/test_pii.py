@@ -66,3 +66,15 @@ def test_texts_without_digits_are_searched_in_every_script(spark):
         assert held and got[i]["n_entities"] == len(held), t
         for a, b, _, _ in held:
             assert t[a:b] not in got[i]["text"], t
+
+
+def test_given_names_never_run_out(spark):
+    """More given names than the lists and their pairs hold (812 Latin, 110 Cyrillic)."""
+    part = lambda k, abc: "".join(abc[k // 20 ** j % 20] for j in range(3))
+    known = [("given-m-latin", "q" + part(k, "abcdefghijklmnoprstu")) for k in range(1000)]
+    known += [("given-f-cyrillic", "щ" + part(k, "абвгдежзиклмнопрстуф")) for k in range(300)]
+    known += [("given-m-latin", n.lower()) for n in P.GIVEN["m", "latin"]]
+    again = {(r["kind"], r["norm"]): r["attempt"] for r in P.resolve(spark.createDataFrame(known, "kind string, norm string"), KEY).collect()}
+    final = [(k, P.surrogate(KEY, k, n, again.get((k, n), 0))) for k, n in known]
+    assert len(set(final)) == len(known) and not set(final) & set(known)
+    assert all(re.fullmatch(P._NAME, P.spell(k, "X", new)) for k, new in final)
