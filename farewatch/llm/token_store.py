@@ -3,7 +3,7 @@
 Texts are encoded with a ready tokenizer (never trained here), every document gets an end id, and
 the documents, in ascending doc_id order, are cut into blocks of whole documents of about
 ``block_tokens`` ids. In each block frequent pairs of neighbouring symbols are replaced by new
-symbols, round after round (the most frequent pairs of a round first, left to right where
+symbols, round after round until none occurs ``MIN_COUNT`` times (the most frequent pairs of a round first, left to right where
 occurrences overlap; a pair never spans two documents). Stored are the rules, the length each
 symbol expands to, and the remaining sequence, so a document, or a span of one, decodes alone.
 
@@ -45,7 +45,6 @@ from .tokens import held
 
 END_ID = 1                   # fixed value of the contract
 BLOCK_TOKENS = 1 << 18
-ROUNDS = 5
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
 MEMO_WORDS = 400_000
@@ -61,40 +60,45 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 # ---------------------------------------------------------------- grammar of one block
 
-def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND,
+def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int | None = None, per_round: int = PAIRS_PER_ROUND,
              min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of one id sequence; ``last`` marks each document's last id.
+    """Re-Pair of one id sequence, until no pair occurs ``min_count`` times (or for ``rounds``
+    rounds); ``last`` marks each document's last id.
+
+    A pair's count only falls while its symbols stay, so a round counts just the places that were
+    frequent before or stand next to a replaced pair.
 
     Returns (sequence, rules as rows (left, right), last marks of the sequence)."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     top = terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    live = np.flatnonzero(~last[:-1])           # places whose pair may be frequent
+    done = 0
+    while len(live) and (rounds is None or done < rounds):
+        done += 1
         # 32-bit keys sort fastest; symbols beyond 16 bits take 64
         bits, kind = (16, np.uint32) if top <= 1 << 16 else (32, np.uint64)
-        key = (seq[:-1].astype(kind) << kind(bits)) | seq[1:].astype(kind)
-        inside = ~last[:-1]
-        s = np.sort(key[inside])
-        if not len(s):
-            break
+        key = (seq[live].astype(kind) << kind(bits)) | seq[live + 1].astype(kind)
+        s = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         count = np.diff(np.append(edge, len(s)))
         often = np.flatnonzero(count >= min_count)
         if not len(often):
             break
+        # places are found through tables of 2^16 slots: of chosen pairs that share a slot one is
+        # replaced now, the others in a later round
+        mult, shift = (kind(0x9E3779B1), kind(16)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(48))
+        slot = (key * mult) >> shift
+        frequent = np.zeros(1 << 16, bool)
+        frequent[(s[edge[often]] * mult) >> shift] = True
         if len(often) > per_round:
             often = often[np.argsort(-count[often], kind="stable")[:per_round]]
         chosen = np.sort(s[edge[often]])
-        # positions of chosen pairs through a table of 2^16 slots; of pairs that share a slot one
-        # is replaced now, the others in a later round
-        mult, shift = (kind(0x9E3779B1), kind(16)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(48))
         table = np.zeros(1 << 16, np.int16 if len(chosen) < 1 << 15 else np.int64)
         table[(chosen * mult) >> shift] = np.arange(len(chosen))
-        which = table[(key * mult) >> shift]
-        at = np.flatnonzero((chosen[which] == key) & inside)
-        which = which[at].astype(np.int64)
+        which = table[slot]
+        hit = np.flatnonzero(chosen[which] == key)
+        at, which = live[hit], which[hit].astype(np.int64)
         left, right = (chosen >> kind(bits)).astype(np.int64), (chosen & kind((1 << bits) - 1)).astype(np.int64)
         # overlapping occurrences: every second one of a run, from the left
         new_run = np.concatenate([[True], np.diff(at) != 1])
@@ -113,9 +117,14 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
         seq[at] = number[which]
         last = last.copy()
         last[at] = last[at + 1]
+        again = np.zeros(len(seq), bool)
+        again[live[frequent[slot]]] = True
+        again[at] = True
+        again[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
+        live = np.flatnonzero(again[keep][:-1] & ~last[:-1])
         top += len(used)
     return seq.astype(np.int64), (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), last
 

@@ -77,3 +77,17 @@ def test_any_text_encodes_as_by_the_library():
 def test_empty_table(spark):
     path = S.write_tokens(frame(spark, odd_documents()).limit(0), scratch_path(spark, "t"))
     assert S.read_documents(spark, path).count() == 0
+
+
+def test_no_frequent_pair_is_left():
+    """Long repeats become few symbols: rounds go on until no pair reaches the minimum count."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 30_000, 3000)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 30_000, 50)]) for _ in range(40)])
+    last = np.zeros(len(ids), bool)
+    last[3049::3050] = True
+    seq, rules, marks = S.compress(ids.astype(np.uint16), last, 30_000)
+    assert (S.decode(seq, *S.expansions(rules, S.expansion_lengths(rules, 30_000), 30_000)) == ids).all()
+    pairs = np.stack([seq[:-1], seq[1:]], axis=1)[~marks[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < S.MIN_COUNT
+    assert len(seq) < 40 * 60
