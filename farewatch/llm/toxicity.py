@@ -33,7 +33,7 @@ from .tokens import TokenMemo, char_ngrams, held, slices, word_hashes, words_of
 SIZES = (4, 5, 6)
 MAX_ROWS = 8000             # bound of the labelled sample; at most half of it toxic
 MAX_FEATURES = 1500
-MIN_LIFT = 2.0              # a feature is so much more frequent in toxic texts ...
+MIN_LIFT = 1.0              # a feature is more frequent in toxic texts ... (by this factor)
 MIN_G2 = 20.0               # ... and its log-likelihood ratio statistic this large
 LEVELS = (1, 2, 4)          # occurrences of a feature in a text ...
 SHARES = (0.004, 0.01, 0.02)  # ... and per word; each level reached is a 0/1 input
@@ -184,48 +184,44 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     if not n1:
         return none
 
-    def counted(label, keep=None):
-        """Texts of one label per feature, summed inside each task first."""
-        def run(batches):
-            held: list[np.ndarray] = []
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    h = text_hashes(t)
-                    held.append(h if keep is None else h[np.isin(h, keep.value, assume_unique=True)])
-                    if sum(map(len, held)) > 2_000_000:
-                        u, c = np.unique(np.concatenate(held), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["h", "n"])
-                        held = []
-            if held:
-                u, c = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["h", "n"])
-        part = rows.where(F.col("label") == label).select("text").mapInArrow(run, "h long, n long")
-        return part.groupBy("h").agg(F.sum("n").alias("n"))
-
-    # at most max_features * 32 candidates reach the driver, the most frequent in toxic texts
-    cand = (counted(1).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "h").limit(max_features * 32).toPandas()
-            .sort_values("h"))
-    if not len(cand):
-        return none
-    keys, pos = cand["h"].to_numpy(np.int64), cand["n"].to_numpy(float)
-    clean = counted(0, spark.sparkContext.broadcast(keys)).toPandas()
-    neg = np.zeros(len(keys))
-    if len(clean):
-        neg[np.searchsorted(keys, clean["h"].to_numpy(np.int64))] = clean["n"].to_numpy(float)
-    # signed root of the log-likelihood ratio of "present" against the label
-    p1, p0, p = pos / n1, neg / max(n0, 1), (pos + neg) / (n1 + n0)
+    def run(batches):
+        """Texts of each label per feature, summed inside each task first."""
+        sums: list[list[np.ndarray]] = [[], []]
+
+        def flush(label):
+            u, c = np.unique(np.concatenate(sums[label]), return_counts=True)
+            sums[label] = []
+            n = [np.zeros(len(u), np.int64), c.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n[label]), pa.array(n[1 - label])], names=["h", "pos", "neg"])
+        for b in batches:
+            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[label].append(text_hashes(t))
+                if sum(map(len, sums[label])) > 2_000_000:
+                    yield flush(label)
+        for label in (0, 1):
+            if sums[label]:
+                yield flush(label)
+    count = (rows.select("text", "label").mapInArrow(run, "h long, pos long, neg long")
+             .groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= MIN_DOCS))
+    # every feature is tested; max_features of them, the most significant, reach the driver
+    pos, neg = F.col("pos"), F.col("neg")
+    p1, p0, p = pos / F.lit(n1), neg / F.lit(max(n0, 1)), (pos + neg) / F.lit(n1 + n0)
 
     def ll(k, n, q):
-        q = np.clip(q, 1e-12, 1 - 1e-12)
-        return k * np.log(q) + (n - k) * np.log(1 - q)
-    g2 = 2 * (ll(pos, n1, p1) + ll(neg, n0, p0) - ll(pos, n1, p) - ll(neg, n0, p))
-    strong = np.flatnonzero((p1 > MIN_LIFT * p0) & (g2 > MIN_G2))
+        q = F.greatest(F.least(q, F.lit(1 - 1e-12)), F.lit(1e-12))
+        return k * F.log(q) + (F.lit(n) - k) * F.log(F.lit(1.0) - q)
+    # the log-likelihood ratio statistic of "present" against the label
+    g2 = F.lit(2.0) * (ll(pos, n1, p1) + ll(neg, n0, p0) - ll(pos, n1, p) - ll(neg, n0, p))
+    lifted = materialise(count.where(p1 > MIN_LIFT * p0).select("h", "neg", g2.alias("g2")), "tox-features")
+
+    def best(some):
+        return some.orderBy(F.desc("g2"), "h").limit(max_features).toPandas().sort_values("h")
+    strong = best(lifted.where(F.col("g2") > MIN_G2))
     if not len(strong):                      # tiny samples: the best there is
-        strong = np.flatnonzero(p1 > MIN_LIFT * p0)
-    strong = np.sort(strong[np.lexsort((keys[strong], -g2[strong]))[:max_features]])
+        strong = best(lifted)
     if not len(strong):
         return none
-    keys, only = keys[strong], neg[strong] == 0
+    keys, only = strong["h"].to_numpy(np.int64), strong["neg"].to_numpy(np.int64) == 0
     kept = spark.sparkContext.broadcast((keys, only))
 
     def features(batches):

@@ -105,3 +105,15 @@ def test_ordinal_gradient_finds_ordered_grades():
     z = np.array([w[r].sum() for r in rows])
     pred = (z[:, None] > t).sum(axis=1)
     assert (np.diff(t) >= 0).all() and (pred == grade).mean() > 0.95
+
+
+def test_a_rare_toxic_root_outranks_frequent_words(spark):
+    """All features are tested before any limit, so ordinary words do not crowd out a rarer root."""
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 2
+        rows.append((i, prose(rnd, 200) + (" zorblat" if toxic and i % 8 == 1 else ""), "en", "s", 0, "", 0, 0))
+        labels.append((i, 1, toxic))
+    model = T.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_features=2)
+    assert len(model.keys) == 2 and np.isin(model.keys, T.text_hashes("zorblat")).all()
