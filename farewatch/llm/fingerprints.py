@@ -43,8 +43,10 @@ TERM_WORDS = 5              # fixed value: words of a shingle
 RUN_WEIGHT = 2              # of a five-word run, against 1 of a word
 RADIUS = 6
 TOGETHER = 2                # blocks a table's key holds
-SLICE_CHARS = 400_000       # text that votes at a time: about 2 * 128 bytes a word
+SLICE_CHARS = 400_000       # text that votes at a time
 KEY_CHARS = 64              # of the text, in the order of rows with the same id
+TEXTS = 128                 # ... and so many texts
+_SIGNS = 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1      # votes of each byte value
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
@@ -54,7 +56,7 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     per_text, coded = split_words(pc.ascii_lower(texts))
     known = coded.dictionary.to_pylist()
     if not known or known == [""]:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     real = np.array([w != "" for w in known])
     index = coded.indices.to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(per_text)), per_text)
@@ -63,21 +65,31 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word, owner = hashes[index[keep]], owner[keep]
     n = np.bincount(owner, minlength=len(per_text))
     end = np.cumsum(n)
-    size = np.minimum(n, TERM_WORDS)                       # words of this text's runs
-    start = np.flatnonzero(np.arange(len(word)) + size[owner] <= end[owner])
-    run, longest = np.full(len(start), np.uint64(TERM_WORDS)), size[owner[start]]
+    run = np.full(max(len(word) - TERM_WORDS + 1, 0), np.uint64(TERM_WORDS))
     for k in range(TERM_WORDS):
-        inside = k < longest
-        run[inside] = run[inside] * _MULT + word[start[inside] + k]
-    owner = np.concatenate([owner, owner[start]])
-    term = np.concatenate([word, mix64(run)])
-    weight = np.concatenate([np.ones(len(word), np.int64), np.full(len(start), RUN_WEIGHT)])
+        run = run * _MULT + word[k:k + len(run)]
+    whole = np.flatnonzero(owner[:len(run)] == owner[TERM_WORDS - 1:])            # runs inside one text
+    short = np.flatnonzero((n > 0) & (n < TERM_WORDS))
+    rest, at = np.full(len(short), np.uint64(TERM_WORDS)), end[short] - n[short]
+    for k in range(TERM_WORDS - 1):
+        inside = k < n[short]
+        rest[inside] = rest[inside] * _MULT + word[at[inside] + k]
+    term = np.concatenate([word, mix64(run[whole]), mix64(rest)])
+    weight = np.full(len(term), RUN_WEIGHT)
+    weight[:len(word)] = 1
+    owner = np.concatenate([owner, owner[whole], short])
     # distinct within their text: one 64-bit key of both
     key = mix64(term ^ (owner.astype(np.uint64) * _OTHER))
-    first, times = np.unique(key, return_index=True, return_counts=True)[1:]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times, first = np.diff(np.append(head, len(key))), order[head]
+    weight = weight[first]
+    many = times > 1
+    weight[many] *= 1 + np.floor(np.log2(times[many])).astype(np.int64)
     order = np.argsort(owner[first], kind="stable")
-    first, times = first[order], times[order]
-    return owner[first], term[first], weight[first] * (1 + np.floor(np.log2(times)).astype(np.int64))
+    first = first[order]
+    return owner[first], term[first], weight[order]
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -85,16 +97,22 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), BITS // 8), np.uint8)
     for at, part in slices(texts, SLICE_CHARS):
         owner, term, weight = _terms(part)
-        if not len(owner):
-            continue
-        both = np.stack([mix64(term + _MULT), mix64(term + _OTHER)], axis=1)
-        bits = np.unpackbits(both.view(np.uint8).reshape(len(term), BITS // 8), axis=1).view(np.int8)
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        votes = np.add.reduceat((2 * bits - 1) * weight.astype(np.int16)[:, None], first, axis=0, dtype=np.int64)
-        out[at + owner[first]] = np.packbits(votes > 0, axis=1)
+        both = np.stack([mix64(term + _MULT), mix64(term + _OTHER)], axis=1).view(np.uint8)
+        for first in range(0, len(part), TEXTS):
+            a, e = np.searchsorted(owner, (first, first + TEXTS))
+            if e > a:
+                out[at + first:at + min(first + TEXTS, len(part))] = _vote(owner[a:e] - first, both[a:e], weight[a:e], min(TEXTS, len(part) - first))
     return out
 
 
+def _vote(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Votes are summed per text, byte of the hash and value of that byte, then per bit."""
+    width = BITS // 8
+    place = (owner[:, None] * width + np.arange(width)) * 256 + hashes
+    sums = np.bincount(place.ravel(), np.repeat(weight, width), n * width * 256).reshape(n, width, 256)
+    return np.packbits((sums @ _SIGNS).reshape(n, BITS) > 0, axis=1)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal bits."""
     return 1.0 - np.bitwise_count(a ^ b).sum(axis=1) / BITS
