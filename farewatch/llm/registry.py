@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_extract, language_id, line_rules, mixing, ngram_join, periodic, pii, quality, token_store, toxicity
+from . import conversations, decontaminate, fingerprints, html_extract, language_id, line_rules, mixing, ngram_join, periodic, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -23,4 +24,5 @@ ORACLE = {
     "op2_decontamination": decontaminate.ORACLE,
     "op8_line_rules": line_rules.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
 }
