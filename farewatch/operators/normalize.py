@@ -46,6 +46,13 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once a row. Filters on a plain projection are moved
+    below it and repeat its expressions in every condition; they stay above a generator."""
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()])))).select(*df.columns, *[c for c in columns if c not in df.columns])
+
+
 def normalize_header(df: DataFrame) -> DataFrame:
     names = [c if c in LINEAGE else c.strip().upper() for c in df.columns]
     return df.toDF(*names)
@@ -60,11 +67,11 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     text_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in LINEAGE]
-    # missing-value tokens become null in every text column, then every text column is stripped
-    df = df.select(*[null_tokens(strip_text(F.col(c))).alias(c) if c in text_cols else F.col(c) for c in df.columns])
+    # every text column is stripped, then missing-value tokens become null in it
+    df = once(df, {c: strip_text(F.col(c)) for c in text_cols})
+    df = df.select(*[null_tokens(F.col(c)).alias(c) if c in text_cols else F.col(c) for c in df.columns])
     df = df.filter(F.coalesce(F.upper("DATE") != "DATE", F.lit(True)))
-    # a column of its own: the text is split once, not once per number
-    df = df.withColumn("_date_parts", date_parts(F.col("DATE")))
+    df = once(df, {"_date_parts": date_parts(F.col("DATE"))})
 
     def opt(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")

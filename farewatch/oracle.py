@@ -471,14 +471,25 @@ ORACLE["segment_counts"] = _with_anomalies(_FEATURES + "," + forest_ctes(ForestC
 SELECT segment, count(*) AS cards FROM scored GROUP BY segment ORDER BY cards DESC, segment LIMIT 8""")
 
 # the dump's amounts of validator V4 end in .5 and its afternoon taps carry a Cyrillic vehicle
-ORACLE["raw_csv_ingest"] = with_tx(
-    _TX_VIEW.format(t="tx", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
-    .replace(", weekday, src_row FROM", ", weekday, CASE WHEN hour >= 12 THEN 'Автобус' ELSE '' END AS vehicle FROM")
-    .replace("cat_num, summ_num,", "cat_num, CAST(summ_num AS DOUBLE) + CASE WHEN trm_id = 'V4' THEN 0.5 ELSE 0 END AS summ_num,"))
-
-# each archive (cards 2 and 3 modulo 4) holds a damaged member and a spreadsheet
-ORACLE["raw_rejects"] = with_tx("""
-SELECT member, 'member' AS level, (SELECT count(DISTINCT CAST(card AS BIGINT) % 4) FROM tx WHERE CAST(card AS BIGINT) % 4 >= 2) AS archives
+# the dump: rows with a field too many are rejected, rows without their last two fields are read
+_DUMP = """,
+dump AS (SELECT * REPLACE (
+    CASE WHEN src_row % 223 <> 4 THEN CAST(summ_num AS DOUBLE) + CASE WHEN trm_id = 'V4' THEN 0.5 ELSE 0 END END AS summ_num),
+    CASE WHEN src_row % 223 = 4 THEN '' WHEN src_row % 101 = 0 THEN 'bus "5"; line, 7' WHEN src_row % 101 = 1 THEN 'C:' || chr(92)
+         WHEN src_row % 101 = 2 AND CAST(card AS BIGINT) % 4 <> 0 THEN 'two' || chr(10) || 'lines' WHEN hour >= 12 THEN 'Автобус' ELSE '' END AS vehicle
+  FROM tx WHERE src_row % 211 <> 3)"""
+ORACLE["raw_csv_ingest"] = with_tx(_DUMP + _TX_VIEW.format(t="dump", cat="lpad(CAST(cat_num AS VARCHAR), 4, '0')")
+                                   .replace(", weekday, src_row FROM", ", weekday, vehicle FROM"))
+
+# each archive (cards 2 and 3 modulo 4, and a file number) holds a damaged member and a spreadsheet
+ORACLE["raw_rejects"] = with_tx(""",
+f AS (SELECT *, CAST(card AS BIGINT) % 4 AS kind, (src_row // 10) % (SELECT 1 + count(*) // 50000 FROM tx) AS file FROM tx),
+r AS (SELECT CASE WHEN kind >= 2 THEN 'zip' ELSE 'csv' END AS source, CASE WHEN kind >= 2 THEN 'taps.csv' ELSE '' END AS member,
+        CASE WHEN src_row % 211 = 3 THEN 'row: 9 fields, the header has 8' ELSE 'row: 6 of 8 fields, the rest is missing' END AS error
+      FROM f WHERE src_row % 211 = 3 OR src_row % 223 = 4)
+SELECT source, member, error, count(*) AS n FROM r GROUP BY ALL
+UNION ALL
+SELECT 'zip', member, 'member', (SELECT count(DISTINCT (kind, file)) FROM f WHERE kind >= 2)
 FROM (VALUES ('damaged.csv'), ('reports/summary.xlsx')) AS m(member)""")
 
 # Streaming replays are completed at their end, so the oracle is the whole batch result.

@@ -23,10 +23,10 @@ from farewatch.operators.normalize import normalize_transactions
 from farewatch.operators.report import aggregate_results, export_anomalies, hypothesis_stats, top_entities
 from farewatch.operators.rules import run_rules, union_anomalies
 from farewatch.session import prepare
+from farewatch.sources.one_file import write_one_csv
 from farewatch.sources.raw_files import read_raw_with_rejects
 
 
-BOM = "\ufeff"
 
 
 def _write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
@@ -46,11 +46,6 @@ def _write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
         df.sparkSession.read.format(fmt).load(path)
 
 
-def _export(df: DataFrame, path: str) -> None:
-    """CSV for spreadsheets: each file starts with a byte-order mark, rows keep the frame's order."""
-    df.withColumnRenamed(df.columns[0], BOM + df.columns[0]).write.mode("overwrite").option("header", True).csv(path)
-
-
 def load_raw(spark: SparkSession, raw_dir: str, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of a raw folder, read once and written: every later step starts from here."""
     rows, rejects = read_raw_with_rejects(spark, raw_dir)
@@ -82,7 +77,7 @@ def run_rules_pipeline(spark: SparkSession, tx: DataFrame, out_dir: str,
     results = run_rules(tx, selected, config)
     anomalies = _write(union_anomalies(results), os.path.join(out_dir, "anomalies"), partition_by=["hypothesis"])
     report = _write(P.ordered(aggregate_results(anomalies)), os.path.join(out_dir, "fraud_report"))
-    _export(P.ordered(report), os.path.join(out_dir, "fraud_report_csv"))
+    write_one_csv(P.ordered(report), os.path.join(out_dir, "fraud_report.csv"))
     stats = _write(hypothesis_stats(spark, anomalies, list(results)), os.path.join(out_dir, "hypothesis_stats"))
     _write(export_anomalies(anomalies), os.path.join(out_dir, "dashboard_anomalies"), fmt="json",
            partition_by=["hypothesis"])
@@ -95,7 +90,7 @@ def run_rules_pipeline(spark: SparkSession, tx: DataFrame, out_dir: str,
                                              totals.alias("total_anomalies"), per_rule.alias("hypotheses"))
     _write(summary, os.path.join(out_dir, "summary"), fmt="json")
     for kind in ("high", "medium", "validators"):
-        _export(P.action_list(P.ordered(report), kind), os.path.join(out_dir, f"action_{kind}"))
+        write_one_csv(P.action_list(P.ordered(report), kind), os.path.join(out_dir, f"action_{kind}.csv"))
     return {"anomalies": anomalies, "report": report, "stats": stats, "summary": summary}
 
 
@@ -118,7 +113,7 @@ def run_inference(spark: SparkSession, features: DataFrame, labels: DataFrame, o
     scored = _write(S.score_features(features, nodes, cfg), os.path.join(out_dir, "inference_scores"))
     top = _write(S.select_top_percent(scored, top_percent), os.path.join(out_dir, "top_percent_cards"))
     cands = _write(S.new_pattern_candidates(top, labels), os.path.join(out_dir, "new_candidates"))
-    _export(cands.orderBy("rank"), os.path.join(out_dir, "new_candidates_csv"))
+    write_one_csv(cands.orderBy("rank"), os.path.join(out_dir, "new_candidates.csv"))
     summary = _write(S.inference_summary(scored, top, cands, cfg, top_percent),
                      os.path.join(out_dir, "inference_summary"), fmt="json")
     return {"scored": scored, "top": top, "candidates": cands, "summary": summary}

@@ -318,10 +318,12 @@ def q_raw_csv_ingest(spark, sf):
 
 
 def q_raw_rejects(spark, sf):
-    """What the dump's archives could not deliver, per member."""
+    """What the dump's files and archives did not deliver as it stood: rows by their width, members."""
     rejects = raw_dump(spark, sf)[1]
-    return rejects.groupBy("member", F.split_part("error", F.lit(":"), F.lit(1)).alias("level")).agg(
-        F.count(F.lit(1)).alias("archives"))
+    suffix = F.lower(F.substring_index("archive", ".", -1))
+    source = F.when(suffix.startswith("zip"), "zip").otherwise("csv")          # split files carry an offset after the path
+    error = F.when(F.col("error").startswith("row:"), F.col("error")).otherwise(F.split_part("error", F.lit(":"), F.lit(1)))
+    return rejects.groupBy(source.alias("source"), "member", error.alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES["raw_csv_ingest"] = q_raw_csv_ingest

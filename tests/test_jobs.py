@@ -1,14 +1,16 @@
 import glob
+import io
 import json
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from farewatch.__main__ import with_settings
 from farewatch.config import RulesConfig
 from farewatch.plans.jobs import run_full_pipeline
-from farewatch.sources.dump_fixture import write_dump
+from farewatch.sources.dump_fixture import dump_rows, write_dump
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,16 +28,20 @@ def test_full_pipeline_from_raw_dumps(spark):
     assert sum(rules["hypotheses"].values()) == rules["total_anomalies"] and len(rules["hypotheses"]) == 13
     full = json.loads(out["full_summary"].toJSON().collect()[0])
     assert full["rules"]["total_anomalies"] == rules["total_anomalies"] and full["ml"]["labels"] == m["labels"]
-    assert out["rejects"].count() == 4                                       # two members in each of two archives
-    # exports: byte-order mark, risk order; tables: one file per date here
-    lines = b"".join(open(f, "rb").read() for f in sorted(glob.glob(out_dir + "/rules/fraud_report_csv/part-*"))).decode("utf-8")
-    assert lines.startswith("\ufeff")
+    rejects = out["rejects"].collect()                                       # two members in each of two archives, and rows by their width
+    assert sum(not r["error"].startswith("row:") for r in rejects) == 4
+    odd = dump_rows(spark, SF).groupBy("_fields").count().collect()
+    assert sum(r["error"].startswith("row:") for r in rejects) == sum(r["count"] for r in odd if r["_fields"] != 8) > 0
+    # exports: one file each, byte-order mark and header once, risk order
     import csv
-    risks = [float(r["risk_score"]) for r in csv.DictReader(l for l in lines.replace("\ufeff", "").splitlines() if l) if r["risk_score"] != "risk_score"]
-    assert risks == sorted(risks, reverse=True) and len(risks) == out["report"].count() > 0
+    for name, frame in (("fraud_report", out["report"]), ("action_validators", out["report"].where("entity_type = 'validator'"))):
+        data = open(f"{out_dir}/rules/{name}.csv", encoding="utf-8", newline="").read()
+        assert data.startswith("\ufeff") and data.count("\ufeff") == 1 and data.count("risk_score") == 1
+        risks = [float(r["risk_score"]) for r in csv.DictReader(io.StringIO(data, newline=""))]
+        assert risks == sorted(risks, reverse=True) and len(risks) == frame.count() > 0
     for day in glob.glob(out_dir + "/tables/tx_norm/date=*"):
         assert len(glob.glob(day + "/part-*")) == 1
-    assert glob.glob(out_dir + "/ml/new_candidates_csv/*") and os.path.isdir(out_dir + "/tables/raw")
+    assert os.path.isfile(out_dir + "/ml/new_candidates.csv") and os.path.isdir(out_dir + "/tables/raw")
 
 
 def test_settings():
@@ -82,3 +88,20 @@ def test_summary_exact_and_approx(spark):
     approx = transaction_summary(tx, approx=True).collect()[0]
     assert exact["transactions"] == approx["transactions"]
     assert abs(approx["cards"] - exact["cards"]) <= max(1, 0.05 * exact["cards"])
+
+
+def test_one_file_keeps_order_and_text(spark, tmp_path):
+    import pandas as pd
+
+    from farewatch.sources.one_file import write_one_csv
+    rows = [(k, [f"text {k}", 'say "hi"; there, you', "two\nlines", "", None, "C:\\", "Ünï"][k % 7], k / 4) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(7).orderBy(F.desc("a"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_one_csv(df, str(tmp_path / "new" / "out.csv"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = pd.read_csv(tmp_path / "new" / "out.csv", keep_default_na=False)
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(a, b or "", c) for a, b, c in reversed(rows)]
+    write_one_csv(df.limit(0), str(tmp_path / "empty.csv"))
+    assert open(tmp_path / "empty.csv", encoding="utf-8").read() == "\ufeffa,b,c\n"

@@ -3,10 +3,11 @@ import os
 import tempfile
 import zipfile
 
+import pandas as pd
 import pytest
 
 from farewatch.operators.normalize import normalize_transactions
-from farewatch.sources.raw_files import examine, layout, list_input_files, read_raw, read_raw_with_rejects, read_zip_files
+from farewatch.sources.raw_files import HIDDEN, UNCLOSED, examine, layout, list_input_files, read_raw, read_raw_with_rejects, read_zip_files
 
 HEADER = ["DATE", "CARD", "TRM_ID", "ROUTE_NUM", "CAT", "SUMM"]
 
@@ -21,7 +22,7 @@ def row(i, card="1"):
 
 def test_layout_from_the_whole_file():
     def of(data):
-        sha, charset, header = examine(io.BytesIO(data))
+        _, charset, header, _ = examine(io.BytesIO(data))
         return (*layout(charset, header), charset)
     assert of("DATE;CARD\n".encode("cp1251")) == (";", ["DATE", "CARD"], "UTF-8")
     assert of("Дата,CARD\n".encode("cp1251")) == (",", ["ДАТА", "CARD"], "windows-1251")
@@ -97,3 +98,51 @@ def test_bad_zip_is_rejected(spark):
     open(os.path.join(d, "broken.zip"), "wb").write(b"not a zip")
     rows, rejects = read_zip_files(spark, [os.path.join(d, "broken.zip")])
     assert rows.count() == 0 and rejects.count() == 1
+
+
+QUOTED = ['DATE;CARD;TRM_ID;ROUTE_NUM', 'd1;c1;t1;"bus ""A"" one"', 'd2;c2;t2;"a;b"', 'd4;c4;t4;"C:\\"', 'd5;c5;t5;C:\\x\\', 'd6;c6', '', '   ', 'd7;c7;t7;5" pipe',
+          'd8;c8;t8;""', 'd9;c9;t9; "q"', 'e1;e1;"t""4";"""A"" one"', 'e2;e2;t2;Маршрут "5"']
+
+
+@pytest.mark.parametrize("charset", ["utf-8", "cp1251"])
+@pytest.mark.parametrize("extra", [[], ['f1;f1;t1;"line 1', 'line ""2"""', 'f2;f2;t2;"x', '', 'y;z"'], ['g1;g1;t1;"ab"c', 'g2;g2;t2;"ab" "c"']])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quotes_are_read_as_pandas_reads_them(spark, charset, extra, end):
+    d = tempfile.mkdtemp(prefix="fw-raw-")
+    data = end.join(QUOTED + extra) + end
+    open(os.path.join(d, "a.csv"), "wb").write(data.encode(charset))
+    want = pd.read_csv(io.StringIO(data, newline=""), sep=";", dtype=str)
+    rows, rejects = read_raw_with_rejects(spark, d)
+    got = rows.orderBy("_src_file", "_src_row").select("DATE", "CARD", "TRM_ID", "ROUTE_NUM").collect()
+    assert [tuple(r) for r in got] == [tuple(None if pd.isna(v) else v for v in r) for r in want.itertuples(index=False)]
+    assert rows.count() == len(want)
+    assert [(r["error"], r["text"]) for r in rejects.collect()] == [("row: 2 of 4 fields, the rest is missing", "d6;c6")]
+
+
+@pytest.mark.parametrize("extra", [[], ['"k\nk";c;t;r'], ['"k"k;c;t;r']])
+def test_rows_of_a_wrong_width_are_rejected(spark, extra):
+    d = tempfile.mkdtemp(prefix="fw-raw-")
+    body = ["DATE|CARD|TRM_ID|X", "1|2|3|4", "1|2|3|4|5", '1|"2|3"|4', '1|"2|3"|4|5|""', "1|2|3|", "1|2|3||", '5" a|6" b|7" c|8', "1"]
+    data = "\n".join(body + [x.replace(";", "|") for x in extra])
+    open(os.path.join(d, "a.csv"), "w").write(data)
+    with zipfile.ZipFile(os.path.join(d, "z.zip"), "w") as z:
+        z.writestr("m.csv", data.replace("|", ";"))
+    rows, rejects = read_raw_with_rejects(spark, d)
+    per_file = [("1", "2", "3", "4"), ("1", "2|3", "4", None), ("1", "2", "3", None), ('5" a', '6" b', '7" c', "8"), ("1", None, None, None)]
+    per_file += [(x.split(";")[0].replace('"', ""), "c", "t", "r") for x in extra]
+    got = sorted((tuple(r) for r in rows.select("DATE", "CARD", "TRM_ID", "X").collect()), key=str)
+    zipped = [tuple(v and v.replace("|", ";") for v in r) for r in per_file]
+    assert got == sorted(per_file + zipped, key=str)
+    errors = ["row: 5 fields, the header has 4"] * 2 + ["row: 3 of 4 fields, the rest is missing", "row: 1 of 4 fields, the rest is missing"] + ["row: 5 fields, the header has 4"]
+    assert sorted(r["error"] for r in rejects.collect()) == sorted(2 * errors)
+
+
+def test_files_that_cannot_be_read_are_rejected(spark):
+    d = tempfile.mkdtemp(prefix="fw-raw-")
+    open(os.path.join(d, "a.csv"), "w").write(lines(";", [row(1)]))
+    open(os.path.join(d, "open.csv"), "w").write(lines(";", [row(2)]) + '"never closes;1;2\n' + lines(";", [row(3)]))
+    open(os.path.join(d, "_b.csv"), "w").write(lines(";", [row(4)]))
+    open(os.path.join(d, ".c.csv"), "w").write(lines(";", [row(5)]))
+    rows, rejects = read_raw_with_rejects(spark, d)
+    assert rows.count() == 1
+    assert sorted((os.path.basename(r["archive"]), r["error"]) for r in rejects.collect()) == [("_b.csv", HIDDEN), ("open.csv", UNCLOSED)]
