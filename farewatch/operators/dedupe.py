@@ -5,9 +5,9 @@ row right before it belongs to the same card and terminal and is at most ``gap``
 earlier. Exact copies are therefore dropped too (gap 0), and a chain 0 s, 2 s, 4 s keeps only
 the first tap.
 
-Plan: the previous row of the same (card, terminal) comes from ``with_previous``, which windows over
-(card, terminal, hour) and carries the last row across hours, so neither a busy card nor a busy
-terminal meets in one task; rows are shuffled once.
+Plan: the previous row of the same (card, terminal) comes from ``with_previous``: one shuffle by
+(card, terminal), and by the hour too for pairs with a large share of all taps, so neither a busy
+card nor a busy terminal meets in one task.
 """
 
 from __future__ import annotations

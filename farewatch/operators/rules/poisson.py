@@ -44,7 +44,7 @@ def terminal_ks(tx: DataFrame) -> DataFrame:
     # the empirical CDF only needs counts per distinct gap value
     counts = gaps.groupBy("trm_id", "gap").agg(F.count(F.lit(1)).alias("c"))
     cum = exclusive_prefix_sum(counts, ["trm_id"], ["gap"], "c", "before")
-    per = gaps.groupBy("trm_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"))
+    per = cum.groupBy("trm_id").agg(F.sum("c").alias("n"), (F.sum(F.col("gap") * F.col("c")) / F.sum("c")).alias("mean_gap"))
     days = tx.groupBy("trm_id").agg(F.countDistinct("date").alias("days"))
     fit = F.when(F.col("mean_gap") > 0, 1 - F.exp(-F.col("gap") / F.col("mean_gap"))).otherwise(F.lit(1.0))
     dist = cum.join(per, "trm_id").withColumn("F", fit).select(

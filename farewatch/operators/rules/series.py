@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import H4Config, H8Config
+from farewatch.functions import ordered
 from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, carry_forward_last, first_k, with_previous
 from farewatch.functions.time import day_text, iso_text, seconds_between
 from farewatch.operators.rules.common import anomalies, details
@@ -31,6 +32,8 @@ def benefit_steps(tx: DataFrame | Taps, cfg: H4Config = H4Config()) -> DataFrame
 
 
 def _h4_rows(groups: DataFrame, group_cols: list[str], cfg: H4Config, name: str) -> DataFrame:
+    # qualifying taps only, read twice: written, so the window above them runs once
+    groups = ordered.written(groups.select(*group_cols, "card", "dt"), "series")
     stats = groups.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("series_length"), F.min("dt").alias("start_time"))
     cards = first_k(groups, group_cols, "card", ["dt", "card"], SAMPLE_CARDS, "cards")
     hit = stats.filter(F.col("series_length") >= cfg.series_length).join(cards, group_cols, "left")

@@ -1,5 +1,6 @@
 """Plan checks: the physical plans keep the properties the design relies on."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,21 +77,46 @@ def test_stray_python(spark):
         assert not any(node in physical(fn(spark, SF)) for node in PYTHON_NODES), name
 
 
-def test_previous_row_scans_and_shuffles_its_input_once(spark, tmp_path):
-    """One scan and one full-row shuffle for the window; the carry reads only what was written."""
+def full_row_exchanges(plan):
+    return sum("Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_previous_row_shuffles_its_input_once(spark, tmp_path, hot, monkeypatch):
+    """With broadcasts off, the whole plan, joins included: every row is exchanged once. Without a hot
+    key that is all; with one, the frame is written and only its buckets' borders are joined."""
+    from farewatch.functions import ordered
     path = str(tmp_path / "t")
-    transactions(spark).write.parquet(path)
+    tx = transactions(spark)
+    if hot:
+        tx = tx.withColumn("card", F.when(F.col("src_row") % 3 == 0, "HOT").otherwise(F.col("card")))
+    else:
+        # no card holds a share worth splitting
+        tx = tx.withColumn("card", F.concat("card", F.lit("-"), (F.col("src_row") % 97).cast("string")))
+    tx.write.parquet(path)
+    seen, keep = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, label: seen.append(df) or keep(df, label))
     before = set(threshold(spark, "-1"))
     try:
-        from farewatch.functions import ordered
-        seen = []
-        keep = ordered.written
-        ordered.written = lambda df, label: seen.append(df) or keep(df, label)
-        out = ordered.with_previous(spark.read.parquet(path), ["card"], "dt", ["src_file", "src_row"], ["trm_id"])
-        ordered.written = keep
-        first = physical(seen[0])
-        assert len(seen) == 1 and first.count("Exchange hashpartitioning") == 1 and first.count("FileScan") == 1
-        assert path not in physical(out)
+        source = spark.read.parquet(path)
+        for fn in (lambda: ordered.with_previous(source, ["card"], "dt", ["src_file", "src_row"], ["trm_id"], bucket_seconds=86_400 * 3),
+                   lambda: ordered.carry_forward_last(source, ["card"], "dt", ["src_file", "src_row"], F.col("hour") > 12, F.col("hour"), "h",
+                                                              bucket_seconds=86_400 * 3)):
+            seen.clear()
+            out = fn()
+            if not hot:
+                plan = physical(out)
+                assert not seen and full_row_exchanges(plan) == 1 and plan.count("FileScan") == 1
+                continue
+            first = physical(seen[0])
+            assert len(seen) == 1 and full_row_exchanges(first) == 1 and first.count("FileScan") == 1
+            plan = physical(out)
+            assert path not in plan                                        # the input is not read again
+            assert plan.startswith(("AdaptiveSparkPlan", "Union")) and "Exchange" not in plan.split("FileScan")[0]   # the big branch
+            # what is exchanged afterwards: the rows at the borders, and one row per bucket of the hot key
+            inner = keep(seen[0], "again")
+            n = inner.count()
+            assert inner.where("_edge").count() < n / 5 and inner.where("_b is not null").select("_b").distinct().count() < n / 5
     finally:
         threshold(spark, next(iter(before)))
 

@@ -15,8 +15,11 @@ PARTS = 16
 
 
 # observe the planned shuffle partitioning: no coalescing of tiny partitions, no runtime switch
-# to a broadcast join with a local shuffle read (which would keep the map-side layout)
+# to a broadcast join with a local shuffle read (which would keep the map-side layout), no packing
+# of small written files into one read partition
 PLANNED = {
+    "spark.sql.files.maxPartitionBytes": "64k",
+    "spark.sql.files.openCostInBytes": "64k",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
     "spark.sql.adaptive.localShuffleReader.enabled": "false",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
