@@ -27,7 +27,7 @@ from farewatch.sources.dump_fixture import write_dump
 from farewatch.sources.raw_files import read_raw_with_rejects
 from farewatch.streaming.bursts import event_stream, run_burst_stream
 from farewatch.streaming.replay import run_to_table
-from farewatch.streaming.rules import near_dedup_stream, run_daily_trips, run_school_sessions
+from farewatch.streaming.rules import run_daily_trips, run_near_dedup, run_school_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = RulesConfig()
@@ -353,9 +353,7 @@ def q_stream_daily_trips(spark, sf):
 
 def q_stream_near_dedup(spark, sf):
     """X3: taps kept by the stateful 2-second rule (equals ``tx_near_dedup`` keys)."""
-    return run_to_table(spark, near_dedup_stream(event_stream(spark, sf)), _stream_name("x3", sf),
-                        "card string, trm_id string, dt timestamp_ntz, src_row bigint") \
-        .withColumn("dt", iso_text("dt"))
+    return run_near_dedup(spark, sf, _stream_name("x3", sf)).withColumn("dt", iso_text("dt"))
 
 
 def q_stream_school_sessions(spark, sf):
