@@ -4,6 +4,7 @@ feature table: the same md5 draws choose the samples, split features and thresho
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from farewatch.operators.scoring import ForestConfig
 
@@ -19,8 +20,7 @@ def forest_ctes(cfg: ForestConfig, features: str = "features") -> str:
     """CTEs ``nodes`` (the node table) and ``scored`` (features, score, rank), after ``features``."""
     assert math.ceil(math.log2(cfg.max_samples)) <= TREES_AT_MOST_DEEP
     seed = f"'{cfg.seed}'"
-    x = ", ".join(f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) THEN 0.0::DOUBLE "
-                  f"ELSE floor(CAST({c} AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END" for c in cfg.features)
+    x = ", ".join(map(clean, cfg.features))
     path = "CASE WHEN size <= 1 THEN 0.0::DOUBLE WHEN size = 2 THEN 1.0::DOUBLE ELSE " \
            "2.0::DOUBLE * (ln(size - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (size - 1.0::DOUBLE) / size END"
     out = [f"""
@@ -77,6 +77,26 @@ scored AS MATERIALIZED (
     return ",".join(out)
 
 
+def clean(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) THEN 0.0::DOUBLE "
+            f"ELSE floor(CAST({c} AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END")
+
+
+def bundle_ctes(cfg: ForestConfig, contamination: float, features: str = "features") -> str:
+    """CTEs ``fitted`` (one row: m and s of each column), ``scaled``, the forest on it, and ``cut`` (the offset)."""
+    six = "floor({} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+    stats = ", ".join(f"coalesce({six.format(f'avg({clean(c)})')}, 0.0::DOUBLE) AS m{k}, "
+                      f"coalesce(nullif({six.format(f'stddev_pop({clean(c)})')}, 0.0::DOUBLE), 1.0::DOUBLE) AS s{k}" for k, c in enumerate(cfg.features))
+    scaled = ", ".join(f"(({clean(c)}) - m{k}) / s{k} AS {c}" for k, c in enumerate(cfg.features))
+    out = "', '".join(map(str, cfg.excluded_cats))
+    return f"""
+outside AS MATERIALIZED (SELECT * FROM {features} WHERE NOT coalesce(CAST(dominant_cat AS VARCHAR) IN ('{out}'), false)),
+fitted AS MATERIALIZED (SELECT {stats} FROM outside),
+scaled AS MATERIALIZED (SELECT card_id, {scaled} FROM outside, fitted),
+{forest_ctes(cfg, "scaled")},
+cut AS MATERIALIZED (SELECT quantile_cont(-(anomaly_score + 0.5::DOUBLE), {contamination}::DOUBLE) AS off FROM scored)"""
+
+
 VIEW = ("card_id, rank, round(anomaly_score, 6) AS anomaly_score, tx_count, active_days, unique_routes, unique_terminals, segment, model")
 
 
@@ -87,8 +107,16 @@ def queries(features: str, cfg: ForestConfig, top_percent: float, bins: int) ->
 tops AS (SELECT *, 1 AS ml_fraud_flag FROM scored
          WHERE rank <= (SELECT greatest(1, CAST(round_even(count(*) * {top_percent}::DOUBLE, 0) AS BIGINT)) FROM scored)),
 news AS (SELECT * FROM tops WHERE card_id NOT IN (SELECT card_id FROM labels WHERE is_fraud = 1))"""
+    fit = replace(cfg, excluded_cats=("207",), model_name="isolation_forest_bundle")
+    fitted = features + "," + bundle_ctes(fit, top_percent)
+    columns = " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS feature, m{k} AS mean, s{k} AS scale FROM fitted" for k, c in enumerate(cfg.features))
     return {
         "anomaly_scores": base + f" SELECT {VIEW} FROM scored",
+        "bundle_scores": fitted + """
+SELECT f.card_id, rank, round(anomaly_score + 0.5::DOUBLE + off, 6) AS anomaly_score, f.tx_count, f.active_days, f.unique_routes, f.unique_terminals,
+       f.segment, model, round(anomaly_score + 0.5::DOUBLE + off, 6) > 0 AS flagged
+FROM scored JOIN features f USING (card_id), cut""",
+        "model_bundle": fitted + f" SELECT position, feature, mean, scale, round(off, 6) AS \"offset\" FROM ({columns}), cut",
         "score_topk": top + f" SELECT {VIEW}, ml_fraud_flag FROM tops",
         "new_candidates": top + f" SELECT {VIEW}, ml_fraud_flag FROM news",
         "inference_summary": top + f"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from farewatch.config import RulesConfig
 from farewatch.functions.time import iso_text
+from farewatch.operators import model_bundle
 from farewatch.operators import presentation as P
 from farewatch.operators import scoring as S
 from farewatch.operators.dedupe import remove_near_duplicates
@@ -102,6 +103,21 @@ def build_feature_table(spark: SparkSession, labels: DataFrame, out_dir: str, tx
     return _write(build_features(tx_norm, load_labels(labels), rows=feature_rows), os.path.join(out_dir, "features"))
 
 
+def fit_model(spark: SparkSession, features: DataFrame, model_dir: str, cfg: S.ForestConfig = S.ForestConfig(),
+              contamination: float = 0.01) -> model_bundle.Bundle:
+    """Fit scaler, forest and offset on a feature table and save them as a folder of tables."""
+    prepare(spark)
+    return model_bundle.fit(features, cfg, model_dir, contamination)
+
+
+def run_bundle_inference(spark: SparkSession, features: DataFrame, labels: DataFrame, model_dir: str, out_dir: str,
+                         top_percent: float = 0.01) -> dict[str, DataFrame]:
+    """The scoring job with a saved model: scores, top share, candidates and summary."""
+    prepare(spark)
+    model = model_bundle.load(spark, model_dir)
+    return _published(_write(model_bundle.score(features, model), os.path.join(out_dir, "inference_scores")), labels, out_dir, model.cfg, top_percent)
+
+
 def run_inference(spark: SparkSession, features: DataFrame, labels: DataFrame, out_dir: str,
                   cfg: S.ForestConfig = S.ForestConfig(), top_percent: float = 0.01,
                   nodes: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -110,7 +126,10 @@ def run_inference(spark: SparkSession, features: DataFrame, labels: DataFrame, o
     prepare(spark)
     if nodes is None:
         nodes = _write(S.train_forest(S.prepare_matrix(features, cfg.features), cfg), os.path.join(out_dir, "model"))
-    scored = _write(S.score_features(features, nodes, cfg), os.path.join(out_dir, "inference_scores"))
+    return _published(_write(S.score_features(features, nodes, cfg), os.path.join(out_dir, "inference_scores")), labels, out_dir, cfg, top_percent)
+
+
+def _published(scored: DataFrame, labels: DataFrame, out_dir: str, cfg: S.ForestConfig, top_percent: float) -> dict[str, DataFrame]:
     top = _write(S.select_top_percent(scored, top_percent), os.path.join(out_dir, "top_percent_cards"))
     cands = _write(S.new_pattern_candidates(top, labels), os.path.join(out_dir, "new_candidates"))
     write_one_csv(cands.orderBy("rank"), os.path.join(out_dir, "new_candidates.csv"))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewatch.config import H1Config, RulesConfig
 from farewatch.functions.time import iso_text
+from farewatch.operators import model_bundle
 from farewatch.operators import presentation as P
 from farewatch.operators import scoring as S
 from farewatch.operators.features import DOUBLE_FEATURES, FAMILIES, build_features, feature_rows_raw
@@ -228,6 +230,31 @@ def scored(spark, sf) -> DataFrame:
     return tables.shared(spark, sf, "scored", lambda: S.score_features(features(spark, sf), forest(spark, sf), FOREST))
 
 
+_BUNDLES: dict = {}
+BUNDLE_EXCLUDED = ("207",)
+
+
+def bundle(spark, sf) -> model_bundle.Bundle:
+    """The fitted model of a folder's cards, saved and loaded once per session."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _BUNDLES:
+        cfg = replace(FOREST, excluded_cats=BUNDLE_EXCLUDED, model_name="isolation_forest_bundle")
+        _BUNDLES[key] = model_bundle.fit(features(spark, sf), cfg, scratch_folder(spark, "model"), TOP_PERCENT)
+    return _BUNDLES[key]
+
+
+def q_bundle_scores(spark, sf):
+    """Scores of a loaded bundle: standardised inputs, offset at the top share's quantile."""
+    out = model_bundle.score(features(spark, sf), bundle(spark, sf))
+    return _score_view(out).withColumn("flagged", F.col("anomaly_score") > 0)
+
+
+def q_model_bundle(spark, sf):
+    """What the bundle holds: mean and scale of each column, the offset."""
+    out = model_bundle.summary(bundle(spark, sf))
+    return out.withColumn("offset", F.round("offset", 6))
+
+
 def top_cards_ml(spark, sf) -> DataFrame:
     return S.select_top_percent(scored(spark, sf), TOP_PERCENT)
 
@@ -292,6 +319,8 @@ QUERIES.update({
     "segment_counts": q_segment_counts,
     "score_histogram": q_score_histogram,
     "forest_nodes": q_forest_nodes,
+    "bundle_scores": q_bundle_scores,
+    "model_bundle": q_model_bundle,
 })
 
 
