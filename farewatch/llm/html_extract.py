@@ -12,7 +12,14 @@ Extraction per page: blocks in explicit content elements (article, main) are tak
 none or the slots outside them hold more text; then all blocks in the slots are taken, those of the
 template left out (texts in content elements are never template). Menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments are recognised by element, role, class or id and left out either way, as
-are scripts, styles, comments and hidden elements.
+are scripts, styles, comments and hidden elements. A class or id counts as a whole, by all its parts
+(``cookie-notice`` is a notice, ``no-sidebar`` is none), and on containers only. An element that is
+taken for a form or the like but holds the page's article element, with more text than all the rest,
+is pardoned; reader comments, related articles and hidden elements are not.
+
+Pages are scanned once from left to right in time linear in their length, whatever they hold: a tag
+ends at the next ``>`` outside quotes; once there is none, tags end at the next ``>`` of any kind, and
+without one the rest is text. Element paths are chained hashes, so depth costs nothing.
 
 A host's template has at most about twice the tokens of a page (each stands on half the pages or
 more), so it is one small row; pages are joined with it on the host, which Spark broadcasts after
@@ -29,6 +36,8 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +67,13 @@ promotion banner banners cookie cookies consent gdpr notice notices alert popup
 login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar
 toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies discussion search
 skip copyright""".split())
+# parts of a name that say nothing by themselves
+FILLERS = frozenset("""area bar block bottom box button buttons center col column container content footer form group head header holder inner
+item items left links list main outer panel right row section site slot text title top unit wrap wrapper""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+NEVER_PARDONED = COMMENT_WORDS | frozenset("related recommended recommendations".split())
+NAMED = frozenset("div section span ul ol dl ins fieldset details figure table".split())     # elements a class or id can put aside
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -68,24 +82,33 @@ def attributes(source: str) -> dict:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def is_aside(tag: str, attr: dict, in_content: bool) -> bool:
-    """Whether an element holds something other than the article."""
+HARD, SOFT = 2, 1           # never the article; not the article unless it holds it
+
+
+def is_aside(tag: str, attr: dict, in_content: bool) -> int:
+    """Whether an element holds something other than the article: ``HARD``, ``SOFT`` or 0."""
     if tag in ASIDE_ELEMENTS or (tag == "header" and not in_content):
-        return True
+        return SOFT if tag == "form" else HARD
     if not attr:
-        return False
+        return 0
     if attr.get("role", "").lower() in ASIDE_ROLES or "hidden" in attr or attr.get("aria-hidden", "").lower() == "true":
-        return True
+        return HARD
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attr.get("style", "").lower()):
-        return True
-    if tag in ("body", "html", "article", "main") and not ({"comment", "comments"} & _words(attr)):
-        return False
-    words = _words(attr)
-    return bool(words & ASIDE_WORDS) or ("header" in words and not in_content)
+        return HARD
+    names = f"{attr.get('class', '')} {attr.get('id', '')}".split()
+    if tag in ("body", "html", "article", "main"):
+        return HARD if any(_speaks(n, COMMENT_WORDS) for n in names) else 0
+    if tag not in NAMED:
+        return 0
+    if any(_speaks(n, NEVER_PARDONED) for n in names):
+        return HARD
+    return SOFT if any(_speaks(n, ASIDE_WORDS) or (not in_content and n.lower() == "header") for n in names) else 0
 
 
-def _words(attr: dict) -> set:
-    return {w.lower() for w in WORD.findall(f"{attr.get('class', '')} {attr.get('id', '')}")}
+def _speaks(name: str, words: frozenset) -> bool:
+    """Whether a class or id, as a whole, says one of ``words``: each part is one or says nothing."""
+    parts = [p.lower() for p in WORD.findall(name)]
+    return any(p in words for p in parts) and all(p in words or p in FILLERS for p in parts)
 
 
 class Block:
@@ -95,61 +118,122 @@ class Block:
         self.text, self.path, self.content, self.aside, self.links, self.token = text, path, content, aside, links, token
 
 
-def parse(source: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
-    """Text blocks in page order, and the element paths in page order (path, place)."""
-    blocks: list[Block] = []
-    paths: list[tuple[str, int]] = []
-    stack: list[list] = []              # name, path, content depth, aside depth
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_MARK = re.compile(r"""[>"']""")
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags from left to right; name None: a comment or
+    declaration. Linear: every failed look ahead is made once."""
+    last, quoted = source.rfind(">"), {q: source.rfind(q) for q in "\"'"}
+    at, loose = source.find("<"), False
+    while 0 <= at:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif at > last:
+            return
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+            yield at, end, None, False, ""
+        else:
+            closing = source.startswith("</", at)
+            name = TAG_NAME.match(source, at + 1 + closing)
+            if not name:
+                at = source.find("<", at + 1)
+                continue
+            end = 0 if loose else _tag_end(source, name.end(), quoted)
+            if not end:
+                loose, end = True, source.find(">", name.end()) + 1
+            yield at, end, name[0].lower(), closing, source[name.end():end - 1]
+        at = source.find("<", end)
+
+
+def _tag_end(source: str, at: int, quoted: dict) -> int:
+    """The place after the next ``>`` outside quotes, or 0; a quote without a partner is ordinary."""
+    while m := TAG_MARK.search(source, at):
+        if m[0] == ">":
+            return m.end()
+        at = source.find(m[0], m.end()) + 1 if m.start() < quoted[m[0]] else m.end()
+    return 0
+
+
+class Page:
+    """Text blocks in page order, element paths in page order (path, place), and the elements that
+    are not the article: (enclosing one or -1, hard or soft, holds an article element)."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.paths: list[tuple[int, int]] = []
+        self.asides: list[list] = []
+
+    def open_asides(self, pardoned: bool) -> list[bool]:
+        """Per aside whether its text counts: only soft ones that hold an article may, pardoned."""
+        out: list[bool] = []
+        for parent, kind, holds in self.asides:
+            out.append(pardoned and kind == SOFT and holds and (parent < 0 or out[parent]))
+        return out
+
+
+def parse(source: str | None) -> Page:
+    page = Page()
+    blocks, paths, asides = page.blocks, page.paths, page.asides
+    stack: list[tuple] = []             # name, path, content depth, aside (or -1), inline
+    opened: Counter = Counter()         # elements on the stack, by name
     parts: list[str] = []
     linked = [0, 0]                     # characters of the block, and those inside links
+    root = ("", 0, 0, -1, False)
 
     def flush():
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            top = stack[-1] if stack else ["", "", 0, 0]
-            blocks.append(Block(text, top[1], top[2] > 0, top[3] > 0, linked[1] >= 0.9 * max(linked[0], 1), len(paths)))
+            top = stack[-1] if stack else root
+            blocks.append(Block(text, top[1], top[2] > 0, top[3], linked[1] >= 0.9 * max(linked[0], 1), len(paths)))
         linked[0] = linked[1] = 0
 
+    def add(text):
+        if stack and stack[-1][4]:
+            return                      # right inside an inline element that is not the article
+        parts.append(text)
+        linked[0] += len(text)
+        linked[1] += len(text) * (anchors > 0)
+
     def close(name):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                if any(x[0] in BLOCKS for x in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
+        if not opened[name]:
+            return
+        k = len(stack) - 1
+        while stack[k][0] != name:
+            k -= 1
+        if any(x[0] in BLOCKS for x in stack[k:]):
+            flush()
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
     source = source or ""
-    at, skip, anchors = 0, None, 0
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
+    at, anchors = 0, 0
+    absent: set[str] = set()            # elements whose end was looked for in vain
+    for start, end, name, closing, attr_source in tags(source):
+        if start < at:
             continue
-        if m.start() > at:
-            piece = source[at:m.start()]
-            parts.append(piece)
-            linked[0] += len(piece)
-            linked[1] += len(piece) * (anchors > 0)
-        at = m.end()
-        name = m[2]
+        if start > at:
+            add(source[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
+        if closing:
             if name == "a":
                 anchors = max(0, anchors - 1)
             if name == "br":
                 parts.append(" ")
-            elif name == "p" and not any(x[0] == "p" for x in stack):
+            elif name == "p" and not opened["p"]:
                 flush()
             else:
                 close(name)
             continue
-        if name in SKIP and not m[3].rstrip().endswith("/"):
-            skip = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            if name == "head":          # a head without an end stops at the body
-                body = re.compile(r"<body\b", re.I).search(source, at)
-                at = min((x for x in (skip.end() if skip else None, body.start() if body else None) if x is not None), default=at)
-            else:
-                at = skip.end() if skip else len(source)
+        if name in SKIP and not attr_source.rstrip().endswith("/"):
+            at = _skip(source, name, at, absent)
             continue
         if name == "br":
             parts.append(" ")
@@ -158,32 +242,56 @@ def parse(source: str | None) -> tuple[list[Block], list[tuple[str, int]]]:
             anchors += 1
         if name in BLOCKS:
             flush()
-            if name in CLOSES_P and any(x[0] == "p" for x in stack):
+            if name in CLOSES_P:
                 close("p")
             while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
-                stack.pop()
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
+                opened[stack.pop()[0]] -= 1
+        if name in VOID or attr_source.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        attr = attributes(m[3])
-        parent = stack[-1] if stack else ["", "", 0, 0]
-        content = parent[2] + (name in CONTENT or attr.get("role", "").lower() == "main" or attr.get("itemprop", "") == "articleBody")
-        aside = parent[3] + is_aside(name, attr, content > 0)
+        attr = attributes(attr_source)
+        _, path, content, aside, _ = parent = stack[-1] if stack else root
+        main = name in CONTENT or attr.get("role", "").lower() == "main" or attr.get("itemprop", "") == "articleBody"
+        content += main
+        kind = is_aside(name, attr, content > 0)
+        if main and not kind:
+            k = aside
+            while k >= 0 and not asides[k][2]:
+                asides[k][2] = True
+                k = asides[k][0]
+        if kind:
+            asides.append([aside, kind, False])
+            aside = len(asides) - 1
         if name in BLOCKS:
             mark = ".".join(sorted(attr.get("class", "").split())) + (f"#{attr['id']}" if "id" in attr else "")
-            stack.append([name, f"{parent[1]}/{name}{'.' + mark if mark else ''}", content, aside])
+            path = _hash(f"{path}/{name}{'.' + mark if mark else ''}")
             if not parent[2]:
-                paths.append((stack[-1][1], len(blocks)))
-        elif aside > parent[3]:
-            stack.append([name, parent[1], content, aside])
+                paths.append((path, len(blocks)))
+        elif not kind:
+            continue
+        stack.append((name, path, content, aside, name not in BLOCKS))
+        opened[name] += 1
     if at < len(source):
         rest = source[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
-        rest = rest[:cut.start()] if cut else rest
-        parts.append(rest)
-        linked[0] += len(rest)
-        linked[1] += len(rest) * (anchors > 0)
+        cut = rest.rfind("<")
+        if cut >= 0 and ">" not in rest[cut:] and re.match(r"<[a-zA-Z/!?]", rest[cut:cut + 2]):
+            rest = rest[:cut]
+        add(rest)
     flush()
-    return blocks, paths
+    return page
+
+
+def _skip(source: str, name: str, at: int, absent: set[str]) -> int:
+    """Where reading goes on after the start of an element whose inside is no text."""
+    end = None if name in absent else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+    if not end:
+        absent.add(name)
+    if name != "head":
+        return end.end() if end else len(source)
+    # a head without an end stops at the body
+    body = None if "body" in absent else re.compile(r"<body\b", re.I).search(source, at)
+    if not body:
+        absent.add("body")
+    return min((x for x in (end.end() if end else None, body.start() if body else None) if x is not None), default=at)
 
 
 def _hash(text: str) -> int:
@@ -191,11 +299,11 @@ def _hash(text: str) -> int:
     return (zlib.crc32(data) << 31) ^ zlib.adler32(data[::-1])
 
 
-def page_tokens(blocks: list[Block], paths: list) -> tuple[list[int], list[int]]:
+def page_tokens(page: Page) -> tuple[list[int], list[int]]:
     """Token hashes of a page in page order (element paths, and texts outside explicit content),
     and the block each text token stands for (-1 for elements)."""
-    at = [(place, 0, _hash(p), -1) for p, place in paths]
-    at += [(k, 1, _hash(f"{b.path}\0{b.text}"), k) for k, b in enumerate(blocks) if not b.content]
+    at = [(place, 0, p, -1) for p, place in page.paths]
+    at += [(k, 1, _hash(f"{b.path}\0{b.text}"), k) for k, b in enumerate(page.blocks) if not b.content]
     at.sort(key=lambda x: (x[0], x[1]))
     return [h for _, _, h, _ in at], [k for _, _, _, k in at]
 
@@ -218,7 +326,7 @@ def templates(pages: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             hosts, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             for host, page, source in zip(hosts, ids, b.column(2).to_pylist(), strict=True):
-                found, _ = page_tokens(*parse(source))
+                found, _ = page_tokens(parse(source))
                 first: dict = {}
                 count: dict = {}
                 for k, t in enumerate(found):
@@ -271,12 +379,19 @@ def template_blocks(found: list[int], block_of: list[int], tokens: list[int], cl
 
 def extract(source: str | None, tokens: list[int] | None = None, classes: list[int] | None = None) -> list[str]:
     """Main-text blocks of one page, given its host's template."""
-    blocks, paths = parse(source)
-    own = [b for b in blocks if b.content and not b.aside]
+    page = parse(source)
+    blocks = page.blocks
+    own = [b for b in blocks if b.content and b.aside < 0]
+    free = page.open_asides(True)
+    if any(free):
+        # the article stands in something that is taken for a form or the like: is it most of the text?
+        held = [b for b in blocks if b.content and (b.aside < 0 or free[b.aside])]
+        if sum(len(b.text) for b in held) > 2 * sum(len(b.text) for b in blocks if b.aside < 0):
+            return [b.text for b in held]
     if own and not tokens:
         return [b.text for b in own]
-    fixed = template_blocks(*page_tokens(blocks, paths), tokens, classes) if tokens else set()
-    left = [b for k, b in enumerate(blocks) if not b.aside and k not in fixed]
+    fixed = template_blocks(*page_tokens(page), tokens, classes) if tokens else set()
+    left = [b for k, b in enumerate(blocks) if b.aside < 0 and k not in fixed]
     if own and sum(len(b.text) for b in left if not b.content and not b.links) <= sum(len(b.text) for b in own):
         return [b.text for b in own]
     return [b.text for b in left if b.content or not b.links] or [b.text for b in left]

@@ -58,7 +58,7 @@ def test_templates_match_brute_force(spark):
     for k, (_, url, html, *_rest) in enumerate(rows):
         host = (url or "").lower().split("//")[1].split("/")[0] if "//" in (url or "") else ""
         n[host] += 1
-        for t, c in Counter(H.page_tokens(*H.parse(html))[0]).items():
+        for t, c in Counter(H.page_tokens(H.parse(html))[0]).items():
             vector[host, t][k] = c
     classes = defaultdict(set)
     for (host, t), v in vector.items():
@@ -93,3 +93,88 @@ def test_article_elements_that_are_not_the_article(spark):
     for i in range(8):
         assert got[i][0] == f"Story {i} has its words in a plain div, and they go on for a while."
         assert got[i][1:] == ([f"Card {i}"] if i % 4 == 3 else [])
+
+
+FULL = "<article><h1>Title</h1><p>" + "All the words of this article. " * 20 + "</p></article>"
+
+
+def test_wrappers_keep_the_article():
+    want = H.extract(FULL)
+    assert len(want) == 2
+    for open_, close in [('<div id="page" class="site no-sidebar">', "</div>"), ('<div class="content with-sidebar">', "</div>"), ('<section class="ad-free">', "</section>"),
+                         ('<div class="header-sticky search-enabled">', "</div>"), ('<div class="widget-area">', "</div>"), ('<form id="aspnetForm">', "</form>"),
+                         ('<div class="sidebar"><form>', "</form></div>")]:
+        page = f"<html><body><nav><a>Home</a></nav>{open_}{FULL}<footer>Foot</footer>{close}<p>Small print.</p></body></html>"
+        assert H.extract(page) == want, open_
+    for open_, close in [('<div class="comments">', "</div>"), ('<div class="related-list">', "</div>"), ("<nav>", "</nav>"), ('<div hidden>', "</div>")]:
+        assert H.extract(f"<p>Own text.</p>{open_}{FULL}{close}") == ["Own text."], open_
+
+
+def test_names_count_as_a_whole():
+    for inside in ('<section class="share-price"><p>Up 3%</p></section>', '<p class="notice">Take notice.</p>', '<div class="comment-on-policy"><p>Our view</p></div>',
+                   '<div class="advertised-price">9</div>', '<div id="menuetto">dance</div>'):
+        got = H.extract(f"<article><p>One</p>{inside}<p>Two</p></article>")
+        assert len(got) == 3, inside
+    for inside in ('<div class="cookie-notice">We use</div>', '<div class="box adBox">Buy</div>', '<ul class="share-list"><li>Tweet</ul>', '<section id="commentlist"><p>First</p></section>',
+                   '<div class="newsletter-signup-form"><p>Mail</p></div>', '<span class="social">f t g</span>'):
+        assert H.extract(f"<article><p>One</p>{inside}<p>Two</p></article>") == ["One", "Two"], inside
+
+
+def test_bad_pages_take_linear_time():
+    import time
+    n = 100_000
+    pages = {"<b" * n: 1, "<div>" * n + "deep": 1, "<div>" * n + "x" + "</span>" * n: 1, '<a href="' * n: 1, "<a '" * n + ">": 0, '<b ">"' * n: None, "<" * n: 1, "<!--" * n: 0,
+             "<" + "a" * n: None, "<head>" * n + "x": 1, "<p>" * n: 0, "</p>" * n: 0, "<script " * n: None, "<li><ul>" * n + "x": 1, "&lt" * n: 1, "<nav>" * n + "x": 0,
+             "<a>" * n + "x": 1, "<td" * n + ">x": 1, "<!" * n: 1, "<form><article>" * (n // 4) + "x": 1, "<b a='" + "x" * n + "<p>y": None, "<div class='" + "a " * n + "'>x": 1}
+    for source, count in pages.items():
+        start = time.time()
+        got = H.extract(source)
+        assert time.time() - start < 4, (source[:20], time.time() - start)       # a second on an idle machine
+        assert count is None or len(got) == count, (source[:20], got[:2])
+
+
+def test_cut_tags_and_quotes():
+    assert H.extract('<p>a</p><p title="x > y">b</p>') == ["a", "b"]
+    assert H.extract("<p>it's <b>bold</b> and 5 < 6 'q'</p>") == ["it's bold and 5 < 6 'q'"]
+    assert H.extract('<p>a</p><i title="never closed>b</i><p>c</p>') == ["a", "b", "c"]
+    assert H.extract("<p>a<!-- b") == ["a"] and H.extract("<p>a <") == ["a <"] and H.extract("a</") == ["a"]
+
+
+def random_page(rnd):
+    """(source, text blocks of the article) of a random well-formed tree."""
+    words = iter(range(10_000))
+    out = []
+
+    def text(keep):
+        t = " ".join(f"w{next(words)}" for _ in range(rnd.randint(1, 6)))
+        if keep:
+            out.append(t)
+        return t.replace(" ", rnd.choice([" ", "\n  ", "&#32;", " <i>x</i> ".replace("x", "")]))
+
+    def node(depth, keep, article):
+        kind = rnd.choice(["p", "p", "div", "section", "list", "aside", "named", "script", "comment"])
+        if depth > 4 or kind == "p":
+            return f"<p class='lead'>{text(keep)}</p>"
+        inner = lambda k: "".join(node(depth + 1, k, article) for _ in range(rnd.randint(1, 3)))
+        if kind == "list":
+            return "<ul>" + "".join(f"<li>{text(keep)}" + rnd.choice(["", "</li>"]) for _ in range(rnd.randint(1, 3))) + "</ul>"
+        if kind == "aside":
+            e = rnd.choice(["nav", "aside", "footer", "form"])
+            return f"<{e}>{inner(False)}</{e}>"
+        if kind == "named":
+            return f"<div class='{rnd.choice(['ad', 'cookie-notice', 'sideBar sidebar', 'share_links'])}'>{inner(False)}</div>"
+        if kind == "script":
+            return "<script>if (a < b) { t = '<p>no</p>' }</script>"
+        if kind == "comment":
+            return "<!-- <p>no</p> -->"
+        return f"<{kind} data-x=\"a > b\">{inner(keep)}</{kind}>"
+    body = "".join(node(0, True, True) for _ in range(rnd.randint(2, 6)))
+    return f"<html><head><title>t</title></head><body><nav><a>m</a></nav><main>{body}<p>{text(True)}</p></main><footer>f</footer></body></html>", out
+
+
+def test_extract_equals_the_tree_it_was_written_from():
+    import random
+    rnd = random.Random(6)
+    for _ in range(300):
+        source, want = random_page(rnd)
+        assert H.extract(source) == want, source
