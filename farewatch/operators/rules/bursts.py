@@ -31,6 +31,11 @@ def burst_windows(tx: DataFrame | Taps, cfg: H3Config = H3Config()) -> DataFrame
     else:
         per_card = per_card.groupBy("trm_id", floor_to_seconds("dt", cfg.time_window_seconds).alias("time_window"), "card") \
             .agg(F.sum("n").alias("n"))
+    return bursts_of(per_card, cfg)
+
+
+def bursts_of(per_card: DataFrame, cfg: H3Config = H3Config()) -> DataFrame:
+    """Bursts among (validator, window, card) counts."""
     stats = per_card.groupBy(*WINDOW_KEYS).agg(F.sum("n").alias("tx_count"), F.count(F.lit(1)).alias("unique_cards"))
     bursts = stats.filter((F.col("tx_count") >= cfg.threshold_raw) & (F.col("unique_cards") >= cfg.min_cards_in_burst))
     samples = first_k(per_card.join(bursts.select(*WINDOW_KEYS), WINDOW_KEYS, "left_semi"),

@@ -498,6 +498,13 @@ b AS (SELECT trm_id, dt AS time_window, count(*) AS tx_count, count(DISTINCT car
       GROUP BY trm_id, dt HAVING count(*) >= 3 AND count(DISTINCT card) >= 2)
 SELECT trm_id, {iso('time_window')} AS time_window, tx_count, unique_cards FROM b""")
 
+ORACLE["stream_bursts_rule"] = with_tx(f""",
+svc AS (SELECT card FROM tx GROUP BY card, date HAVING count(*) > 12),
+b AS (SELECT trm_id, dt AS time_window, count(*) AS tx_count, count(DISTINCT card) AS unique_cards,
+             array_to_string(list_sort(list(DISTINCT card))[1:5], ',') AS sample_cards
+      FROM tx WHERE card NOT IN (SELECT card FROM svc) GROUP BY trm_id, dt HAVING count(*) >= 3 AND count(DISTINCT card) >= 2)
+SELECT trm_id, {iso('time_window')} AS time_window, tx_count, unique_cards, sample_cards FROM b""")
+
 ORACLE["stream_daily_trips"] = with_tx(f""",
 d AS (SELECT card, date, count(*) AS n FROM tx GROUP BY card, date)
 SELECT card, strftime(date, '%Y-%m-%d') AS date, n, CASE WHEN n >= 12 THEN 'strong' ELSE 'raw' END AS severity,

@@ -27,8 +27,7 @@ from farewatch.plans import tables
 from farewatch.session import prepare, scratch_folder
 from farewatch.sources.dump_fixture import write_dump
 from farewatch.sources.raw_files import read_raw_with_rejects
-from farewatch.streaming.bursts import event_stream, run_burst_stream
-from farewatch.streaming.replay import run_to_table
+from farewatch.streaming.bursts import run_burst_rule_stream, run_burst_stream
 from farewatch.streaming.rules import run_daily_trips, run_near_dedup, run_school_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,7 +367,14 @@ def q_stream_bursts(spark, sf):
     return out.withColumn("time_window", iso_text("time_window"))
 
 
+def q_stream_bursts_rule(spark, sf):
+    """The whole burst rule from its streams: service cards withdrawn, first five cards."""
+    out = run_burst_rule_stream(spark, sf, _stream_name("x1r", sf))
+    return out.select("trm_id", iso_text("time_window").alias("time_window"), "tx_count", "unique_cards", F.array_join("sample_cards", ",").alias("sample_cards"))
+
+
 QUERIES["stream_bursts"] = q_stream_bursts
+QUERIES["stream_bursts_rule"] = q_stream_bursts_rule
 
 
 def _stream_name(kind: str, sf: str) -> str:
