@@ -173,27 +173,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     found = reduce(DataFrame.unionByName, parts)
     merged = found.groupBy("row_key").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list(_pairs("hits")))).alias("pairs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    union = F.udf(_unite, "array<int>")
-    return (merged.withColumn("hits", union("pairs")).withColumn("n_hit", n_hit)
-            .select("doc_id", "n_words", "hits", "items", "spans", "n_hit"))
-
-
-def _pairs(col: str):
-    return F.expr(f"transform(filter(sequence(0, size({col})), i -> i % 2 = 0 and i < size({col})), "
-                  f"i -> array({col}[i], {col}[i + 1]))")
-
-
-def _unite(pairs) -> list[int]:
-    out: list[int] = []
-    for a, e in pairs or []:
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [a, e]
-    return out
+        F.array_sort(F.flatten(F.collect_list(_runs()))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = F.expr(_UNITE)
+    return (merged.withColumn("runs", united)
+            .select("doc_id", "n_words", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["end"]))).alias("hits"), "items",
+                    F.transform("runs", lambda r: F.array(r["start"], r["stop"])).alias("spans"))
+            .withColumn("n_hit", n_hit).select("doc_id", "n_words", "hits", "items", "spans", "n_hit"))
+
+
+def _runs():
+    """The hits of a row with their characters: (first word, end word, first character, end) each."""
+    return F.expr("transform(spans, (s, i) -> named_struct('first', hits[2 * i], 'end', hits[2 * i + 1], 'start', s[0], 'stop', s[1]))")
+
+
+# runs in order of their first words; one that begins at or before the last one's end extends it
+_UNITE = """aggregate(runs, cast(array() as array<struct<first: int, end: int, start: int, stop: int>>), (done, x) ->
+  if(size(done) > 0 and x.first <= element_at(done, -1).end,
+     concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'end', greatest(element_at(done, -1).end, x.end),
+                                                               'start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, x.stop)))),
+     concat(done, array(x))))"""
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,21 @@ def test_matches_brute_force_in_one_block(spark):
 
 
 def test_blocks_of_patterns_give_the_same(spark):
-    check(spark, 3)
+    assert check(spark, 3) == check(spark, 1000)
+
+
+def test_spans_are_united_over_blocks(spark):
+    """Overlapping and touching windows in different blocks are one span, as in one block."""
+    text = " ".join(f"w{k}" for k in range(40))
+    words = text.split()
+    items = [(f"i{k}", " ".join(words[a:a + 10])) for k, a in enumerate((0, 4, 8, 18, 29))]
+    items += [("short", "w39")]
+    docs = frame(spark, [(1, text, "en", "s", 0, "", 0, 0), (2, "w39, w39!", "en", "s", 0, "", 0, 0)])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one, many = ({r["doc_id"]: (r["hits"], [list(x) for x in r["spans"]], r["n_hit"], r["items"]) for r in D.decontaminate(docs, bench, max_patterns=m).collect()} for m in (1000, 1))
+    assert one == many
+    assert one[1][0] == [0, 28, 29, 40] and [text[a:b] for a, b in one[1][1]] == [" ".join(words[:28]), " ".join(words[29:])]
+    assert one[2][1] == [[0, 8]]
 
 
 def test_filter_and_empty_tables(spark):
