@@ -4,16 +4,19 @@ Per language, character n-grams up to ``ORDER`` are counted over the letter runs
 texts ("_word_", the context starts at the word's start mark). The highest order keeps raw
 counts, lower orders continuation counts (raw ones for n-grams that begin with the start mark),
 all as Spark aggregations; absolute discounts come from the numbers of n-grams seen once and
-twice. The models are sorted arrays of packed n-grams (12 bits a character, so characters that
-agree modulo 4096 share an entry) with one probability per language.
+twice. The model is one table per order, (language, packed n-gram, own share, back-off weight),
+12 bits a character, so characters that agree modulo 4096 share an entry. No n-gram is left out.
 
-A text's language is the one with the lowest cross-entropy in bits per character. Rejection is
-calibrated per language from its own counts: the mean and variance of the bits per character in
-training text give the limit ``mean + slack + z * sd / sqrt(characters)``.
+Scoring looks n-grams up in sorted arrays made of these tables, which are sent to the workers if
+they have at most ``max_cells`` numbers. Larger models stay tables: the distinct letter runs of
+the texts are cut into n-grams, distinct n-grams are joined with every order, and the sums go back
+to runs and texts by salted joins. Both ways give the same bits.
 
-Counting covers all training rows. What the driver holds is bounded: n-grams and contexts rarer
-than ``min_share`` of their language and order are left out of the arrays (at most
-1 / min_share entries per language and order, whatever the corpus); discounts and totals use all.
+A text's language is the one with the lowest cross-entropy in bits per character. Rejection is
+calibrated on training rows the counts have not seen (``fit`` keeps one in ``CALIBRATION``): each
+language's mean, the spread of a text's mean by its length, and the excess that one in
+1 / ``ALPHA`` texts goes beyond. A text is accepted up to ``mean + z * sd / sqrt(characters) +
+excess + MARGIN_BITS``. Without any calibration text nothing with a letter is rejected.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and not accepted;
 without training rows every text is ``und``; ties go to the first language by code point;
@@ -28,17 +31,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import filter_rows, id_bucket, id_text, materialise, read_table
-from .tokens import TokenMemo, code_points, held, slices, split_words, sum_rows
+from .common import id_bucket, id_text, materialise, read_table
+from .tokens import TokenMemo, code_points, held, slices, split_words, sum_rows, words_of
 
 ORDER = 5
 BITS = 12
-MIN_SHARE = 1e-6
-SLACK_BITS = 3.0      # text that switches language half-way stays within; random letters do not
+MAX_CELLS = 16_000_000              # numbers of the arrays sent to workers: 128 MB and as much again for keys at most
+CALIBRATION, ALPHA = 20, 0.001
+MARGIN_BITS = 1.0                   # text that switches language half-way stays within; random letters do not
 Z = 8.0
+SALT = 16
 HELD_MODULUS, HELD_REST = 4, 2      # fixed values of the contract
 FLUSH_WORDS = 200_000
 UND = "und"
@@ -131,17 +137,37 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted arrays: per order the packed n-grams with log-free probabilities per language, and
-    per order the contexts with back-off weights per language."""
+    """The languages, the table of every order, the limits, and the sorted arrays if the model is
+    small enough: per order the packed n-grams with probabilities per language, and the contexts
+    with back-off weights per language."""
 
-    def __init__(self, langs: list[str]):
-        self.langs = langs
+    def __init__(self, langs: list[str], tables: dict[int, DataFrame]):
+        self.langs, self.tables = langs, tables
+        self.in_arrays = False
         self.grams: dict[int, np.ndarray] = {}
         self.probs: dict[int, np.ndarray] = {}
         self.contexts: dict[int, np.ndarray] = {}
         self.backoff: dict[int, np.ndarray] = {}
-        self.limit_mean = np.zeros(len(langs))
-        self.limit_sd = np.zeros(len(langs))
+        self.mean: list[float] = []
+        self.sd, self.excess = 0.0, float("inf")
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": {}}           # tables stay with the driver
+
+    def load(self) -> None:
+        """Fill the arrays from the tables."""
+        number = F.create_map(*[x for j, lang in enumerate(self.langs) for x in (F.lit(lang), F.lit(j))])
+        for k, table in sorted(self.tables.items()):
+            rows = table.select(number[F.col("lang")].alias("j"), "gram", "own", "back").toArrow()
+            j, gram, own, back = (rows.column(c).to_numpy() for c in range(4))
+            self.grams[k], self.contexts[k] = np.unique(gram), np.unique(gram >> BITS)
+            self.backoff[k] = np.ones((len(self.contexts[k]), len(self.langs)))
+            self.backoff[k][np.searchsorted(self.contexts[k], gram >> BITS), j] = back
+            seen = np.zeros((len(self.grams[k]), len(self.langs)))
+            seen[np.searchsorted(self.grams[k], gram), j] = own
+            lower = self.prob(self.grams[k] & ((1 << (BITS * (k - 1))) - 1), k - 1)
+            self.probs[k] = seen + self.backoff[k][np.searchsorted(self.contexts[k], self.grams[k] >> BITS)] * lower
+        self.in_arrays = True
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +212,9 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> Model:
-    """Count over all rows of ``labelled`` (lang, text), then build the bounded arrays."""
+def train(labelled: DataFrame, calibration: DataFrame | None = None, order: int = ORDER, max_cells: int = MAX_CELLS) -> Model:
+    """Count over all rows of ``labelled`` (lang, text); limits come from ``calibration`` (lang,
+    text), or from the same rows."""
     raw = materialise(gram_counts(labelled), "lid-grams")
     keys = ["lang", "gram"]
     level = {order: raw.where(F.col("ord") == order).select(*keys, "n")}
@@ -199,110 +226,170 @@ def train(labelled: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE)
             cont = cont.where(~start).unionByName(raw.where(F.col("ord") == k).select(*keys, "n"))
         level[k] = materialise(cont, f"lid-{k}")
     stats = reduce(DataFrame.unionByName, [
-        t.groupBy("lang").agg(F.lit(k).alias("ord"), F.sum("n").alias("total"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"),
-                              F.count(F.when(F.col("n") == 2, 1)).alias("n2")) for k, t in level.items()])
-    stat = {(r["lang"], r["ord"]): r for r in stats.collect()}      # one row per language and order
-    langs = sorted({lang for lang, _ in stat})
-    model = Model(langs)
-    number = {lang: j for j, lang in enumerate(langs)}
-    least = {k: F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(max(1.0, min_share * float(stat[lang, k]["total"]))))])
-             for k in range(1, order + 1) if langs}
-    for k in range(1, order + 1):
-        if not langs:
-            model.grams[k] = model.contexts[k] = np.zeros(0, np.int64)
-            model.probs[k] = model.backoff[k] = np.zeros((0, 0))
-            continue
-        big = F.col("n") >= least[k][F.col("lang")]
-        g = level[k].where(big).toPandas()
-        c = (level[k].groupBy("lang", F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-             .where(big).toPandas())
-        d = {}
-        for lang in langs:
-            n1, n2 = stat[lang, k]["n1"], stat[lang, k]["n2"]
-            d[lang] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        model.contexts[k] = np.unique(c["gram"].to_numpy(np.int64))
-        model.backoff[k] = np.ones((len(model.contexts[k]), len(langs)))
-        total = np.zeros_like(model.backoff[k])
-        model.grams[k] = np.unique(g["gram"].to_numpy(np.int64))
-        for lang, rows in c.groupby("lang"):
-            at = np.searchsorted(model.contexts[k], rows["gram"].to_numpy(np.int64))
-            total[at, number[lang]] = rows["n"].to_numpy(float)
-            model.backoff[k][at, number[lang]] = d[lang] * rows["types"].to_numpy(float) / rows["n"].to_numpy(float)
-        ctx, known = Model._find(model.contexts[k], model.grams[k] >> BITS)
-        tot = np.where(known[:, None], total[ctx], 0.0)
-        back = np.where(known[:, None], model.backoff[k][ctx], 1.0)
-        seen = np.zeros((len(model.grams[k]), len(langs)))
-        for lang, rows in g.groupby("lang"):
-            at = np.searchsorted(model.grams[k], rows["gram"].to_numpy(np.int64))
-            seen[at, number[lang]] = np.maximum(rows["n"].to_numpy(float) - d[lang], 0.0)
-        own = np.divide(seen, tot, out=np.zeros_like(seen), where=tot > 0)
-        lower = np.full((len(own), len(langs)), 1.0 / (1 << BITS))
-        if k > 1:
-            lower = model.prob(model.grams[k] & ((1 << (BITS * (k - 1))) - 1), k - 1)
-        model.probs[k] = own + back * lower
-    _calibrate(model, raw, min_share, stat)
+        t.groupBy("lang").agg(F.lit(k).alias("ord"), F.count(F.lit(1)).alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"),
+                              F.count(F.when(F.col("n") == 2, 1)).alias("n2")) for k, t in level.items()]).collect()   # one row per language and order
+    langs = sorted({r["lang"] for r in stats})
+    if not langs:
+        return Model([], {})
+    tables = {}
+    for k, t in level.items():
+        d = F.create_map(*[x for r in stats if r["ord"] == k for x in
+                           (F.lit(r["lang"]), F.lit(r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5))])[F.col("lang")]
+        context = Window.partitionBy("lang", F.shiftright("gram", BITS))           # at most 4096 rows each
+        total, types = F.sum("n").over(context), F.count(F.lit(1)).over(context)
+        own = t.select("lang", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / total).alias("own"), (d * types / total).alias("back"))
+        tables[k] = materialise(own, f"lid-own-{k}")
+    model = Model(langs, tables)
+    # n-grams and their contexts, a key and a number per language each
+    if 2 * sum(r["types"] for r in stats) * (len(langs) + 1) <= max_cells:
+        model.load()
+    _calibrate(model, labelled if calibration is None else calibration)
     return model
 
 
-def _calibrate(model: Model, raw: DataFrame, min_share: float, stat: dict) -> None:
-    """Mean and variance of the bits per character of each language's own training text."""
+def fit(labelled: DataFrame, **options) -> Model:
+    """Train on all rows of (lang, text) but one in ``CALIBRATION``, by the text's hash, which sets the limits."""
+    apart = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(CALIBRATION)) == 0
+    return train(labelled.where(~apart), labelled.where(apart), **options)
+
+
+def _salted(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join whose small side stands ``SALT`` times, so a hot key of the big side is spread."""
+    one = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return big.withColumn("salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALT)).cast("int")).join(one, [*keys, "salt"]).drop("salt")
+
+
+def _run_counts(batches):
+    for b in batches:
+        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            runs = Counter(_runs(words_of(text))[0])
+            if runs:
+                yield pa.RecordBatch.from_pydict({"row": [row] * len(runs), "run": list(runs), "times": list(runs.values())}, schema=RUN_SCHEMA)
+
+
+def _run_grams(batches):
+    for b in batches:
+        runs = b.column(0).to_pylist()
+        if runs:
+            grams, top, run = _packed(runs)
+            gram = np.choose(top - 1, [grams[k] for k in range(1, ORDER + 1)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(run)), pa.array(top.astype(np.int32)), pa.array(gram)], schema=GRAM_SCHEMA)
+
+
+RUN_SCHEMA = pa.schema([("row", pa.int64()), ("run", pa.string()), ("times", pa.int64())])
+GRAM_SCHEMA = pa.schema([("run", pa.string()), ("ord", pa.int32()), ("gram", pa.int64())])
+
+
+def _joined_totals(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, n, bits per language) of (row, text) by joins with the model's tables."""
+    runs = materialise(texts.mapInArrow(_run_counts, "row long, run string, times long"), "lid-runs")
+    cut = materialise(runs.select("run").distinct().mapInArrow(_run_grams, "run string, ord int, gram long")
+                      .groupBy("run", "ord", "gram").agg(F.count(F.lit(1)).alias("m")), "lid-run-grams")
+    p = (cut.select("ord", "gram").distinct().withColumn("lang", F.explode(F.array(*map(F.lit, model.langs))))
+         .withColumn("p", F.lit(1.0 / (1 << BITS))))
+    for k, table in sorted(model.tables.items()):
+        own = table.select("lang", F.col("gram").alias("suffix"), "own")
+        back = table.select("lang", F.shiftright("gram", BITS).alias("context"), "back").distinct()
+        suffix = F.when(F.col("ord") >= k, F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)))
+        p = (p.withColumn("suffix", suffix).withColumn("context", F.shiftright("suffix", BITS))
+             .join(own, ["lang", "suffix"], "left").join(back, ["lang", "context"], "left")
+             .select("ord", "gram", "lang", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p")))
+    of_gram = materialise(p.select("ord", "gram", "lang", (-F.log2("p")).alias("bits")), "lid-gram-bits")
+    of_run = _salted(cut, of_gram, ["ord", "gram"]).groupBy("run", "lang").agg(F.sum(F.col("bits") * F.col("m")).alias("bits"), F.sum("m").alias("n"))
+    of_row = (_salted(runs, materialise(of_run, "lid-run-bits"), ["run"]).groupBy("row", "lang")
+              .agg(F.sum(F.col("bits") * F.col("times")).alias("bits"), F.sum(F.col("n") * F.col("times")).alias("n")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("lang", "bits"))), lambda x: x["bits"])      # one entry per language
+    return of_row.groupBy("row").agg(F.max("n").alias("n"), listed.alias("bits"))
+
+
+def _totals(df: DataFrame, model: Model, n: str, bits: str) -> DataFrame:
+    """``df`` (with a column text) and two more columns: predicted characters and bits by language."""
+    if model.in_arrays:
+        shared = df.sparkSession.sparkContext.broadcast(model)
+        at, names = df.columns.index("text"), [*df.columns, n, bits]
+        schema = StructType([*df.schema.fields, StructField(n, LongType()), StructField(bits, ArrayType(DoubleType()))])
+
+        def run(batches):
+            for b in batches:
+                m = shared.value
+                memo = held("language", id(m), lambda m=m: TokenMemo(m.bits))           # it holds the model
+                total = sum_rows(memo, b.column(at).cast(pa.string()))
+                width = len(m.langs)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * width, pa.int32()), pa.array(total[:, :-1].ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.rint(total[:, -1]).astype(np.int64)), lists], names=names)
+        return df.mapInArrow(run, schema)
     if not model.langs:
+        return df.withColumn(n, F.lit(0).cast("long")).withColumn(bits, F.array().cast("array<double>"))
+    row = free_name(df, "_row")
+    kept = materialise(df.withColumn(row, F.monotonically_increasing_id()), "lid-rows")
+    sums = _joined_totals(kept.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), model)
+    sums = sums.select(F.col("row").alias(row), F.col("n").alias(n), F.col("bits").alias(bits))
+    return kept.join(sums, row, "left").drop(row).withColumn(n, F.coalesce(n, F.lit(0)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _quantile(values: DataFrame, share: float) -> float | None:
+    """Upper edge of the first bucket that reaches ``share`` of all rows of (bucket); exact counts."""
+    rows = sorted((r["bucket"], r["count"]) for r in values.groupBy("bucket").count().collect())      # some thousand buckets
+    total, upto = sum(c for _, c in rows), 0
+    for bucket, c in rows:
+        upto += c
+        if upto >= share * total:
+            return bucket + 1
+    return None
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Means, spread and excess over the texts of ``rows`` (lang, text) that get their own language."""
+    scored = _totals(rows.select("lang", "text"), model, "n", "bits").where("n > 0")
+    best = F.array_min("bits")
+    right = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("bits", best).cast("int")) == F.col("lang")
+    t = materialise(scored.where(right).select("lang", "n", best.alias("bits")), "lid-calibration")
+    sums = {r["lang"]: (r["b"], r["n"]) for r in t.groupBy("lang").agg(F.sum("bits").alias("b"), F.sum("n").alias("n")).collect()}
+    if not sums:
+        model.mean = [0.0] * len(model.langs)
         return
-    least = F.create_map(*[x for lang in model.langs for x in (F.lit(lang), F.lit(max(1.0, min_share * float(stat[lang, ORDER]["total"] if (lang, ORDER) in stat else 1))))])
-    rows = raw.where(F.col("n") >= least[F.col("lang")]).toPandas()
-    for j, lang in enumerate(model.langs):
-        own = rows[rows["lang"] == lang]
-        bits, w = [], []
-        for k, part in own.groupby("ord"):
-            bits.append(-np.log2(model.prob(part["gram"].to_numpy(np.int64), int(k))[:, j]))
-            w.append(part["n"].to_numpy(float))
-        if bits:
-            b, w = np.concatenate(bits), np.concatenate(w)
-            model.limit_mean[j] = np.average(b, weights=w)
-            model.limit_sd[j] = np.sqrt(np.average((b - model.limit_mean[j]) ** 2, weights=w))
-
-
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
-                    ("accepted", pa.bool_()), ("bits_per_char", pa.float64())])
-DDL = "doc_id long, lang_pred string, score double, accepted boolean, bits_per_char double"
-
-
-def _judge(m: Model, texts: pa.Array, slack: float, z: float) -> tuple[list, list, list, list]:
-    """(language, score, accepted, bits per character) of each text."""
-    memo = held("language", id(m), lambda: TokenMemo(m.bits))           # it holds the model
-    total = sum_rows(memo, texts) if m.langs else np.zeros((len(texts), 1))
-    n = np.rint(total[:, -1])
-    pred, score, ok, best_bits = [], [], [], []
-    for k in range(len(texts)):
-        if not n[k]:
-            pred.append(UND), score.append(0.0), ok.append(False), best_bits.append(None)
-            continue
-        ce = total[k, :-1] / n[k]
-        j = int(np.argmin(ce))
-        odds = np.exp2(-(ce - ce[j]) * min(n[k], 64.0))
-        pred.append(m.langs[j])
-        score.append(float(1.0 / odds.sum()))
-        ok.append(bool(ce[j] <= m.limit_mean[j] + slack + z * m.limit_sd[j] / np.sqrt(n[k])))
-        best_bits.append(float(ce[j]))
-    return pred, score, ok, best_bits
-
-
-def predict(docs: DataFrame, model: Model, slack: float = SLACK_BITS, z: float = Z) -> DataFrame:
-    """Language of every row of ``docs`` (doc_id, text); one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for b in batches:
-            pred, score, ok, bits = _judge(shared.value, b.column(1), slack, z)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(ok, pa.bool_()), pa.array(bits, pa.float64())], schema=SCHEMA)
-    return id_text(docs).mapInArrow(run, DDL)
-
-
-def keep_accepted(docs: DataFrame, model: Model, slack: float = SLACK_BITS, z: float = Z) -> DataFrame:
+    whole = sum(b for b, _ in sums.values()) / sum(n for _, n in sums.values())
+    model.mean = [sums[x][0] / sums[x][1] if x in sums else whole for x in model.langs]
+    mean = F.create_map(*[x for lang, m in zip(model.langs, model.mean, strict=True) for x in (F.lit(lang), F.lit(m))])[F.col("lang")]
+    off, root = F.col("bits") / F.col("n") - mean, F.sqrt("n")
+    # the median of |off| * sqrt(n), in buckets of two per cent, is 0.6745 sd of a normal spread
+    middle = _quantile(t.select(F.floor(F.log2(F.abs(off) * root + 1e-6) * 32).alias("bucket")), 0.5)
+    model.sd = 2 ** (middle / 32) / 0.6745
+    model.excess = max(0.0, _quantile(t.select(F.floor((off - Z * model.sd / root) * 100).alias("bucket")), 1 - ALPHA) / 100)
+
+
+def _judged(df: DataFrame, model: Model, margin: float) -> tuple[DataFrame, dict]:
+    """``df`` with its totals, and the verdict's expressions."""
+    n, bits = free_name(df, "_n"), free_name(df, "_bits")
+    out = _totals(df, model, n, bits)
+    best = F.array_min(bits)
+    at = F.array_position(bits, best).cast("int")
+    some = F.col(n) > 0
+    chars = F.least(F.col(n), F.lit(64)) / F.col(n)
+    odds = F.aggregate(bits, F.lit(0.0), lambda s, b: s + F.pow(F.lit(2.0), (best - b) * chars))
+    of = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), at)
+    limit = of(model.mean, "double") + F.lit(Z * model.sd) / F.sqrt(n) + F.lit(model.excess + margin)
+    return out, {"lang_pred": F.when(some, of(model.langs, "string")).otherwise(UND), "score": F.when(some, 1.0 / odds).otherwise(0.0),
+                 "accepted": F.when(some, best / F.col(n) <= limit).otherwise(False), "bits_per_char": F.when(some, best / F.col(n))}
+
+
+def predict(docs: DataFrame, model: Model, margin: float = MARGIN_BITS) -> DataFrame:
+    """Language of every row of ``docs`` (doc_id, text): one pass without a shuffle if the model is in arrays."""
+    out, verdict = _judged(id_text(docs), model, margin)
+    return out.select("doc_id", *[c.alias(name) for name, c in verdict.items()])
+
+
+def keep_accepted(docs: DataFrame, model: Model, margin: float = MARGIN_BITS) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return filter_rows(docs, lambda texts: _judge(shared.value, texts, slack, z)[2])
+    out, verdict = _judged(docs, model, margin)
+    return out.where(verdict["accepted"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -314,6 +401,6 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = predict(docs, train(training_rows(docs)))
+    out = predict(docs, fit(training_rows(docs)))
     held = F.coalesce(id_bucket("doc_id", HELD_MODULUS) == HELD_REST, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted", "bits_per_char")

@@ -104,3 +104,31 @@ def test_no_training_rows_and_empty_table(spark):
     none = L.train(L.training_rows(docs).limit(0))
     assert {r["lang_pred"] for r in L.predict(docs, none).collect()} == {"und"}
     assert L.predict(docs.limit(0), none).count() == 0
+
+
+def test_joined_scoring_equals_arrays_and_limits(spark):
+    docs = frame(spark, corpus(40) + odd_documents()[28:])
+    rows = L.training_rows(docs)
+    arrays, tables = L.fit(rows), L.fit(rows, max_cells=0)
+    assert arrays.in_arrays and not tables.in_arrays and tables.langs == arrays.langs
+    assert (tables.sd, tables.excess) == (arrays.sd, arrays.excess) and tables.mean == pytest.approx(arrays.mean, rel=1e-9)
+    key = lambda r: (str(r["doc_id"]), r["bits_per_char"] or 0.0)
+    a, b = (sorted(L.predict(docs, m).collect(), key=key) for m in (arrays, tables))
+    assert len(a) == len(b) == docs.count()
+    for x, y in zip(a, b, strict=True):
+        assert (x["doc_id"], x["lang_pred"], x["accepted"]) == (y["doc_id"], y["lang_pred"], y["accepted"])
+        assert y["score"] == pytest.approx(x["score"], rel=1e-6) and (y["bits_per_char"] or 0.0) == pytest.approx(x["bits_per_char"] or 0.0, rel=1e-9)
+    assert L.keep_accepted(docs, tables).count() == L.keep_accepted(docs, arrays).count()
+
+
+def test_rejection_by_held_out_limits(spark):
+    """Held-out texts of the languages stay, also halves of two; random letters and a language never seen go."""
+    rnd = random.Random(4)
+    rows = [(text(rnd, lang, 40), lang) for lang in SYLLABLES for _ in range(150)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert 0 < model.sd < 5 and model.excess < 2
+    own = [text(rnd, lang, n) for lang in SYLLABLES for n in (10, 40, 300)]
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + " " * (rnd.random() < 0.2) for _ in range(n)) for n in (60, 300, 3000)]
+    noise += ["\u0434\u043e\u0431\u0440\u044b\u0439 \u0432\u0435\u0447\u0435\u0440 " * 10]
+    got = {r["doc_id"]: r["accepted"] for r in L.predict(spark.createDataFrame(list(enumerate(own + noise)), "doc_id long, text string"), model).collect()}
+    assert [got[k] for k in range(len(own + noise))] == [True] * len(own) + [False] * len(noise)
