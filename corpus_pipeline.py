@@ -10,8 +10,8 @@ from farewatch.llm.common import read_table, scratch_path
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; the models are trained on these documents' labels."""
-    return language_id.keep_accepted(docs, language_id.train(language_id.training_rows(docs)))
+    """Documents whose language is accepted; the models and the limits come from these documents' labels."""
+    return language_id.keep_accepted(docs, language_id.fit(language_id.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
