@@ -13,6 +13,13 @@ until none is left. Only these exceptions need storing; every other surrogate is
 the key while replacing. Exceptions are broadcast up to ``max_broadcast``, beyond that they are
 joined to the rows that hold them.
 
+Numbers count only with evidence: a telephone has a country code, brackets, a known national
+grouping or a word such as "call" before it; a payment card has right check digits or a word such
+as "card" before it; ISBNs, pairs of years and version numbers are left alone.
+
+The key comes from the setting ``spark.farewatch.pii.key``. Without it every run draws a random
+one, so its surrogates agree within the run only.
+
 Defined results: null texts stay null with no entities, empty ones empty; texts without entities
 are returned unchanged; repeated rows get the same replacements; an empty table gives an empty
 table; other columns are ignored.
@@ -23,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise, read_table
 
-KEY = b"surrogate-key-1"        # pass a secret of your own in production
+KEY_SETTING = "spark.farewatch.pii.key"
 MAX_BROADCAST = 100_000
 
 # fixed values: name parts by gender and script, titles by gender
@@ -41,7 +49,8 @@ GIVEN = {
     ("m", "cyrillic"): "Александр Дмитрий Максим Сергей Андрей Алексей Иван Михаил Николай Павел".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Екатерина Светлана Юлия".split(),
 }
-TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor господин".split(), "f": "Mrs Ms Miss Madam Frau Madame Señora госпожа".split()}
+TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor господин".split(), "f": "Mrs Ms Miss Madam Frau Madame Señora госпожа".split(),
+          "any": "Dr Doctor Prof Professor доктор профессор".split()}
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we".split(),
              "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ке ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
 ENDINGS = {"latin": "ner ton man son ley field berg ski".split(), "cyrillic": "ов ин ский енко ович ук ев ын".split(),
@@ -60,7 +69,7 @@ ENTITY = re.compile("|".join([
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d))",
-    r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,14}(?!\d))",
+    r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,14}(?!\d)|(?<![\w.+-])\d{7,12}(?![\w-]|\.\d))",
     rf"(?P<person>\b(?P<title>{'|'.join(_TITLE)})\.?\s+(?P<names>{_NAME}(?:\s{_NAME})?)|\b(?P<given>{'|'.join(_GIVEN)})\s(?P<family>{_NAME})\b)",
 ]))
 # texts that can hold an entity at all. Arrow's RE2 knows \b, \d and \s for ASCII only, so none of
@@ -69,6 +78,14 @@ MAYBE = (r"[\p{Nd}@=:]|(?:" + "|".join([*_TITLE, *_GIVEN]) + r")[^\p{L}\p{N}_]"
          r"|AKIA|gh[pousr]_|sk-|xox[abpr]-|[A-Fa-f]{2}-[A-Fa-f]{2}-[A-Fa-f]{2}-")
 
 
+# fixed values: words that announce a kind of number, national groupings of telephones
+CALLED = re.compile(r"(?i)\b(?:call|dial|ring|tel|telephone|phone|fax|mobile|cell|sms|whatsapp|telefon|téléphone|teléfono|телефон|тел|звоните)\b\W{0,3}(?:[^\W\d]+\W{1,3}){0,2}$")
+CARDED = re.compile(r"(?i)\b(?:card|visa|mastercard|amex|karte|carte|tarjeta|карта)\b")
+VERSION = re.compile(r"(?i)(?:\b(?:version|ver|release|build|firmware)\b|\bv)[.:]?\s*$")
+NATIONAL = re.compile(r"[2-9]\d\d([ .-])[2-9]\d\d\1\d{4}|0\d([ .-])\d\d(?:\2\d\d){3}|0\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}")
+DATE = re.compile(r"(?:19|20)\d\d([ .-])\d\d\1\d\d|(?:1[5-9]|20)\d\d[ .-](?:1[5-9]|20)\d\d")      # a day, or two years
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
@@ -82,6 +99,27 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _isbn(digits: str) -> bool:
+    return len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(d) * (3 if k % 2 else 1) for k, d in enumerate(digits)) % 10 == 0
+
+
+def _is_card(text: str, start: int, norm: str) -> bool:
+    return not _isbn(norm) and (luhn(norm) or bool(CARDED.search(text, max(0, start - 64), start)))
+
+
+def _is_phone(text: str, m: re.Match, norm: str) -> bool:
+    if not 7 <= len(norm) <= 15 or DATE.fullmatch(m[0]):
+        return False
+    return m[0][0] == "+" or "(" in m[0] or bool(NATIONAL.fullmatch(m[0]) or CALLED.search(text[max(0, m.start() - 32):m.start()]))
+
+
+def _gender(title: str, given: str) -> str:
+    """Of a title, or if it says nothing of the given name: by the lists, then by its ending."""
+    if _TITLE[title] != "any":
+        return _TITLE[title]
+    return _GIVEN[given][0] if given in _GIVEN else "f" if given[-1] in "aая" else "m"
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text; persons come as name parts."""
     out = []
@@ -99,23 +137,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), "email", m[0].lower()))
         elif kind == "mac":
             out.append((m.start(), m.end(), "mac", re.sub("[:-]", "", m[0]).lower()))
-        elif kind == "ip":
+        elif kind == "ip" and not VERSION.search(text[max(0, m.start() - 16):m.start()]):
             out.append((m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
         elif kind == "iban":
             norm = m[0].replace(" ", "")
             if len(norm) >= 15 and _iban_ok(norm):
                 out.append((m.start(), m.end(), "iban", norm))
-        elif kind in ("ssn", "card"):
+        elif kind == "ssn":
+            out.append((m.start(), m.end(), "ssn", _digits(m[0])))
+        elif kind == "card":
             norm = _digits(m[0])
-            out.append((m.start(), m.end(), kind, norm))
+            if _is_card(text, m.start(), norm):
+                out.append((m.start(), m.end(), "card", norm))
         elif kind == "phone":
             norm = _digits(m[0])
-            if 7 <= len(norm) <= 15 and not re.fullmatch(r"(?:19|20)\d\d([ .-])\d\d\1\d\d", m[0]):      # not a date
+            if _is_phone(text, m, norm):
                 out.append((m.start(), m.end(), "phone", norm))
         elif kind == "person":
             if m["title"]:
-                at, gender = m.start("names"), _TITLE[m["title"]]
                 parts = m["names"].split()
+                at, gender = m.start("names"), _gender(m["title"], parts[0])
             else:
                 at, gender = m.start(), _GIVEN[m["given"]][0]
                 parts = m[0].split()
@@ -240,7 +281,7 @@ def entities(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "kind string, norm string").distinct()
 
 
-def resolve(known: DataFrame, key: bytes = KEY, rounds: int = 40) -> DataFrame:
+def resolve(known: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides.
 
     There may be more given names than names in the lists, so their later attempts join two, then a
@@ -276,10 +317,12 @@ def rewrite(text: str, key: bytes, again: dict) -> tuple[str, list[str]]:
     return "".join([*parts, text[at:]]), kinds
 
 
-def replace(docs: DataFrame, key: bytes = KEY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, text, n_entities, kinds) of every row, with surrogates for its entities."""
+def replace(docs: DataFrame, key: bytes | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, text, n_entities, kinds) of every row, with surrogates for its entities; without a
+    key the setting's, or else a random one."""
     base = id_text(docs)
     spark = docs.sparkSession
+    key = key or spark.conf.get(KEY_SETTING, "").encode() or secrets.token_bytes(32)
     again = materialise(resolve(entities(base), key), "pii-exceptions")
     if again.count() <= max_broadcast:                    # the size check of the broadcast
         shared = spark.sparkContext.broadcast({(r["kind"], r["norm"]): r["attempt"] for r in again.collect()})

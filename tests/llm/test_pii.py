@@ -1,3 +1,4 @@
+import random
 import re
 
 from farewatch.llm import pii as P
@@ -78,3 +79,42 @@ def test_given_names_never_run_out(spark):
     final = [(k, P.surrogate(KEY, k, n, again.get((k, n), 0))) for k, n in known]
     assert len(set(final)) == len(known) and not set(final) & set(known)
     assert all(re.fullmatch(P._NAME, P.spell(k, "X", new)) for k, new in final)
+
+
+def test_numbers_need_evidence():
+    clean = ["From 1990 2000 on", "in 2019-2020 and 1914-1918", "pages 120-145-200", "12 14 16 18", "ISBN 978-3-16-148410-0", "ISBN 9783161484100",
+             "version 10.20.30.40", "firmware v10.20.30.41", "order 4111111111111112 shipped", "id 5551234567 only", "2024-01-02"]
+    for t in clean:
+        assert P.find(t) == [], t
+    held = {"Dr Smith": "family-latin", "Dr. Anna Smith": "given-f-latin", "call 5551234567": "phone", "phone me at 555-1234 now": "phone", "(487) 555-7209": "phone",
+            "487-555-7209": "phone", "01 23 45 67 89": "phone", "+15551234567": "phone", "host 10.20.30.40": "ip", "card number 4111111111111112": "card",
+            "paid by 4111111111111111": "card", "профессор Петров": "family-cyrillic"}
+    for t, kind in held.items():
+        assert kind in [k for _, _, k, _ in P.find(t)], t
+
+
+def test_distinct_entities_keep_distinct_surrogates_by_brute_force(spark):
+    """Over a corpus: equal normal forms get equal surrogates, different ones different, none that occurs."""
+    rnd = random.Random(5)
+    numbers = ["+1 (%03d) 555-%04d" % (rnd.randrange(200, 999), rnd.randrange(10_000)) for _ in range(60)]
+    mails = [f"u{rnd.randrange(400)}@mail{rnd.randrange(3)}.example.com" for _ in range(60)]
+    rows = [(i, f"write to {rnd.choice(mails)} or {rnd.choice(numbers)} and {rnd.choice(mails).upper()}.", "en", "s", 0, "", 0, 0) for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in P.replace(frame(spark, rows), KEY).collect()}
+    known: dict = {}
+    for i, t, *_ in rows:
+        old, new = P.find(t), P.find(got[i])
+        assert [k for *_, k, _ in old] == [k for *_, k, _ in new]
+        for (*_, kind, a), (*_, _, b) in zip(old, new, strict=True):
+            assert known.setdefault((kind, a), b) == b
+    assert len({(k, b) for (k, _), b in known.items()}) == len(known) and not {(k, b) for (k, _), b in known.items()} & set(known)
+
+
+def test_key_from_the_setting(spark):
+    docs = frame(spark, [(1, "mail a.person@example.com", "en", "s", 0, "", 0, 0)])
+    texts = lambda: [r["text"] for r in P.replace(docs).collect()]
+    assert texts() != texts()                                       # a random key each
+    spark.conf.set(P.KEY_SETTING, "test")
+    try:
+        assert texts() == texts() == [r["text"] for r in P.replace(docs, b"test").collect()]
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
