@@ -214,7 +214,8 @@ class Encoder:
     tokenizer, so the words of a batch are made distinct first (Arrow's dictionary), each new
     one is encoded once, and the texts' ids are gathered. The memo of words is bounded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -287,7 +288,7 @@ class Encoder:
         per_text = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) + len(distinct) > MEMO_WORDS:
+        if len(self.words) + len(distinct) > self.memo_words:
             self._reset()
         place = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int32, len(distinct))
         new = np.flatnonzero(place < 0)
@@ -305,9 +306,9 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> Encoder:
     """One encoder, with its memo, per worker process."""
-    return held("encoder", path, lambda: Encoder(path))
+    return held("encoder", (path, memo_words), lambda: Encoder(path, memo_words))
 
 
 BLOCK_SCHEMA = pa.schema([
@@ -335,15 +336,16 @@ def make_block(doc_ids: list, chunks: list[np.ndarray], kind: np.dtype, terminal
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
-                 block_tokens: int = BLOCK_TOKENS) -> str:
-    """Encode ``docs`` (doc_id, text) and write the blocks to ``path``."""
+                 block_tokens: int = BLOCK_TOKENS, memo_words: int = MEMO_WORDS) -> str:
+    """Encode ``docs`` (doc_id, text) and write the blocks to ``path``; a smaller memo of words
+    takes less memory and more time, the ids are the same."""
     tokenizer = tokenizer or tokenizer_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     ordered = d.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo_words)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         chunks: list[np.ndarray] = []
