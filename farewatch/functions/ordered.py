@@ -37,11 +37,12 @@ def _bucket(ts: str, bucket_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / bucket_seconds)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
+def hot_keys(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> list[int]:
     """Hashes of the keys that hold so many rows that they would fill half of an average shuffle
-    partition: at most twice as many as there are partitions. One aggregation over the key columns;
-    its sketch tracks sixteen times as many keys, so none of that share escapes it."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partition (of ``parts``, or as many as the session sets): at most twice as many as there are
+    partitions. One aggregation over the key columns; its sketch tracks sixteen times as many
+    keys, so none of that share escapes it."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = min(2 * parts, 50_000)
     found = df.select(F.xxhash64(*keys).alias("_k")).agg(
         F.expr(f"approx_top_k(_k, {most}, {min(max(16 * most, 1024), 1_000_000)})").alias("top"), F.count(F.lit(1)).alias("n")).first()

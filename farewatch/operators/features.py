@@ -2,14 +2,17 @@
 shares and entropies, daily spans and percentile ranks inside the card's dominant category.
 
 Plan (all keyed by ``card_id``; a hot card is never one task):
-  * taps are pre-aggregated to a (card, terminal, route, carrier, category, amount, minute)
-    grain (partial + final, ``card_grain``);
-  * every categorical and bucket dimension is exploded from the grain into (card, dim, value)
+  * taps are shuffled once by card, into partitions of about ``TAPS_PER_TASK`` rows, so that the
+    counts of a task fit its memory whatever the table size;
+  * every categorical and bucket dimension is exploded from the taps into (card, dim, value)
     counts; a second aggregate per (card, dim) gives distinct counts, entropies, top shares,
-    bucket peaks, daily spans, the dominant category and the scalar shares; a third folds the
-    dims into one row per card. Each is partial + final on its own keys, so no step brings a
-    card's rows together: a card that makes a third of all taps leaves one row per task and
-    (card, dim) after the second partial aggregate;
+    bucket peaks, daily spans and the scalar shares; a third folds the dims into one row per card.
+    None of them moves a row: the exploded rows, fifteen a tap, never leave their task;
+  * cards that would fill half of such a partition are shuffled by card and hour instead, and
+    their three aggregates are partial + final on their own keys: a card that makes a third of all
+    taps leaves one row per task and (card, dim) after the second partial aggregate;
+  * the dominant category has its own count per (card, category): text in an aggregate's state
+    would make the large aggregates sort their input;
   * gap family: previous tap per card from ``with_previous`` (time-bucketed, skew-safe).
   * percentile ranks: average-tie rank inside ``dominant_cat`` from per-value counts and one
     range-partitioned prefix sum for all six source columns.
@@ -18,14 +21,17 @@ Both families come out clustered by ``card_id`` with one row per card.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewatch.config import SEGMENT_CATS
-from farewatch.functions.ordered import SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, with_previous, written
+from farewatch.functions.ordered import DEFAULT_BUCKET_SECONDS, SPARSE_BUCKET_SECONDS, exclusive_prefix_sum, hot_keys, with_previous, written
 from farewatch.functions.time import epoch_seconds, seconds_between
 
 GRAIN = ["card_id", "terminal_id", "route_num", "carrier_id", "cat", "amount_kop", "minute"]
+TAPS_PER_TASK = 100_000     # each becomes fifteen counts in memory
 
 
 def card_grain(rows: DataFrame) -> DataFrame:
@@ -37,6 +43,27 @@ def card_grain(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.min("date").alias("t0"), F.max("date").alias("t1"))
 
 
+def clustered_taps(rows: DataFrame) -> list[DataFrame]:
+    """Single taps with the columns of ``card_grain``, in one or two frames: cards as a rule, all
+    rows of one in one partition; and hot cards, if there are any, by card and hour."""
+    minute = F.floor(epoch_seconds("date") / 60).alias("minute")
+    taps = rows.select(*GRAIN[:-1], minute, F.lit(1).cast("bigint").alias("c"), F.col("date").alias("t0"), F.col("date").alias("t1"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TAPS_PER_TASK))
+    hot = hot_keys(rows, ["card_id"], parts)
+    if not hot:
+        return [taps.repartition(parts, "card_id")]
+    is_hot = F.xxhash64("card_id").isin(hot)
+    hour = F.floor(F.col("minute") * 60 / DEFAULT_BUCKET_SECONDS)
+    return [taps.where(~is_hot).repartition(parts, "card_id"), taps.where(is_hot).repartition(parts, "card_id", hour)]
+
+
+def _dominant_cat(rows: DataFrame) -> DataFrame:
+    """(card, most frequent category; the least text of equally frequent ones)."""
+    n = F.col("_n")
+    return rows.groupBy("card_id", "cat").agg(F.count(F.lit(1)).alias("_n")).groupBy("card_id").agg(
+        F.min_by("cat", F.struct((-n).alias("neg"), F.col("cat").alias("v"))).alias("dominant_cat"))
+
+
 def _dims() -> list[tuple[str, Column]]:
     """(name, value) of every categorical or bucket dimension, as text, from grain columns."""
     m = F.col("minute")
@@ -170,7 +197,6 @@ def _dim_features(grain: DataFrame) -> DataFrame:
         F.sum("c").alias("n"),
         F.max("c").alias("max_c"),
         F.sum(c * F.log2(c)).alias("clogc"),
-        F.min_by("value", F.struct((-c).alias("neg"), F.col("value").alias("v"))).alias("mode"),
         # integer seconds summed first: one final division, independent of summation order
         (F.sum(seconds_between("t0", "t1")) / F.count(F.lit(1)) / 3600.0).alias("span_mean"),
         (F.max(seconds_between("t0", "t1")) / 3600.0).alias("span_max"),
@@ -211,7 +237,6 @@ def _dim_features(grain: DataFrame) -> DataFrame:
         pick("terminal", entropy).alias("terminal_entropy"),
         pick("carrier", entropy).alias("carrier_entropy"),
         pick("hour", entropy).alias("hour_entropy"),
-        pick("cat", F.col("mode")).alias("dominant_cat"),
         pick("day", F.col("span_mean")).alias("daily_span_hours_mean"),
         pick("day", F.col("span_max")).alias("daily_span_hours_max"),
     )
@@ -275,8 +300,8 @@ def build_features(tx_norm: DataFrame | None, labels: DataFrame, rows: DataFrame
     """One row per labelled card with ``FEATURE_COLUMNS``, from the normalised table or from
     ready feature rows (``feature_rows_raw``)."""
     rows = (rows if rows is not None else feature_rows(tx_norm)).join(labels.select("card_id"), "card_id", "left_semi")
-    grain = card_grain(rows)
-    f = _dim_features(grain).join(_gap_features(rows), "card_id", "left")
+    f = reduce(DataFrame.unionByName, map(_dim_features, clustered_taps(rows)))
+    f = f.join(_dominant_cat(rows), "card_id", "left").join(_gap_features(rows), "card_id", "left")
     f = f.withColumn("tx_per_active_day", F.col("tx_count") / F.greatest(F.col("active_days"), F.lit(1)))
     numeric = [c for c in NUMERIC_FEATURES if c not in PERCENTILE_SOURCES.values()
                and c not in ("terminal_switch_rate", "route_switch_rate")]

@@ -162,3 +162,19 @@ def test_all_rules_together_read_the_table_five_times(spark, tmp_path):
         final = plan.split("== Initial Plan ==")[0]
         scans += sum("FileScan" in line and path in line for line in final.splitlines())
     assert scans <= 5, scans
+
+
+def test_exploded_dimensions_never_leave_their_task(spark, monkeypatch):
+    """The feature table counts fifteen rows a tap where the card's taps are: no exchange and no sort of them."""
+    from farewatch.operators import features as FE
+    seen = {}
+
+    def keep(df, label):
+        seen[label] = df
+        return df
+    monkeypatch.setattr(FE, "written", keep)
+    rows = tables.tx_norm(spark, SF)
+    FE.build_features(rows, rows.select(F.col("card").alias("card_id")).distinct())
+    plan = physical(seen["card-features"])
+    assert "Generate explode" in plan and "hashpartitioning(card_id" in plan
+    assert not [line for line in plan.splitlines() if ("Exchange" in line or "Sort" in line) and " dim#" in line.replace("[", " ").replace(",", " ").replace("(", " ")]

@@ -86,6 +86,28 @@ def test_features_spread_a_card_on_many_validators(spark, no_coalesce):
     assert got["HOT"]["tx_count"] == 1200 and got["HOT"]["unique_terminals"] == len({r["trm"] for r in rows if r["card"] == "HOT"})
 
 
+def test_hot_cards_of_the_feature_table(spark, no_coalesce, monkeypatch):
+    """A hot card's taps are dealt by hour, all others' by card alone; the features are the same."""
+    from farewatch.operators import features as FE
+    rows = hot_rows()
+    for k, r in enumerate(rows):
+        r |= {"trm": f"V{k % 7}", "cat": 201 + k % 3, "route": f"R{k % 4}"}
+    taps = FE.feature_rows(tx(spark, rows))
+    cold, hot = FE.clustered_taps(taps)
+    assert {r["card_id"] for r in hot.select("card_id").collect()} == {"HOT"} and cold.where("card_id = 'HOT'").count() == 0
+    share, parts = hot_share(hot.withColumnRenamed("card_id", "card"))
+    assert parts > 4 and share < 0.5
+    monkeypatch.setattr(FE, "TAPS_PER_TASK", 100)
+    assert cold.rdd.getNumPartitions() == PARTS and FE.clustered_taps(taps)[0].rdd.getNumPartitions() == 36
+    got = {r["card_id"]: r.asDict() for r in FE.build_features(None, taps.select("card_id").distinct(), taps).collect()}
+    want = {r["card_id"]: r.asDict() for r in FE._dim_features(FE.card_grain(taps)).collect()}
+    assert got.keys() == want.keys()
+    for card, w in want.items():
+        assert {k: got[card][k] for k in w} == pytest.approx(w), card
+    cats = {r["cat"]: r["count"] for r in taps.where("card_id = 'HOT'").groupBy("cat").count().collect()}
+    assert got["HOT"]["dominant_cat"] == min(cats, key=lambda c: (-cats[c], c))
+
+
 def test_prefix_sum_spreads_one_group(spark, no_coalesce):
     from farewatch.functions.ordered import exclusive_prefix_sum
     df = spark.range(4000).select(F.lit("HOT").alias("card"), "id", F.lit(1).alias("w"))
