@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from farewatch.llm import decontaminate, language_id, mixing, ngram_join, token_store
 from farewatch.llm.common import read_table, scratch_path
 
-MEMO_WORDS = 200_000    # the last stage's workers share their executor with what the stages before left in its heap
+# the last stage's workers share their executor with what the stages before left in its heap
+MEMO_WORDS, ENCODE_CHARS = 100_000, 1_000_000
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's token ids, written as compressed blocks; what the files hold per document."""
-    return token_store.read_documents(spark, token_store.write_tokens(docs, scratch_path(spark, "pipeline-tokens"), memo_words=MEMO_WORDS))
+    path = scratch_path(spark, "pipeline-tokens")
+    return token_store.read_documents(spark, token_store.write_tokens(docs, path, memo_words=MEMO_WORDS, encode_chars=ENCODE_CHARS))
 
 
 STAGES = [("language ID", languages), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_free),

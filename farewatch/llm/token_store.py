@@ -48,7 +48,6 @@ BLOCK_TOKENS = 1 << 18
 PAIRS_PER_ROUND = 2000
 MIN_COUNT = 12               # a rule pays from a few uses on
 MEMO_WORDS = 400_000
-MEMO_PIECES = 400_000
 ENCODE_CHARS = 4_000_000     # texts encoded at a time
 TOKENIZER = "word_bpe_49k.json"
 
@@ -212,7 +211,8 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 class Encoder:
     """Whole texts to ids. Words between ASCII white space encode independently in this
     tokenizer, so the words of a batch are made distinct first (Arrow's dictionary), each new
-    one is encoded once, and the texts' ids are gathered. The memo of words is bounded."""
+    one is encoded once, and the texts' ids are gathered. The memo of words is bounded:
+    when ``memo_words`` are known they are forgotten, with their pieces if these are as many."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         self.memo_words = memo_words
@@ -231,7 +231,7 @@ class Encoder:
     def _reset(self):
         """Forget the words; their pieces, which are fewer, stay until they fill the memo too."""
         self.words: dict[str, int] = {}
-        if len(self.pieces) > MEMO_PIECES:
+        if len(self.pieces) > self.memo_words:
             self.pieces = {}
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
@@ -336,9 +336,9 @@ def make_block(doc_ids: list, chunks: list[np.ndarray], kind: np.dtype, terminal
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
-                 block_tokens: int = BLOCK_TOKENS, memo_words: int = MEMO_WORDS) -> str:
-    """Encode ``docs`` (doc_id, text) and write the blocks to ``path``; a smaller memo of words
-    takes less memory and more time, the ids are the same."""
+                 block_tokens: int = BLOCK_TOKENS, memo_words: int = MEMO_WORDS, encode_chars: int = ENCODE_CHARS) -> str:
+    """Encode ``docs`` (doc_id, text) and write the blocks to ``path``; smaller memos, and fewer
+    characters encoded at a time, take less memory and more time, the ids are the same."""
     tokenizer = tokenizer or tokenizer_path()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
@@ -359,7 +359,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
         for b in batches:
             doc_ids, sizes = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // ENCODE_CHARS)) + 1
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // encode_chars)) + 1
             for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
                 flat, n = enc(b.column(1).slice(a, e - a))
                 at = 0

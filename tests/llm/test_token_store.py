@@ -91,3 +91,20 @@ def test_no_frequent_pair_is_left():
     pairs = np.stack([seq[:-1], seq[1:]], axis=1)[~marks[:-1]]
     assert np.unique(pairs, axis=0, return_counts=True)[1].max() < S.MIN_COUNT
     assert len(seq) < 40 * 60
+
+
+def test_small_memos_stay_small_and_give_the_same_ids(spark):
+    """The pieces of the words are bounded by the memo's size too, and ids do not depend on it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) + str(k) for k in range(6000)]
+    small, large = S.Encoder(S.tokenizer_path(), memo_words=300), S.Encoder(S.tokenizer_path())
+    for k in range(0, 6000, 100):
+        texts = pa.array([" ".join(words[k:k + 50]), " ".join(words[k + 50:k + 100])])
+        for got, want in zip(small(texts), large(texts), strict=True):
+            assert (got == want).all()
+        assert len(small.words) <= 300 and len(small.pieces) <= 3 * 300 + 1
+    rows = [(k, " ".join(words[7 * k:7 * k + 40]), "en", "s", 0, "", 0, 0) for k in range(300)]
+    stored = [sorted(map(tuple, S.read_documents(spark, S.write_tokens(frame(spark, rows), scratch_path(spark, "t"), **options)).collect()))
+              for options in ({}, {"memo_words": 300, "encode_chars": 500})]
+    assert len(stored[0]) == 300 and stored[0] == stored[1]
