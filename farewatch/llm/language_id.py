@@ -47,6 +47,8 @@ Z = 8.0
 SALT = 16
 HELD_MODULUS, HELD_REST = 4, 2      # fixed values of the contract
 FLUSH_WORDS = 200_000
+MEMO_WORDS = 100_000
+AT_ONCE = 10_000                    # words or letter runs made into n-grams at a time
 UND = "und"
 
 LETTERS = regex.compile(r"\p{L}+")
@@ -84,20 +86,26 @@ def _packed(runs: list[str]):
     return grams, top, word[start]
 
 
-def _count(words: Counter, lang: str):
+def _count(words: Counter, lang: str, at_once: int = AT_ONCE):
     runs, owner = _runs(list(words))
     if not runs:
         return None
     weight = np.fromiter(words.values(), np.int64, len(words))[owner]
-    grams, top, run = _packed(runs)
+    found: dict[int, list] = {k: [] for k in range(2, ORDER + 1)}
+    for a in range(0, len(runs), at_once):              # the n-grams of few runs stand in memory in all orders
+        grams, top, run = _packed(runs[a:a + at_once])
+        for k in found:
+            at = np.flatnonzero(top == k)
+            if len(at):
+                found[k].append((grams[k][at], weight[a + run[at]]))
     orders, keys, counts = [], [], []
     for k in range(2, ORDER + 1):
-        at = np.flatnonzero(top == k)
-        if len(at):
-            u, inv = np.unique(grams[k][at], return_inverse=True)
+        if found[k]:
+            gram, times = (np.concatenate(x) for x in zip(*found.pop(k), strict=True))
+            u, inv = np.unique(gram, return_inverse=True)
             orders.append(np.full(len(u), k, np.int32))
             keys.append(u)
-            counts.append(np.bincount(inv, weights=weight[run[at]]).astype(np.int64))
+            counts.append(np.bincount(inv, weights=times).astype(np.int64))
     keys = np.concatenate(keys)
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.concatenate(orders)),
                                        pa.array(keys), pa.array(np.concatenate(counts))], schema=COUNT_SCHEMA)
@@ -125,12 +133,11 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                         into[words[k]] += int(own[k])
                 size = sum(map(len, seen.values()))
                 if size > FLUSH_WORDS:
-                    for lang, words in seen.items():
-                        if (out := _count(words, lang)) is not None:
+                    for name in list(seen):
+                        if (out := _count(seen.pop(name), name)) is not None:
                             yield out
-                    seen = {}
-        for lang, words in seen.items():
-            if (out := _count(words, lang)) is not None:
+        for name in list(seen):
+            if (out := _count(seen.pop(name), name)) is not None:
                 yield out
     raw = labelled.select("lang", "text").mapInArrow(run, "lang string, ord int, gram long, n long")
     return raw.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
@@ -312,7 +319,7 @@ def _totals(df: DataFrame, model: Model, n: str, bits: str) -> DataFrame:
         def run(batches):
             for b in batches:
                 m = shared.value
-                memo = held("language", id(m), lambda m=m: TokenMemo(m.bits))           # it holds the model
+                memo = held("language", id(m), lambda m=m: TokenMemo(m.bits, MEMO_WORDS, AT_ONCE))           # it holds the model
                 total = sum_rows(memo, b.column(at).cast(pa.string()))
                 width = len(m.langs)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * width, pa.int32()), pa.array(total[:, :-1].ravel()))

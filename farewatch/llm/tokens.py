@@ -55,10 +55,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 class TokenMemo:
     """Rows of numbers per distinct word: ``compute(words)`` gives a (words x width) array. Holds
-    at most about ``limit`` words and starts anew when full, so memory is bounded."""
+    at most about ``limit`` words and starts anew when full, so memory is bounded; ``at_once`` bounds
+    the words that ``compute`` gets in one call."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 350_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 350_000, at_once: int | None = None):
+        self.compute, self.limit, self.at_once = compute, limit, at_once
         self.known: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
@@ -70,7 +71,8 @@ class TokenMemo:
         new = np.flatnonzero(at < 0)
         if len(new):
             todo = [distinct[k] for k in new.tolist()]
-            rows = self.compute(todo)
+            step = self.at_once or len(todo)
+            rows = np.concatenate([self.compute(todo[k:k + step]) for k in range(0, len(todo), step)])
             start = len(self.known)
             at[new] = start + np.arange(len(new))
             self.known.update(zip(todo, range(start, start + len(todo)), strict=True))

@@ -132,3 +132,30 @@ def test_rejection_by_held_out_limits(spark):
     noise += ["\u0434\u043e\u0431\u0440\u044b\u0439 \u0432\u0435\u0447\u0435\u0440 " * 10]
     got = {r["doc_id"]: r["accepted"] for r in L.predict(spark.createDataFrame(list(enumerate(own + noise)), "doc_id long, text string"), model).collect()}
     assert [got[k] for k in range(len(own + noise))] == [True] * len(own) + [False] * len(noise)
+
+
+def test_n_grams_are_made_of_few_words_at_a_time():
+    """Counts and bits do not depend on how many words are taken at once, and no call gets more."""
+    from collections import Counter
+
+    import numpy as np
+
+    from farewatch.llm.tokens import TokenMemo
+    rnd = np.random.default_rng(6)
+    words = ["".join(map(chr, rnd.integers(97, 105, rnd.integers(1, 9)))) + "-x" * int(rnd.integers(0, 2)) for _ in range(500)]
+    many = Counter({w: k + 1 for k, w in enumerate([*words, "12", "é"])})
+    whole = L._count(many, "en", at_once=10 ** 6)
+    for at_once in (1, 7, 100):
+        assert L._count(many, "en", at_once=at_once).equals(whole)
+    calls = []
+
+    def lengths(some):
+        calls.append(len(some))
+        return np.array([[len(w), 1.0] for w in some])
+    distinct = list(dict.fromkeys(words))
+    one, few = TokenMemo(lengths), TokenMemo(lengths, at_once=9)
+    assert len(one.places(distinct)) == len(distinct)
+    calls.clear()
+    at = few.places(distinct)
+    assert max(calls) <= 9 and sum(calls) == len(distinct)
+    assert (few.rows[at] == one.rows[one.places(distinct)]).all()
